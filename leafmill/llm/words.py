@@ -29,6 +29,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(33))
 
 
+def running(values: np.ndarray) -> np.ndarray:
+    """Sums modulo 2 ** 64 of the first 0, 1, 2, ... values."""
+    out = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values, out=out[1:], dtype=np.uint64)
+    return out
+
+
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _U(0xD6E8FEB86659FD93))
 _powers: dict[str, np.ndarray] = {}
 
@@ -67,8 +74,7 @@ def _hash_block(data: bytes, fold: np.ndarray | None) -> tuple[np.ndarray, np.nd
     if not len(begin):
         return np.empty(0, np.uint64), begin
     up, down = powers(len(raw))
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_BYTE[raw] * up[: len(raw)], out=sums[1:])
+    sums = running(_BYTE[raw] * up[: len(raw)])
     return mix((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64)), begin
 
 
