@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import jaccard_join
+from leafmill.llm import decontamination, jaccard_join, line_dedup, quality_rules, source_mix
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,13 +15,31 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = source_mix.mix(_table(spark, sf_dir, "documents"), [3.0, 1.0, 2.0])
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(_table(spark, sf_dir, "documents"))
+    return judged.drop("removed_lines")
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard_join.component_ids(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_shingles", "component_id")
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op10_jaccard_join,)}
+    return {f.__name__: f for f in (op1_source_mix, op4_decontamination, op5_quality_rules, op7_line_dedup, op10_jaccard_join)}
 
 
 WORDS = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
@@ -44,5 +62,42 @@ FROM sets s JOIN reach r ON r.node = s.doc_id GROUP BY s.doc_id, len(s.s)
 """
 
 
+OP5 = f"""
+WITH texts AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS host, source IS NULL AS no_host, coalesce(text, '') AS t FROM documents),
+words AS (SELECT *, {WORDS.format(text="t")} AS w FROM texts),
+lines AS (SELECT rid, host, no_host, unnest(string_split(t, chr(10))) AS line, unnest(range(len(string_split(t, chr(10))))) AS no FROM texts),
+worded AS (SELECT rid, host, no_host, line, no, array_to_string({WORDS.format(text=LOWER.format(text="line"))}, ' ') AS norm, len({WORDS.format(text="line")}) AS n
+  FROM lines WHERE len({WORDS.format(text="line")}) > 0),
+dups AS (SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines FROM worded GROUP BY rid),
+grams AS (SELECT rid, unnest(range(len(w) - 2)) AS pos, unnest([array_to_string(w[i:i + 2], ' ') FOR i IN range(1, len(w) - 1)]) AS g FROM words WHERE len(w) >= 3),
+twice AS (SELECT rid, pos, count(*) OVER (PARTITION BY rid, g) AS c FROM grams),
+covered AS (SELECT rid, count(DISTINCT p) AS n_repeat_words FROM (SELECT rid, unnest([pos, pos + 1, pos + 2]) AS p FROM twice WHERE c > 1) GROUP BY rid),
+shape AS (SELECT rid, string_agg(no || ':' || norm, chr(10) ORDER BY no) AS shape FROM worded GROUP BY rid),
+seen AS (SELECT host, no_host, norm, count(DISTINCT shape) AS docs FROM worded JOIN shape USING (rid) GROUP BY ALL),
+hosts AS (SELECT host, no_host, 0.002 * count(*) AS lim FROM texts GROUP BY ALL),
+heavy AS (SELECT host, no_host, norm FROM seen JOIN hosts USING (host, no_host) WHERE docs > 50 AND docs > lim),
+lost AS (SELECT rid, sum(n) AS n_lost FROM worded SEMI JOIN heavy USING (host, no_host, norm) GROUP BY rid),
+counts AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+  CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines,
+  CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(n_lost, 0) AS BIGINT) AS n_lost_words
+  FROM words LEFT JOIN dups USING (rid) LEFT JOIN covered USING (rid) LEFT JOIN lost USING (rid)),
+base AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts)
+SELECT *, NOT base_failed AND n_lost_words <= 0.5 * n_words AS kept FROM base
+"""
+
+OP7 = r"""
+WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS no FROM documents),
+norm AS (SELECT *, lower(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'), ' ')) AS x FROM lines),
+firsts AS (SELECT x, doc_id, no, length(x) AS n FROM norm WHERE length(x) >= 25 QUALIFY row_number() OVER (PARTITION BY x ORDER BY doc_id, no) = 1),
+near AS (SELECT DISTINCT a.doc_id, a.no FROM firsts a JOIN (SELECT *, unnest([n - 1, n, n + 1]) AS m FROM firsts) b
+  ON a.n = b.m AND (b.doc_id, b.no) < (a.doc_id, a.no) AND (left(a.x, 10) = left(b.x, 10) OR right(a.x, 10) = right(b.x, 10)) AND levenshtein(a.x, b.x) <= 1),
+kept AS (SELECT doc_id, no FROM firsts ANTI JOIN near USING (doc_id, no) UNION ALL SELECT doc_id, no FROM norm WHERE length(x) < 25),
+texts AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY no) AS text, count(*) AS k FROM lines JOIN kept USING (doc_id, no) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(string_split(d.text, chr(10))) AS BIGINT) AS n_lines,
+  CAST(len(string_split(d.text, chr(10))) - coalesce(k, 0) AS BIGINT) AS n_removed, coalesce(t.text, '') AS text
+FROM documents d LEFT JOIN texts t USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_jaccard_join": OP10}
+    return {"op5_quality_rules": OP5, "op7_line_dedup": OP7, "op10_jaccard_join": OP10}
