@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import decontamination, jaccard_join, line_dedup, quality_rules, source_mix
+from leafmill.llm import decontamination, html_extract, jaccard_join, line_dedup, personal_data, quality_model, quality_rules, secret_scan, source_mix, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,17 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    judged = url_filter.judge(pages, url_filter.train(url_filter.rule_labels(pages).unionByName(url_filter.seed_labels(spark))))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op3_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality_model.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -29,17 +40,33 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.drop("removed_lines")
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return secret_scan.digest(secret_scan.scan(docs, secret_scan.labelled_samples(docs)))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.digest(personal_data.find(_table(spark, sf_dir, "documents")))
+
+
+def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard_join.component_ids(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_shingles", "component_id")
 
 
+OPERATORS = (op1_source_mix, op2_url_filter, op3_quality_model, op4_decontamination, op5_quality_rules, op6_secret_scan, op7_line_dedup, op8_personal_data, op9_html_extract, op10_jaccard_join)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_source_mix, op4_decontamination, op5_quality_rules, op7_line_dedup, op10_jaccard_join)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 WORDS = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
