@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from leafmill.plans import catalogue_queries, raster_queries
 
-def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+MODULES = (catalogue_queries, raster_queries)
 
 
 def queries() -> dict:
-    return {}
+    return {name: f for m in MODULES for name, f in m.reg.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in MODULES for name, sql in m.reg.sql.items()}
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return queries()["page_view"](spark, sf_dir)
