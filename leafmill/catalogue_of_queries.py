@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.plans import catalogue_queries, raster_queries
+from leafmill.plans import catalogue_queries, page_queries, raster_queries
 
-MODULES = (catalogue_queries, raster_queries)
+MODULES = (catalogue_queries, raster_queries, page_queries)
 
 
 def queries() -> dict:
@@ -18,4 +18,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["page_view"](spark, sf_dir)
+    return queries()["content_box_of_pages"](spark, sf_dir)
