@@ -119,26 +119,41 @@ def brick(size: int) -> tuple[int, int]:
     return -high, -low
 
 
-def dilate(df: DataFrame, w: int, h: int, value: str = "black", out: str = "black", flipped: bool = False, outside: int = 0) -> DataFrame:
-    return _morph(df, w, h, value, out, flipped, F.max, outside, F.greatest)
+def dilate(df: DataFrame, w: int, h: int, value: str = "black", out: str = "black", flipped: bool = False, gray: bool = False) -> DataFrame:
+    """Black spreads over the brick: the maximum of black, the minimum of gray. Surroundings are white."""
+    return _morph(df, w, h, value, out, flipped, F.min if gray else F.max)
 
 
-def erode(df: DataFrame, w: int, h: int, value: str = "black", out: str = "black", flipped: bool = False, outside: int = 1) -> DataFrame:
-    return _morph(df, w, h, value, out, flipped, F.min, outside, F.least)
+def erode(df: DataFrame, w: int, h: int, value: str = "black", out: str = "black", flipped: bool = False, gray: bool = False) -> DataFrame:
+    """White spreads over the brick. Surroundings are black."""
+    return _morph(df, w, h, value, out, flipped, F.max if gray else F.min)
 
 
-def _morph(df, w, h, value, out, flipped, agg, outside, join):
-    """A box maximum or minimum. Surroundings of the neutral value need no rows beyond the page."""
+def _morph(df, w, h, value, out, flipped, agg):
+    """A box maximum or minimum; the page's edges clip the box, so surroundings are neutral."""
     turn = lambda t: (-t[1], -t[0]) if flipped else t
     return frame(agg, value, "__m", turn(brick(w)), turn(brick(h)), df).withColumn(out, F.col("__m")).drop("__m")
 
 
-def opened(df: DataFrame, w: int, h: int, value: str = "black", out: str = "black") -> DataFrame:
-    return dilate(erode(df, w, h, value, "__o"), w, h, "__o", out, True).drop("__o")
+def padded(df: DataFrame, dx: int, dy: int, value: str, fill: int) -> DataFrame:
+    """Pages with a frame of fill around them, dx and dy pixels wide; __page tells the page's own pixels."""
+    ends = df.groupBy("page_id").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+    wide = ends.select("*", F.explode(F.sequence(F.col("y0") - dy, F.col("y1") + dy)).alias("y"))
+    ring = wide.select("*", F.explode(F.sequence(F.col("x0") - dx, F.col("x1") + dx)).alias("x")).where("not (x between x0 and x1 and y between y0 and y1)")
+    ring = ring.select("page_id", "y", "x", F.lit(fill).alias(value), F.lit(False).alias("__page"))
+    return df.withColumn("__page", F.lit(True)).unionByName(ring, allowMissingColumns=True)
 
 
-def closed(df: DataFrame, w: int, h: int, value: str = "black", out: str = "black") -> DataFrame:
-    return erode(dilate(df, w, h, value, "__c"), w, h, "__c", out, True).drop("__c")
+def opened(df: DataFrame, w: int, h: int, value: str = "black", out: str = "black", gray: bool = False) -> DataFrame:
+    """Erosion, then dilation by the brick turned around, amid white."""
+    p = padded(df, 2 * w, 2 * h, value, 255 if gray else 0)
+    return dilate(erode(p, w, h, value, "__o", gray=gray), w, h, "__o", out, True, gray).where("__page").drop("__o", "__page")
+
+
+def closed(df: DataFrame, w: int, h: int, value: str = "black", out: str = "black", gray: bool = False) -> DataFrame:
+    """Dilation, then erosion by the brick turned around, amid white."""
+    p = padded(df, 2 * w, 2 * h, value, 255 if gray else 0)
+    return erode(dilate(p, w, h, value, "__c", gray=gray), w, h, "__c", out, True, gray).where("__page").drop("__c", "__page")
 
 
 def hit_miss(df: DataFrame, hits: list[tuple[int, int]], misses: list[tuple[int, int]]) -> DataFrame:

@@ -129,25 +129,29 @@ method("bradley", "mean * (1 - 0.2)")
 method("grad", "g * (1 - 0.75) + floor(least(greatest(mean + 0.5, 0), 255)) * 0.75", ", more AS (SELECT page_id, CASE WHEN sum(abs(floor(least(greatest(mean + 0.5, 0), 255)) - v)) = 0 THEN 127.5 ELSE sum(abs(floor(least(greatest(mean + 0.5, 0), 255)) - v) * v) / sum(abs(floor(least(greatest(mean + 0.5, 0), 255)) - v)) END AS g FROM stats GROUP BY 1)")
 method("nick", "floor(least(greatest(mean - 0.2 * sqrt(sd * sd + ((50 - 0) / 100.0::DOUBLE) * mean * mean), 0), 255))")
 
-BRICK = {"dilated": (("max", (3, 2), False),), "eroded": (("min", (3, 2), False),), "opened": (("min", (3, 2), False), ("max", (3, 2), True)), "closed": (("max", (3, 2), False), ("min", (3, 2), True))}
+BRICK = {"dilated": (("dilate", False),), "eroded": (("erode", False),), "opened": (("erode", False), ("dilate", True)), "closed": (("dilate", False), ("erode", True))}
+AGG = {("dilate", "black"): "max", ("erode", "black"): "min", ("dilate", "v"): "min", ("erode", "v"): "max"}
 
 
-def morph_sql(kind: str, value: str) -> str:
+def morph_sql(kind: str, value: str, w: int = 3, h: int = 2) -> str:
     parts, source, col = [], "pixels", value
-    for i, (agg, (w, h), flip) in enumerate(BRICK[kind]):
+    if len(BRICK[kind]) > 1:
+        parts.append(f"padded AS (SELECT g.page_id, g.y, g.x, coalesce(v, 255) AS v, coalesce(black, 0) AS black, v IS NOT NULL AS own FROM (SELECT DISTINCT page_id, y, x FROM (SELECT DISTINCT page_id FROM pixels), range({-2 * h}, {8 + 2 * h}) a(y), range({-2 * w}, {8 + 2 * w}) b(x)) g LEFT JOIN pixels USING (page_id, y, x))")
+        source = "padded"
+    for i, (step, flip) in enumerate(BRICK[kind]):
         x, y = r.brick(w), r.brick(h)
         if flip:
             x, y = (-x[1], -x[0]), (-y[1], -y[0])
-        parts.append(box(agg, col, x, y, f"m{i}", source, f"o{i}"))
+        parts.append(box(AGG[step, value], col, x, y, f"m{i}", source, f"o{i}"))
         source, col = f"m{i}", f"o{i}"
-    return ",\n".join(parts) + f", morphed AS (SELECT page_id, y, x, v, black, {col} AS out FROM {source})"
+    return ",\n".join(parts) + f", morphed AS (SELECT page_id, y, x, v, black, {col} AS out FROM {source}{' WHERE own' if len(BRICK[kind]) > 1 else ''})"
 
 
 def morph(kind: str, value: str):
     run = {"dilated": r.dilate, "eroded": r.erode, "opened": r.opened, "closed": r.closed}[kind]
 
     def query(spark, sf):
-        return run(fx.vector_pixels(spark, sf), 3, 2, value, "out").select("page_id", "y", "x", "out")
+        return run(fx.vector_pixels(spark, sf), 3, 2, value, "out", gray=value == "v").select("page_id", "y", "x", "out")
 
     query.__name__ = f"{'black' if value == 'black' else 'gray'}_{kind}"
     reg.add(f"{V}, {morph_sql(kind, value)} SELECT page_id, y, x, out FROM morphed")(query)
