@@ -25,7 +25,7 @@ def labelled_samples(docs: DataFrame, text_col: str = "text", rows: int = 400, r
 
     Random strings are hex and base64 forms of hashes of running numbers. Ordinary
     identifiers are the letter words of `rows` documents (those with the smallest text
-    hash), bare, as snake_case pairs and as camelCase pairs. Both bounds are parameters:
+    hash), bare, as snake_case pairs, as camelCase pairs and with a number behind. Both bounds are parameters:
     the models have a few thousand cells, which more rows would not change.
     """
     spark = docs.sparkSession
@@ -39,7 +39,8 @@ def labelled_samples(docs: DataFrame, text_col: str = "text", rows: int = 400, r
     words = F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}"), F.lit(0))
     pairs = chosen.select(words.alias("w")).select("w", F.slice("w", 2, 1_000_000_000).alias("x"))
     pairs = pairs.select(F.explode(F.arrays_zip("w", "x")).alias("p")).where("p.x is not null")
-    ordinary = pairs.select(F.explode(F.array(F.col("p.w"), F.concat_ws("_", "p.w", "p.x"), F.concat(F.lower("p.w"), F.initcap("p.x")))).alias("token"))
+    numbered = F.concat_ws("_", F.lower("p.x"), (F.length("p.w") * 7 % 100).cast("string"))
+    ordinary = pairs.select(F.explode(F.array(F.col("p.w"), F.concat_ws("_", "p.w", "p.x"), F.concat(F.lower("p.w"), F.initcap("p.x")), numbered)).alias("token"))
     return random.select("token", F.lit(True).alias("random")).unionByName(ordinary.select("token", F.lit(False).alias("random")))
 
 
@@ -50,11 +51,14 @@ def pair_table(samples: DataFrame, token_col: str = "token", random_col: str = "
     pairs = samples.select(F.col(token_col).alias("t"), F.col(random_col).alias("r")).where(F.length("t") >= 2)
     pairs = pairs.select("r", F.transform(F.sequence(F.lit(1), F.length("t") - 1), lambda i: code(i) * k + code(i + 1)).alias("p"))
     counts = {(r.r, r.p): r.n for r in pairs.select("r", F.explode("p").alias("p")).groupBy("r", "p").agg(F.count("*").alias("n")).collect()}
+    # A pair's probability leans on its second character's, so pairs never seen still tell.
+    total = {r: sum(n for (s, _), n in counts.items() if s == r) for r in (True, False)}
+    second_p = {r: [(sum(counts.get((r, a * k + b), 0) for a in range(k)) + 0.5) / (total[r] + 0.5 * k) for b in range(k)] for r in (True, False)}
     table = []
-    for first in range(k):
-        sums = {r: sum(counts.get((r, first * k + second), 0) for second in range(k)) for r in (True, False)}
-        for second in range(k):
-            p = {r: (counts.get((r, first * k + second), 0) + 0.5) / (sums[r] + 0.5 * k) for r in (True, False)}
+    for a in range(k):
+        sums = {r: sum(counts.get((r, a * k + b), 0) for b in range(k)) for r in (True, False)}
+        for b in range(k):
+            p = {r: (counts.get((r, a * k + b), 0) + 5 * second_p[r][b]) / (sums[r] + 5) for r in (True, False)}
             table.append(math.log(p[True] / p[False]))
     return table
 
