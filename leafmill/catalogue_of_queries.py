@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.plans import catalogue_queries, page_queries, raster_queries
+from leafmill.plans import catalogue_queries, page_queries, raster_queries, tone_queries
 
-MODULES = (catalogue_queries, raster_queries, page_queries)
+MODULES = (catalogue_queries, raster_queries, page_queries, tone_queries)
 
 
 def queries() -> dict:

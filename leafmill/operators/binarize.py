@@ -84,3 +84,24 @@ def squared_distances(pixels: DataFrame) -> DataFrame:
     lines = lines.withColumn("near", F.filter("line", lambda c: c["d"].isNotNull())).where(F.size("near") > 0)
     best = F.transform("line", lambda c: F.struct(c["x"].alias("x"), F.array_min(F.transform("near", lambda o: o["d"] * o["d"] + (c["x"] - o["x"]) * (c["x"] - o["x"]))).alias("squared")))
     return lines.select("page_id", "y", F.inline(best)).select("page_id", "y", "x", "squared")
+
+
+def edge_divided(stats: DataFrame, edge: float, blur: float) -> DataFrame:
+    """v with edges raised, divided by the blurred page, or both; its threshold is then a global one."""
+    v, mean = F.col("v"), F.col("mean")
+    r = edge * v * ((v + 1) / (mean + 1) - 0.5) + (1 - edge) * v if edge > 0 else v.cast("double")
+    stats = stats.withColumn("__r", r)
+    q = blur * ((mean + 1) / (F.col("__r") + 1) - 0.5) + (1 - blur)
+    out = F.when(q > 0, F.col("__r") / q).otherwise(F.col("__r")) if blur > 0 else F.col("__r")
+    return stats.withColumn("v", F.floor(F.least(F.greatest(out, F.lit(0.0)), F.lit(255.0)) + 1e-9).cast("int")).drop("__r")
+
+
+def mokji(pixels: DataFrame, edge: int, magnitude: int) -> DataFrame:
+    """Threshold between dark and light sides of edges: pairs of a pixel and the darkest around it that are magnitude apart."""
+    from leafmill.operators.raster import frame
+
+    page = Window.partitionBy("page_id")
+    p = frame(F.min, "v", "dark", (-edge, edge), (-edge, edge), pixels).withColumns({"w": F.max("x").over(page), "h": F.max("y").over(page)})
+    inside = F.col("x").between(edge, F.col("w") - edge) & F.col("y").between(edge, F.col("h") - edge) & (F.col("v") - F.col("dark") >= magnitude)
+    g = p.groupBy("page_id").agg(F.sum(F.when(inside, F.col("dark") + F.col("v"))).alias("s"), F.count_if(inside).alias("n"))
+    return g.select("page_id", F.coalesce(F.when(F.col("n") > 0, F.floor(0.5 * F.col("s") / F.col("n") + 0.5)), F.lit(128)).cast("int").alias("threshold"))
