@@ -24,8 +24,8 @@ def labelled_samples(docs: DataFrame, text_col: str = "text", rows: int = 400, r
     """(token, random): samples to count the models from.
 
     Random strings are hex and base64 forms of hashes of running numbers. Ordinary
-    identifiers are the letter words of `rows` documents (those with the smallest text
-    hash), bare, as snake_case pairs, as camelCase pairs and with a number behind. Both bounds are parameters:
+    identifiers are the letter words of `rows` distinct texts (those with the smallest
+    hashes), bare, as snake_case pairs, as camelCase pairs and with a number behind. Both bounds are parameters:
     the models have a few thousand cells, which more rows would not change.
     """
     spark = docs.sparkSession
@@ -35,7 +35,10 @@ def labelled_samples(docs: DataFrame, text_col: str = "text", rows: int = 400, r
     code = F.base64(F.unhex(sha))
     # Base64 in pieces shows all its characters, hex its sixteen.
     random = made.select(F.explode(F.array(F.substring(sha, 1, 40), F.substring(code, 1, 40), F.translate(F.substring(code, 1, 32), "+/=", "xQ7"), F.upper(F.translate(F.substring(code, 1, 20), "+/=", "xQ7")))).alias("token"))
-    chosen = docs.select(F.col(text_col).alias("text")).where("text is not null").orderBy(F.xxhash64("text"), F.length("text")).limit(rows)
+    hashed = docs.select(F.col(text_col).alias("text")).where("text is not null").withColumn("h", F.xxhash64("text"))
+    # The bound is found on hashes alone, so no text is sorted.
+    bound = hashed.select("h").distinct().orderBy("h").limit(rows).agg(F.max("h")).first()[0]
+    chosen = hashed.where(F.col("h") <= F.lit(bound)).dropDuplicates(["h"]) if bound is not None else hashed.where("false")
     words = F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}"), F.lit(0))
     pairs = chosen.select(words.alias("w")).select("w", F.slice("w", 2, 1_000_000_000).alias("x"))
     pairs = pairs.select(F.explode(F.arrays_zip("w", "x")).alias("p")).where("p.x is not null")
