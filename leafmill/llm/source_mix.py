@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 from leafmill.llm.shared import materialize
 
 #: Documents in a chunk, on average; leftovers that one step of the tree combines.
-CHUNK, FAN_IN = 20_000, 64
+CHUNK, FAN_IN = 4_000, 64
 WORD = r"[^\x20\x09-\x0D]+"
 
 
