@@ -67,9 +67,10 @@ def otsu_threshold(spark, sf):
 
 @reg.add(f"{T}, {HIST.format(t='text_pixels')}, {OTSU} SELECT page_id, threshold, min(x) AS \"left\", min(y) AS top, max(x) AS \"right\", max(y) AS bottom, count(*) AS ink FROM text_pixels JOIN otsu USING (page_id) WHERE v < threshold GROUP BY 1, 2")
 def content_box_of_pages(spark, sf):
-    p = fx.text_pixels(spark, sf)
-    cuts = r.otsu(p)
-    return r.bounding_box(r.threshold(p, cuts)).join(cuts, "page_id")
+    cuts = r.otsu(fx.text_pixels(spark, sf))
+    # Thresholds meet whole pages, so no pixel is shuffled.
+    p = fx.text_pixels(spark, sf, per_page=cuts).where("v < threshold").withColumn("black", F.lit(1))
+    return p.groupBy("page_id", "threshold").agg(F.min("x").alias("left"), F.min("y").alias("top"), F.max("x").alias("right"), F.max("y").alias("bottom"), F.count("*").alias("ink"))
 
 
 @reg.add(f"{V}, {HIST.format(t='pixels')}, {OTSU} SELECT page_id, y, x, CASE WHEN v < least(greatest(threshold + 10, 30), 225) THEN 1 ELSE 0 END AS black FROM pixels JOIN otsu USING (page_id)")
