@@ -1,6 +1,6 @@
 """Benchmark decontamination: CGK embedding, bit-sampling LSH, exact edit verification.
 
-Texts become sequences of words (A-Z lower-cased, other ASCII than letters and digits as
+Texts become sequences of words (lower-cased, other ASCII than letters and digits as
 blanks). An item of n words contaminates a document when some window of n words of the
 document is within k = floor(max_edits * n) word edits of it.
 
@@ -36,6 +36,11 @@ MOST_REPS = 200
 _U = np.uint64
 
 
+def plain_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the lower-cased words of texts, and where each text begins."""
+    return word_hashes([t.lower() if t else t for t in texts], PLAIN)
+
+
 def edits(a: np.ndarray, b: np.ndarray, most: int) -> int:
     """Edit distance of two sequences, or most + 1 where it is larger."""
     if abs(len(a) - len(b)) > most:
@@ -195,7 +200,7 @@ def build_index(items: DataFrame, id_col: str, text_col: str, max_edits: float,
     if total > 8 * ITEM_WORDS:
         raise ValueError(f"the items hold {total} characters; split them into parts of at most {8 * ITEM_WORDS} and run each")
     rows = sorted(rows.collect(), key=lambda r: (r[0], r[1] or ""))
-    words, at = word_hashes([r[1] for r in rows], PLAIN)
+    words, at = plain_words([r[1] for r in rows])
     keep = np.diff(at) >= min_words
     own = [words[at[i] : at[i + 1]] for i in np.flatnonzero(keep)]
     at = np.cumsum([0, *map(len, own)])
@@ -206,7 +211,7 @@ def build_index(items: DataFrame, id_col: str, text_col: str, max_edits: float,
     return index
 
 
-def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_edits: float = 0.1, recall: float = 0.98, samples: int = 4, min_words: int = 8, seed: int = 1) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_edits: float = 0.15, recall: float = 0.98, samples: int = 3, min_words: int = 8, seed: int = 1) -> DataFrame:
     """(doc_id, item_id, first_word, n_words, edits) of each document and item found in it, by its best window.
 
     first_word counts the document's words from 0; of equally good windows it is the
@@ -222,7 +227,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for lo, hi in chunks(texts, 4 << 20):
-                found = own.matches(*word_hashes(texts[lo:hi], PLAIN))
+                found = own.matches(*plain_words(texts[lo:hi]))
                 if found:
                     t, i, place, d = map(list, zip(*found, strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array([ids[lo + x] for x in t], pa.int64()), pa.array(own.ids[i]), pa.array(place, pa.int64()), pa.array(own.n[i]), pa.array(d, pa.int64())], ["doc_id", "item_id", "first_word", "n_words", "edits"])

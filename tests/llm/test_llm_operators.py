@@ -240,7 +240,7 @@ def test_contaminated_against_all_windows(spark):
         for j, item in enumerate(items):
             x = plain(item)
             if len(x) >= 8:
-                k = int(0.1 * len(x))
+                k = int(0.15 * len(x))
                 if any(edit_distance(w[s : s + len(x)], x) <= k for s in range(len(w) - len(x) + 1)):
                     want.add((i, j))
     got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs_of(spark, texts), b).collect()}
@@ -253,7 +253,7 @@ def test_contaminated_against_all_windows(spark):
 
 def test_index_reaches_its_recall(spark, small):
     items = spark.read.parquet(f"{small}/benchmark.parquet")
-    index = decontamination.build_index(items, "item_id", "text", 0.1, 0.95, 4, 8, 1)
+    index = decontamination.build_index(items, "item_id", "text", 0.15, 0.95, 3, 8, 1)
     assert len(index.tables) < decontamination.MOST_REPS
 
 
