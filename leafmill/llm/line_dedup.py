@@ -73,8 +73,8 @@ def _variants(batches):
                 yield pa.RecordBatch.from_arrays([pa.array([doc] * m, pa.int64()), pa.array(np.full(m, no, np.int32)), pa.array(keys[i : i + m]), pa.array(places[i : i + m])], ["doc", "no", "key", "place"])
 
 
-def near_lines(docs: DataFrame, firsts: DataFrame, min_chars: int) -> DataFrame:
-    """(doc, no) of those distinct lines, by first occurrence, that are within one edit of an earlier one."""
+def near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(doc, no) of those distinct lines with halves, by first occurrence, that are within one edit of an earlier one."""
     keys = firsts.select("doc", "no", F.explode("halves").alias("half"))
     group = Window.partitionBy("half")
     at = F.struct("doc", "no")
@@ -101,13 +101,15 @@ def near_lines(docs: DataFrame, firsts: DataFrame, min_chars: int) -> DataFrame:
     return pairs.join(lines, ["doc", "no"]).join(other, ["doc2", "no2"]).where(F.levenshtein("line", "line2", 1) >= 0).select("doc", "no").distinct()
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 25) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 25, exact_chars: int | None = None) -> DataFrame:
     """docs with every line removed that repeats an earlier line or is within one edit of it, and n_lines, n_removed.
 
-    Lines are compared as lower case with white space runs as one space; lines of fewer
-    than min_chars characters then are left alone. Lines come in the order of
-    (id, number in the document). A line goes if any earlier one equals it or is within
-    edit distance one of it, whether or not that one itself goes.
+    Lines are compared as lower case with white space runs as one space. A line of at
+    least exact_chars characters then goes if an earlier one equals it, and one of at least
+    min_chars also if an earlier one of at least min_chars is within edit distance one of
+    it, whether or not that one itself goes; shorter lines are left alone. exact_chars is
+    min_chars where it is None; 1 leaves nothing but lines without a word alone. Lines
+    come in the order of (id, number in the document).
 
     A null text stays null, an empty one empty, both with nothing removed. Rows that
     share an id count as one document: lines at one number in them stay or go together.
@@ -115,7 +117,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     passed on as they are, whatever their names, but n_lines and n_removed are replaced.
     """
     read = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where("doc is not null and text is not null")
-    kept = kept_lines(read, min_chars)
+    exact_chars = min_chars if exact_chars is None else min(exact_chars, min_chars)
+    kept = kept_lines(read, min_chars, exact_chars)
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     keyed = docs.select(F.col(id_col).cast("long").alias("__doc"), F.col(text_col).alias("__text"), F.struct(*(F.col(f"`{c}`") for c in own)).alias("__row"))
     joined = keyed.join(kept, F.col("__doc") == F.col("doc"), "left").drop("doc")
@@ -130,7 +133,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     left = lines
                 else:
                     first = set(keep or ())
-                    left = [x for i, x in enumerate(lines) if i in first or len(" ".join(_split(x)).lower()) < min_chars]
+                    left = [x for i, x in enumerate(lines) if i in first or len(" ".join(_split(x)).lower()) < exact_chars]
                 texts.append(None if text is None else "\n".join(left))
                 lines_n.append(len(lines))
                 gone.append(len(lines) - len(left))
@@ -147,12 +150,12 @@ def _split(line: str) -> list[str]:
 _BLANKS = {c: " " for c in range(0x09, 0x0E)}
 
 
-def kept_lines(read: DataFrame, min_chars: int) -> DataFrame:
-    """(doc, kept): numbers of the lines of at least min_chars characters that stay."""
+def kept_lines(read: DataFrame, min_chars: int, exact_chars: int) -> DataFrame:
+    """(doc, kept): numbers of the lines of at least exact_chars characters that stay."""
     line = F.col("line")
-    lines = _lines(read, min_chars).select("doc", "no", F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2"), F.length(line).alias("n"), F.array(*_halves(line)).alias("halves"))
+    lines = _lines(read, exact_chars).select("doc", "no", F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2"), F.length(line).alias("n"), F.when(F.length(line) >= min_chars, F.array(*_halves(line))).alias("halves"))
     first = lines.groupBy("h1", "h2", "n").agg(F.min(F.struct("doc", "no", "halves")).alias("first"))
     firsts = materialize(first.select("first.doc", "first.no", "first.halves"), "firsts")
-    near = near_lines(read, firsts, min_chars)
+    near = near_lines(read, firsts)
     kept = firsts.select("doc", "no").join(near, ["doc", "no"], "left_anti")
     return materialize(kept.groupBy("doc").agg(F.collect_set("no").alias("kept")), "kept")

@@ -218,6 +218,12 @@ def test_line_dedup_against_brute_force(spark):
     assert {r.text for r in line_dedup.dedup_lines(null_id).collect()} == {lines[0]}
 
 
+def test_line_dedup_of_short_exact_repeats(spark):
+    texts = ["ietzte.\nAll rights  reserved.\n\nx", "all rights reserved.\nietzte!\n\nIetzte.\nX\ny", "y\n" + "long enough to be compared with edits\ny"]
+    got = [r.text for r in line_dedup.dedup_lines(docs_of(spark, texts), exact_chars=1).orderBy("doc_id").collect()]
+    assert got == [texts[0], "ietzte!\n\ny", "long enough to be compared with edits"]
+
+
 def texts_copy(lines):
     return "\n".join(lines[:3])
 
