@@ -1,4 +1,4 @@
-"""Line dedup by a deletion-neighbourhood join, within an edit distance of one.
+"""Line dedup within an edit distance: of one by a deletion-neighbourhood join, of more by pieces.
 
 Two lines are within one edit when deleting at most one character from each leaves the
 same string. Each line therefore emits hashed keys of all strings it becomes by deleting
@@ -13,6 +13,13 @@ Emitting every variant of every line would multiply the input by the lines' leng
 Whatever one edit does, it leaves the first or the second half of the shorter line in
 place, so lines first join on hashed halves, and only those with a partner there emit
 variants. That loses no pair.
+
+With a bound of k > 1 edits, variants would grow as the length to the power k. There lines
+are cut into k + 1 pieces, of which k edits leave one in place, at most as far moved as
+there are pieces before it. Lines that share a piece are compared first with the earliest of
+their group, then those not yet found near anything with all earlier ones; lengths and
+parity sketches of characters and character pairs, which k edits change by a bounded
+number of bits, decide before texts travel. The edit distance is verified on the texts.
 """
 
 from __future__ import annotations
@@ -40,14 +47,21 @@ def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     return lines.select("doc", "no", normalised(F.col("line")).alias("line")).where(F.length("line") >= min_chars)
 
 
-def _halves(line):
-    """Keys of which two lines within one edit share at least one."""
+def _pieces(line, edits: int):
+    """Keys of which two lines within so many edits share at least one; for one edit, of halves.
+
+    Of edits + 1 pieces of the shorter line, some piece i has no edit, at most i before it
+    and at most edits - i after it; that bounds how far it has moved in the longer line.
+    """
     n = F.length(line)
     keys = []
-    for shorter in (n, n - 1):  # the line as the shorter or equal one, and as the longer one
-        half = F.floor(shorter / 2).cast("int")
-        keys.append(F.xxhash64(shorter, F.lit(0), F.substring(line, 1, half)))
-        keys.append(F.xxhash64(shorter, F.lit(1), F.substring(line, n - (shorter - half) + 1, shorter - half)))
+    for more in range(edits + 1):  # the line as the one that is longer by so much
+        shorter = n - more
+        for i in range(edits + 1):
+            start, end = (F.floor(shorter * j / (edits + 1)).cast("int") for j in (i, i + 1))
+            for moved in range(-i, i + 1):
+                if abs(more - moved) <= edits - i:
+                    keys.append(F.xxhash64(shorter, F.lit(i), F.substring(line, start + moved + 1, end - start)))
     return keys
 
 
@@ -73,10 +87,10 @@ def _variants(batches):
                 yield pa.RecordBatch.from_arrays([pa.array([doc] * m, pa.int64()), pa.array(np.full(m, no, np.int32)), pa.array(keys[i : i + m]), pa.array(places[i : i + m])], ["doc", "no", "key", "place"])
 
 
-def near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
-    """(doc, no) of those distinct lines with halves, by first occurrence, that are within one edit of an earlier one."""
-    keys = firsts.select("doc", "no", F.explode("halves").alias("half"))
-    group = Window.partitionBy("half")
+def near_lines(docs: DataFrame, firsts: DataFrame, edits: int) -> DataFrame:
+    """(doc, no) of those distinct lines with pieces, by first occurrence, that are within so many edits of an earlier one."""
+    keys = firsts.select("doc", "no", F.explode("pieces").alias("piece"))
+    group = Window.partitionBy("piece")
     at = F.struct("doc", "no")
     partnered = keys.withColumn("low", F.min(at).over(group)).withColumn("high", F.max(at).over(group)).where("low <> high").select("doc", "no").distinct()
     partnered = materialize(partnered, "partnered")
@@ -86,6 +100,11 @@ def near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     lines = texts.select("doc", "wanted", F.posexplode(F.split("text", "\n")).alias("no", "line")).where(F.array_contains("wanted", F.col("no")))
     lines = materialize(lines.select("doc", "no", normalised(F.col("line")).alias("line")).dropDuplicates(["doc", "no"]), "candidates")
     drop(partnered)
+    return _within_one(lines) if edits == 1 else _within(lines, edits)
+
+
+def _within_one(lines: DataFrame) -> DataFrame:
+    at = F.struct("doc", "no")
     keys = lines.mapInArrow(_variants, "doc long, no int, key long, place int")
     by_key, by_place = Window.partitionBy("key"), Window.partitionBy("key", "place")
     joined = (
@@ -97,16 +116,52 @@ def near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     partner = F.least(F.when(F.col("place") >= 0, F.col("whole")), F.when(F.col("place") < 0, F.col("cut")), F.col("same"))
     pairs = joined.withColumn("partner", partner).where(F.col("partner") < F.col("at")).groupBy("doc", "no").agg(F.min("partner").alias("partner"))
     pairs = pairs.select("doc", "no", F.col("partner.doc").alias("doc2"), F.col("partner.no").alias("no2"))
+    return _verified(pairs, lines, 1)
+
+
+def _verified(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
+    """(doc, no) of the pairs (doc, no, doc2, no2) whose texts are within so many edits."""
     other = lines.select(F.col("doc").alias("doc2"), F.col("no").alias("no2"), F.col("line").alias("line2"))
-    return pairs.join(lines, ["doc", "no"]).join(other, ["doc2", "no2"]).where(F.levenshtein("line", "line2", 1) >= 0).select("doc", "no").distinct()
+    return pairs.join(lines, ["doc", "no"]).join(other, ["doc2", "no2"]).where(F.levenshtein("line", "line2", edits) >= 0).select("doc", "no").distinct()
+
+
+def line_sketches(line: str) -> tuple[int, int]:
+    """Parities, in 64 bits each, of the line's characters and of its pairs of neighbours; an edit changes at most 2 and 4 bits."""
+    codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    both = (codes, codes[:-1] << _U(32) | codes[1:])
+    return tuple(int(np.bitwise_xor.reduce(_U(1) << (mix(x + _U(1)) >> _U(58)), initial=_U(0)).view(np.int64)) for x in both)
+
+
+def _sketched(batches):
+    for batch in batches:
+        both = [line_sketches(x) for x in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), *(pa.array([x[i] for x in both], pa.int64()) for i in (0, 1)), batch.column(4)], ["doc", "no", "n", "chars", "twos", "keys"])
+
+
+def _within(lines: DataFrame, edits: int) -> DataFrame:
+    at = F.struct("doc", "no", "n", "chars", "twos")
+    read = lines.select("doc", "no", "line", F.length("line").alias("n"), F.array_distinct(F.array(*_pieces(F.col("line"), edits))).alias("keys"))
+    keys = read.mapInArrow(_sketched, "doc long, no int, n int, chars long, twos long, keys array<long>").select(at.alias("at"), F.explode("keys").alias("key"))
+    group = Window.partitionBy("key")
+    keys = keys.withColumn("low", F.min("at").over(group)).withColumn("high", F.max("at").over(group)).where("low <> high")
+    keys = materialize(keys.select("key", "at", "low"), "keys")
+    apart = lambda c: F.bit_count(F.col(f"at.{c}").bitwiseXOR(F.col(f"low.{c}")))
+    near = (F.col("low") < F.col("at")) & (F.abs(F.col("at.n") - F.col("low.n")) <= edits) & (apart("chars") <= 2 * edits) & (apart("twos") <= 4 * edits)
+    chosen = [F.col("at.doc").alias("doc"), F.col("at.no").alias("no"), F.col("low.doc").alias("doc2"), F.col("low.no").alias("no2")]
+    led = materialize(_verified(keys.where(near).select(chosen).distinct(), lines, edits), "led")
+    left = keys.select("key", "at", F.col("at.doc").alias("doc"), F.col("at.no").alias("no")).join(led, ["doc", "no"], "left_anti").select("key", "at")
+    pairs = left.join(keys.select("key", F.col("at").alias("low")), "key").where(near).select(chosen).distinct()
+    return led.unionByName(_verified(pairs, lines, edits))
+
+
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 25, exact_chars: int | None = None) -> DataFrame:
-    """docs with every line removed that repeats an earlier line or is within one edit of it, and n_lines, n_removed.
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 25, exact_chars: int | None = None, edits: int = 1) -> DataFrame:
+    """docs with every line removed that repeats an earlier line or is within so many edits of it, and n_lines, n_removed.
 
     Lines are compared as lower case with white space runs as one space. A line of at
     least exact_chars characters then goes if an earlier one equals it, and one of at least
-    min_chars also if an earlier one of at least min_chars is within edit distance one of
+    min_chars also if an earlier one of at least min_chars is within edit distance edits of
     it, whether or not that one itself goes; shorter lines are left alone. exact_chars is
     min_chars where it is None; 1 leaves nothing but lines without a word alone. Lines
     come in the order of (id, number in the document).
@@ -118,7 +173,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     read = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where("doc is not null and text is not null")
     exact_chars = min_chars if exact_chars is None else min(exact_chars, min_chars)
-    kept = kept_lines(read, min_chars, exact_chars)
+    kept = kept_lines(read, min_chars, exact_chars, edits)
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     keyed = docs.select(F.col(id_col).cast("long").alias("__doc"), F.col(text_col).alias("__text"), F.struct(*(F.col(f"`{c}`") for c in own)).alias("__row"))
     joined = keyed.join(kept, F.col("__doc") == F.col("doc"), "left").drop("doc")
@@ -150,12 +205,12 @@ def _split(line: str) -> list[str]:
 _BLANKS = {c: " " for c in range(0x09, 0x0E)}
 
 
-def kept_lines(read: DataFrame, min_chars: int, exact_chars: int) -> DataFrame:
+def kept_lines(read: DataFrame, min_chars: int, exact_chars: int, edits: int) -> DataFrame:
     """(doc, kept): numbers of the lines of at least exact_chars characters that stay."""
     line = F.col("line")
-    lines = _lines(read, exact_chars).select("doc", "no", F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2"), F.length(line).alias("n"), F.when(F.length(line) >= min_chars, F.array(*_halves(line))).alias("halves"))
-    first = lines.groupBy("h1", "h2", "n").agg(F.min(F.struct("doc", "no", "halves")).alias("first"))
-    firsts = materialize(first.select("first.doc", "first.no", "first.halves"), "firsts")
-    near = near_lines(read, firsts)
+    lines = _lines(read, exact_chars).select("doc", "no", F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2"), F.length(line).alias("n"), F.when(F.length(line) >= min_chars, F.array(*_pieces(line, edits))).alias("pieces"))
+    first = lines.groupBy("h1", "h2", "n").agg(F.min(F.struct("doc", "no", "pieces")).alias("first"))
+    firsts = materialize(first.select("first.doc", "first.no", "first.pieces"), "firsts")
+    near = near_lines(read, firsts, edits)
     kept = firsts.select("doc", "no").join(near, ["doc", "no"], "left_anti")
     return materialize(kept.groupBy("doc").agg(F.collect_set("no").alias("kept")), "kept")

@@ -224,6 +224,25 @@ def test_line_dedup_of_short_exact_repeats(spark):
     assert got == [texts[0], "ietzte!\n\ny", "long enough to be compared with edits"]
 
 
+@pytest.mark.parametrize("edits", [2, 3])
+def test_line_dedup_within_more_edits_against_brute_force(spark, edits):
+    rng = random.Random(12)
+    lines = [prose(rng, 5) + " " + str(rng.randrange(10**6)) for _ in range(12)] + ["a" * 30, "a" * 32, "a" * 35, "ab" * 15, "ba" * 15]
+    for line in lines[:12]:
+        for k in (1, 2, 2, 3, 4):
+            x = list(line)
+            for _ in range(k):
+                at = rng.randrange(len(x))
+                x[at : at + rng.randrange(2)] = rng.choice(("", "q", "é"))
+            lines.append("".join(x))
+    rng.shuffle(lines)
+    norm = [" ".join(x.split()).lower() for x in lines]
+    want = [lines[i] for i, x in enumerate(norm) if len(x) < 25 or not any(len(y) >= 25 and edit_distance(x, y) <= edits for y in norm[:i])]
+    docs = docs_of(spark, ["\n".join(lines[i : i + 4]) for i in range(0, len(lines), 4)])
+    got = [x for r in line_dedup.dedup_lines(docs, edits=edits).orderBy("doc_id").collect() for x in r.text.split("\n") if x]
+    assert got == want and len(want) < len([x for i, x in enumerate(norm) if not any(edit_distance(x, y) <= 1 for y in norm[:i])])
+
+
 def texts_copy(lines):
     return "\n".join(lines[:3])
 
