@@ -36,7 +36,7 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality_rules.judge(_table(spark, sf_dir, "documents"))
+    judged = quality_rules.judge(_table(spark, sf_dir, "documents"), min_docs=50, host_share=0.002, max_docs=None)  # as in OP5
     return judged.drop("removed_lines")
 
 

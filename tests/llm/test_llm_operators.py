@@ -181,6 +181,20 @@ def test_frequent_lines_deplete_documents(spark):
     assert quality_rules.judge(docs_of(spark, [])).count() == 0
 
 
+def test_frequent_lines_of_small_and_large_hosts_at_the_defaults(spark):
+    rng = random.Random(9)
+    banner, rare = prose(rng, 60), prose(rng, 60)
+    texts = [banner + "\n" + prose(rng, 50) for _ in range(20)] + [rare + "\n" + prose(rng, 50) for _ in range(5)]
+    got = {r.doc_id: r for r in quality_rules.judge(docs_of(spark, texts)).collect()}
+    assert all(got[i].removed_lines == [0] and not got[i].kept for i in range(20))
+    assert all(got[i].removed_lines == [] and got[i].kept for i in range(20, 25))
+    # The share of a host that large is over the ceiling.
+    many = spark.range(1200).select(F.col("id").alias("doc_id"), F.lit("big").alias("source"), F.concat(F.lit(banner + "\nown "), F.col("id").cast("string")).alias("text"))
+    few = spark.range(1200, 1700).select(F.col("id").alias("doc_id"), F.lit("big").alias("source"), F.concat(F.lit(rare + "\nown "), F.col("id").cast("string")).alias("text"))
+    large = quality_rules.judge(many.unionByName(few), host_share=0.9).groupBy("kept").count().collect()
+    assert {r.kept: r["count"] for r in large} == {False: 1200, True: 500}
+
+
 def edit_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
