@@ -129,7 +129,30 @@ def judge(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", tex
     read. An empty table gives an empty result.
     """
     read = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(host_col).cast("string").alias("host"), F.col(text_col).alias("text"))
-    docs_m = materialize(read.mapInArrow(_measured, ", ".join(f"{k} {v}" for k, v in _COLUMNS.items())), "measured")
+    return _judged(read, min_docs, host_share, max_docs, max_lost).withColumnRenamed("doc", id_col)
+
+
+def clean(docs: DataFrame, host_col: str = "source", text_col: str = "text", **limits) -> DataFrame:
+    """The rows of docs that judge keeps, with their removed_lines cut out of the text; limits are judge's.
+
+    A verdict depends on a row's host and text alone, so rows meet theirs by a hash of
+    both: each row by itself, whatever its id. All other columns are passed on.
+    """
+    host, text = F.col(host_col).cast("string"), F.col(text_col)
+    # A host's length goes before it, so that no other host and text make the same bytes.
+    key = F.md5(F.concat(F.coalesce(F.concat(F.length(host), F.lit(":"), host), F.lit("-")), F.lit("\n"), F.coalesce(text, F.lit(""))))
+    judged = _judged(docs.select(key.alias("doc"), host.alias("host"), text.alias("text")), **limits)
+    acted = judged.where(~F.col("kept") | (F.size("removed_lines") > 0)).groupBy(F.col("doc").alias("__key")).agg(F.first("kept").alias("__kept"), F.first("removed_lines").alias("__gone"))
+    left = docs.withColumn("__own", key).join(acted, F.col("__own") == F.col("__key"), "left").where(F.coalesce("__kept", F.lit(True)))
+    lines = F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains("__gone", i))
+    cut = F.when(F.size("__gone") > 0, F.array_join(lines, "\n")).otherwise(text)
+    return left.select(*(cut.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))
+
+
+def _judged(read: DataFrame, min_docs: int = 5, host_share: float = 0.002, max_docs: int | None = 1000, max_lost: float = 0.5) -> DataFrame:
+    """What judge returns, of rows (doc, host, text)."""
+    columns = _COLUMNS | {"doc": read.schema["doc"].dataType.simpleString()}
+    docs_m = materialize(read.mapInArrow(_measured, ", ".join(f"{k} {v}" for k, v in columns.items())), "measured")
     lines = docs_m.select("rid", "text_hash", F.coalesce("host", F.lit("")).alias("host"), F.col("host").isNull().alias("no_host"), F.explode(F.arrays_zip("line", "no", "words")).alias("x")).select("rid", "text_hash", "host", "no_host", "x.*")
     most = float("inf") if max_docs is None else max_docs
     floor = min(min_docs, most)
@@ -142,7 +165,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", tex
     base_failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     n_lost = F.coalesce("lost", F.lit(0)).cast("long")
     return docs_m.join(lost, "rid", "left").select(
-        F.col("doc").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "doc", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         base_failed.alias("base_failed"), (~base_failed & (n_lost <= max_lost * F.col("n_words"))).alias("kept"),
         n_lost.alias("n_lost_words"), F.coalesce("gone", F.array().cast("array<int>")).alias("removed_lines"),
     )

@@ -195,6 +195,15 @@ def test_frequent_lines_of_small_and_large_hosts_at_the_defaults(spark):
     assert {r.kept: r["count"] for r in large} == {False: 1200, True: 500}
 
 
+def test_clean_cuts_frequent_lines_out_of_kept_texts(spark):
+    rng = random.Random(10)
+    banner = prose(rng, 20)
+    texts = [f"{prose(rng, 60)}\n{banner.upper() if i == 3 else banner}\n\nend {i}" for i in range(8)] + [prose(rng, 60), None, "few words", banner + "\n" + prose(rng, 60)]
+    rows = quality_rules.clean(docs_of(spark, texts, ["a"] * 11 + [None]).withColumn("more", F.lit("x"))).collect()
+    want = {i: "\n".join(x for x in t.split("\n") if x.lower() != banner) for i, t in enumerate(texts[:9])} | {11: texts[11]}
+    assert {r.doc_id: r.text for r in rows} == want and all(r.more == "x" for r in rows)
+
+
 def edit_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
