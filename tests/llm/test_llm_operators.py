@@ -111,6 +111,17 @@ def test_components_of_similar_documents(spark, corpus):
     assert {i: r.n_shingles for i, r in got.items()} == {i: len(s) for i, s in enumerate(sets)}
 
 
+def test_every_link_between_distinct_sets(spark, corpus):
+    sets, first = sets_of(corpus), {}
+    for i, s in enumerate(sets):
+        if s:
+            first.setdefault(frozenset(s), i)
+    ids = sorted(first.values())
+    want = {(a, b) for a in ids for b in ids if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    got = [(r.a, r.b) for r in jaccard_join.links(docs_of(spark, corpus)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_jaccard_join_of_nothing_and_of_null_ids(spark):
     assert jaccard_join.component_ids(docs_of(spark, [])).count() == 0
     frame = spark.createDataFrame([(None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f"), (9, "a b c d e f"), (4, "q r s t u v w")], "doc_id long, text string")
