@@ -72,9 +72,10 @@ def test_components_of_chains_stars_and_loops(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_every_similar_pair_shares_a_signature(corpus):
+@pytest.mark.parametrize("shape", [(0, 1), *jaccard_join.SHAPES])
+def test_every_similar_pair_shares_a_signature(corpus, shape):
     values, at = words.shingle_sets(corpus, 5)
-    owner, sig = jaccard_join.signatures(values, at, 80, 100)
+    owner, sig = jaccard_join.signatures(values, at, 80, 100, *shape)
     by = collections.defaultdict(set)
     for o, s in zip(owner.tolist(), sig.tolist(), strict=True):
         by[o].add(s)
@@ -97,7 +98,11 @@ def test_sketches_never_exceed_the_difference(corpus):
             assert apart <= len(sets[i] ^ sets[j])
 
 
-def test_components_of_similar_documents(spark, corpus):
+@pytest.mark.parametrize("tight", [False, True])
+def test_components_of_similar_documents(spark, corpus, monkeypatch, tight):
+    if tight:  # every mixed group goes through all shapes and blocks, nothing is broadcast, copies are salted
+        monkeypatch.setattr(jaccard_join, "SMALL_GROUP", 1)
+        monkeypatch.setattr(jaccard_join, "BROADCAST_IDS", 0)
     sets = sets_of(corpus)
     low = list(range(len(sets)))
     for _ in range(len(sets)):
