@@ -1,8 +1,8 @@
 """Benchmark decontamination: CGK embedding, bit-sampling LSH, exact edit verification.
 
 Texts become sequences of words (lower-cased, other ASCII than letters and digits as
-blanks). An item of n words contaminates a document when some window of n words of the
-document is within k = floor(max_edits * n) word edits of it.
+blanks). An item of n words contaminates a document when some run of the document's words,
+of any length, is within k = floor(max_edits * n) word edits of it; short items allow none.
 
 A CGK walk reads a sequence with a pointer that, at each step, stays or advances by a
 random bit that depends on the step and the word it points at. Sequences few edits apart
@@ -14,8 +14,12 @@ own walk and sample. The number of repetitions is found by simulation on the ite
 themselves, edited as much as the bound allows, until the target recall is reached.
 
 The first places to go are those where too few of the words occur in any item of the
-length: a window within k edits of an item of n words has at least n - k words of it, and
-at least d - k of its d distinct words. This drops no match.
+length: of a run within k edits of an item of n words, the first n words hold at least n - k
+words of it, and at least d - k of its d distinct words (an inserted word pushes at most one
+out). This drops no match. A run may end with its text: the walk then points at nothing.
+
+Items beyond what one index may hold are dealt into parts by a hash, each with an index of
+its own and a scan of the documents.
 """
 
 from __future__ import annotations
@@ -29,9 +33,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from leafmill.llm.words import PLAIN, chunks, mix, word_hashes
 
-#: Words of all items together that may be sent to every executor (8 bytes each).
-ITEM_WORDS = 4_000_000
-#: Repetitions at most; the recall target is reached long before with the usual bounds.
+#: Characters of the items of one index, which is sent to every executor (some 4 million words of 8 bytes).
+ITEM_CHARS = 32_000_000
+#: Repetitions at most; an index that misses its recall with them is an error.
 MOST_REPS = 200
 _U = np.uint64
 
@@ -41,18 +45,16 @@ def plain_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return word_hashes([t.lower() if t else t for t in texts], PLAIN)
 
 
-def edits(a: np.ndarray, b: np.ndarray, most: int) -> int:
-    """Edit distance of two sequences, or most + 1 where it is larger."""
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    row = np.arange(len(b) + 1)
-    step = np.arange(len(b) + 1)
-    for i in range(len(a)):
-        best = np.minimum(row[1:] + 1, row[:-1] + (b != a[i]))
+def edits(item: np.ndarray, run: np.ndarray, most: int) -> tuple[int, int]:
+    """Smallest edit distance of the item to the first words of the run, and how many words that takes; most + 1 where it is larger."""
+    step = np.arange(len(run) + 1)
+    row = step.copy()
+    for i in range(len(item)):
+        best = np.minimum(row[1:] + 1, row[:-1] + (run != item[i]))
         row = np.minimum.accumulate(np.concatenate(([i + 1], best)) - step) + step
         if row.min() > most:
-            return most + 1
-    return int(row[-1])
+            return most + 1, 0
+    return int(row.min()), int(row.argmin())
 
 
 @dataclass
@@ -65,10 +67,11 @@ class Index:
     max_edits: float
     samples: int
     seed: int
+    exact_below: int = 8
 
     def __post_init__(self) -> None:
         self.n = np.diff(self.at)
-        self.k = np.floor(self.max_edits * self.n + 1e-9).astype(np.int64)
+        self.k = self.allowed(self.n)
         self.vocabulary = np.unique(self.words)
         self.lengths = np.unique(self.n)
         self.kind = np.searchsorted(self.lengths, self.n)
@@ -80,6 +83,10 @@ class Index:
         self.fewest = np.array([distinct[self.n == n].min() for n in self.lengths], np.int64)
         np.bitwise_or.at(self.masks, np.searchsorted(self.vocabulary, self.words), np.repeat(bits, self.n))
 
+    def allowed(self, n: np.ndarray) -> np.ndarray:
+        """Edits that items of n words allow."""
+        return np.where(n < self.exact_below, 0, np.floor(self.max_edits * n + 1e-9)).astype(np.int64)
+
     def sampled(self, rep: int) -> np.ndarray:
         """By kind of length and step, whether the step is sampled: of twice the item's words, as a walk takes two steps a word."""
         out = np.zeros((len(self.lengths), 2 * int(self.lengths.max(initial=0))), bool)
@@ -88,12 +95,12 @@ class Index:
             out[i, draw.sample(range(2 * int(n)), min(self.samples, 2 * int(n)))] = True
         return out
 
-    def walk(self, words: np.ndarray, start: np.ndarray, kind: np.ndarray, rep: int) -> np.ndarray:
-        """Keys of the walks from start over items' lengths of that kind, which point at nothing beyond."""
+    def walk(self, words: np.ndarray, start: np.ndarray, kind: np.ndarray, rep: int, ends: np.ndarray) -> np.ndarray:
+        """Keys of the walks from start over items' lengths of that kind, which point at nothing beyond that or beyond ends."""
         sampled = self.sampled(rep)
         order = np.argsort(-kind, kind="stable")  # long ones first: the short ones end early
         at, of = start[order].copy(), kind[order]
-        end, key = at + self.lengths[of], np.zeros(len(at), np.uint64)
+        end, key = np.minimum(at + self.lengths[of], ends[order]), np.zeros(len(at), np.uint64)
         padded = np.append(words, _U(0))
         last = 2 * self.lengths[of]
         for step in range(sampled.shape[1]):
@@ -113,16 +120,16 @@ class Index:
 
     def grow(self) -> None:
         """One more repetition."""
-        keys = self.walk(self.words, self.at[:-1], self.kind, len(self.tables))
+        keys = self.walk(self.words, self.at[:-1], self.kind, len(self.tables), self.at[1:])
         order = np.argsort(keys, kind="stable")
         self.tables.append((keys[order], order))
 
     def reach(self, recall: float, most: int, trials: int = 600) -> float:
-        """Repeat until that share of copies of items with k random word edits is found; the share."""
+        """Repeat until that share of copies of items with k random word edits is found; the share. Each item is tried, at least once."""
         if not len(self.n):
             return 1.0
         draw = random.Random(self.seed + 17)
-        of = np.arange(trials) % len(self.n)
+        of = np.arange(max(trials, len(self.n))) % len(self.n)
         copies = []
         for i in of:
             own = list(self.words[self.at[i] : self.at[i + 1]])
@@ -131,23 +138,26 @@ class Index:
                 own[place : place + (sort < 2)] = [] if sort == 1 else [_U(draw.getrandbits(63))]
             copies.append(np.array((own + [_U(draw.getrandbits(63)) for _ in range(int(self.n[i]))])[: int(self.n[i])], np.uint64))
         start = np.cumsum([0, *map(len, copies)])
-        found = np.zeros(trials, bool)
+        found = np.zeros(len(of), bool)
         while found.mean() < recall and len(self.tables) < most:
             self.grow()
             keys, order = self.tables[-1]
             own = np.empty(len(self.n), np.uint64)
             own[order] = keys
-            found |= self.walk(np.concatenate(copies), start[:-1], self.kind[of], len(self.tables) - 1) == own[of]
+            found |= self.walk(np.concatenate(copies), start[:-1], self.kind[of], len(self.tables) - 1, start[1:]) == own[of]
         return float(found.mean())
 
     def matches(self, words: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(text, item, first word, edits) of verified windows: the best window of each text and item, the first of equals."""
-        best: dict[tuple[int, int], tuple[int, int]] = {}
+        """(text, item, first word, words, edits) of verified runs: the best of each text and item, the first of equals."""
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}
         if not len(words) or not len(self.vocabulary):
             return []
+        real, longest = len(words), int(self.lengths[-1])
+        words = np.append(words, np.zeros(longest, np.uint64))  # so that runs at the end have their length
         spot = np.minimum(np.searchsorted(self.vocabulary, words), len(self.vocabulary) - 1)
         mask = np.where(self.vocabulary[spot] == words, self.masks[spot], _U(0))
-        ends = np.repeat(at[1:], np.diff(at))
+        mask[real:] = 0
+        ends = np.append(np.repeat(at[1:], np.diff(at)), np.zeros(longest, np.int64))
         text = np.repeat(np.arange(len(at) - 1), np.diff(at))
         # Words that don't repeat one of the two before: a window has at most two more distinct ones.
         fresh = np.ones(len(words), bool)
@@ -160,17 +170,15 @@ class Index:
             # Lengths within a quarter of one another go together first, by their common mask.
             group = left[self.lengths[left] <= self.lengths[left[0]] * 5 // 4]
             left = left[len(group) :]
-            low, slack = int(self.lengths[group[0]]), int(np.floor(self.max_edits * self.lengths[group[-1]] + 1e-9))
-            if low > len(words):
-                break
+            low, slack = int(self.lengths[group[0]]), int(self.allowed(self.lengths[group]).max())
             own = (mask & np.bitwise_or.reduce(_U(1) << (group % 64).astype(np.uint64))) != 0
             np.cumsum(own, out=known[1:], dtype=np.int32)
             near = np.flatnonzero(known[low:] - known[:-low] >= low - slack)
             np.cumsum(own & fresh, out=varied[1:], dtype=np.int32)
             for kind in group if len(near) else ():
                 n = int(self.lengths[kind])
-                k = int(np.floor(self.max_edits * n + 1e-9))
-                fit = near[near + n <= ends[near]]
+                k = int(self.allowed(self.lengths[kind]))
+                fit = near[(near + n - k <= ends[near]) & (near + n <= len(words))]
                 fit = fit[varied[fit + n] - varied[fit] >= self.fewest[kind] - k - 2]
                 bit = _U(kind % 64)
                 fit = np.concatenate([f[((mask[f[:, None] + np.arange(n)] >> bit) & _U(1)).sum(axis=1) >= n - k] for f in np.array_split(fit, 1 + len(fit) // 20_000)])
@@ -180,48 +188,61 @@ class Index:
         seen: set[tuple[int, int]] = set()
         for rep in range(len(self.tables) if len(place) else 0):
             keys, items = self.tables[rep]
-            got = self.walk(words, place, kind, rep)
+            got = self.walk(words, place, kind, rep, ends[place])
             lo, hi = np.searchsorted(keys, got, "left"), np.searchsorted(keys, got, "right")
             for j in np.flatnonzero(hi > lo):
                 seen.update((int(place[j]), int(i)) for i in items[lo[j] : hi[j]])
         for start, i in sorted(seen):
             n, k = int(self.n[i]), int(self.k[i])
-            d = edits(words[start : start + n], self.words[self.at[i] : self.at[i + 1]], k)
-            if d <= k and start + n <= ends[start]:
+            d, taken = edits(self.words[self.at[i] : self.at[i + 1]], words[start : min(start + n + k, int(ends[start]))], k)
+            if d <= k:
                 pair = (int(text[start]), i)
-                best[pair] = min(best.get(pair, (k + 1, 0)), (d, start - int(at[text[start]])))
-        return [(t, i, place, d) for (t, i), (d, place) in sorted(best.items())]
+                best[pair] = min(best.get(pair, (k + 1, 0, 0)), (d, start - int(at[text[start]]), taken))
+        return [(t, i, place, taken, d) for (t, i), (d, place, taken) in sorted(best.items())]
 
 
-def build_index(items: DataFrame, id_col: str, text_col: str, max_edits: float, recall: float, samples: int, min_words: int, seed: int) -> Index:
-    """Read the items, whose words must number at most ITEM_WORDS, and repeat walks until the recall is reached."""
-    rows = items.select(F.col(id_col).cast("long"), F.col(text_col)).where(F.col(id_col).isNotNull())
-    total = rows.select(F.sum(F.length(F.col(text_col)))).first()[0] or 0
-    if total > 8 * ITEM_WORDS:
-        raise ValueError(f"the items hold {total} characters; split them into parts of at most {8 * ITEM_WORDS} and run each")
-    rows = sorted(rows.collect(), key=lambda r: (r[0], r[1] or ""))
+def build_index(items: DataFrame, id_col: str, text_col: str, max_edits: float, recall: float, samples: int, min_words: int, seed: int, exact_below: int = 8) -> Index:
+    """Read the items, ITEM_CHARS characters or so, and repeat walks until the recall is reached, or fail."""
+    rows = items.select(F.col(id_col).cast("long"), F.col(text_col)).where(F.col(id_col).isNotNull()).collect()
+    rows = sorted(rows, key=lambda r: (r[0], r[1] or ""))
     words, at = plain_words([r[1] for r in rows])
-    keep = np.diff(at) >= min_words
+    keep = np.diff(at) >= max(1, min_words)
     own = [words[at[i] : at[i + 1]] for i in np.flatnonzero(keep)]
     at = np.cumsum([0, *map(len, own)])
     words = np.concatenate(own) if own else np.empty(0, np.uint64)
     ids = np.array([r[0] for r, k in zip(rows, keep, strict=True) if k], np.int64)
-    index = Index(ids, words, at, max_edits, samples, seed)
-    index.reach(recall, MOST_REPS)
+    index = Index(ids, words, at, max_edits, samples, seed, exact_below)
+    reached = index.reach(recall, MOST_REPS)
+    if reached < recall:
+        raise ValueError(f"{MOST_REPS} repetitions find {reached:.3f} of edited items, not {recall}; take fewer samples or edits")
     return index
 
 
-def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_edits: float = 0.15, recall: float = 0.98, samples: int = 3, min_words: int = 8, seed: int = 1) -> DataFrame:
-    """(doc_id, item_id, first_word, n_words, edits) of each document and item found in it, by its best window.
+def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_edits: float = 0.15, recall: float = 0.98, samples: int = 3, min_words: int = 1, seed: int = 1, exact_below: int = 8) -> DataFrame:
+    """(doc_id, item_id, first_word, n_words, edits) of each document and item found in it, by its best run of words.
 
-    first_word counts the document's words from 0; of equally good windows it is the
-    first. Items of fewer than min_words words are too common to mean anything and are
-    passed over. Null and empty texts, and texts shorter than an item, hold nothing. Rows
+    first_word counts the document's words from 0; of equally good runs it is the
+    first, of n_words words. Items of fewer than exact_below words are found where they
+    stand word for word, longer ones within floor(max_edits * words) edits; items of fewer than
+    min_words words are not searched. Null and empty texts hold nothing. Rows
     with a null id are reported with it; repeated rows are reported once each. Without
-    items nothing is contaminated. Columns but the named ones are not read.
+    items nothing is contaminated; items with a null id are left out. Columns but the named
+    ones are not read.
     """
-    index = docs.sparkSession.sparkContext.broadcast(build_index(items, item_col, item_text_col, max_edits, recall, samples, min_words, seed))
+    spark = docs.sparkSession
+    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    items = items.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text"))
+    total = items.select(F.sum(F.length("text"))).first()[0] or 0
+    parts, out = max(1, -(-total // ITEM_CHARS)), None
+    for part in range(parts):
+        some = items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part) if parts > 1 else items
+        index = spark.sparkContext.broadcast(build_index(some, "item_id", "text", max_edits, recall, samples, min_words, seed, exact_below))
+        found = read.mapInArrow(_searched(index), "doc_id long, item_id long, first_word long, n_words long, edits long")
+        out = found if out is None else out.unionByName(found)
+    return out
+
 
+def _searched(index):
     def run(batches):
         own = index.value
         for batch in batches:
@@ -229,8 +250,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
             for lo, hi in chunks(texts, 4 << 20):
                 found = own.matches(*plain_words(texts[lo:hi]))
                 if found:
-                    t, i, place, d = map(list, zip(*found, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[lo + x] for x in t], pa.int64()), pa.array(own.ids[i]), pa.array(place, pa.int64()), pa.array(own.n[i]), pa.array(d, pa.int64())], ["doc_id", "item_id", "first_word", "n_words", "edits"])
+                    t, i, place, taken, d = map(list, zip(*found, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array([ids[lo + x] for x in t], pa.int64()), pa.array(own.ids[i]), *(pa.array(x, pa.int64()) for x in (place, taken, d))], ["doc_id", "item_id", "first_word", "n_words", "edits"])
 
-    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return read.mapInArrow(run, "doc_id long, item_id long, first_word long, n_words long, edits long")
+    return run
