@@ -17,22 +17,31 @@ variants. That loses no pair.
 With a bound of k > 1 edits, variants would grow as the length to the power k. There lines
 are cut into k + 1 pieces, of which k edits leave one in place, at most as far moved as
 there are pieces before it. Lines that share a piece are compared first with the earliest of
-their group, then those not yet found near anything with all earlier ones; lengths and
-parity sketches of characters and character pairs, which k edits change by a bounded
-number of bits, decide before texts travel. The edit distance is verified on the texts.
+their group, then, in small groups, those not yet found near anything with all earlier ones;
+lines of large groups are cut into k + 2 pieces, of which two stay, and join on pairs of
+pieces. Lengths and parity sketches of characters and character pairs, which k edits change
+by a bounded number of bits, decide before texts travel. The edit distance is verified on
+the texts.
+
+Keys are counted before lines are sent to them: only keys that two lines have go on, so a
+key of any number of lines is summed up where its lines are.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from leafmill.llm.shared import drop, materialize
 from leafmill.llm.words import mix, powers, running
 
-#: Lines (24 bytes each) whose places may be broadcast to fetch their texts.
+#: Keys or places of lines (24 bytes at most) that may be broadcast.
 BROADCAST_LINES = 500_000
+#: Lines of a piece that are compared with one another; blocks that larger groups end up in.
+SMALL_GROUP, BLOCKS = 50, 16
 _U = np.uint64
 
 
@@ -47,21 +56,22 @@ def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     return lines.select("doc", "no", normalised(F.col("line")).alias("line")).where(F.length("line") >= min_chars)
 
 
-def _pieces(line, edits: int):
-    """Keys of which two lines within so many edits share at least one; for one edit, of halves.
+def _pieces(line, edits: int, stay: int = 1):
+    """Keys of `stay` pieces each, of which two lines within so many edits share at least one; for one edit, of halves.
 
-    Of edits + 1 pieces of the shorter line, some piece i has no edit, at most i before it
-    and at most edits - i after it; that bounds how far it has moved in the longer line.
+    Of edits + stay pieces of the shorter line, some `stay` have no edit. Piece i has moved in
+    the longer line by at most i edits before it, and what it has moved by and what is moved
+    between and after the pieces takes edits, too.
     """
     n = F.length(line)
-    keys = []
+    pieces, keys = edits + stay, []
     for more in range(edits + 1):  # the line as the one that is longer by so much
         shorter = n - more
-        for i in range(edits + 1):
-            start, end = (F.floor(shorter * j / (edits + 1)).cast("int") for j in (i, i + 1))
-            for moved in range(-i, i + 1):
-                if abs(more - moved) <= edits - i:
-                    keys.append(F.xxhash64(shorter, F.lit(i), F.substring(line, start + moved + 1, end - start)))
+        cut = lambda i: F.floor(shorter * i / pieces).cast("int")  # noqa: B023, E731
+        for chosen in itertools.combinations(range(pieces), stay):
+            for moved in itertools.product(*(range(-i, i + 1) for i in chosen)):
+                if sum(abs(y - x) for x, y in itertools.pairwise((0, *moved, more))) <= edits:
+                    keys.append(F.xxhash64(shorter, F.lit(",".join(map(str, chosen))), *(F.substring(line, cut(i) + m + 1, cut(i + 1) - cut(i)) for i, m in zip(chosen, moved, strict=True))))
     return keys
 
 
@@ -87,32 +97,46 @@ def _variants(batches):
                 yield pa.RecordBatch.from_arrays([pa.array([doc] * m, pa.int64()), pa.array(np.full(m, no, np.int32)), pa.array(keys[i : i + m]), pa.array(places[i : i + m])], ["doc", "no", "key", "place"])
 
 
+def _sized(df: DataFrame) -> DataFrame:
+    """df, to be broadcast in a join if it is counted to be small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_LINES else df
+
+
+def _shared(keys: DataFrame, key: str) -> DataFrame:
+    """Keys that several places (doc, no) have."""
+    at = F.struct("doc", "no")
+    return materialize(keys.groupBy(key).agg(F.min(at).alias("low"), F.max(at).alias("high")).where("low <> high").select(key), "shared")
+
+
 def near_lines(docs: DataFrame, firsts: DataFrame, edits: int) -> DataFrame:
     """(doc, no) of those distinct lines with pieces, by first occurrence, that are within so many edits of an earlier one."""
     keys = firsts.select("doc", "no", F.explode("pieces").alias("piece"))
-    group = Window.partitionBy("piece")
-    at = F.struct("doc", "no")
-    partnered = keys.withColumn("low", F.min(at).over(group)).withColumn("high", F.max(at).over(group)).where("low <> high").select("doc", "no").distinct()
-    partnered = materialize(partnered, "partnered")
+    partnered = materialize(keys.join(_sized(_shared(keys, "piece")), "piece", "left_semi").select("doc", "no").distinct(), "partnered")
     wanted = partnered.groupBy("doc").agg(F.collect_set("no").alias("wanted"))
     wanted = F.broadcast(wanted) if partnered.count() <= BROADCAST_LINES else wanted
-    texts = docs.join(wanted, "doc")
-    lines = texts.select("doc", "wanted", F.posexplode(F.split("text", "\n")).alias("no", "line")).where(F.array_contains("wanted", F.col("no")))
-    lines = materialize(lines.select("doc", "no", normalised(F.col("line")).alias("line")).dropDuplicates(["doc", "no"]), "candidates")
+    raw = docs.join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(_picked, "doc long, no int, line string")
+    lines = materialize(raw.select("doc", "no", normalised(F.col("line")).alias("line")).dropDuplicates(["doc", "no"]), "candidates")
     drop(partnered)
     return _within_one(lines) if edits == 1 else _within(lines, edits)
 
 
+def _picked(batches):
+    for batch in batches:
+        for doc, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+            lines = text.as_py().split("\n")
+            for i in range(0, len(wanted), 1 << 12):
+                # Rows that share an id may have fewer lines than another of them.
+                numbers = [no for no in wanted[i : i + (1 << 12)] if no < len(lines)]
+                yield pa.RecordBatch.from_arrays([pa.array([doc] * len(numbers), pa.int64()), pa.array(numbers, pa.int32()), pa.array([lines[no] for no in numbers], pa.string())], ["doc", "no", "line"])
+
+
 def _within_one(lines: DataFrame) -> DataFrame:
-    at = F.struct("doc", "no")
     keys = lines.mapInArrow(_variants, "doc long, no int, key long, place int")
-    by_key, by_place = Window.partitionBy("key"), Window.partitionBy("key", "place")
-    joined = (
-        keys.withColumn("at", at)
-        .withColumn("whole", F.min(F.when(F.col("place") < 0, F.col("at"))).over(by_key))
-        .withColumn("cut", F.min(F.when(F.col("place") >= 0, F.col("at"))).over(by_key))
-        .withColumn("same", F.min("at").over(by_place))
-    )
+    keys = materialize(keys.join(_sized(_shared(keys, "key")), "key", "left_semi").withColumn("at", F.struct("doc", "no")), "keys")
+    whole, cut = (F.min(F.when(F.col("place") < 0 if out else F.col("place") >= 0, F.col("at"))) for out in (True, False))
+    by_key = keys.groupBy("key").agg(whole.alias("whole"), cut.alias("cut"))
+    by_place = keys.groupBy("key", "place").agg(F.min("at").alias("same"))
+    joined = keys.join(by_key, "key").join(by_place, ["key", "place"])
     partner = F.least(F.when(F.col("place") >= 0, F.col("whole")), F.when(F.col("place") < 0, F.col("cut")), F.col("same"))
     pairs = joined.withColumn("partner", partner).where(F.col("partner") < F.col("at")).groupBy("doc", "no").agg(F.min("partner").alias("partner"))
     pairs = pairs.select("doc", "no", F.col("partner.doc").alias("doc2"), F.col("partner.no").alias("no2"))
@@ -140,31 +164,42 @@ def _sketched(batches):
 
 def _within(lines: DataFrame, edits: int) -> DataFrame:
     at = F.struct("doc", "no", "n", "chars", "twos")
-    read = lines.select("doc", "no", "line", F.length("line").alias("n"), F.array_distinct(F.array(*_pieces(F.col("line"), edits))).alias("keys"))
-    keys = read.mapInArrow(_sketched, "doc long, no int, n int, chars long, twos long, keys array<long>").select(at.alias("at"), F.explode("keys").alias("key"))
-    group = Window.partitionBy("key")
-    keys = keys.withColumn("low", F.min("at").over(group)).withColumn("high", F.max("at").over(group)).where("low <> high")
-    keys = materialize(keys.select("key", "at", "low"), "keys")
+    read = lines.select("doc", "no", "line", F.length("line").alias("n"))
     apart = lambda c: F.bit_count(F.col(f"at.{c}").bitwiseXOR(F.col(f"low.{c}")))
     near = (F.col("low") < F.col("at")) & (F.abs(F.col("at.n") - F.col("low.n")) <= edits) & (apart("chars") <= 2 * edits) & (apart("twos") <= 4 * edits)
     chosen = [F.col("at.doc").alias("doc"), F.col("at.no").alias("no"), F.col("low.doc").alias("doc2"), F.col("low.no").alias("no2")]
-    led = materialize(_verified(keys.where(near).select(chosen).distinct(), lines, edits), "led")
-    left = keys.select("key", "at", F.col("at.doc").alias("doc"), F.col("at.no").alias("no")).join(led, ["doc", "no"], "left_anti").select("key", "at")
-    pairs = left.join(keys.select("key", F.col("at").alias("low")), "key").where(near).select(chosen).distinct()
-    return led.unionByName(_verified(pairs, lines, edits))
-
-
-
-
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 25, exact_chars: int | None = None, edits: int = 1) -> DataFrame:
+    out = None
+    for stay in (1, 2):
+        keyed = read.withColumn("keys", F.array_distinct(F.array(*_pieces(F.col("line"), edits, stay))))
+        keys = keyed.mapInArrow(_sketched, "doc long, no int, n int, chars long, twos long, keys array<long>").select("doc", "no", at.alias("at"), F.explode("keys").alias("key"))
+        groups = keys.groupBy("key").agg(F.min("at").alias("low"), F.count("*").alias("size")).where("size > 1")
+        keys = materialize(keys.join(_sized(materialize(groups, "groups")), "key"), "keys")
+        led = materialize(_verified(keys.where(near).select(chosen).distinct(), lines, edits), "led")
+        out = led if out is None else out.unionByName(led)
+        left = keys.join(_sized(led), ["doc", "no"], "left_anti")
+        small = left.where(F.col("size") <= SMALL_GROUP).select("key", "at").join(keys.select("key", F.col("at").alias("low")), "key").where(near).select(chosen).distinct()
+        out = out.unionByName(_verified(small, lines, edits))
+        large = materialize(left.where(F.col("size") > SMALL_GROUP), "large")
+        if large.isEmpty():
+            return out
+        # A line of a large group joins anew on more, with all that it has met there.
+        members = keys.where(F.col("size") > SMALL_GROUP).select("doc", "no").distinct()
+        read = read.join(_sized(members), ["doc", "no"], "left_semi")
+    # What is left meets the earlier lines of its group block by block.
+    block = F.pmod(F.xxhash64("at"), F.lit(BLOCKS)).cast("int")
+    x = large.select("key", "at", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("block"))
+    pairs = x.join(keys.select("key", F.col("at").alias("low"), block.alias("block")), ["key", "block"]).where(near).select(chosen).distinct()
+    return out.unionByName(_verified(pairs, lines, edits))
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 25, exact_chars: int = 1, edits: int = 1) -> DataFrame:
     """docs with every line removed that repeats an earlier line or is within so many edits of it, and n_lines, n_removed.
 
     Lines are compared as lower case with white space runs as one space. A line of at
     least exact_chars characters then goes if an earlier one equals it, and one of at least
     min_chars also if an earlier one of at least min_chars is within edit distance edits of
-    it, whether or not that one itself goes; shorter lines are left alone. exact_chars is
-    min_chars where it is None; 1 leaves nothing but lines without a word alone. Lines
-    come in the order of (id, number in the document).
+    it, whether or not that one itself goes; shorter lines are left alone: with
+    exact_chars 1, lines without a word. Lines come in the order of (id, number in the document).
 
     A null text stays null, an empty one empty, both with nothing removed. Rows that
     share an id count as one document: lines at one number in them stay or go together.
@@ -172,10 +207,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     passed on as they are, whatever their names, but n_lines and n_removed are replaced.
     """
     read = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where("doc is not null and text is not null")
-    exact_chars = min_chars if exact_chars is None else min(exact_chars, min_chars)
+    exact_chars = max(1, min(exact_chars, min_chars))
     kept = kept_lines(read, min_chars, exact_chars, edits)
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    keyed = docs.select(F.col(id_col).cast("long").alias("__doc"), F.col(text_col).alias("__text"), F.struct(*(F.col(f"`{c}`") for c in own)).alias("__row"))
+    # The text goes once: the row holds all but it.
+    keyed = docs.select(F.col(id_col).cast("long").alias("__doc"), F.col(text_col).alias("__text"), F.struct(*(F.col(f"`{c}`") for c in own if c != text_col)).alias("__row"))
     joined = keyed.join(kept, F.col("__doc") == F.col("doc"), "left").drop("doc")
     schema = joined.select("__row").schema
 
