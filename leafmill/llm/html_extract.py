@@ -1,10 +1,15 @@
 """HTML extraction: block rules in two passes.
 
-The page is cut into blocks of text at block-level tags. The first pass labels blocks by
-link density, length and stop-word density; what it can't decide, short blocks and middling
-ones, inherits the label of the nearest decided neighbours in the second pass. Containers
-whose tag or name says what they hold (menus, footers, adverts, comments, forms) settle
-their blocks before, and inside an article or main element the neighbours start from good.
+The page is cut into blocks of text at block-level tags. The first pass classifies each by
+link density, length and stop-word density. In the second, blocks that it can't decide, short
+ones and middling ones, inherit from the nearest decided neighbours.
+
+What containers say is one more feature of a block. One whose tag or name says that it holds
+something else (menus, footers, adverts, comments, forms) makes its blocks bad, and they
+tell their neighbours nothing. An article or main element is believed if at least half of
+the text that the first pass finds good on the page, by density alone, is inside: then blocks
+outside are bad, inside ones need fewer stop words, and the element's edges count as good. If
+it isn't (teasers and comments are articles, too), or if there is none, the rules decide all.
 """
 
 from __future__ import annotations
@@ -36,10 +41,11 @@ STOP_WORDS = frozenset(
     "le la les de des du et est une un que qui dans pour pas sur au par avec ne il ce "
     "el los las y en que del se por con para una su al lo como más".split()
 )
-TAG = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([!?/][^>]*>))")
+TAG = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|([!?/][^>]*+>))")
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-LOOSE = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][^\s/>]*)([^>]*)>|([!?/][^>]*>))")  # a quote is left open
+LOOSE = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|([!?/][^>]*+>))")  # a quote is left open
 SPACE = re.compile(r"\s+")
+RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*+>", re.I) for name in RAW}
 
 
 class Block:
@@ -66,6 +72,8 @@ def blocks(html: str, stop_words: frozenset[str] = STOP_WORDS) -> list[Block]:
     shells = articles = links = breaks = lists = 0
     heading = 0
     at, n = 0, len(html)
+    last = html.rfind(">")  # no tag ends after it
+    unclosed: set[str] = set()
 
     def close() -> None:
         nonlocal parts, breaks
@@ -96,6 +104,9 @@ def blocks(html: str, stop_words: frozenset[str] = STOP_WORDS) -> list[Block]:
         if start < 0:
             text(html[at:])
             break
+        if start > last:
+            text(html[at:])
+            break
         m = TAG.match(html, start) or LOOSE.match(html, start)
         if not m:
             text(html[at : start + 1])
@@ -133,8 +144,13 @@ def blocks(html: str, stop_words: frozenset[str] = STOP_WORDS) -> list[Block]:
                 close()
             continue
         if name in RAW:
-            end = re.compile(rf"</{name}\s*>", re.I).search(html, at)
-            at = end.end() if end else n
+            end = None if name in unclosed else RAW_END[name].search(html, at)
+            if end:
+                at = end.end()
+            elif name in ("script", "style"):
+                at = n
+            else:
+                unclosed.add(name)  # its tag alone is passed over
             continue
         if name in BLOCK:
             close()
@@ -161,44 +177,56 @@ def blocks(html: str, stop_words: frozenset[str] = STOP_WORDS) -> list[Block]:
 
 def label(found: list[Block], max_links: float = 0.5, short: int = 70, long: int = 200, low: float = 0.05, high: float = 0.2) -> None:
     """Both passes; each block ends as good or bad."""
-    inside = any(b.article and not b.shell for b in found)
     for b in found:
-        density = b.linked / b.chars
         stops = b.stops / max(1, b.words)
-        if b.shell or (inside and not b.article):
-            b.label = "bad"
-        elif density > max_links and (b.list or not b.article):
+        if b.shell or b.linked > max_links * b.chars:
             b.label = "bad"
         elif b.chars < short:
             b.label = "short"
         elif stops >= high:
-            b.label = "good" if b.chars > long or b.article else "near"
-        elif stops >= low:
-            b.label = "near"
+            b.label = "good" if b.chars > long else "near"
         else:
-            b.label = "near" if b.article else "bad"
+            b.label = "near" if stops >= low else "bad"
+    good = [b for b in found if b.label in ("good", "near") and not b.shell]
+    believed = any(b.article and not b.shell for b in found) and 2 * sum(b.chars for b in good if b.article) >= sum(b.chars for b in good)
+    if believed:
+        for b in found:
+            if not b.article:
+                b.label = "bad"
+            elif not b.shell and b.linked <= max_links * b.chars:
+                b.label = "short" if b.chars < short else "good" if b.stops >= low * b.words else "near"
+            elif not b.shell and not b.list:
+                b.label = "short" if b.chars < short else "near"  # a link in running text
+    for b in found:
         b.decided = b.label in ("good", "bad")
-    # From each undecided block outward, the nearest decided ones before and after. Within an
-    # article its edges count as good, as all that isn't of it is bad already. Middling
-    # blocks are decided first, then the short ones, which need good ones on both sides.
-    edge = "good" if inside else "bad"
+    # Middling blocks are decided first, then the short ones.
     for kind in ("near", "short"):
-        before, after = _nearest(found, inside, edge), _nearest(found[::-1], inside, edge)[::-1]
-        for b, x, y in zip(found, before, after, strict=True):
-            if b.label == kind and not b.decided:
-                enough = "good" in (x, y) if kind == "near" or b.heading else x == y == "good"
-                b.label = "good" if enough else "bad"
+        before, after = _nearest(found, believed), [(x, d) for x, d in reversed(_nearest(found[::-1], believed))]
+        for b, (x, far_x), (y, far_y) in zip(found, before, after, strict=True):
+            if b.label != kind or b.decided:
+                continue
+            if b.heading:  # what it heads comes after it
+                b.label = y
+            elif x == y or (kind == "near" and not believed):
+                b.label = "good" if "good" in (x, y) else "bad"
+            elif believed:
+                b.label = x if far_x < far_y else y if far_y < far_x else "good"
+            else:
+                b.label = "bad"
         for b in found:
             b.decided = b.label in ("good", "bad")
 
 
-def _nearest(found: list[Block], inside: bool, edge: str) -> list[str]:
-    """For each block, the label of the last decided one before it."""
-    out, last = [], edge
+def _nearest(found: list[Block], believed: bool) -> list[tuple[str, int]]:
+    """For each block, the label of the last decided one before it that may tell, and how far off it is."""
+    out, last, far = [], "good" if believed else "bad", 1 << 30
     for b in found:
-        out.append(last)
-        if b.decided and not (inside and b.label == "bad"):
-            last = b.label
+        out.append((last, far))
+        if b.shell or (believed and not b.article):
+            continue
+        far += 1
+        if b.decided:
+            last, far = b.label, 1
     return out
 
 
@@ -214,10 +242,13 @@ def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("
 
     text is the article's: white space inside a block is one space, blocks are trimmed and
     joined by one line feed, in page order. Null and empty pages, and pages without an
-    article's text, give an empty text. Repeated rows give repeated rows; columns outside
+    article's text, give an empty text. A script or style that is never closed takes the rest
+    of its page; other elements of raw text then lose their tag only. Repeated rows give repeated rows; columns outside
     keep are not read.
     """
-    read = pages.select(*keep, F.col(html_col).alias("__html"))
+    if {"text", "n_chars"} & set(keep):
+        raise ValueError("text and n_chars are names of the result")
+    read = pages.select(*(F.col(f"`{k}`") for k in keep), F.col(html_col).alias("__html"))
     schema = ", ".join(f"`{k}` {read.schema[k].dataType.simpleString()}" for k in keep) + ", text string, n_chars long"
 
     def run(batches):
