@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from leafmill.llm.spans import joined, kept, matches, overlaps, readable
+from leafmill.llm.spans import apart, joined, kept, matches, readable
 
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
@@ -40,11 +40,9 @@ def mod97(iban: Column) -> Column:
     return F.aggregate(F.split(turned, ""), F.lit(0), step) == 1
 
 
-def near(text: Column, span: Column, words: str, reach: int) -> Column:
-    """Whether one of the words stands within reach characters of the span."""
-    from_ = F.greatest(span["start"] - reach, F.lit(0))
-    around = F.substr(text, from_ + 1, span["end"] - from_ + reach)
-    return F.lower(around).rlike(rf"(?<![a-z])(?:{words})(?![a-z])")
+def near(span: Column, words: str) -> Column:
+    """Whether one of the words stands near the span: in what matches() gives as before and after."""
+    return F.lower(F.concat_ws(" | ", span["before"], span["after"])).rlike(rf"(?<![a-z])(?:{words})(?![a-z])")
 
 
 def find(docs: DataFrame, text_col: str = "text", reach: int = 40, min_score: float = 0.5) -> DataFrame:
@@ -56,32 +54,33 @@ def find(docs: DataFrame, text_col: str = "text", reach: int = 40, min_score: fl
     for one named found.
     """
     text = F.col("__read")
-    read = docs.drop("found").withColumn("__read", readable(F.col(f"`{text_col}`")))
+    # The row travels as one column, so that no name of it can clash.
+    own = [c for c in docs.columns if c != "found"]
+    read = docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("__row"), readable(F.col(f"`{text_col}`")).alias("__read"))
 
     def score(kind: str):
-        return lambda s: F.least(F.lit(1.0), F.lit(SCORES[kind]) + F.when(near(text, s, CONTEXT[kind], reach), 0.3).otherwise(0.0))
+        return lambda s: F.least(F.lit(1.0), F.lit(SCORES[kind]) + F.when(near(s, CONTEXT[kind]), 0.3).otherwise(0.0))
 
     bare = lambda v: F.regexp_replace(v, "[^0-9]", "")
     digits = lambda v, low, high: F.length(bare(v)).between(low, high)
     read = read.withColumns(
         {
-            "__email": kept(matches(text, EMAIL, text.contains("@")), lambda v: F.lit(True), "email", 0, score("email")),
-            "__ip": kept(matches(text, IP, text.rlike(r"[0-9]\.[0-9]")), lambda v: v.rlike(rf"^{BYTE}(?:\.{BYTE}){{3}}$"), "ip", 1, score("ip")),
-            "__card": kept(matches(text, CARD, text.rlike(r"[0-9][\x20-]?[0-9]")), lambda v: F.when(digits(v, 13, 19), luhn(bare(v))).otherwise(F.lit(False)), "card", 2, score("card")),
-            "__phone": kept(matches(text, PHONE, text.contains("+")), lambda v: digits(v, 9, 15), "phone", 3, score("phone")),
-            "__iban": kept(matches(text, IBAN, text.rlike("[A-Z]{2}[0-9]{2}")), lambda v: mod97(F.translate(v, " ", "")), "iban", 4, score("iban")),
-            "__ssn": kept(matches(text, SSN, text.rlike("[0-9]-[0-9]{2}-[0-9]")), lambda v: F.lit(True), "ssn", 5, score("ssn")),
+            "__email": kept(matches(text, EMAIL, text.contains("@"), reach), lambda v: F.lit(True), "email", 0, score("email")),
+            "__ip": kept(matches(text, IP, text.rlike(r"[0-9]\.[0-9]"), reach), lambda v: v.rlike(rf"^{BYTE}(?:\.{BYTE}){{3}}$"), "ip", 1, score("ip")),
+            "__card": kept(matches(text, CARD, text.rlike(r"[0-9][\x20-]?[0-9]"), reach), lambda v: F.when(digits(v, 13, 19), luhn(bare(v))).otherwise(F.lit(False)), "card", 2, score("card")),
+            "__phone": kept(matches(text, PHONE, text.contains("+"), reach), lambda v: digits(v, 9, 15), "phone", 3, score("phone")),
+            "__iban": kept(matches(text, IBAN, text.rlike("[A-Z]{2}[0-9]{2}"), reach), lambda v: mod97(F.translate(v, " ", "")), "iban", 4, score("iban")),
+            "__ssn": kept(matches(text, SSN, text.rlike("[0-9]-[0-9]{2}-[0-9]"), reach), lambda v: F.lit(True), "ssn", 5, score("ssn")),
         }
     )
     read = read.withColumn("__base", F.concat("__email", "__ip", "__card", "__phone"))
-    added = F.filter(F.concat("__iban", "__ssn"), lambda s: (s["score"] >= min_score) & ~overlaps(s, F.col("__base")))
+    added = apart(F.filter(F.concat("__iban", "__ssn"), lambda s: s["score"] >= min_score), F.col("__base"))
     by_kind = lambda spans: F.transform(F.array_sort(F.transform(spans, lambda s: F.struct(s["rank"].alias("r"), s["start"].alias("s"), s.alias("span")))), lambda x: x["span"])
-    found = by_kind(F.concat("__base", added))
-    return read.withColumn("found", found).drop("__read", "__base", *(f"__{k}" for k in KINDS))
+    return read.select(*(F.col(f"__row.`{c}`").alias(c) for c in own), by_kind(F.concat("__base", added)).alias("found"))
 
 
 def digest(searched: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One row per document: counts of the base kinds, a hash of the base spans, and all spans as text."""
+    """One row per document: counts of the base kinds, a hash of the base spans, all spans as text, and their scores in the same order."""
     base = F.filter("found", lambda s: s["rank"] < 4)
     count = lambda i: F.size(F.filter("found", lambda s: s["rank"] == i)).cast("long")
-    return searched.select(F.col(id_col), *(count(i).alias(f"n_{KINDS[i]}") for i in range(4)), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"))
+    return searched.select(F.col(id_col), *(count(i).alias(f"n_{KINDS[i]}") for i in range(4)), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"), F.array_join(F.transform("found", lambda s: F.format_number(s["score"], 2)), ",").alias("scores"))

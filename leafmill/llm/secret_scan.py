@@ -12,7 +12,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from leafmill.llm.spans import SPAN, joined, kept, matches, overlaps, readable
+from leafmill.llm.shared import hash_sample
+from leafmill.llm.spans import apart, joined, kept, matches, readable
 
 #: Characters of the models; any other counts as the last one.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-"
@@ -24,8 +25,7 @@ def labelled_samples(docs: DataFrame, text_col: str = "text", rows: int = 400, r
     """(token, random): samples to count the models from.
 
     Random strings are hex and base64 forms of hashes of running numbers. Ordinary
-    identifiers are the letter words of `rows` distinct texts (those with the smallest
-    hashes), bare, as snake_case pairs, as camelCase pairs and with a number behind. Both bounds are parameters:
+    identifiers are the letter words of about `rows` texts, chosen by hash, bare, as snake_case pairs, as camelCase pairs and with a number behind. Both bounds are parameters:
     the models have a few thousand cells, which more rows would not change.
     """
     spark = docs.sparkSession
@@ -35,10 +35,7 @@ def labelled_samples(docs: DataFrame, text_col: str = "text", rows: int = 400, r
     code = F.base64(F.unhex(sha))
     # Base64 in pieces shows all its characters, hex its sixteen.
     random = made.select(F.explode(F.array(F.substring(sha, 1, 40), F.substring(code, 1, 40), F.translate(F.substring(code, 1, 32), "+/=", "xQ7"), F.upper(F.translate(F.substring(code, 1, 20), "+/=", "xQ7")))).alias("token"))
-    hashed = docs.select(F.col(text_col).alias("text")).where("text is not null").withColumn("h", F.xxhash64("text"))
-    # The bound is found on hashes alone, so no text is sorted.
-    bound = hashed.select("h").distinct().orderBy("h").limit(rows).agg(F.max("h")).first()[0]
-    chosen = hashed.where(F.col("h") <= F.lit(bound)).dropDuplicates(["h"]) if bound is not None else hashed.where("false")
+    chosen = hash_sample(docs.select(F.col(f"`{text_col}`").alias("text")).where("text is not null").select("text", F.xxhash64("text").alias("h")), ["h"], rows).dropDuplicates(["h"])
     words = F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}"), F.lit(0))
     pairs = chosen.select(words.alias("w")).select("w", F.slice("w", 2, 1_000_000_000).alias("x"))
     pairs = pairs.select(F.explode(F.arrays_zip("w", "x")).alias("p")).where("p.x is not null")
@@ -85,7 +82,9 @@ def scan(docs: DataFrame, samples: DataFrame, text_col: str = "text", min_length
     """
     table = F.split(F.lit(",".join(f"{x:.4f}" for x in pair_table(samples))), ",").cast("array<double>")
     text = F.col("__read")
-    read = docs.drop("found").withColumn("__read", readable(F.col(f"`{text_col}`")))
+    # The row travels as one column, so that no name of it can clash.
+    own = [c for c in docs.columns if c != "found"]
+    read = docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("__row"), readable(F.col(f"`{text_col}`")).alias("__read"))
     long_run = rf"[A-Za-z0-9+/_=-]{{{min_length},}}+"
     read = read.withColumns(
         {
@@ -96,11 +95,9 @@ def scan(docs: DataFrame, samples: DataFrame, text_col: str = "text", min_length
         }
     )
     read = read.withColumn("__base", F.concat("__assign", "__access", "__hex"))
-    free = F.filter("__long", lambda s: s["value"].rlike("[0-9]") & ~overlaps(s, F.col("__base")))
-    read = read.withColumn("__free", F.when(F.size("__long") > 0, free).otherwise(F.expr(f"cast(array() as array<{SPAN}>)")))
-    random = kept(F.col("__free"), lambda v: likeness(v, table) >= min_ratio, "random", 3, lambda s: likeness(s["value"], table))
-    found = F.sort_array(F.concat("__base", random))
-    return read.withColumn("found", found).drop("__read", "__assign", "__access", "__hex", "__long", "__base", "__free")
+    free = apart(F.filter("__long", lambda s: s["value"].rlike("[0-9]")), F.col("__base"))
+    read = read.withColumn("__random", kept(free, lambda v: likeness(v, table) >= min_ratio, "random", 3, lambda s: likeness(s["value"], table)))
+    return read.select(*(F.col(f"__row.`{c}`").alias(c) for c in own), F.array_sort(F.concat("__base", "__random")).alias("found"))
 
 
 def digest(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:

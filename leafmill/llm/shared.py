@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _written: list[tuple[SparkSession, str]] = []
@@ -51,6 +51,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hash_sample(df: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """About `most` rows of df, or all if there are fewer: those whose keys' hash is below a bound set by a count.
+
+    Rows are judged one by one, so nothing is sorted or sent anywhere, and reruns agree.
+    """
+    rows = df.count()
+    if rows <= most:
+        return df
+    return df.where(F.pmod(F.xxhash64(F.lit(7), *keys), F.lit(1 << 40)) < int(most / rows * (1 << 40)))
+
+
 def drop(df: DataFrame | None) -> None:
     """Delete the table behind a frame that materialize returned and nothing reads any more."""
     if df is None:
