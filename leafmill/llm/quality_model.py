@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from leafmill.llm.html_extract import STOP_WORDS
-from leafmill.llm.shared import materialize
+from leafmill.llm.shared import hash_sample, materialize
 from leafmill.llm.quality_rules import repeated_window_words
 from leafmill.llm.words import PLAIN, chunks, word_hashes
 
@@ -136,6 +136,12 @@ def fit(pos: np.ndarray, unl: np.ndarray) -> Model | None:
     return fit_with_prior(pos, unl, estimate_prior(first.logit(pos), first.logit(unl)))
 
 
+def _sample(rows: DataFrame, most: int) -> np.ndarray:
+    """FEATURES of about `most` rows, in an order of their own: sums over them don't depend on tasks."""
+    x = hash_sample(rows, ["doc"], most).select(*FEATURES).toPandas().to_numpy(float)
+    return x[np.lexsort(x.T)]
+
+
 def held_out(doc):
     """crc32 of the id as text, modulo 5, is 0."""
     return F.crc32(doc.cast("string").cast("binary")) % 5 == 0
@@ -149,8 +155,8 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """(id, held_out, score, predicted, prior) of every row.
 
     Positives are rows labelled 1; unlabelled text is any row, whatever its label. Both
-    come from rows that are not held out, and the sample of each is that with the smallest
-    hashes, of at most most_positives and most_unlabelled rows. Labels, source and language
+    come from rows that are not held out, and the sample of each is taken by a hash of the
+    id, of about most_positives and most_unlabelled rows. Labels, source and language
     are never features. Null and empty texts are scored as texts without words. A null id
     is held out from learning. Where there are no positives every score is one half.
     Repeated rows give repeated rows; columns not named are not read.
@@ -159,8 +165,8 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     table = materialize(read.mapInArrow(_featured, "doc long, " + ", ".join(f"{f} float" for f in FEATURES)), "features")
     usable = table.where(~held_out(F.col("doc")))
     positive = labels.where(F.col(label_col) == 1).select(F.col(label_id_col).cast("long").alias("doc")).distinct()
-    first = lambda df, most: df.orderBy(F.xxhash64("doc"), "doc", *FEATURES[:3]).limit(most).select(*FEATURES).toPandas().to_numpy(float)
-    model = fit(first(usable.join(positive, "doc", "left_semi"), most_positives), first(usable, most_unlabelled))
+    trusted = materialize(usable.join(positive, "doc", "left_semi"), "trusted")
+    model = fit(_sample(trusted, most_positives), _sample(usable, most_unlabelled))
     if model is None:
         score, prior = F.lit(0.5), F.lit(None).cast("double")
     else:

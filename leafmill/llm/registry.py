@@ -22,7 +22,7 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
-    judged = url_filter.judge(pages, url_filter.train(url_filter.rule_labels(pages).unionByName(url_filter.seed_labels(spark))))
+    judged = url_filter.judge(pages, url_filter.train(url_filter.rule_labels(pages), mask=url_filter.rule_mask()))
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
@@ -36,7 +36,7 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality_rules.judge(_table(spark, sf_dir, "documents"), min_docs=50, host_share=0.002, max_docs=None)  # as in OP5
+    judged = quality_rules.judge(_table(spark, sf_dir, "documents"))
     return judged.drop("removed_lines")
 
 
@@ -101,8 +101,8 @@ twice AS (SELECT rid, pos, count(*) OVER (PARTITION BY rid, g) AS c FROM grams),
 covered AS (SELECT rid, count(DISTINCT p) AS n_repeat_words FROM (SELECT rid, unnest([pos, pos + 1, pos + 2]) AS p FROM twice WHERE c > 1) GROUP BY rid),
 shape AS (SELECT rid, string_agg(no || ':' || norm, chr(10) ORDER BY no) AS shape FROM worded GROUP BY rid),
 seen AS (SELECT host, no_host, norm, count(DISTINCT shape) AS docs FROM worded JOIN shape USING (rid) GROUP BY ALL),
-hosts AS (SELECT host, no_host, 0.002 * count(*) AS lim FROM texts GROUP BY ALL),
-heavy AS (SELECT host, no_host, norm FROM seen JOIN hosts USING (host, no_host) WHERE docs > 50 AND docs > lim),
+hosts AS (SELECT host, no_host, least(0.002 * count(*), 1000) AS lim FROM texts GROUP BY ALL),
+heavy AS (SELECT host, no_host, norm FROM seen JOIN hosts USING (host, no_host) WHERE docs > 5 AND docs > lim),
 lost AS (SELECT rid, sum(n) AS n_lost FROM worded SEMI JOIN heavy USING (host, no_host, norm) GROUP BY rid),
 counts AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
   CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines,
@@ -115,10 +115,10 @@ SELECT *, NOT base_failed AND n_lost_words <= 0.5 * n_words AS kept FROM base
 OP7 = r"""
 WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS no FROM documents),
 norm AS (SELECT *, lower(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'), ' ')) AS x FROM lines),
-firsts AS (SELECT x, doc_id, no, length(x) AS n FROM norm WHERE length(x) >= 25 QUALIFY row_number() OVER (PARTITION BY x ORDER BY doc_id, no) = 1),
+firsts AS (SELECT x, doc_id, no, length(x) AS n FROM norm WHERE length(x) >= 1 QUALIFY row_number() OVER (PARTITION BY x ORDER BY doc_id, no) = 1),
 near AS (SELECT DISTINCT a.doc_id, a.no FROM firsts a JOIN (SELECT *, unnest([n - 1, n, n + 1]) AS m FROM firsts) b
-  ON a.n = b.m AND (b.doc_id, b.no) < (a.doc_id, a.no) AND (left(a.x, 10) = left(b.x, 10) OR right(a.x, 10) = right(b.x, 10)) AND levenshtein(a.x, b.x) <= 1),
-kept AS (SELECT doc_id, no FROM firsts ANTI JOIN near USING (doc_id, no) UNION ALL SELECT doc_id, no FROM norm WHERE length(x) < 25),
+  ON a.n >= 25 AND b.n >= 25 AND a.n = b.m AND (b.doc_id, b.no) < (a.doc_id, a.no) AND (left(a.x, 10) = left(b.x, 10) OR right(a.x, 10) = right(b.x, 10)) AND levenshtein(a.x, b.x) <= 1),
+kept AS (SELECT doc_id, no FROM firsts ANTI JOIN near USING (doc_id, no) UNION ALL SELECT doc_id, no FROM norm WHERE length(x) < 1),
 texts AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY no) AS text, count(*) AS k FROM lines JOIN kept USING (doc_id, no) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(string_split(d.text, chr(10))) AS BIGINT) AS n_lines,
   CAST(len(string_split(d.text, chr(10))) - coalesce(k, 0) AS BIGINT) AS n_removed, coalesce(t.text, '') AS text
