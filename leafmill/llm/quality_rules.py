@@ -113,14 +113,15 @@ def _measured(batches):
 _COLUMNS = {"rid": "long", "doc": "long", "host": "string", "text_hash": "long", "n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long", "line": "array<long>", "no": "array<int>", "words": "array<int>"}
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", min_docs: int = 5, host_share: float = 0.002, max_docs: int | None = 1000, max_lost: float = 0.5) -> DataFrame:
+def judge(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", min_docs: int = 5, host_share: float = 0.002, max_docs: int | None = 1000, max_lost: float = 0.5, copies_once: bool = True) -> DataFrame:
     """One row per document: its counts, base_failed, kept, n_lost_words and removed_lines.
 
     A line is its words, A-Z lower-cased; it is over the limit in a host when more than
     greatest(min_docs, host_share * documents of the host), but max_docs at most, distinct
     documents of that host hold it. The floor lets the limit act on small hosts, max_docs
-    (None: no such bound) keeps it from growing with a large host. Documents with the same lines are one document in that count, so whole
-    copies do not make a line frequent. removed_lines are the numbers, from 0, of a
+    (None: no such bound) keeps it from growing with a large host. With copies_once, documents
+    with the same lines are one document in that count, so that a group of whole copies doesn't
+    reject itself to the last copy; without, every row counts. removed_lines are the numbers, from 0, of a
     document's lines over the limit; n_lost_words counts their words. kept is false for
     base_failed documents and for those that lose more than max_lost of their words.
 
@@ -129,7 +130,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", tex
     read. An empty table gives an empty result.
     """
     read = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(host_col).cast("string").alias("host"), F.col(text_col).alias("text"))
-    return _judged(read, min_docs, host_share, max_docs, max_lost).withColumnRenamed("doc", id_col)
+    return _judged(read, min_docs, host_share, max_docs, max_lost, copies_once).withColumnRenamed("doc", id_col)
 
 
 def clean(docs: DataFrame, host_col: str = "source", text_col: str = "text", **limits) -> DataFrame:
@@ -149,14 +150,14 @@ def clean(docs: DataFrame, host_col: str = "source", text_col: str = "text", **l
     return left.select(*(cut.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))
 
 
-def _judged(read: DataFrame, min_docs: int = 5, host_share: float = 0.002, max_docs: int | None = 1000, max_lost: float = 0.5) -> DataFrame:
+def _judged(read: DataFrame, min_docs: int = 5, host_share: float = 0.002, max_docs: int | None = 1000, max_lost: float = 0.5, copies_once: bool = True) -> DataFrame:
     """What judge returns, of rows (doc, host, text)."""
     columns = _COLUMNS | {"doc": read.schema["doc"].dataType.simpleString()}
     docs_m = materialize(read.mapInArrow(_measured, ", ".join(f"{k} {v}" for k, v in columns.items())), "measured")
     lines = docs_m.select("rid", "text_hash", F.coalesce("host", F.lit("")).alias("host"), F.col("host").isNull().alias("no_host"), F.explode(F.arrays_zip("line", "no", "words")).alias("x")).select("rid", "text_hash", "host", "no_host", "x.*")
     most = float("inf") if max_docs is None else max_docs
     floor = min(min_docs, most)
-    distinct = lines.select("host", "no_host", "line", "text_hash").distinct()
+    distinct = lines.select("host", "no_host", "line", "text_hash" if copies_once else "rid").distinct()
     seen = distinct.groupBy("host", "no_host", "line").agg(F.count("*").alias("docs")).where(F.col("docs") > floor)
     hosts = docs_m.groupBy(F.coalesce("host", F.lit("")).alias("host"), F.col("host").isNull().alias("no_host")).agg(F.least(F.count("*") * F.lit(host_share), F.lit(float(most))).alias("limit"))
     heavy = materialize(seen.join(hosts, ["host", "no_host"]).where("docs > limit").select("host", "no_host", "line"), "heavy")

@@ -195,9 +195,20 @@ def test_frequent_lines_deplete_documents(spark):
     # Whole copies count as one document.
     alone = quality_rules.judge(docs_of(spark, [prose(random.Random(1), 90)] * 40), min_docs=10).collect()
     assert all(r.kept for r in alone)
+    every = quality_rules.judge(docs_of(spark, [prose(random.Random(1), 90)] * 40), min_docs=10, copies_once=False).collect()
+    assert not any(r.kept for r in every)
     assert quality_rules.judge(docs_of(spark, [])).count() == 0
 
 
+def test_quality_rules_on_null_hosts_repeated_rows_and_clashing_names(spark):
+    rng = random.Random(14)
+    text = prose(rng, 80)
+    rows = [(1, text, None), (1, text, None), (None, text, ""), (2, None, None), (3, "x " * 200_000 + text, "h")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: F.lit("clash") for c in ("rid", "line", "host", "doc", "kept", "n_words")})
+    got = quality_rules.judge(frame).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.kept) for r in got) == [("1", 80, True), ("1", 80, True), ("2", 0, False), ("3", 200_080, False), ("None", 80, True)]
+
+
 def test_frequent_lines_of_small_and_large_hosts_at_the_defaults(spark):
     rng = random.Random(9)
     banner, rare = prose(rng, 60), prose(rng, 60)
