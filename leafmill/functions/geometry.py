@@ -64,3 +64,16 @@ def valid_zone(points: Column) -> Column:
 def smoothstep(low: float, high: float, x: Column) -> Column:
     t = F.least(F.greatest((x - low) / (high - low), F.lit(0.0)), F.lit(1.0))
     return t * t * (3 - 2 * t)
+
+
+def bounded_by(x: Column, y: Column, dx: Column, dy: Column, box: tuple[float, float, float, float]) -> tuple[Column, Column]:
+    """Where the line (x, y) + s * (dx, dy) enters and leaves a rectangle (left, top, right, bottom), as least and greatest s; null where it meets no edge.
+
+    Corners belong to both their edges, with a tolerance for rounding.
+    """
+    left, top, right, bottom = box
+    slack, hits = 1e-9, []
+    for fixed, start, by, other, other_by, low, high in ((top, y, dy, x, dx, left, right), (bottom, y, dy, x, dx, left, right), (left, x, dx, y, dy, top, bottom), (right, x, dx, y, dy, top, bottom)):
+        s = F.when(by != 0, (fixed - start) / by)
+        hits.append(F.when(((other + s * other_by - low) / (high - low)).between(-slack, 1 + slack), s))
+    return F.least(*hits), F.greatest(*hits)

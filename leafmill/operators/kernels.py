@@ -1,20 +1,77 @@
 """Page kernels: what needs a whole page at once, on numpy arrays.
 
-A page's pixels meet in one task as a page is the unit of work and its size is limited
-(see catalogue.MAX_PIXELS); pages themselves are spread over all tasks.
+Pages are rows: (page_id, height, width, pixels as an array, row by row). A kernel maps
+rows to rows, so no page is shuffled, and many small pages pass in one Arrow batch. The size
+of a page is limited (see catalogue.MAX_PIXELS). Pages that come as relations of pixels are
+gathered by page first.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, types as T
 
 Kernel = Callable[[np.ndarray], np.ndarray]
 
 
+#: Pixels that go out in one Arrow batch, or a page if it has more.
+BATCH = 1 << 18
+
+
+def pages_of(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, page) of a batch (page_id, height, width, pixels)."""
+    heights, widths, pixels = (batch.column(i) for i in (1, 2, 3))
+    flat, at = pixels.values.to_numpy(zero_copy_only=False), pixels.offsets.to_numpy()
+    for i in range(batch.num_rows):
+        yield i, flat[at[i] : at[i + 1]].astype(np.int64).reshape(heights[i].as_py(), widths[i].as_py())
+
+
+def map_pages(pages: DataFrame, kernel: Kernel, value: str = "v", out: str = "v", kind: str = "int", where: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """(page_id, y, x, out) of kernel(page), which may change the size; only pixels that where holds for, if given."""
+    key = pages.schema["page_id"].dataType.simpleString()
+    number = {"int": np.int32, "long": np.int64, "double": np.float64}[kind]
+
+    def run(batches):
+        for batch in batches:
+            rows, found, size = [], [], 0
+
+            def flush() -> pa.RecordBatch:
+                ids = batch.column(0).take(pa.array(np.repeat(rows, [len(f[0]) for f in found])))
+                return pa.RecordBatch.from_arrays([ids, *(pa.array(np.concatenate([f[j] for f in found])) for j in range(3))], ["page_id", "y", "x", out])
+
+            for i, page in pages_of(batch):
+                made = np.asarray(kernel(page))
+                y, x = np.nonzero(where(made)) if where else (a.ravel() for a in np.indices(made.shape))
+                rows.append(i)
+                found.append((y.astype(np.int32), x.astype(np.int32), made[y, x].astype(number)))
+                size += len(y)
+                if size >= BATCH:
+                    yield flush()
+                    rows, found, size = [], [], 0
+            if rows:
+                yield flush()
+
+    return pages.select("page_id", "height", "width", value).mapInArrow(run, f"page_id {key}, y int, x int, {out} {kind}")
+
+
+def map_values(pages: DataFrame, f: Callable[[np.ndarray], object], value: str, out: str, kind: str) -> DataFrame:
+    """(page_id, out): one value a page."""
+    key = pages.schema["page_id"].dataType.simpleString()
+    own = T._parse_datatype_string(kind)
+
+    def run(batches):
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f(page) for _, page in pages_of(batch)], to_arrow_type(own))], ["page_id", out])
+
+    return pages.select("page_id", "height", "width", value).mapInArrow(run, f"page_id {key}, {out} {kind}")
+
+
 def grid(part: pd.DataFrame, value: str) -> np.ndarray:
     out = np.zeros((part["y"].max() + 1, part["x"].max() + 1), np.int64)
     out[part["y"].to_numpy(), part["x"].to_numpy()] = part[value].to_numpy()
@@ -75,6 +132,34 @@ def components(black: np.ndarray, connectivity: int = 8) -> np.ndarray:
     return result
 
 
+def hit_miss_replace(black: np.ndarray, pattern: list[str], surroundings: int = 0) -> np.ndarray:
+    """Black after all matches of a pattern have been replaced: X and - must be black, blank and + white, ? may be either; - turns white and + black.
+
+    The pattern may reach over the page as long as its first replaced cell is on it.
+    """
+    cells = [(i, j, c) for i, row in enumerate(pattern) for j, c in enumerate(row) if c != "?"]
+    first = next(((i, j) for i, j, c in cells if c in "-+"), None)
+    if first is None:
+        return black
+    match = np.ones(black.shape, bool)
+    for i, j, c in cells:
+        match &= (shifted(black, first[0] - i, first[1] - j, surroundings) > 0) == (c in "X-")
+    out = black > 0
+    for sign in "+-":
+        for i, j, c in cells:
+            if c == sign:
+                hit = shifted(match, i - first[0], j - first[1], False)
+                out = out | hit if sign == "+" else out & ~hit
+    return out.astype(np.int64)
+
+
+def hit_miss_all_ways(black: np.ndarray, pattern: list[str]) -> np.ndarray:
+    """The pattern as it is, turned clockwise, upside down and turned the other way, one after the other."""
+    for turns in (0, -1, 2, 1):
+        black = hit_miss_replace(black, ["".join(row) for row in np.rot90(np.array([list(row) for row in pattern]), turns)])
+    return black
+
+
 def gray_reconstruct(seed: np.ndarray, mask: np.ndarray, connectivity: int = 8) -> np.ndarray:
     """Seed spread as darkness under a mask: the neighbours' minimum, never darker than the mask, until it rests."""
     now = np.maximum(seed, mask)
@@ -89,14 +174,15 @@ def gray_reconstruct(seed: np.ndarray, mask: np.ndarray, connectivity: int = 8)
 
 
 def blur(a: np.ndarray, sigma_x: float, sigma_y: float) -> np.ndarray:
-    """Gaussian blur; the edges' pixels repeat."""
+    """Gaussian blur, to five sigmas; the edges' pixels repeat."""
     out = a.astype(float)
     for axis, sigma in ((1, sigma_x), (0, sigma_y)):
         if sigma > 0:
-            r = max(1, int(3 * sigma + 0.5))
-            k = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2)
+            r = max(1, int(5 * sigma + 0.5))
+            weights = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2)
             padded = np.pad(out, [(r, r) if i == axis else (0, 0) for i in (0, 1)], mode="edge")
-            out = np.apply_along_axis(lambda v: np.convolve(v, k / k.sum(), "valid"), axis, padded)
+            n = out.shape[axis]
+            out = sum(w * padded.take(range(i, i + n), axis) for i, w in enumerate(weights / weights.sum()))
     return out
 
 
@@ -119,11 +205,13 @@ def polynomial_smooth(a: np.ndarray, width: int = 5, height: int = 5, degree_x:
     return np.clip(np.rint(out), 0, 255).astype(np.int64)
 
 
-def box_median(a: np.ndarray, radius: int) -> np.ndarray:
-    padded = np.pad(a.astype(float), radius, constant_values=np.nan)
+def box_median(a: np.ndarray, radius: int, at_once: int = 1 << 23) -> np.ndarray:
+    """Median of the box around each pixel within the page, strip by strip, so that boxes of a few rows are held at once."""
     size = 2 * radius + 1
-    stack = [padded[i : i + a.shape[0], j : j + a.shape[1]] for i in range(size) for j in range(size)]
-    return np.nanmedian(np.stack(stack), axis=0)
+    padded = np.pad(a.astype(float), radius, constant_values=np.nan)
+    boxes = np.lib.stride_tricks.sliding_window_view(padded, (size, size))
+    rows = max(1, at_once // (a.shape[1] * size * size))
+    return np.concatenate([np.nanmedian(boxes[y : y + rows].reshape(-1, a.shape[1], size * size), axis=2) for y in range(0, a.shape[0], rows)])
 
 
 def subtract_background(a: np.ndarray, radius: int, coef: float) -> np.ndarray:
@@ -131,15 +219,32 @@ def subtract_background(a: np.ndarray, radius: int, coef: float) -> np.ndarray:
     return np.clip(np.rint(a + coef * (255 - box_median(a, radius))), 0, 255).astype(np.int64)
 
 
+def ring_means(a: np.ndarray, radius: int) -> np.ndarray:
+    """Mean of the square of that radius around each pixel, as far as it is on the page."""
+    h, w = a.shape
+    total = np.zeros((h + 1, w + 1))
+    total[1:, 1:] = a.cumsum(axis=0).cumsum(axis=1)
+    y, x = np.arange(h), np.arange(w)
+    top, bottom, left, right = np.maximum(y - radius, 0), np.minimum(y + radius + 1, h), np.maximum(x - radius, 0), np.minimum(x + radius + 1, w)
+    sums = total[bottom][:, right] - total[top][:, right] - total[bottom][:, left] + total[top][:, left]
+    return sums / ((bottom - top)[:, None] * (right - left))
+
+
+#: Fixed values of the denoiser: least weight of a ring that counts as alike, the share of alike surroundings from which the average leads, and how far it leads.
+ALIKE, ENOUGH, LEAD = 0.02, 0.66, 0.16
+
+
 def denoise(a: np.ndarray, radius: int, coef: float) -> np.ndarray:
-    """Neighbours averaged by how near their tone is."""
-    total, weight = np.zeros(a.shape), np.zeros(a.shape)
-    for dy in range(-radius, radius + 1):
-        for dx in range(-radius, radius + 1):
-            other = shifted(a + 1, dy, dx, 0)  # 0: beyond the page
-            w = np.where(other > 0, np.exp(-(((other - 1 - a) / max(1e-6, coef * 64)) ** 2)), 0.0)
-            total, weight = total + w * (other - 1), weight + w
-    return np.clip(np.rint(total / weight), 0, 255).astype(np.int64)
+    """Pixels drawn to the means of the squares around them, the more the nearer those are in place and tone."""
+    area = (2 * radius + 1) ** 2
+    alike, weights, colour = np.full(a.shape, 1 / area), np.ones(a.shape), a.astype(float)
+    for r in range(1, radius + 1):
+        mean = ring_means(a, r)
+        near = np.exp(-(r * r / area + ((a - mean) / 255 * r / coef) ** 2))
+        colour, weights = colour + mean * near * 8 * r, weights + near * 8 * r
+        alike += np.where(near > ALIKE, 8 * r / area, 0)
+    colour /= weights
+    return np.clip(np.floor(colour + (a - colour) * np.where(alike > ENOUGH, LEAD, 1 - LEAD) + 0.5), 0, 255).astype(np.int64)
 
 
 def resample(a: np.ndarray, matrix: np.ndarray, height: int, width: int, outside: int = 255) -> np.ndarray:
@@ -157,65 +262,159 @@ def resample(a: np.ndarray, matrix: np.ndarray, height: int, width: int, outside
     return np.clip(np.rint(out), 0, 255).astype(np.int64)
 
 
-def posterize(a: np.ndarray, levels: int) -> np.ndarray:
-    step = 255 / (levels - 1)
-    return np.rint(np.rint(a / step) * step).astype(np.int64)
+def two_tones(a: np.ndarray, delta: int = 0, low: int = 0, high: int = 255) -> int:
+    """Threshold between the means of the darker and the lighter pixels, in steps of 1/256 tone until it rests; delta leans it."""
+    h = np.bincount(np.clip(a, low, high).ravel(), minlength=256).astype(object)  # whole numbers of any size
+    tones = np.flatnonzero(h)
+    lean = min(512, max(0, 256 + 2 * delta))
+    darkest, lightest = int(tones[0]) << 7, (int(tones[-1]) + 1) << 7
+    now = (lean * lightest + (512 - lean) * darkest) >> 8
+    for _ in range(256):
+        dark = sum(int(h[t]) for t in tones if t << 8 < now)
+        light = int(a.size) - dark
+        below = (sum(int(h[t]) * int(t) for t in tones if t << 8 < now) << 7) // dark if dark else darkest
+        above = (sum(int(h[t]) * int(t) for t in tones if t << 8 >= now) << 7) // light if light else lightest
+        now, last = (lean * above + (512 - lean) * below + 127) >> 8, now
+        if now == last:
+            break
+    return (now + 127) >> 8
 
 
-def two_tones(a: np.ndarray, delta: int = 0) -> int:
-    """Threshold between two means that keep to their sides."""
-    t = int(a.mean()) + delta
-    while True:
-        low, high = a[a < t], a[a >= t]
-        nxt = int(((low.mean() if len(low) else t) + (high.mean() if len(high) else t)) / 2) + delta
-        if nxt == t:
-            return t
-        if abs(nxt - t) <= 1:
-            return max(nxt, t)
-        t = nxt
+def robust(a: np.ndarray, radius: int, coef: float) -> np.ndarray:
+    """Pixels that stand out from their blurred surroundings drawn apart from these; white where the surroundings are under half of them."""
+    mean = np.floor(blur(a, radius, radius) + 0.5)
+    apart = mean - a
+    pole = mean + apart <= 0
+    drawn = 255 - (mean + 255) * apart / np.where(pole, 1, mean + apart)
+    return np.where(pole, 255, np.floor(np.clip(coef * drawn + (1 - coef) * a + 0.5, 0, 255))).astype(np.int64)
+
+
+def niblack(a: np.ndarray, radius: int, k: float) -> np.ndarray:
+    """Local mean less k deviations, as a tone."""
+    mean = ring_means(a, radius)
+    sd = np.sqrt(np.abs(ring_means(a.astype(float) ** 2, radius) - mean * mean))
+    return np.floor(np.clip(mean - k * sd, 0, 255)).astype(np.int64)
+
+
+def smoothed(a: np.ndarray, radius: int, noise: float) -> np.ndarray:
+    """Wiener filter against noise of that deviation, about the blurred page."""
+    mean = np.floor(blur(a, radius, radius) + 0.5)
+    local = ring_means(a, radius)
+    sd = np.floor(np.clip(np.sqrt(np.abs(ring_means(a.astype(float) ** 2, radius) - local * local)) + 0.5, 0, 255))
+    share = np.maximum(sd * sd - noise * noise, 0) / np.maximum(sd * sd, 1)
+    return np.clip(np.floor(mean + (a - mean) * share + 0.5), 0, 255).astype(np.int64)
+
+
+def gatos(a: np.ndarray, radius: int, k: float, delta: int = 0, noise: float = 3.0, q: float = 0.6, p: float = 0.2) -> np.ndarray:
+    """Black by distance from the paper: paper under ink is the mean of paper pixels in the least window that has any."""
+    calm = smoothed(a, 5, noise)
+    ink = calm < niblack(calm, radius, k)
+    h, w = a.shape
+    paper, left = calm.copy(), ink.copy()
+    size = 2 * radius + 1
+    for window in range(size, 2 * max(h, w) + 2 * size, size):
+        if not left.any():
+            break
+        # A window of that size about a pixel: its begin is half of it before.
+        y, x = np.arange(h), np.arange(w)
+        top, left_edge = np.maximum(y - (window - 1) // 2, 0), np.maximum(x - (window - 1) // 2, 0)
+        bottom, right = np.minimum(y - (window - 1) // 2 + window, h), np.minimum(x - (window - 1) // 2 + window, w)
+        sums = []
+        for of in (np.where(ink, 0, 1), np.where(ink, 0, calm)):
+            t = np.zeros((h + 1, w + 1), np.int64)
+            t[1:, 1:] = of.cumsum(axis=0).cumsum(axis=1)
+            sums.append(t[bottom][:, right] - t[top][:, right] - t[bottom][:, left_edge] + t[top][:, left_edge])
+        hit = left & (sums[0] > 0)
+        paper[hit] = (sums[1][hit] + sums[0][hit] // 2) // sums[0][hit]
+        left &= ~hit
+    darker = calm < paper
+    if not darker.any() or darker.all():
+        return (calm < paper).astype(np.int64)
+    contrast, ground = (paper - calm)[darker].mean(), paper[~darker].mean()
+    scale = (q - (1 - q) * delta * 0.02) * contrast
+    bend = 1 / (1 + np.exp(-8 * (paper + 1) / (ground + 1) + 6))
+    cut = np.clip(paper - np.trunc(scale * (p * bend + 1 - p) + 0.5), 0, 255)
+    return (calm < cut).astype(np.int64)
+
+
+def multi_scale(a: np.ndarray, radius: int, coef: float) -> np.ndarray:
+    """Threshold map from the middles between the darkest and lightest pixel of overlapping blocks, large ones first, each level halving them down to the radius."""
+    h, w = a.shape
+    levels, block = 0, 1
+    while block < (h + w) // 2:
+        levels, block = levels + 1, 2 * block
+    block //= 2
+    small = 1
+    while small < radius and levels > 1:
+        levels, small = levels - 1, 2 * small
+    now = np.full(a.shape, int((int(a.min()) + int(a.max())) * 0.5 + 0.5))
+    old = -coef / (1 - coef) if coef < 0 else 1 / (1 + coef)  # what is kept of the level before
+    new = 1 - old
+    for _ in range(levels):
+        reach = int(1.5 * block)
+        for y in range(0, h, block):
+            for x in range(0, w, block):
+                box = (slice(y, min(y + reach, h)), slice(x, min(x + reach, w)))
+                middle = (int(a[box].min()) + int(a[box].max())) * 0.5 * new
+                now[box] = np.floor(np.clip(now[box] * old + middle + 0.5, 0, 255))
+        block //= 2
+    return now
 
 
 def despeckle(black: np.ndarray, min_area: int, big_area: int, reach: float) -> np.ndarray:
     """Black without small components that stand apart from larger ones.
 
     Big components stay; those under min_area go; one in between stays if a kept one is
-    within reach times the root of its area, and then keeps others in turn.
+    within reach times the root of its area, and then keeps others in turn. Each round
+    takes one map of distances to what was kept last.
     """
     label = components(black)
     n = int(label.max(initial=0))
     if not n:
         return black
     area = np.bincount(label.ravel(), minlength=n + 1)
-    spots = [np.argwhere(label == i) for i in range(n + 1)]
-    kept = {i for i in range(1, n + 1) if area[i] >= big_area}
-    open_ = {i for i in range(1, n + 1) if min_area <= area[i] < big_area}
-    fresh = set(kept)
-    while fresh:
-        near = set()
-        for i in open_:
-            limit = (reach * np.sqrt(area[i])) ** 2
-            if any((((spots[i][:, None, :] - spots[j][None, :, :]) ** 2).sum(axis=2)).min() <= limit for j in fresh):
-                near.add(i)
-        open_ -= near
-        kept |= near
-        fresh = near
-    return np.where(np.isin(label, sorted(kept)), black, 0)
+    area[0] = 0
+    kept, undecided = area >= big_area, (area >= min_area) & (area < big_area)
+    fresh = kept.copy()
+    while fresh.any() and undecided.any():
+        squared, _ = nearest(np.where(fresh[label], label, 0))
+        gap = np.full(n + 1, np.inf)
+        np.minimum.at(gap, label.ravel(), squared.ravel())
+        fresh = undecided & (gap <= reach * reach * area)
+        undecided &= ~fresh
+        kept |= fresh
+    return np.where(kept[label], black, 0)
+
+
+def nearest(label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(squared distance, label) of the labelled pixel nearest to each pixel; the smaller label of two as near; inf and 0 without any.
+
+    Down and up the columns first, then along the rows, step by step as far as any pixel
+    could still find a nearer one.
+    """
+    h, w = label.shape
+    rows = np.arange(h)[:, None]
+    above = np.maximum.accumulate(np.where(label > 0, rows, -1), axis=0)
+    below = np.minimum.accumulate(np.where(label > 0, rows, h)[::-1], axis=0)[::-1]
+    column = np.arange(w)[None, :]
+    far = np.int64(1) << 40
+    up, down = np.where(above >= 0, rows - above, far >> 16), np.where(below < h, below - rows, far >> 16)
+    label_up, label_down = label[np.maximum(above, 0), column], label[np.minimum(below, h - 1), column]
+    size = int(label.max(initial=0)) + 1
+    key = np.minimum(np.where(above >= 0, up * up * size + label_up, far * size), np.where(below < h, down * down * size + label_down, far * size))
+    best = key.copy()
+    for dx in range(1, w):
+        if (best // size).max() < dx * dx:
+            break
+        best[:, dx:] = np.minimum(best[:, dx:], key[:, :-dx] + dx * dx * size)
+        best[:, :-dx] = np.minimum(best[:, :-dx], key[:, dx:] + dx * dx * size)
+    none = best // size >= far
+    return np.where(none, np.inf, best // size), np.where(none, 0, best % size)
 
 
 def nearest_label(label: np.ndarray) -> np.ndarray:
     """For each pixel the label of the nearest labelled one; the smaller label of two as near."""
-    places = np.argwhere(label > 0)
-    if not len(places):
-        return label
-    order = np.argsort(label[places[:, 0], places[:, 1]], kind="stable")
-    places = places[order]
-    y, x = np.indices(label.shape)
-    best, out = np.full(label.shape, np.inf), np.zeros_like(label)
-    for py, px in places:
-        d = (y - py) ** 2 + (x - px) ** 2
-        hit = d < best
-        best, out = np.where(hit, d, best), np.where(hit, label[py, px], out)
-    return out
+    return nearest(label)[1]
 
 
 def convex_hull(points: np.ndarray) -> np.ndarray:

@@ -201,22 +201,6 @@ def rotated(df: DataFrame, degrees: int, width: int, height: int) -> DataFrame:
     return df.select("page_id", to[1].alias("y"), to[0].alias("x"), "v")
 
 
-def tone_table(exposure: float, contrast: float, highlights: float, shadows: float, whites: float, blacks: float) -> list[int]:
-    """256 output tones: exposure in stops, contrast about the middle, ends lifted or lowered."""
-    def smooth(a: float, b: float, x: float) -> float:
-        t = min(1.0, max(0.0, (x - a) / (b - a)))
-        return t * t * (3 - 2 * t)
-
-    out = []
-    for i in range(256):
-        x = min(1.0, i / 255 * 2**exposure)
-        x = (x - 0.5) * 2 ** (1.3 * contrast / 100) + 0.5
-        x += 0.40 * highlights / 100 * smooth(0.5, 1.0, x) + 0.40 * shadows / 100 * (1 - smooth(0.0, 0.5, x))
-        x += 0.25 * whites / 100 * smooth(0.75, 1.0, x) + 0.25 * blacks / 100 * (1 - smooth(0.0, 0.25, x))
-        out.append(min(255, max(0, int(x * 255 + 0.5))))
-    return out
-
-
 def dominant_level(h: Column) -> Column:
     """Median of the ten neighbouring levels that hold most pixels, from an array of 256 counts."""
     sums = F.transform(F.sequence(F.lit(0), F.lit(246)), lambda i: F.aggregate(F.slice(h, i + 1, F.lit(10)), F.lit(0).cast("long"), lambda a, n: a + n))

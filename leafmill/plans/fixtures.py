@@ -80,6 +80,13 @@ def vector_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("page_id", F.floor(F.col("pos") / 8).cast("int").alias("y"), (F.col("pos") % 8).cast("int").alias("x"), v.alias("v")).withColumn("black", F.when(F.col("v") < 128, 1).otherwise(0))
 
 
+def vector_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pages as rows: page_id, height, width, and their pixels v and black as arrays."""
+    tone = lambda e: F.least(F.greatest(F.floor((e.cast("double") + 1) * 127.5), F.lit(0)), F.lit(255)).cast("int")
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("page_id"), F.transform("embedding", tone).alias("v"))
+    return e.select("page_id", F.floor(F.size("v") / 8).cast("int").alias("height"), F.lit(8).alias("width"), "v", F.transform("v", lambda v: F.when(v < 128, 1).otherwise(0)).alias("black"))
+
+
 VECTOR_PIXELS = """vector_raw AS (SELECT vec_id AS page_id, unnest(embedding) AS e, unnest(range(len(embedding))) AS pos FROM embeddings),
 pixels AS (SELECT page_id, CAST(pos // 8 AS INT) AS y, CAST(pos % 8 AS INT) AS x, v, CASE WHEN v < 128 THEN 1 ELSE 0 END AS black
   FROM (SELECT *, CAST(least(greatest(floor((CAST(e AS DOUBLE) + 1) * 127.5), 0), 255) AS INT) AS v FROM vector_raw))"""

@@ -18,7 +18,7 @@ labels AS (SELECT page_id, y, x, dense_rank() OVER (PARTITION BY page_id ORDER B
 
 
 def labelled(spark, sf):
-    return k.per_page(fx.vector_pixels(spark, sf), k.components, "black", "label", "long").where("label > 0")
+    return k.map_pages(fx.vector_pages(spark, sf), k.components, "black", "label", "long", where=lambda label: label > 0)
 
 
 @reg.add(f"{V}, {LABELS} SELECT page_id, y, x, label FROM labels")
@@ -141,7 +141,7 @@ def stable_files(spark, sf):
 
 def kernel(name: str, f, value: str = "v", out: str = "v", kind: str = "int"):
     def query(spark, sf):
-        return k.per_page(fx.vector_pixels(spark, sf), f, value, out, kind)
+        return k.map_pages(fx.vector_pages(spark, sf), f, value, out, kind)
 
     query.__name__ = name
     reg.add(None)(query)
@@ -154,22 +154,24 @@ kernel("tone_denoised", lambda a: k.denoise(a, 2, 0.5))
 kernel("background_subtracted", lambda a: k.subtract_background(a, 2, 0.5))
 kernel("gray_seed_fill", lambda a: k.gray_reconstruct(np.where(np.indices(a.shape)[0] == 0, a, 255), a))
 kernel("affine_resampled", lambda a: k.resample(a, np.array([[1.0, 0.2, -0.5], [-0.2, 1.0, 0.5]]), a.shape[0], a.shape[1]))
-kernel("posterized", lambda a: k.posterize(a, 5))
 kernel("despeckled", lambda b: k.despeckle(b, 2, 8, 0.8), "black", "black")
 kernel("influence_map", lambda b: k.nearest_label(k.components(b)), "black", "label", "long")
 kernel("two_tone_pages", lambda a: (a < k.two_tones(a)).astype(int), "v", "black")
+kernel("binarize_robust", lambda a: ((r := k.robust(a, 2, 0.5)) < k.two_tones(r)).astype(int), "v", "black")
+kernel("binarize_gatos", lambda a: k.gatos(a, 2, 0.2), "v", "black")
+kernel("binarize_multi_scale", lambda a: (a < k.multi_scale(a, 2, 0.5)).astype(int), "v", "black")
 kernel("background_surface", lambda a: np.rint(k.fit_surface(a, 2, 2)).astype(int))
 
 
 @reg.add(None)
 def skew_angles(spark, sf):
-    return stages.page_values(fx.vector_pixels(spark, sf), lambda a: k.skew_angle(a), "black", "angle", "double")
+    return k.map_values(fx.vector_pages(spark, sf), k.skew_angle, "black", "angle", "double")
 
 
 @reg.add(None)
 def processed_pages(spark, sf):
     """All stages on every vector page: orientation, split, deskew, content box, margins, output."""
-    return stages.process(fx.vector_pixels(spark, sf))
+    return stages.process(fx.vector_pages(spark, sf))
 
 
 @reg.add(f"""{V}, cols AS (SELECT page_id, x AS i, sum(black) AS n FROM pixels GROUP BY 1, 2), f AS (SELECT *, i - lag(i) OVER (PARTITION BY page_id ORDER BY i) - 1 AS gap FROM cols WHERE n >= 3),

@@ -252,15 +252,6 @@ def stretched_gray(spark, sf):
     return r.stretched(fx.vector_pixels(spark, sf), 0.05, 0.05)
 
 
-TONES = r.tone_table(0.3, 20, -15, 25, 5, -5)
-
-
-@reg.add(f"{V}, lut AS (SELECT unnest({TONES}) AS tone, unnest(range(256)) AS v) SELECT page_id, y, x, tone FROM pixels JOIN lut USING (v)")
-def tone_adjusted(spark, sf):
-    table = F.array(*map(F.lit, TONES))
-    return fx.vector_pixels(spark, sf).select("page_id", "y", "x", F.get(table, F.col("v")).alias("tone"))
-
-
 @reg.add(f"""{C}, m AS (SELECT *, greatest(r, g, b) AS hi, least(r, g, b) AS lo, (r * 11 + g * 16 + b * 5) // 32 AS gray FROM colours)
  SELECT page_id, y, x, CASE WHEN gray = 0 THEN 1 WHEN gray = 255 THEN 254 ELSE gray END AS reserved, CASE WHEN hi - gray < 1 THEN 255 ELSE (255 * gray + hi // 2) // hi END AS raised, 255 - gray AS inverted, bit_count(gray) AS bits, round(gray + (hi - gray) * 0.25, 6) AS dimmed FROM m""")
 def pixel_scalars(spark, sf):

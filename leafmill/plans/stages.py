@@ -1,42 +1,26 @@
-"""The six stages of page processing as DataFrame functions, and their composition.
+"""The six stages of page processing on pages as rows, and their composition.
 
-Pages are independent until margins: there the common size of all pages, one row, is
-joined back to each of them.
+Up to the content box a page needs nothing but itself, so these stages are one kernel: a
+page goes in, its one or two cut, level pages with their ink come out, and no pixel is
+shuffled. Margins need the common size of all pages: one row, joined back to each of them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from leafmill.operators import kernels as k, raster as r
 
 
-def page_values(pixels: DataFrame, f: Callable, value: str, out: str, kind: str) -> DataFrame:
-    """One value a page, by a kernel on its array."""
-    key = pixels.schema["page_id"].dataType.simpleString()
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"page_id": [part["page_id"].iloc[0]], out: [f(k.grid(part, value))]})
-
-    return pixels.select("page_id", "y", "x", value).groupBy("page_id").applyInPandas(run, f"page_id {key}, {out} {kind}")
-
-
-def oriented(pixels: DataFrame, turns: DataFrame | None = None) -> DataFrame:
-    """Stage 1: pages turned by their degrees (page_id, degrees); without any they stay."""
-    if turns is None:
-        return pixels
-    size = Window.partitionBy("page_id")
-    p = pixels.join(turns, "page_id", "left").withColumns({"w": F.max("x").over(size), "h": F.max("y").over(size), "d": F.coalesce("degrees", F.lit(0))})
-    x = F.when(F.col("d") == 90, F.col("h") - F.col("y")).when(F.col("d") == 180, F.col("w") - F.col("x")).when(F.col("d") == 270, F.col("y")).otherwise(F.col("x"))
-    y = F.when(F.col("d") == 90, F.col("x")).when(F.col("d") == 180, F.col("h") - F.col("y")).when(F.col("d") == 270, F.col("w") - F.col("x")).otherwise(F.col("y"))
-    return p.select("page_id", y.alias("y"), x.alias("x"), "v", "black")
+def oriented(page: np.ndarray, degrees: int = 0) -> np.ndarray:
+    """Stage 1: a page turned clockwise by quarter turns."""
+    return np.rot90(page, -(degrees // 90) % 4)
 
 
 def whitespace_cuts(pixels: DataFrame, min_ink: int, width: int) -> DataFrame:
-    """Stage 2: where each page is cut: the middle of its widest gap between inked columns, the first of equals, or its middle."""
+    """Stage 2 on pixels: where each page is cut: the middle of its widest gap between inked columns, the first of equals, or its middle."""
     columns = pixels.groupBy("page_id", F.col("x").alias("i")).agg(F.sum("black").alias("ink"))
     bins = columns.withColumn("n", F.when(F.col("ink") >= min_ink, F.col("ink")).otherwise(0))
     spans = r.spans(bins, ["page_id"], 1, 1)
@@ -45,25 +29,51 @@ def whitespace_cuts(pixels: DataFrame, min_ink: int, width: int) -> DataFrame:
     return pixels.select("page_id").distinct().join(best, "page_id", "left").select("page_id", F.coalesce("cut", F.lit(width / 2)).alias("cut"))
 
 
-def split(pixels: DataFrame, cuts: DataFrame) -> DataFrame:
-    """Two pages of each: page_id becomes 2 * page_id and 2 * page_id + 1."""
-    p = pixels.join(cuts, "page_id")
-    right = F.col("x") >= F.col("cut")
-    return p.select((F.col("page_id") * 2 + right.cast("long")).alias("page_id"), "y", F.when(right, F.col("x") - F.ceil("cut")).otherwise(F.col("x")).cast("int").alias("x"), "v", "black")
+def cut_of(black: np.ndarray, min_ink: int) -> float:
+    """The same cut of one page."""
+    inked = np.flatnonzero(black.sum(axis=0) >= min_ink)
+    gaps = np.diff(inked) - 1
+    if not gaps.max(initial=0):
+        return black.shape[1] / 2
+    i = int(np.argmax(gaps))
+    return (inked[i] + 1 + inked[i + 1]) / 2
+
+
+def split(page: np.ndarray, cut: float) -> list[np.ndarray]:
+    """Two pages of one; a side without columns has none."""
+    at = int(np.ceil(cut))
+    return [page[:, :at], page[:, at:]]
+
+
+def deskewed(black: np.ndarray) -> np.ndarray:
+    """Stage 3: (y, x) of the ink, its columns moved so that lines are level; what leaves the page is cut."""
+    angle = k.skew_angle(black)
+    y, x = np.nonzero(black)
+    by = np.tan(np.radians(angle)) * (x - black.shape[1] / 2)
+    y = y - (np.sign(by) * np.floor(np.abs(by) + 0.5)).astype(int)
+    inside = (y >= 0) & (y < black.shape[0])
+    return np.stack((y[inside], x[inside]))
 
 
-def deskewed(pixels: DataFrame) -> DataFrame:
-    """Stage 3: rows sheared so that each page's lines are level; what leaves the page is cut."""
-    angle = page_values(pixels, k.skew_angle, "black", "angle", "double")
-    size = Window.partitionBy("page_id")
-    p = pixels.join(angle, "page_id").withColumns({"w": F.max("x").over(size), "h": F.max("y").over(size)})
-    y = (F.col("y") - F.round(F.tan(F.radians("angle")) * (F.col("x") - (F.col("w") + 1) / 2))).cast("int")
-    return p.withColumn("y", y).where("y between 0 and h").select("page_id", "y", "x", "v", "black")
+def prepared(pages: DataFrame, degrees: int = 0, min_ink: int = 3) -> DataFrame:
+    """Stages 1 to 4: (page_id, left, top, right, bottom, y, x): content box and ink of the pages 2 * page_id and 2 * page_id + 1, if they have any."""
 
+    def run(batches):
+        for batch in batches:
+            rows: list[tuple] = []
+            for i, page in k.pages_of(batch):
+                page = oriented(page, degrees)
+                for side, half in enumerate(split(page, cut_of(page, min_ink))):
+                    y, x = deskewed(half) if half.size else (np.empty(0, int), np.empty(0, int))
+                    if len(y):
+                        order = np.lexsort((x, y))
+                        rows.append((2 * batch.column(0)[i].as_py() + side, x.min(), y.min(), x.max(), y.max(), y[order], x[order]))
+            kinds = (pa.int64(), *[pa.int32()] * 4, *[pa.list_(pa.int32())] * 2)
+            names = ["page_id", "left", "top", "right", "bottom", "y", "x"]
+            yield pa.RecordBatch.from_arrays([pa.array([row[j] for row in rows], kind) for j, kind in enumerate(kinds)], names)
 
-def content_boxes(pixels: DataFrame) -> DataFrame:
-    """Stage 4."""
-    return r.bounding_box(pixels)
+    schema = "page_id long, `left` int, top int, `right` int, bottom int, y array<int>, x array<int>"
+    return pages.select("page_id", "height", "width", "black").mapInArrow(run, schema)
 
 
 def with_margins(boxes: DataFrame, margin: int) -> DataFrame:
@@ -74,15 +84,12 @@ def with_margins(boxes: DataFrame, margin: int) -> DataFrame:
     return j.withColumns({"dx": F.floor((F.col("page_w") - F.col("w")) / 2 + margin).cast("int"), "dy": F.floor((F.col("page_h") - F.col("h")) / 2 + margin).cast("int")})
 
 
-def output(pixels: DataFrame, layout: DataFrame) -> DataFrame:
-    """Stage 6: content moved to its place, black and white."""
-    p = pixels.join(layout, "page_id").where("x between `left` and `right` and y between top and bottom and black = 1")
-    return p.select("page_id", (F.col("y") - F.col("top") + F.col("dy")).alias("y"), (F.col("x") - F.col("left") + F.col("dx")).alias("x"), "page_w", "page_h")
+def output(layout: DataFrame) -> DataFrame:
+    """Stage 6: the ink of each page moved to its place."""
+    ink = layout.select("page_id", "left", "top", "dx", "dy", "page_w", "page_h", F.inline(F.arrays_zip("y", "x")))
+    return ink.select("page_id", (F.col("y") - F.col("top") + F.col("dy")).alias("y"), (F.col("x") - F.col("left") + F.col("dx")).alias("x"), "page_w", "page_h")
 
 
-def process(pixels: DataFrame, margin: int = 1) -> DataFrame:
+def process(pages: DataFrame, margin: int = 1) -> DataFrame:
     """Black pixels of all output pages, with the common size."""
-    p = oriented(pixels)
-    p = split(p, whitespace_cuts(p, 3, 8))
-    p = deskewed(p)
-    return output(p, with_margins(content_boxes(p), margin))
+    return output(with_margins(prepared(pages), margin))

@@ -9,7 +9,7 @@ from pyspark.sql import Window, functions as F
 
 from leafmill.functions import colour as co
 from leafmill.operators import binarize as bz, kernels as k, raster as r
-from leafmill.plans import fixtures as fx, stages
+from leafmill.plans import fixtures as fx
 from leafmill.plans.raster_queries import C, HIST, OTSU, STATS, V, box, stats
 from leafmill.plans.registry import Registry
 
@@ -172,16 +172,16 @@ def page_palettes(spark, sf):
         tones, counts = np.unique(a, return_counts=True)
         return sorted(int(m[0] + 0.5) for m in k.colour_means(tones[:, None].astype(float), counts, 4))
 
-    return stages.page_values(fx.vector_pixels(spark, sf), palette, "v", "palette", "array<int>")
+    return k.map_values(fx.vector_pages(spark, sf), palette, "v", "palette", "array<int>")
 
 
 @reg.add(None)
 def ink_hulls(spark, sf):
     """Corners of the hull of each page's black pixels."""
-    return stages.page_values(fx.vector_pixels(spark, sf), lambda b: k.convex_hull(np.argwhere(b > 0)[:, ::-1]).tolist() if b.any() else [], "black", "hull", "array<array<int>>")
+    return k.map_values(fx.vector_pages(spark, sf), lambda b: k.convex_hull(np.argwhere(b > 0)[:, ::-1]).tolist() if b.any() else [], "black", "hull", "array<array<int>>")
 
 
 @reg.add(None)
 def line_peaks(spark, sf):
     """Best lines of each page with no better one beside them: angle bin, distance, votes."""
-    return stages.page_values(fx.vector_pixels(spark, sf), lambda b: [list(p) for p in k.hough_peaks(b)], "black", "lines", "array<array<int>>")
+    return k.map_values(fx.vector_pages(spark, sf), lambda b: [list(p) for p in k.hough_peaks(b)], "black", "lines", "array<array<int>>")

@@ -54,3 +54,32 @@ def track(listings: DataFrame) -> DataFrame:
 def ignoring(listings: DataFrame, existing: DataFrame) -> DataFrame:
     """Listings of files that weren't there at the start."""
     return listings.join(existing.select("path").distinct(), "path", "left_anti")
+
+
+def moved_anchor(state: tuple[str, str], what: str, file: str) -> tuple[str, str]:
+    """(anchor, last inserted file) after an event: a page is selected, a scan inserted, or the anchor cleared.
+
+    Selecting the anchor or the scan inserted last is no new start, so scans go on behind one another.
+    """
+    anchor, last = state
+    if what == "cleared":
+        return "", ""
+    if what == "selected" and file and file not in (anchor, last):
+        return file, file
+    if what == "inserted" and anchor:
+        return anchor, file
+    return state
+
+
+def insertion_anchors(events: DataFrame, session: str, order: list[str]) -> DataFrame:
+    """events (what, file, ...) with the anchor and the file that the next scan goes behind, after each; a session's events are one user's work and meet in one task."""
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(order)
+        state, seen = ("", ""), []
+        for what, file in zip(part["what"], part["file"], strict=True):
+            state = moved_anchor(state, what, file)
+            seen.append(state)
+        return part.assign(anchor=[s[0] for s in seen], after=[s[1] for s in seen])
+
+    return events.groupBy(session).applyInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema) + ", anchor string, after string")

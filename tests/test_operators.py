@@ -185,3 +185,209 @@ def test_hull_homography_skew():
         for x in range(10, 190):
             black[int(round(y + np.tan(np.radians(2.0)) * (x - 100))), x] = 1
     assert abs(k.skew_angle(black) - 2.0) < 0.3
+
+
+def around(a, y, x, r):
+    return a[max(0, y - r) : y + r + 1, max(0, x - r) : x + r + 1]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_windows_of_pages_against_loops(seed):
+    a = np.random.default_rng(seed).integers(0, 256, (9, 11))
+    each = lambda f: np.array([[f(around(a, y, x, 2)) for x in range(11)] for y in range(9)])
+    assert np.allclose(k.box_median(a, 2, at_once=100), each(np.median)) and np.allclose(k.box_median(a, 2), each(np.median))
+    assert np.allclose(k.ring_means(a, 2), each(np.mean))
+    assert (k.niblack(a, 2, 0.5) == np.floor(np.clip(each(np.mean) - 0.5 * each(np.std), 0, 255) + 1e-9)).mean() > 0.98
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_nearest_labels_against_all_pairs(seed):
+    rng = np.random.default_rng(seed)
+    label = np.where(rng.random((7, 9)) < 0.12, rng.integers(1, 5, (7, 9)), 0)
+    squared, near = k.nearest(label)
+    places = np.argwhere(label > 0)
+    for y in range(7):
+        for x in range(9):
+            want = min(((p - y) ** 2 + (q - x) ** 2, label[p, q]) for p, q in places) if len(places) else (np.inf, 0)
+            assert (squared[y, x], near[y, x]) == want
+
+
+def test_blur_keeps_flat_pages_and_the_sum():
+    assert np.allclose(k.blur(np.full((6, 7), 9), 2, 3), 9)
+    spot = np.zeros((31, 31))
+    spot[15, 15] = 1000
+    made = k.blur(spot, 2.0, 2.0)
+    want = np.exp(-0.5 * ((np.arange(31) - 15) / 2.0) ** 2)
+    assert np.allclose(made, 1000 * np.outer(want, want) / want.sum() ** 2, atol=1e-3)
+    assert (k.sharpen(np.full((5, 5), 80), 1, 0.8) == 80).all()
+
+
+def test_despeckling_spreads_from_what_is_kept():
+    black = np.zeros((12, 30), int)
+    black[2:6, 2:6] = 1  # big
+    black[3:5, 8] = 1  # two pixels, two away: stays for it
+    black[3:5, 11] = 1  # stays for the one before
+    black[9, 28] = 1  # one pixel: goes
+    black[3:5, 25] = 1  # two pixels, far off: goes
+    kept = k.despeckle(black, 2, 10, 2.2)
+    assert kept[:, :12].sum() == 16 + 4 and kept[:, 12:].sum() == 0
+    assert (k.despeckle(np.zeros((3, 3), int), 2, 10, 2.2) == 0).all()
+
+
+def test_two_tones_lie_between_the_means():
+    assert k.two_tones(np.array([[10] * 5 + [200] * 5])) == 105
+    assert k.two_tones(np.array([[10] * 5 + [200] * 5]), delta=64) > 105 and k.two_tones(np.full((2, 2), 7)) in (7, 8)
+
+
+def test_denoising_against_single_pixels():
+    a = np.random.default_rng(1).integers(0, 256, (6, 7))
+    made = k.denoise(a, 2, 0.5)
+    for y in range(6):
+        for x in range(7):
+            colour, weight, alike = float(a[y, x]), 1.0, 1 / 25
+            for r in (1, 2):
+                mean = around(a, y, x, r).mean()
+                w = np.exp(-(r * r / 25 + ((a[y, x] - mean) / 255 * r / 0.5) ** 2))
+                colour, weight, alike = colour + mean * w * 8 * r, weight + w * 8 * r, alike + (8 * r / 25 if w > 0.02 else 0)
+            colour /= weight
+            assert made[y, x] == int(min(255, max(0, colour + (a[y, x] - colour) * (0.16 if alike > 0.66 else 0.84))) + 0.5)
+    assert (k.denoise(np.full((5, 5), 77), 2, 0.5) == 77).all()
+
+
+def test_ink_on_uneven_paper():
+    y, x = np.indices((40, 60))
+    paper = 120 + 2 * x
+    page_ = np.where((y % 10 < 2) & (x % 7 < 4), paper - 90, paper)
+    ink = (y % 10 < 2) & (x % 7 < 4)
+    for black in (k.gatos(page_, 6, 0.2), (page_ < k.multi_scale(page_, 4, 0.5)), (r_ := k.robust(page_, 8, 0.2)) < k.two_tones(r_)):
+        assert ((black > 0) == ink).mean() > 0.85
+    assert k.robust(np.zeros((3, 3), int), 1, 0.5).tolist() == [[255] * 3] * 3
+
+
+def test_patterns_are_replaced_and_may_reach_over_the_page():
+    hole = np.array([[1, 1, 1], [1, 0, 1], [0, 1, 0]])
+    assert k.hit_miss_replace(hole, ["XXX", "X+X", "?? "])[1, 1] == 1
+    assert k.hit_miss_replace(np.array([[0, 1, 1]]), ["   ", " -X", "   "]).tolist() == [[0, 0, 1]]
+    nub = np.array([[0, 0, 0, 0], [0, 1, 0, 0], [1, 1, 1, 1]])
+    assert k.hit_miss_replace(nub, ["   ", " - ", "XXX"])[1, 1] == 0
+    for turns in range(4):
+        turned = np.rot90(nub, turns)
+        assert (np.rot90(k.hit_miss_all_ways(turned, ["   ", " - ", "XXX"]), -turns)[1] == 0).all()
+    assert (k.hit_miss_replace(nub, ["XX", "XX"]) == nub).all()
+
+
+def test_surfaces_resampling_and_smoothing_of_planes():
+    y, x = np.indices((8, 9))
+    plane = 10 + 3 * x + 5 * y
+    assert np.allclose(k.fit_surface(plane, 1, 1), plane) and (k.polynomial_smooth(plane)[2:-2, 2:-2] == plane[2:-2, 2:-2]).all()
+    same = k.resample(plane, np.array([[1.0, 0, 0], [0, 1.0, 0]]), 8, 9)
+    moved = k.resample(plane, np.array([[1.0, 0, 2], [0, 1.0, 0]]), 8, 9)
+    assert (same == plane).all() and (moved[:, :7] == plane[:, 2:]).all() and (moved[:, 7:] == 255).all()
+    assert (k.subtract_background(np.full((5, 5), 155), 2, 1.0) == 255).all()
+
+
+def test_lines_hulls_and_colours():
+    black = np.zeros((20, 20), int)
+    black[7] = 1
+    (angle, distance, votes), *_ = k.hough_peaks(black)
+    assert (angle, distance, votes) == (18, 7, 20)
+    means = k.colour_means(np.array([[0.0], [2.0], [100.0], [103.0]]), np.array([5, 5, 5, 10]), 2)
+    assert sorted(means[:, 0].tolist()) == [1.0, 102.0]
+
+
+def test_pages_as_rows_and_as_pixels_agree(spark):
+    rng = np.random.default_rng(3)
+    pages = [rng.integers(0, 256, s) for s in ((3, 4), (1, 1), (5, 2))]
+    rows = spark.createDataFrame([(i, *p.shape, p.ravel().tolist()) for i, p in enumerate(pages)], "page_id long, height int, width int, v array<int>")
+    flat = spark.createDataFrame([(i, int(y), int(x), int(p[y, x])) for i, p in enumerate(pages) for y, x in np.argwhere(p >= 0)], "page_id long, y int, x int, v int")
+    f = lambda a: 255 - a.T
+    assert sorted(map(tuple, k.map_pages(rows, f).collect())) == sorted(map(tuple, k.per_page(flat, f).collect()))
+    assert k.map_pages(rows, f, where=lambda a: a > 300).count() == 0
+    assert {v.page_id: v.top for v in k.map_values(rows, lambda a: int(a.max()), "v", "top", "int").collect()} == {i: int(p.max()) for i, p in enumerate(pages)}
+
+
+def test_stages_of_a_drawn_spread(spark):
+    from leafmill.plans import stages
+
+    spread = np.zeros((30, 61), int)
+    for left in (4, 36):
+        spread[6:26:4, left : left + 20] = 1
+    assert stages.cut_of(spread, 3) == 30.0 and stages.cut_of(np.ones((4, 6), int), 3) == 3.0
+    assert (stages.oriented(np.array([[1, 2], [3, 4]]), 90) == [[3, 1], [4, 2]]).all()
+    rows = spark.createDataFrame([(5, 30, 61, spread.ravel().tolist())], "page_id long, height int, width int, black array<int>")
+    boxes = {b.page_id: (b.left, b.top, b.right, b.bottom) for b in stages.prepared(rows).collect()}
+    assert boxes == {10: (4, 6, 23, 22), 11: (6, 6, 25, 22)}
+    out = stages.process(rows, margin=2).toPandas()
+    assert (out["page_w"] == 24).all() and (out["page_h"] == 21).all() and out.groupby("page_id").size().tolist() == [100, 100]
+    assert out["x"].min() == 2 and out["y"].min() == 2
+
+
+def test_tones_by_single_steps(spark):
+    from leafmill.operators import tones
+
+    df = spark.range(256).select((F.col("id") / 255.0).alias("x"))
+    run = lambda **tone: [v[0] for v in df.select(tones.half_up(tones.adjusted(F.col("x"), **tone) * 255)).collect()]
+    assert run() == list(range(256)) and run(exposure=1.0)[100] == 200 and run(contrast=100)[128] == 129
+    assert run(blacks=100)[0] == 64 and run(blacks=-100)[64] == 0 and run(whites=100)[255] == 255 and run(highlights=-100)[255] == 153 and run(shadows=100)[0] == 102
+
+
+def test_tiff_and_png_round_trips(spark, tmp_path):
+    from leafmill.sources import tiff
+
+    rng = np.random.default_rng(0)
+    gray, colour = rng.integers(0, 256, (13, 17)).astype(np.uint8), rng.integers(0, 256, (5, 9, 3)).astype(np.uint8)
+    ink = np.where(rng.random((11, 21)) < 0.5, 0, 255).astype(np.uint8)
+    data = tiff.encode([tiff.Page(gray, (300, 300)), tiff.Page(colour, (72, 72)), tiff.Page(ink, (600, 600), True)])
+    a, b, c_ = tiff.decode(data)
+    assert (a.pixels == gray).all() and (b.pixels == colour).all() and (c_.pixels == ink).all() and c_.bitonal and c_.dpi == (600, 600)
+    assert list(image_headers.tiff(data))[2][2:4] == (21, 11)
+    z = zlib.compress(b"\0\x0a\x14\2\1\1")
+    png = b"\x89PNG\r\n\x1a\n" + struct.pack(">I4sIIBBBBB", 13, b"IHDR", 2, 2, 8, 0, 0, 0, 0) + b"crc_" + struct.pack(">I4s", len(z), b"IDAT") + z + b"crc_" + struct.pack(">I4s", 0, b"IEND") + b"crc_"
+    for name, content in (("a.tif", data), ("b.png", png), ("c.tif", b"II*\0" + b"\xff" * 9), ("d.tif", b"MM\0*\0")):
+        (tmp_path / name).write_bytes(content)
+    rows = tiff.read_pages(spark, str(tmp_path)).collect()
+    found = {(r_.path.rsplit("/", 1)[1], r_.page): r_ for r_ in rows}
+    assert found["b.png", 0].pixels == [10, 20, 11, 21] and found["a.tif", 1].channels == 3 and found["a.tif", 0].pixels == gray.ravel().tolist()
+    assert found["c.tif", None].error and found["d.tif", None].error
+    assert tiff.decoded(tiff.encode([tiff.Page(np.full((40, 60), 9, np.uint8), (300, 300))]), 10)[0].pixels.shape == (10, 15)
+    pages = spark.createDataFrame([(1, 2, 3, [0, 255, 0, 255, 0, 255], True, 300.0)], "page_id long, height int, width int, pixels array<int>, bitonal boolean, dpi double")
+    assert tiff.decode(bytes(tiff.encoded(pages).first().tiff))[0].pixels.tolist() == [[0, 255, 0], [255, 0, 255]]
+
+
+def test_tiff_samples_of_other_kinds():
+    from leafmill.sources import tiff
+
+    def simple(order, width, bits, form, photometric, data):
+        out = bytearray((b"II*\0" if order == "<" else b"MM\0*") + struct.pack(order + "I", 8 + len(data) + len(data) % 2)) + data + b"\0" * (len(data) % 2)
+        tags = [(256, width), (257, 1), (258, bits), (259, 1), (262, photometric), (273, 8), (279, len(data)), (339, form)]
+        return bytes(out + struct.pack(order + "H", len(tags)) + b"".join(struct.pack(order + "HHII", t, 4, 1, v) for t, v in tags) + b"\0\0\0\0")
+
+    for order in "<>":
+        read = lambda *args: tiff.decode(simple(order, *args))[0].pixels.tolist()  # noqa: B023, E731
+        assert read(3, 16, 2, 1, np.array([-100, 0, 155], order + "i2").tobytes()) == [[0, 100, 255]]
+        assert read(4, 32, 3, 1, np.array([0, 0.5, 1, np.nan], order + "f4").tobytes()) == [[0, 128, 255, 0]]
+        assert read(3, 16, 3, 0, np.array([0, 2, 4], order + "f2").tobytes()) == [[255, 127, 0]]
+        assert read(3, 4, 1, 1, bytes((0x0F, 0x70))) == [[0, 255, 119]]
+    assert tiff.unpack_bits(tiff.pack_bits(b"aaaaab" * 60 + b"xyz")) == b"aaaaab" * 60 + b"xyz"
+    codes = [256, 97, 258, 98, 257]  # a, aa, b
+    bits = "".join(format(code, "09b") for code in codes)
+    assert tiff.unpack_lzw(bytes(int(bits[i : i + 8].ljust(8, "0"), 2) for i in range(0, len(bits), 8))) == b"aaab"
+
+
+def test_outlines_and_names(spark):
+    from leafmill.operators import dependencies as d
+
+    names = {"a.tif": None, "": "empty", "a\tb": "control", "a:b": "character", "end.": "end", "end ": "end"}
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    assert {r_.n: r_.why for r_ in df.select("n", d.bad_name(F.col("n")).alias("why")).collect()} == names
+    paths = {"/a/../b:c/../d": None, "/x./y": "end", "": "empty", "//a//./b": None, "/a/b?/c:d": "character"}
+    df = spark.createDataFrame([(n,) for n in paths], "n string")
+    assert {r_.n: r_.why for r_ in df.select("n", d.bad_path(F.col("n")).alias("why")).collect()} == paths
+
+
+def test_scans_go_behind_one_another():
+    state, seen = ("", ""), []
+    for what, file in (("inserted", "s0"), ("selected", "a"), ("inserted", "s1"), ("selected", "s1"), ("inserted", "s2"), ("selected", "b"), ("cleared", "")):
+        state = scans.moved_anchor(state, what, file)
+        seen.append(state)
+    assert seen == [("", ""), ("a", "a"), ("a", "s1"), ("a", "s1"), ("a", "s2"), ("b", "b"), ("", "")]
