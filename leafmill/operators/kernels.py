@@ -72,6 +72,71 @@ def map_values(pages: DataFrame, f: Callable[[np.ndarray], object], value: str,
     return pages.select("page_id", "height", "width", value).mapInArrow(run, f"page_id {key}, {out} {kind}")
 
 
+#: Code points that are blank on a page made of text.
+BLANKS = np.array([0x20, *range(0x09, 0x0E)], np.uint32)
+
+
+def text_tones(text: str) -> np.ndarray:
+    """One pixel a character: 255 where it is blank, else its code point modulo 200."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.where(np.isin(codes, BLANKS), 255, codes % 200).astype(np.int64)
+
+
+def map_texts(docs: DataFrame, f: Callable[[np.ndarray], dict[str, np.ndarray] | None], schema: str) -> DataFrame:
+    """(page_id, schema) of f(tones) for each (page_id, text): columns of equal length, or None for no rows. Null texts have none."""
+    key = docs.schema["page_id"].dataType.simpleString()
+    names = [c.split()[0].strip("`") for c in schema.split(", ")]
+    kinds = [{"int": pa.int32(), "long": pa.int64(), "string": pa.string()}[c.split()[1]] for c in schema.split(", ")]
+
+    def run(batches):
+        for batch in batches:
+            rows, made = [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                found = f(text_tones(text)) if text else None
+                if found is not None:
+                    made.append(found)
+                    rows += [i] * len(found[names[0]])
+            if rows:
+                columns = [pa.array(np.concatenate([m[n] for m in made]), kind) for n, kind in zip(names, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), *columns], ["page_id", *names])
+
+    return docs.select("page_id", "text").mapInArrow(run, f"page_id {key}, {schema}")
+
+
+def otsu_level(tones: np.ndarray) -> int:
+    """Threshold between two classes of tones: the middle of the first and the last level whose variance between classes is greatest; 0 for one tone."""
+    n = np.bincount(tones, minlength=256)
+    own = np.flatnonzero(n)
+    dark, total = np.cumsum(n)[own[:-1]], int(n.sum())
+    dark_sum = np.cumsum(n * np.arange(256))[own[:-1]]
+    if not len(dark):
+        return 0
+    light, light_sum = total - dark, int((n * np.arange(256)).sum()) - dark_sum
+    apart = dark_sum / dark - light_sum / light
+    variance = apart * apart * dark.astype(float) * light.astype(float)
+    best = np.flatnonzero(variance == variance.max())
+    # A level without pixels has the variance of the one before.
+    return int(own[best[0]] + own[best[-1] + 1] - 1 + 2) // 2
+
+
+def ink_projections(tones: np.ndarray, width: int = 64) -> dict[str, np.ndarray]:
+    """Inked pixels of each row and column of a page filled row by row."""
+    at = np.arange(len(tones))
+    rows, columns = (np.bincount(i, tones < 255) for i in (at // width, at % width))
+    return {"axis": np.repeat(["row", "column"], (len(rows), len(columns))), "i": np.concatenate((np.arange(len(rows)), np.arange(len(columns)))), "n": np.concatenate((rows, columns)).astype(np.int64)}
+
+
+def content_box(tones: np.ndarray, width: int = 64) -> dict[str, np.ndarray] | None:
+    """Threshold, bounding box and number of the pixels under it."""
+    cut = otsu_level(tones)
+    ink = np.flatnonzero(tones < cut)
+    if not len(ink):
+        return None
+    x = ink % width
+    found = {"threshold": cut, "left": x.min(), "top": ink[0] // width, "right": x.max(), "bottom": ink[-1] // width, "ink": len(ink)}
+    return {name: np.array([v]) for name, v in found.items()}
+
+
 def grid(part: pd.DataFrame, value: str) -> np.ndarray:
     out = np.zeros((part["y"].max() + 1, part["x"].max() + 1), np.int64)
     out[part["y"].to_numpy(), part["x"].to_numpy()] = part[value].to_numpy()

@@ -67,6 +67,11 @@ def text_pixels(spark: SparkSession, sf_dir: str, width: int = 64, per_page: Dat
     return chars.select("page_id", *more, F.floor(F.col("pos") / width).cast("int").alias("y"), (F.col("pos") % width).cast("int").alias("x"), F.when(blank, 255).otherwise(F.ascii("ch") % 200).alias("v"), F.when(blank, 0).otherwise(1).alias("black"))
 
 
+def text_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pages as (page_id, text), for kernels on whole texts."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), "text")
+
+
 TEXT_PIXELS = r"""text_chars AS (SELECT doc_id AS page_id, unnest(string_split(text, '')) AS ch, unnest(range(len(string_split(text, '')))) AS pos FROM documents),
 text_pixels AS (SELECT page_id, CAST(pos // 64 AS INT) AS y, CAST(pos % 64 AS INT) AS x,
   CASE WHEN ch IN (' ', chr(9), chr(10), chr(11), chr(12), chr(13)) THEN 255 ELSE unicode(ch) % 200 END AS v,

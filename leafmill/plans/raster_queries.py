@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window, functions as F
 
 from leafmill.operators import binarize as bz
-from leafmill.operators import raster as r
+from leafmill.operators import kernels as k, raster as r
 from leafmill.plans import fixtures as fx
 from leafmill.plans.registry import Registry
 
@@ -39,7 +40,7 @@ def rgb_histogram(spark, sf):
 
 @reg.add(f"{T} SELECT page_id, 'row' AS axis, y AS i, sum(black) AS n FROM text_pixels GROUP BY 1, 3 UNION ALL SELECT page_id, 'column', x, sum(black) FROM text_pixels GROUP BY 1, 3")
 def row_and_column_projections(spark, sf):
-    return r.projections(fx.text_pixels(spark, sf))
+    return k.map_texts(fx.text_pages(spark, sf), k.ink_projections, "axis string, i int, n long")
 
 
 @reg.add(f"{T} SELECT page_id, min(x) AS \"left\", min(y) AS top, max(x) AS \"right\", max(y) AS bottom, count(*) AS ink FROM text_pixels WHERE black = 1 GROUP BY 1")
@@ -62,15 +63,12 @@ otsu AS (SELECT page_id, CAST((coalesce(min(v) FILTER (WHERE var = top), -1) + c
 
 @reg.add(f"{T}, {HIST.format(t='text_pixels')}, {OTSU} SELECT * FROM otsu")
 def otsu_threshold(spark, sf):
-    return r.otsu(fx.text_pixels(spark, sf))
+    return k.map_texts(fx.text_pages(spark, sf), lambda v: {"threshold": np.array([k.otsu_level(v)])}, "threshold int")
 
 
 @reg.add(f"{T}, {HIST.format(t='text_pixels')}, {OTSU} SELECT page_id, threshold, min(x) AS \"left\", min(y) AS top, max(x) AS \"right\", max(y) AS bottom, count(*) AS ink FROM text_pixels JOIN otsu USING (page_id) WHERE v < threshold GROUP BY 1, 2")
 def content_box_of_pages(spark, sf):
-    cuts = r.otsu(fx.text_pixels(spark, sf))
-    # Thresholds meet whole pages, so no pixel is shuffled.
-    p = fx.text_pixels(spark, sf, per_page=cuts).where("v < threshold").withColumn("black", F.lit(1))
-    return p.groupBy("page_id", "threshold").agg(F.min("x").alias("left"), F.min("y").alias("top"), F.max("x").alias("right"), F.max("y").alias("bottom"), F.count("*").alias("ink"))
+    return k.map_texts(fx.text_pages(spark, sf), k.content_box, "threshold int, `left` int, top int, `right` int, bottom int, ink long")
 
 
 @reg.add(f"{V}, {HIST.format(t='pixels')}, {OTSU} SELECT page_id, y, x, CASE WHEN v < least(greatest(threshold + 10, 30), 225) THEN 1 ELSE 0 END AS black FROM pixels JOIN otsu USING (page_id)")
