@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.plans import catalogue_queries, filter_queries, page_queries, raster_queries, settings_queries, tone_queries
+from leafmill.plans import catalogue_queries, filter_queries, layout_queries, page_queries, raster_queries, settings_queries, tone_queries
 
-MODULES = (catalogue_queries, raster_queries, page_queries, tone_queries, settings_queries, filter_queries)
+MODULES = (catalogue_queries, raster_queries, page_queries, tone_queries, settings_queries, filter_queries, layout_queries)
 
 
 def queries() -> dict:

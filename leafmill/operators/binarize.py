@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+
 def _page(c: Column) -> Column:
     return c.over(Window.partitionBy("page_id"))
 
@@ -105,3 +106,43 @@ def mokji(pixels: DataFrame, edge: int, magnitude: int) -> DataFrame:
     inside = F.col("x").between(edge, F.col("w") - edge) & F.col("y").between(edge, F.col("h") - edge) & (F.col("v") - F.col("dark") >= magnitude)
     g = p.groupBy("page_id").agg(F.sum(F.when(inside, F.col("dark") + F.col("v"))).alias("s"), F.count_if(inside).alias("n"))
     return g.select("page_id", F.coalesce(F.when(F.col("n") > 0, F.floor(0.5 * F.col("s") / F.col("n") + 0.5)), F.lit(128)).cast("int").alias("threshold"))
+
+
+#: All methods by name: how a page's threshold or map is made.
+GLOBAL, KERNEL = ("otsu", "mokji", "peak", "bimodal"), ("gatos", "robust", "multi_scale")
+EDGES = {"edge_plus": (0.75, 0.0), "blur_div": (0.0, 0.75), "edge_div": (0.75, 0.75)}
+ALL_METHODS = (*GLOBAL, *METHODS, "singh", *EDGES, *KERNEL)
+
+
+def black_by(pixels: DataFrame, method: str, window: int = 51, k: float | None = None, delta: float = 0.0, low: int = 0, high: int = 255) -> DataFrame:
+    """(page_id, y, x, black) by any of ALL_METHODS: darker than the threshold, always black below low and never above high."""
+    from leafmill.operators import kernels, raster, tones
+
+    if method not in ALL_METHODS:
+        raise ValueError(f"no method {method}; there are {', '.join(ALL_METHODS)}")
+    radius = max(1, window // 2)
+    if method in KERNEL or method == "bimodal":
+        shift = int(delta)
+        made = {
+            "gatos": lambda a: kernels.gatos(a, radius, 0.2 if k is None else k, shift),
+            "robust": lambda a: (x := kernels.robust(a, radius, 0.2 if k is None else k)) < kernels.two_tones(x, shift, low, high),
+            "multi_scale": lambda a: a < kernels.multi_scale(a, radius, 0.5 if k is None else k) + shift,
+            "bimodal": lambda a: a < kernels.two_tones(a, shift, low, high),
+        }[method]
+        bounded = lambda a: ((a < low) | ((a <= high) & (made(a) > 0))).astype(int)
+        return kernels.per_page(pixels, bounded, "v", "black")
+    if method in GLOBAL or method in EDGES:
+        # A filtered page has its threshold by itself; bounds are on the page as it was.
+        read = edge_divided(raster.local_stats(pixels, window, window).withColumn("own", F.col("v")), *EDGES[method]) if method in EDGES else pixels.withColumn("own", F.col("v"))
+        if method == "mokji":
+            cuts = mokji(read, max(1, radius // 10), 20)
+        elif method == "peak":
+            cuts = raster.dense_histogram(read).select("page_id", raster.peak_threshold(F.col("h")).alias("threshold"))
+        else:
+            cuts = raster.otsu(read)
+        t = read.join(cuts, "page_id").withColumn("t", F.col("threshold") + delta)
+    else:
+        stats = raster.local_stats(pixels, window, window).withColumn("own", F.col("v"))
+        t = stats.withColumn("t", tones.singh(0.2 if k is None else k, delta)) if method == "singh" else thresholds(stats, method, k, delta)
+    black = (F.col("own") < low) | ((F.col("own") <= high) & (F.col("v") < F.col("t")))
+    return t.select("page_id", "y", "x", F.when(black, 1).otherwise(0).alias("black"))

@@ -42,3 +42,43 @@ def write_images(images: DataFrame, path: str) -> None:
     """Images as elements with surrogate ids by folder and name."""
     rows = images.select(F.concat_ws("/", "dir", "name").alias("_file"), F.col("image_id").alias("_id"), F.col("sub_pages").alias("_subPages"), F.col("removed").alias("_removed"))
     rows.write.format("xml").option("rootTag", "images").option("rowTag", "image").mode("overwrite").save(path)
+
+
+_RECT = "struct<_x: string, _y: string, _width: string, _height: string>"
+#: What a step keeps of a page: its parameters as XML has them, the attribute that tells the step, and columns with their types.
+STEPS = {
+    "content": (
+        f"_contentDetectionMode string, _pageDetectionMode string, _fineTuneCorners string, `content-rect` {_RECT}, `page-rect` {_RECT}", "_contentDetectionMode",
+        {"content_mode": ("_contentDetectionMode", "string"), "page_mode": ("_pageDetectionMode", "string"), "corners": ("_fineTuneCorners", "int")} | {f"{kind}_{side}": (f"`{kind}-rect`._{side}", "double") for kind in ("content", "page") for side in ("x", "y", "width", "height")},
+    ),
+    "layout": (
+        "_autoMargins string, hardMarginsMM struct<_left: string, _top: string, _right: string, _bottom: string>, alignment struct<_hor: string, _vert: string, _null: string>", "_autoMargins",
+        {"auto_margins": ("_autoMargins", "int"), "align_h": ("alignment._hor", "string"), "align_v": ("alignment._vert", "string"), "align_null": ("alignment._null", "int")} | {f"margin_{side[0]}": (f"hardMarginsMM._{side}", "double") for side in ("left", "top", "right", "bottom")},
+    ),
+    "output": (
+        "_blackOnWhite string, _despeckleLevel string, _depthPerception string, dpi struct<_horizontal: string, _vertical: string>, `color-params` struct<_colorMode: string, bw: struct<_binarizationMethod: string, _windowSize: string, _sauvolaCoef: string, _thresholdAdj: string>>", "_despeckleLevel",
+        {"black_on_white": ("_blackOnWhite", "int"), "despeckle": ("_despeckleLevel", "double"), "depth": ("_depthPerception", "double"), "dpi_x": ("dpi._horizontal", "int"), "dpi_y": ("dpi._vertical", "int"), "color_mode": ("`color-params`._colorMode", "string")}
+        | {name: (f"`color-params`.bw._{attribute}", kind) for name, attribute, kind in (("method", "binarizationMethod", "string"), ("window", "windowSize", "int"), ("coef", "sauvolaCoef", "double"), ("delta", "thresholdAdj", "int"))},
+    ),
+}
+
+
+def read_settings(spark: SparkSession, path: str, step: str) -> DataFrame:
+    """(page_id, ...) of a step's parameters. Rows without a usable id are left out, values that can't be read are null; the last row of a page counts."""
+    schema, marker, columns = STEPS[step]
+    rows = spark.read.format("xml").option("rowTag", "page").schema(f"_id string, params struct<{_struct(schema)}>").load(path)
+    typed = [F.expr(f"try_cast(params.{where} AS {kind})").alias(name) for name, (where, kind) in columns.items()]
+    found = rows.where(F.col(f"params.{marker}").isNotNull()).select(F.col("_id").try_cast("int").alias("page_id"), F.monotonically_increasing_id().alias("__n"), *typed).where("page_id is not null")
+    last = Window.partitionBy("page_id").orderBy(F.desc("__n"))
+    return found.withColumn("__last", F.row_number().over(last)).where("__last = 1").drop("__last", "__n")
+
+
+def _struct(columns: str) -> str:
+    """Columns of a schema as fields of a struct."""
+    import re
+
+    parts, depth, out = columns.split(", "), 0, []
+    for part in parts:
+        out.append(re.sub(r"^(`[^`]+`|\S+) ", r"\1: ", part) if depth == 0 else part)
+        depth += part.count("<") - part.count(">")
+    return ", ".join(out)

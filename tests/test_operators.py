@@ -391,3 +391,155 @@ def test_scans_go_behind_one_another():
         state = scans.moved_anchor(state, what, file)
         seen.append(state)
     assert seen == [("", ""), ("a", "a"), ("a", "s1"), ("a", "s1"), ("a", "s2"), ("b", "b"), ("", "")]
+
+
+@pytest.mark.parametrize("size", [(1, 1), (3, 3), (4, 7), (2, 5)])
+def test_box_extremes_and_openings_against_loops(size):
+    from leafmill.operators import layout
+
+    h, w = size
+    a = np.random.default_rng(h * w).integers(0, 256, (8, 10))
+    box = lambda y, x: a[max(0, y - h // 2) : y - h // 2 + h, max(0, x - w // 2) : x - w // 2 + w]
+    for f, dark in ((np.min, True), (np.max, False)):
+        assert (layout.box_extreme(a, h, w, dark) == [[f(box(y, x)) for x in range(10)] for y in range(8)]).all()
+    black = np.zeros((12, 14), int)
+    black[3 : 3 + h, 5 : 5 + w] = 1
+    black[0, 0] = 1
+    kept = layout.opened(black, h, w)
+    assert kept[3 : 3 + h, 5 : 5 + w].all() and (size == (1, 1) or kept[1:].sum() == h * w)
+
+
+def test_pictures_are_told_from_text():
+    from leafmill.operators import layout
+
+    page_ = np.full((90, 90), 240)
+    page_[5:40:6, 5:80] = 20  # lines of text
+    page_[50:85, 10:60] = 60 + np.add.outer(np.arange(35), np.arange(50)) % 90
+    mask = layout.picture_mask(page_, 15)
+    assert mask[55:80, 15:55].mean() > 0.95 and mask[:42].mean() < 0.05 and mask[:, 70:].mean() < 0.05
+    assert layout.rectangles(np.array([[1, 1, 0, 0, 0], [0, 0, 0, 0, 0], [0, 0, 0, 1, 1]])) == [(0, 0, 2, 1), (3, 2, 2, 1)]
+    ring = np.ones((6, 6), int)
+    ring[1:5, 1:5] = 0
+    ring[2, 2] = 1
+    assert layout.rectangles(ring) == [(0, 0, 6, 6)]
+
+
+def test_shadows_go_and_text_stays():
+    from leafmill.operators import layout
+
+    black = np.zeros((60, 80), int)
+    black[:, :6] = 1
+    black[10:50:8, 20:70] = 1
+    left = layout.without_shadows(black, ((3, 40), (40, 3)))
+    assert left[:, :6].sum() == 0 and left[:, 20:].sum() == black[:, 20:].sum()
+    assert layout.page_box(black) == (20, 10, 69, 42)
+    black[55, 78] = 1
+    assert layout.trimmed_box(left | np.where(black > 0, np.indices(black.shape)[1] > 70, 0), (0, 0, 79, 59)) == (0, 0, 79, 42)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_whitespaces_against_all_rectangles(seed):
+    from leafmill.operators import layout
+
+    black = (np.random.default_rng(seed).random((7, 9)) < 0.12).astype(int)
+    clear = [(w * h) for y in range(7) for x in range(9) for h in range(1, 8 - y) for w in range(1, 10 - x) if not black[y : y + h, x : x + w].any()]
+    found = layout.whitespaces(black, 1, 1, 3)
+    assert found[0][2] * found[0][3] == max(clear) and all(not black[y : y + h, x : x + w].any() for x, y, w, h in found)
+    for i, (x, y, w, h) in enumerate(found):
+        assert all(x >= a + c or a >= x + w or y >= b + e or b >= y + h for a, b, c, e in found[:i])
+
+
+def test_lines_are_found():
+    from leafmill.operators import layout
+
+    page_ = np.full((60, 80), 220)
+    for y in range(60):
+        page_[y, 38 + round(y * 4 / 59)] = 40
+    (top, bottom), *_ = layout.vertical_lines(page_, 1)
+    assert abs(top - 38) <= 1 and abs(bottom - 42) <= 1 and abs(layout.spine_split(page_) - 40) <= 1
+    assert layout.spine_split(np.full((20, 20), 200)) is None
+    strokes = np.zeros((100, 100), int)
+    for x in range(10, 90, 9):
+        for y in range(100):
+            strokes[y, min(99, max(0, x + round(np.tan(np.radians(4)) * (y - 50))))] = 1
+    assert abs(abs(layout.oblique_angle(strokes)) - 4) < 0.5
+    assert np.allclose(layout.polynomial_line(np.array([1.0, 2.0, 5.0]), 2), [1, 0, 4])
+    pts = np.array([(x, 2.0 * x + 1) for x in range(20)] + [(5, 40), (9, -7), (3, 30)], float)
+    (a, b, c_), near = layout.ransac_line(pts, 0.01)
+    assert near.sum() == 20 and abs(abs(-a / b) - 2) < 1e-9 and abs(c_ / b - 1) < 1e-6
+    assert layout.ransac_line(np.zeros((0, 2)), 1)[1].sum() == 0
+
+
+def test_cheapest_path_against_relaxation():
+    from leafmill.operators import layout
+
+    cost = np.random.default_rng(4).integers(1, 9, (6, 7)).astype(float)
+    best = np.full(cost.shape, np.inf)
+    best[0, 0] = 0
+    for _ in range(60):
+        for y in range(6):
+            for x in range(7):
+                for dy, dx in k.neighbours(8):
+                    if 0 <= y + dy < 6 and 0 <= x + dx < 7:
+                        best[y, x] = min(best[y, x], best[y + dy, x + dx] + cost[y, x] * (2**0.5 if dy and dx else 1))
+    far, path = layout.cheapest_path(cost, (0, 0), (5, 6))
+    assert far == pytest.approx(best[5, 6]) and path[0] == (0, 0) and path[-1] == (5, 6)
+
+
+def test_bent_pages_come_out_straight():
+    from leafmill.operators import layout
+
+    x = np.arange(0, 101)
+    bend = 8 * np.sin(np.pi * x / 100)
+    page_ = np.full((80, 101), 255)
+    for i in x:
+        page_[int(20 + bend[i]) : int(60 + bend[i]), i] = 200
+        page_[int(40 + bend[i]), i] = 0
+    out = layout.dewarped(page_, np.stack((x, 20 + bend), 1), np.stack((x, 60 + bend), 1), 40, 100)
+    assert out.shape == (40, 100) and (np.abs(out.argmin(axis=0) - 20) <= 1).all()
+    flat = np.random.default_rng(2).integers(0, 256, (20, 30))
+    same = layout.dewarped(flat, np.array([(0, 0), (30, 0)]), np.array([(0, 20), (30, 20)]), 20, 30)
+    assert (same == flat).all()
+
+
+def test_weak_colours_become_gray():
+    from leafmill.operators import layout
+
+    colour = np.zeros((9, 9, 3), int) + np.array([120, 118, 121])
+    colour[:, 5:] = (220, 30, 30)
+    made = layout.chroma_denoised(colour, 0.5, 20)
+    assert (made[:, :3].max(axis=2) - made[:, :3].min(axis=2)).max() <= 1 and np.abs(made[:, 7:] - colour[:, 7:]).max() <= 3
+    assert layout.add_component(np.array([[1, 0, 2]]), np.array([[0, 1, 1]])).tolist() == [[1, 3, 3]]
+
+
+def test_all_threshold_methods_keep_their_bounds(spark):
+    from leafmill.operators import binarize
+
+    rng = np.random.default_rng(0)
+    page_ = np.where(rng.random((12, 14)) < 0.2, rng.integers(0, 60, (12, 14)), rng.integers(190, 256, (12, 14)))
+    pixels = page(spark, page_.tolist(), "v")
+    assert len(binarize.ALL_METHODS) == 18
+    for method in binarize.ALL_METHODS:
+        made = np.array(grid(binarize.black_by(pixels, method, window=5, low=30, high=200), "black"))
+        assert (made[page_ < 30] == 1).all() and (made[page_ > 200] == 0).all() and set(np.unique(made)) <= {0, 1}, method
+    with pytest.raises(ValueError):
+        binarize.black_by(pixels, "none")
+
+
+def test_settings_of_steps_from_xml(spark, tmp_path):
+    from leafmill.sources import project
+
+    (tmp_path / "s.xml").write_text(
+        '<project><pages><page id="1" imageId="1" subPage="left"/></pages><filters><a>'
+        '<page id="1"><params contentDetectionMode="auto" pageDetectionMode="manual" fineTuneCorners="1"><content-rect x="1.5" y="2" width="x" height="4"/></params></page>'
+        '<page id="1"><params contentDetectionMode="manual" pageDetectionMode="auto" fineTuneCorners="0"/></page><page id="q"><params contentDetectionMode="auto"/></page></a><b>'
+        '<page id="2"><params autoMargins="1"><hardMarginsMM left="10" top="5" right="10" bottom="5.5"/><alignment hor="center" vert="top" null="0"/></params></page></b><c>'
+        '<page id="3"><params blackOnWhite="1" despeckleLevel="1.5" depthPerception="2"><dpi horizontal="600" vertical="300"/><color-params colorMode="bw"><bw binarizationMethod="otsu" windowSize="200" sauvolaCoef="0.34" thresholdAdj="-7"/></color-params></params></page></c></filters></project>'
+    )
+    path = str(tmp_path / "s.xml")
+    (c_,) = project.read_settings(spark, path, "content").collect()
+    assert (c_.page_id, c_.content_mode, c_.page_mode, c_.corners, c_.content_x) == (1, "manual", "auto", 0, None)
+    (m,) = project.read_settings(spark, path, "layout").collect()
+    assert (m.page_id, m.margin_b, m.align_h, m.auto_margins) == (2, 5.5, "center", 1)
+    (o,) = project.read_settings(spark, path, "output").collect()
+    assert (o.page_id, o.dpi_x, o.method, o.window, o.delta, o.despeckle) == (3, 600, "otsu", 200, -7, 1.5)
