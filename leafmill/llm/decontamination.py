@@ -25,10 +25,12 @@ its own and a scan of the documents.
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
 from leafmill.llm.words import PLAIN, chunks, mix, word_hashes
@@ -229,17 +231,41 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     items nothing is contaminated; items with a null id are left out. Columns but the named
     ones are not read.
     """
-    spark = docs.sparkSession
-    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    read, out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), None
+    for index in _indices(items, item_col, item_text_col, max_edits, recall, samples, min_words, seed, exact_below):
+        found = read.mapInArrow(_searched(index), "doc_id long, item_id long, first_word long, n_words long, edits long")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_edits: float = 0.15, recall: float = 0.98, samples: int = 3, min_words: int = 1, seed: int = 1, exact_below: int = 8) -> DataFrame:
+    """The rows of docs that hold no item, each judged by itself, whatever its id; all columns are passed on. Bounds are those of contaminated()."""
+    at = docs.columns.index(text_col)
+    for index in _indices(items, item_col, item_text_col, max_edits, recall, samples, min_words, seed, exact_below):
+        docs = docs.mapInArrow(_cleaned(index, at), docs.schema)
+    return docs
+
+
+def _indices(items: DataFrame, item_col: str, item_text_col: str, *bounds) -> Iterator[Broadcast]:
+    """One index for each part of the items, sent to all executors."""
     items = items.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text"))
     total = items.select(F.sum(F.length("text"))).first()[0] or 0
-    parts, out = max(1, -(-total // ITEM_CHARS)), None
+    parts = max(1, -(-total // ITEM_CHARS))
     for part in range(parts):
         some = items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part) if parts > 1 else items
-        index = spark.sparkContext.broadcast(build_index(some, "item_id", "text", max_edits, recall, samples, min_words, seed, exact_below))
-        found = read.mapInArrow(_searched(index), "doc_id long, item_id long, first_word long, n_words long, edits long")
-        out = found if out is None else out.unionByName(found)
-    return out
+        yield items.sparkSession.sparkContext.broadcast(build_index(some, "item_id", "text", *bounds))
+
+
+def _cleaned(index, at: int):
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            stay = np.ones(len(texts), bool)
+            for lo, hi in chunks(texts, 4 << 20):
+                stay[[lo + t for t, *_ in index.value.matches(*plain_words(texts[lo:hi]))]] = False
+            yield batch.filter(pa.array(stay))
+
+    return run
 
 
 def _searched(index):

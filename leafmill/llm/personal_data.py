@@ -76,7 +76,7 @@ def find(docs: DataFrame, text_col: str = "text", reach: int = 40, min_score: fl
     read = read.withColumn("__base", F.concat("__email", "__ip", "__card", "__phone"))
     added = apart(F.filter(F.concat("__iban", "__ssn"), lambda s: s["score"] >= min_score), F.col("__base"))
     by_kind = lambda spans: F.transform(F.array_sort(F.transform(spans, lambda s: F.struct(s["rank"].alias("r"), s["start"].alias("s"), s.alias("span")))), lambda x: x["span"])
-    return read.select(*(F.col(f"__row.`{c}`").alias(c) for c in own), by_kind(F.concat("__base", added)).alias("found"))
+    return read.select("__row", by_kind(F.concat("__base", added)).alias("__found")).select(*(F.col(f"__row.`{c}`").alias(c) for c in own), F.col("__found").alias("found"))
 
 
 def digest(searched: DataFrame, id_col: str = "doc_id") -> DataFrame:

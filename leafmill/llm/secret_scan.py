@@ -97,7 +97,7 @@ def scan(docs: DataFrame, samples: DataFrame, text_col: str = "text", min_length
     read = read.withColumn("__base", F.concat("__assign", "__access", "__hex"))
     free = apart(F.filter("__long", lambda s: s["value"].rlike("[0-9]")), F.col("__base"))
     read = read.withColumn("__random", kept(free, lambda v: likeness(v, table) >= min_ratio, "random", 3, lambda s: likeness(s["value"], table)))
-    return read.select(*(F.col(f"__row.`{c}`").alias(c) for c in own), F.array_sort(F.concat("__base", "__random")).alias("found"))
+    return read.select("__row", F.array_sort(F.concat("__base", "__random")).alias("__found")).select(*(F.col(f"__row.`{c}`").alias(c) for c in own), F.col("__found").alias("found"))
 
 
 def digest(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -604,3 +604,68 @@ def test_shared_folder_is_asked_of_the_session(spark):
 def test_pandas_is_not_needed_by_native_modules():
     for module in (secret_scan, personal_data, url_filter, spans):
         assert pd.__name__ not in open(module.__file__).read().replace("no Python UDFs, pandas", "")
+
+
+def test_texts_of_very_many_matches(spark):
+    """Spans are made in time that grows with the text, so 40 000 of them in one text are no load."""
+    mails = " ".join(f"user{i}@mail{i % 7}.org +1 555 {i:07d}" for i in range(20_000))
+    keys = " ".join(f"token=abc{i:06d} {hashlib.sha256(str(i).encode()).hexdigest()[:30]}" for i in range(20_000))
+    frame = docs_of(spark, [mails, keys]).withColumns({c: F.lit("clash") for c in ("__read", "__base", "__row", "__email", "__long", "found")})
+    samples = secret_scan.labelled_samples(docs_of(spark, [prose(random.Random(1), 200)]))
+    began = time.time()
+    personal = {r.doc_id: r for r in personal_data.digest(personal_data.find(frame)).collect()}
+    secrets = {r.doc_id: r for r in secret_scan.digest(secret_scan.scan(frame, samples)).collect()}
+    assert time.time() - began < 120
+    assert personal[0].n_email == personal[0].n_phone == 20_000 and secrets[1].n_assign == secrets[1].n_hex == 20_000
+    want = [(m.start(), m.end()) for m in re.finditer(r"[a-z0-9]+@[a-z0-9]+\.org", mails)]
+    spans_ = [tuple(map(int, x.split(":")[1:])) for x in personal[0].spans.split(",") if x.startswith("email")]
+    assert spans_ == want and len(personal[0].scores.split(",")) == 40_000
+
+
+def test_apart_against_all_pairs(spark):
+    rng = random.Random(13)
+    rows = []
+    for i in range(40):
+        make = lambda n: [(a, a + rng.randrange(1, 9), f"{a}") for a in sorted(rng.sample(range(300), n))]
+        rows.append((i, make(rng.randrange(0, 90)), make(rng.randrange(0, 90))))
+    schema = "i int, s array<struct<start:int,end:int,value:string>>, o array<struct<start:int,end:int,value:string>>"
+    got = {r.i: r.a for r in spark.createDataFrame(rows, schema).select("i", spans.apart(F.col("s"), F.col("o")).alias("a")).collect()}
+    for i, s, o in rows:
+        assert [(x.start, x.end) for x in got[i]] == [x[:2] for x in s if not any(y[0] < x[1] and x[0] < y[1] for y in o)]
+
+
+def test_context_raises_scores(spark):
+    got = personal_data.find(docs_of(spark, ["call me: +1 555 123 4567 " + "x " * 40 + "+1 555 123 9999"])).first().found
+    assert [round(s.score, 2) for s in got] == [0.9, 0.6]
+
+
+def test_personal_data_of_nothing(spark):
+    assert personal_data.digest(personal_data.find(docs_of(spark, []))).count() == 0
+    twice = personal_data.digest(personal_data.find(docs_of(spark, ["a@b.cd"]).union(docs_of(spark, ["a@b.cd"])))).collect()
+    assert [r.spans for r in twice] == ["email:0:6"] * 2
+
+
+def test_quality_model_on_edge_tables(spark):
+    labels = spark.createDataFrame([(1, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    assert quality_model.classify(docs_of(spark, []), labels).count() == 0
+    rng = random.Random(2)
+    frame = docs_of(spark, [prose(rng, 50) for _ in range(12)] + ["x" * 300_000, None])
+    frame = frame.union(frame).withColumns({c: F.lit("clash") for c in ("doc", "score", "held_out", "size", "label")})
+    got = quality_model.classify(frame, labels).toPandas()
+    assert len(got) == 28 and got["score"].between(0, 1).all() and (got.groupby("doc_id")["score"].nunique() == 1).all()
+
+
+def test_mix_with_clashing_names_and_rows_alike(spark):
+    rows = [(1, "a b c", "s")] * 30 + [(None, "d e", "s"), (2, None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: F.lit("clash") for c in ("id", "size", "key", "rid", "target", "chunks", "copies", "draw")})
+    got = source_mix.mix(frame, [1.0]).toPandas()
+    assert len(got) == 32 and (got["taken"] <= 2 * got["size"]).all() and abs(got["taken"].sum() - 1.5 * got["size"].sum()) <= 3
+
+
+def test_clean_keeps_rows_without_items(spark):
+    rng = random.Random(3)
+    item, own = prose(rng, 20), prose(rng, 60)
+    frame = docs_of(spark, [own, own + " " + item, None, "", own + " " + edited(rng, item, 1)]).withColumn("item_id", F.lit("clash"))
+    b = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = decontamination.clean(frame, b)
+    assert got.columns == frame.columns and sorted(r.doc_id for r in got.collect()) == [0, 2, 3]
