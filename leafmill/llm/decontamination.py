@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
-from leafmill.llm.words import PLAIN, chunks, mix, word_hashes
+from leafmill.llm.words import PLAIN, mix, text_chunks, word_hashes
 
 #: Characters of the items of one index, which is sent to every executor (some 4 million words of 8 bytes).
 ITEM_CHARS = 32_000_000
@@ -259,10 +259,9 @@ def _indices(items: DataFrame, item_col: str, item_text_col: str, *bounds) -> It
 def _cleaned(index, at: int):
     def run(batches):
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            stay = np.ones(len(texts), bool)
-            for lo, hi in chunks(texts, 4 << 20):
-                stay[[lo + t for t, *_ in index.value.matches(*plain_words(texts[lo:hi]))]] = False
+            stay = np.ones(batch.num_rows, bool)
+            for lo, _, texts in text_chunks(batch.column(at)):
+                stay[[lo + t for t, *_ in index.value.matches(*plain_words(texts))]] = False
             yield batch.filter(pa.array(stay))
 
     return run
@@ -272,9 +271,9 @@ def _searched(index):
     def run(batches):
         own = index.value
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lo, hi in chunks(texts, 4 << 20):
-                found = own.matches(*plain_words(texts[lo:hi]))
+            ids = batch.column(0).to_pylist()
+            for lo, _, texts in text_chunks(batch.column(1)):
+                found = own.matches(*plain_words(texts))
                 if found:
                     t, i, place, taken, d = map(list, zip(*found, strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array([ids[lo + x] for x in t], pa.int64()), pa.array(own.ids[i]), *(pa.array(x, pa.int64()) for x in (place, taken, d))], ["doc_id", "item_id", "first_word", "n_words", "edits"])

@@ -253,7 +253,7 @@ def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("
 
     def run(batches):
         for batch in batches:
-            texts = [main_text(h, stop_words) for h in batch.column(len(keep)).to_pylist()]
+            texts = [main_text(h.as_py(), stop_words) for h in batch.column(len(keep))]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*keep, "text", "n_chars"])
 
     return read.mapInArrow(run, schema)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 from leafmill.llm.html_extract import STOP_WORDS
 from leafmill.llm.shared import hash_sample, materialize
 from leafmill.llm.quality_rules import repeated_window_words
-from leafmill.llm.words import PLAIN, chunks, word_hashes
+from leafmill.llm.words import PLAIN, text_chunks, word_hashes
 
 RATES = ["upper", "digits", "symbols", "bars", "shouts", "stops_marks", "other", "accents", "lines", "repeats", "again", "windows", "functional", "short_words", "long_words"]
 SHAPE = ["size", "variety", "word_length", "no_words"]
@@ -76,9 +76,8 @@ def features(texts: list[str | None]) -> np.ndarray:
 
 def _featured(batches):
     for batch in batches:
-        texts = batch.column(1).to_pylist()
-        for lo, hi in chunks(texts):
-            x = features(texts[lo:hi]).astype(np.float32)
+        for lo, hi, texts in text_chunks(batch.column(1)):
+            x = features(texts).astype(np.float32)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *(pa.array(x[:, j]) for j in range(x.shape[1]))], ["doc", *FEATURES])
 
 

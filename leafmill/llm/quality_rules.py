@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from leafmill.llm.shared import materialize
-from leafmill.llm.words import chunks, mix, ngram_hashes, running, word_hashes
+from leafmill.llm.words import mix, ngram_hashes, running, text_chunks, word_hashes
 
 #: (host, line) rows of 24 bytes that may be broadcast.
 BROADCAST_LINES = 400_000
@@ -93,9 +93,8 @@ def _measured(batches):
     task = TaskContext.get()
     rid = (task.partitionId() if task else 0) << 40
     for batch in batches:
-        ids, hosts, texts = batch.column(0), batch.column(1), batch.column(2).to_pylist()
-        for lo, hi in chunks(texts):
-            part = texts[lo:hi]
+        ids, hosts = batch.column(0), batch.column(1)
+        for lo, hi, part in text_chunks(batch.column(2)):
             c = base_counts(part)
             owner, number, norm, count = c.pop("lines")
             at = pa.array(np.searchsorted(owner, np.arange(len(part) + 1)), pa.int32())

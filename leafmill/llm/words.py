@@ -9,9 +9,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes that are hashed together; longer texts are cut at white space.
-BLOCK = 1 << 21
+BLOCK = 1 << 19
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SPACE = np.zeros(256, bool)
@@ -152,13 +154,23 @@ def shingle_sets(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarra
     return values, np.searchsorted(owner, np.arange(len(texts) + 1))
 
 
-def chunks(texts: list[str | None], limit: int = 8 << 20) -> Iterator[tuple[int, int]]:
+def chunks(texts: list[str | None], limit: int = 2 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about limit characters at most, so that arrays over them stay small."""
+    yield from _ranges([len(t or "") for t in texts], limit)
+
+
+def text_chunks(column: pa.Array, limit: int = 2 << 20) -> Iterator[tuple[int, int, list[str | None]]]:
+    """The same of an Arrow column, by bytes, with the texts of each range: no more of a batch is held as Python's strings."""
+    for lo, hi in _ranges(pc.fill_null(pc.binary_length(column), 0).to_pylist(), limit):
+        yield lo, hi, column.slice(lo, hi - lo).to_pylist()
+
+
+def _ranges(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
     first = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or "") + 1
-        if size >= limit:
-            yield first, i + 1
-            first, size = i + 1, 0
-    if first < len(texts):
-        yield first, len(texts)
+    for i, n in enumerate(sizes):
+        if size and size + n >= limit:
+            yield first, i
+            first, size = i, 0
+        size += n + 1
+    if first < len(sizes):
+        yield first, len(sizes)
