@@ -139,23 +139,45 @@ def stable_files(spark, sf):
     return t.where("stable >= 2").groupBy("path").agg(F.min("ts").alias("ready_at"))
 
 
-def kernel(name: str, f, value: str = "v", out: str = "v", kind: str = "int"):
+def kernel(name: str, f, value: str = "v", out: str = "v", kind: str = "int", sql: str | None = None):
     def query(spark, sf):
         return k.map_pages(fx.vector_pages(spark, sf), f, value, out, kind)
 
     query.__name__ = name
-    reg.add(None)(query)
+    reg.add(sql)(query)
 
 
-kernel("gaussian_blur", lambda a: np.rint(k.blur(a, 1.0, 1.5)).astype(int))
-kernel("sharpened", lambda a: k.sharpen(a, 1, 0.8))
+P = f"WITH {fx.VECTOR_PIXELS}"
+
+
+def blur_sql(sigma_x: float, sigma_y: float) -> str:
+    """Tables that end in blurred (page_id, y, x, v, b): a Gaussian to five sigmas, one axis after the other, edges repeated."""
+    def taps(sigma: float) -> str:
+        r = int(5 * sigma + 0.5)
+        return f"(SELECT d, exp(-0.5 * (d / {sigma}::DOUBLE) * (d / {sigma}::DOUBLE)) / (SELECT sum(exp(-0.5 * (e / {sigma}::DOUBLE) * (e / {sigma}::DOUBLE))) FROM range({-r}, {r + 1}) t(e)) AS w FROM range({-r}, {r + 1}) t(d))"
+
+    return f"""across AS (SELECT p.page_id, p.y, p.x, any_value(p.v) AS v, sum(t.w * q.v) AS b FROM pixels p, {taps(sigma_x)} t, pixels q WHERE q.page_id = p.page_id AND q.y = p.y AND q.x = least(greatest(p.x + t.d, 0), 7) GROUP BY 1, 2, 3),
+blurred AS (SELECT p.page_id, p.y, p.x, any_value(p.v) AS v, sum(t.w * q.b) AS b FROM across p, {taps(sigma_y)} t, across q WHERE q.page_id = p.page_id AND q.x = p.x AND q.y = least(greatest(p.y + t.d, 0), 7) GROUP BY 1, 2, 3)"""
+
+
+kernel("gaussian_blur", lambda a: np.rint(k.blur(a, 1.0, 1.5)).astype(int), sql=f"{P}, {blur_sql(1.0, 1.5)} SELECT page_id, y, x, CAST(round_even(b, 0) AS INT) AS v FROM blurred")
+kernel("sharpened", lambda a: k.sharpen(a, 1, 0.8), sql=f"{P}, {blur_sql(1.0, 1.0)} SELECT page_id, y, x, CAST(least(greatest(round_even(v + 0.8 * (v - b), 0), 0), 255) AS INT) AS v FROM blurred")
 kernel("polynomial_smoothing", k.polynomial_smooth)
-kernel("tone_denoised", lambda a: k.denoise(a, 2, 0.5))
-kernel("background_subtracted", lambda a: k.subtract_background(a, 2, 0.5))
-kernel("gray_seed_fill", lambda a: k.gray_reconstruct(np.where(np.indices(a.shape)[0] == 0, a, 255), a))
-kernel("affine_resampled", lambda a: k.resample(a, np.array([[1.0, 0.2, -0.5], [-0.2, 1.0, 0.5]]), a.shape[0], a.shape[1]))
+RINGS = ", ".join(f"r{i} AS (SELECT p.page_id, p.y, p.x, avg(q.v) AS m FROM pixels p JOIN pixels q ON q.page_id = p.page_id AND abs(q.y - p.y) <= {i} AND abs(q.x - p.x) <= {i} GROUP BY 1, 2, 3)" for i in (1, 2))
+NEAR = "exp(-({r2} / 25.0::DOUBLE + ((v - {m}) / 255.0::DOUBLE * {r} / 0.5) * ((v - {m}) / 255.0::DOUBLE * {r} / 0.5)))"
+kernel("tone_denoised", lambda a: k.denoise(a, 2, 0.5), sql=f"""{P}, {RINGS}, w AS (SELECT p.*, r1.m AS m1, r2.m AS m2, {NEAR.format(r2=1, m='r1.m', r=1)} AS w1, {NEAR.format(r2=4, m='r2.m', r=2)} AS w2 FROM pixels p JOIN r1 USING (page_id, y, x) JOIN r2 USING (page_id, y, x)),
+ c AS (SELECT *, (v + m1 * w1 * 8 + m2 * w2 * 16) / (1 + w1 * 8 + w2 * 16) AS c, 1 / 25.0::DOUBLE + CASE WHEN w1 > 0.02 THEN 8 / 25.0::DOUBLE ELSE 0 END + CASE WHEN w2 > 0.02 THEN 16 / 25.0::DOUBLE ELSE 0 END AS alike FROM w)
+ SELECT page_id, y, x, CAST(least(greatest(floor(c + (v - c) * CASE WHEN alike > 0.66 THEN 0.16 ELSE 0.84 END + 0.5), 0), 255) AS INT) AS v FROM c""")
+kernel("background_subtracted", lambda a: k.subtract_background(a, 2, 0.5), sql=f"{P}, m AS (SELECT p.page_id, p.y, p.x, any_value(p.v) AS v, quantile_cont(q.v, 0.5) AS m FROM pixels p JOIN pixels q ON q.page_id = p.page_id AND abs(q.y - p.y) <= 2 AND abs(q.x - p.x) <= 2 GROUP BY 1, 2, 3) SELECT page_id, y, x, CAST(least(greatest(round_even(v + 0.5 * (255 - m), 0), 0), 255) AS INT) AS v FROM m")
+kernel("gray_seed_fill", lambda a: k.gray_reconstruct(np.where(np.indices(a.shape)[0] == 0, a, 255), a), sql=f"""{V}, spread AS (SELECT page_id, y, x, v FROM pixels WHERE y = 0 UNION SELECT q.page_id, q.y, q.x, greatest(s.v, q.v) FROM spread s JOIN pixels q ON q.page_id = s.page_id AND abs(q.y - s.y) <= 1 AND abs(q.x - s.x) <= 1)
+ SELECT page_id, y, x, min(v) AS v FROM spread GROUP BY 1, 2, 3""")
+kernel("affine_resampled", lambda a: k.resample(a, np.array([[1.0, 0.2, -0.5], [-0.2, 1.0, 0.5]]), a.shape[0], a.shape[1]), sql=f"""{P}, s AS (SELECT page_id, y, x, 1.0::DOUBLE * (x + 0.5) + 0.2::DOUBLE * (y + 0.5) + -0.5 - 0.5 AS sx, -0.2::DOUBLE * (x + 0.5) + 1.0 * (y + 0.5) + 0.5 - 0.5 AS sy FROM pixels),
+ f AS (SELECT *, CAST(floor(sx) AS INT) AS x0, CAST(floor(sy) AS INT) AS y0, sx - floor(sx) AS fx, sy - floor(sy) AS fy FROM s),
+ j AS (SELECT f.*, coalesce(a.v, 255) AS a, coalesce(b.v, 255) AS b, coalesce(c.v, 255) AS c, coalesce(d.v, 255) AS d FROM f LEFT JOIN pixels a ON a.page_id = f.page_id AND a.y = y0 AND a.x = x0 LEFT JOIN pixels b ON b.page_id = f.page_id AND b.y = y0 AND b.x = x0 + 1 LEFT JOIN pixels c ON c.page_id = f.page_id AND c.y = y0 + 1 AND c.x = x0 LEFT JOIN pixels d ON d.page_id = f.page_id AND d.y = y0 + 1 AND d.x = x0 + 1)
+ SELECT page_id, y, x, CAST(least(greatest(round_even((a * (1 - fx) + b * fx) * (1 - fy) + (c * (1 - fx) + d * fx) * fy, 0), 0), 255) AS INT) AS v FROM j""")
 kernel("despeckled", lambda b: k.despeckle(b, 2, 8, 0.8), "black", "black")
-kernel("influence_map", lambda b: k.nearest_label(k.components(b)), "black", "label", "long")
+NEAREST = f"""{V}, {LABELS}, near AS (SELECT p.page_id, p.y, p.x, arg_min(l.label, ((l.y - p.y) * (l.y - p.y) + (l.x - p.x) * (l.x - p.x)) * 1000 + l.label) AS label FROM pixels p JOIN labels l USING (page_id) GROUP BY 1, 2, 3)"""
+kernel("influence_map", lambda b: k.nearest_label(k.components(b)), "black", "label", "long", sql=f"{NEAREST} SELECT p.page_id, p.y, p.x, coalesce(n.label, 0) AS label FROM pixels p LEFT JOIN near n USING (page_id, y, x)")
 kernel("two_tone_pages", lambda a: (a < k.two_tones(a)).astype(int), "v", "black")
 kernel("binarize_robust", lambda a: ((r := k.robust(a, 2, 0.5)) < k.two_tones(r)).astype(int), "v", "black")
 kernel("binarize_gatos", lambda a: k.gatos(a, 2, 0.2), "v", "black")
@@ -163,6 +185,30 @@ kernel("binarize_multi_scale", lambda a: (a < k.multi_scale(a, 2, 0.5)).astype(i
 kernel("background_surface", lambda a: np.rint(k.fit_surface(a, 2, 2)).astype(int))
 
 
+@reg.add(f"{NEAREST} SELECT DISTINCT a.page_id, least(a.label, b.label) AS label, greatest(a.label, b.label) AS other FROM near a JOIN near b ON b.page_id = a.page_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 AND a.label <> b.label")
+def touching_regions(spark, sf):
+    """Pairs of components whose regions of nearest pixels touch."""
+    def pairs(b):
+        label = k.nearest_label(k.components(b))
+        found = set()
+        for dy, dx in ((0, 1), (1, 0), (1, 1), (1, -1)):
+            one = label[: label.shape[0] - dy, max(0, -dx) : label.shape[1] - max(0, dx)]
+            two = label[dy:, max(0, dx) : label.shape[1] - max(0, -dx)]
+            apart = (one != two) & (one > 0) & (two > 0)
+            found |= set(zip(np.minimum(one, two)[apart].tolist(), np.maximum(one, two)[apart].tolist(), strict=True))
+        return [list(p) for p in sorted(found)]
+
+    touching = k.map_values(fx.vector_pages(spark, sf), pairs, "black", "pairs", "array<array<bigint>>")
+    return touching.select("page_id", F.explode("pairs").alias("p")).select("page_id", F.col("p")[0].alias("label"), F.col("p")[1].alias("other"))
+
+
+@reg.add(f"{P}, c AS (SELECT page_id, y, sum(black) AS n FROM pixels GROUP BY 1, 2) SELECT page_id, y, n - lag(n, 1, 0) OVER (PARTITION BY page_id ORDER BY y) AS step FROM c")
+def row_differences(spark, sf):
+    """How much ink each row has more than the one above."""
+    c = fx.vector_pixels(spark, sf).groupBy("page_id", "y").agg(F.sum("black").alias("n"))
+    return c.select("page_id", "y", (F.col("n") - F.lag("n", 1, 0).over(Window.partitionBy("page_id").orderBy("y"))).alias("step"))
+
+
 @reg.add(None)
 def skew_angles(spark, sf):
     return k.map_values(fx.vector_pages(spark, sf), k.skew_angle, "black", "angle", "double")
