@@ -336,4 +336,4 @@ def polynomial_surface(spark, sf):
 @reg.add(f"""{V}, ink AS (SELECT page_id, x, y FROM pixels WHERE black = 1), col AS (SELECT p.page_id, p.x, p.y, min((p.y - i.y) * (p.y - i.y)) AS d FROM pixels p JOIN ink i ON i.page_id = p.page_id AND i.x = p.x GROUP BY 1, 2, 3)
  SELECT p.page_id, p.y, p.x, min(c.d + (p.x - c.x) * (p.x - c.x)) AS squared FROM pixels p JOIN col c ON c.page_id = p.page_id AND c.y = p.y GROUP BY 1, 2, 3""")
 def squared_distances(spark, sf):
-    return bz.squared_distances(fx.vector_pixels(spark, sf))
+    return k.map_pages(fx.vector_pages(spark, sf), lambda b: k.nearest(b)[0], "black", "squared", "long", where=np.isfinite)

@@ -235,3 +235,26 @@ def polyline_crossings(spark, sf):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     p = fx.table(spark, sf, "events").select("user_id", F.row_number().over(w).alias("i"), F.col("value").alias("y1"), F.lead("value").over(w).alias("y2"))
     return p.where("(y1 - 30) * (y2 - 30) <= 0 AND y1 <> y2").select("user_id", "i", F.round(F.col("i") + (30 - F.col("y1")) / (F.col("y2") - F.col("y1")), 5).alias("x"))
+
+
+@reg.add(f"""{I}, f AS (SELECT image_id, dpi_x <> dpi_y AND owner % 4 = 0 AS again, image_id % 6 <> 0 AND owner % 5 <> 0 AS split, image_id % 5 <> 0 AS outline, owner % 3 <> 0 AS fresh FROM images)
+ SELECT image_id, CASE WHEN NOT split THEN 2 WHEN again THEN 3 WHEN NOT outline THEN 4 WHEN NOT fresh THEN 6 END AS stage FROM f""")
+def stages_to_run(spark, sf):
+    """The first step that each image needs again, told from what is stored alone: no pixel is read."""
+    k, c, yes = F.col("image_id"), F.col("owner"), F.lit(True)
+    split = d.split_compatible(k % 6 != 0, c % 5 != 0, yes, F.lit("auto"), F.lit("auto"), F.lit("auto"))
+    again = d.needs_remeasure(F.col("dpi_x") == F.col("dpi_y"), F.when(c % 4 == 0, "auto").otherwise("manual"), F.lit("manual"))
+    manual = (F.lit("manual"), F.lit("manual"))
+    content, page = d.boxes_to_update(k % 5 != 0, manual, manual, (yes, yes), (F.lit(1), F.lit(1)))
+    return fx.images(spark, sf).select("image_id", F.when(~split, 2).when(again, 3).when(content | page, 4).when(c % 3 == 0, 6).alias("stage"))
+
+
+@reg.add(f"""{I}, made AS (SELECT l_orderkey AS image_id, max(l_shipdate) AS made FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1), changed AS (SELECT o_orderkey AS image_id, o_orderdate + INTERVAL 60 DAY AS changed FROM orders)
+ SELECT i.image_id, CAST(greatest(1, 250 * width // greatest(width, height)) AS INT) AS width, CAST(greatest(1, 250 * height // greatest(width, height)) AS INT) AS height FROM images i JOIN changed USING (image_id) LEFT JOIN made m USING (image_id) WHERE made IS NULL OR made < changed""")
+def thumbnails_to_make(spark, sf):
+    """Images whose thumbnail is missing or older than they are, and the size that fits 250 by 250."""
+    made = fx.table(spark, sf, "lineitem").where("l_linenumber <= 3").groupBy(F.col("l_orderkey").alias("image_id")).agg(F.max("l_shipdate").alias("made"))
+    changed = fx.table(spark, sf, "orders").select(F.col("o_orderkey").alias("image_id"), (F.col("o_orderdate") + F.expr("INTERVAL 60 DAY")).alias("changed"))
+    j = fx.images(spark, sf).select("image_id", "width", "height").join(changed, "image_id").join(made, "image_id", "left").where("made is null or made < changed")
+    fit = lambda c: F.greatest(F.lit(1), F.floor(250 * F.col(c) / F.greatest("width", "height"))).cast("int")
+    return j.select("image_id", fit("width").alias("width"), fit("height").alias("height"))
