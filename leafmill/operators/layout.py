@@ -219,18 +219,19 @@ def along(curve: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.stack([np.interp(np.asarray(at) * length[-1], length, curve[:, i]) for i in (0, 1)], axis=-1)
 
 
-def dewarped(a: np.ndarray, top: np.ndarray, bottom: np.ndarray, height: int, width: int, outside: int = 255) -> np.ndarray:
+def dewarped(a: np.ndarray, top: np.ndarray, bottom: np.ndarray, height: int, width: int, outside: int = 255, above: float = 0.0, below: float = 0.0) -> np.ndarray:
     """The page between two curves of (x, y) points, made straight.
 
     The page is taken as a bent sheet: straight lines join points of both curves, at depths that
-    the four corners' perspective gives, and equal lengths along the curves come out equal.
+    the four corners' perspective gives, and equal lengths along the curves come out equal. above
+    and below add to the sheet, as shares of the distance between the curves.
     """
     share = (np.arange(width) + 0.5) / width
     upper, lower = along(np.asarray(top, float), share), along(np.asarray(bottom, float), share)
     corners = np.array([top[0], top[-1], bottom[-1], bottom[0]], float)
     flat = k.homography(np.array([(0, 0), (1, 0), (1, 1), (0, 1)], float), corners)
     # How far down a straight line the share v of the sheet lies: as on the corners' plane.
-    v = (np.arange(height) + 0.5) / height
+    v = (np.arange(height) + 0.5) / height * (1 + above + below) - above
     depth = flat[2, 0] * share[None, :] + flat[2, 2]
     down = v[:, None] * (depth + flat[2, 1]) / (depth + flat[2, 1] * v[:, None])
     x = upper[None, :, 0] + down * (lower - upper)[None, :, 0] - 0.5
@@ -246,6 +247,76 @@ def dewarped(a: np.ndarray, top: np.ndarray, bottom: np.ndarray, height: int, wi
     return np.clip(np.floor(made + 0.5), 0, 255).astype(np.int64)
 
 
+def text_lines(black: np.ndarray, gap: int, least_width: int, degree: int = 4) -> list[np.ndarray]:
+    """Middle lines of lines of text as (x, y) points, from the top down.
+
+    Letters within a gap of one another run together along rows; of each run at least so wide,
+    a polynomial goes through the middles of its columns, so that ascenders and single
+    letters don't bend it.
+    """
+    # Closed along rows: what is at most a gap apart runs together, without growing at the ends.
+    smeared = box_extreme(box_extreme(black, 1, gap, darkest=False), 1, gap + 1 - gap % 2, darkest=True) | (black > 0)
+    label, found = k.components(smeared), []
+    y, x = np.nonzero(label)
+    of = label[y, x]
+    for i in range(1, int(label.max(initial=0)) + 1):
+        own = of == i
+        left, right = int(x[own].min()), int(x[own].max())
+        if right - left + 1 < least_width:
+            continue
+        n = np.bincount(x[own] - left)
+        middle = np.bincount(x[own] - left, y[own]) / np.maximum(n, 1)
+        middle = np.interp(np.arange(len(n)), np.flatnonzero(n), middle[n > 0])
+        weights = polynomial_line(middle, min(degree, len(middle) - 1))
+        at = np.linspace(0, 1, 33)
+        found.append(np.stack((left + at * (right - left), (at[:, None] ** np.arange(len(weights))) @ weights), axis=1))
+    return sorted(found, key=lambda line: line[:, 1].mean())
+
+
+def bent_between(lines: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """The top and the bottom one of a page's lines that reach over most of its width, drawn out to both edges; None with fewer than two."""
+    wide = [line for line in lines if line[-1, 0] - line[0, 0] >= 0.5 * width]
+    if len(wide) < 2:
+        return None
+
+    def drawn_out(line: np.ndarray) -> np.ndarray:
+        first, last = line[0], line[-1]
+        at_left, at_right = (line[1] - first) / max(1e-9, line[1, 0] - first[0]), (last - line[-2]) / max(1e-9, last[0] - line[-2, 0])
+        return np.concatenate(([first - at_left * first[0]], line, [last + at_right * (width - last[0])]))
+
+    return drawn_out(wide[0]), drawn_out(wide[-1])
+
+
+def straightened(a: np.ndarray, black: np.ndarray, gap: int, least_width: int) -> np.ndarray:
+    """A page bent back by its own lines of text; as it is without two long ones."""
+    curves = bent_between(text_lines(black, gap, least_width), a.shape[1])
+    if curves is None:
+        return a
+    top, bottom = curves
+    apart = bottom[:, 1].mean() - top[:, 1].mean()
+    if apart < 1:
+        return a
+    return dewarped(a, top, bottom, *a.shape, above=top[:, 1].mean() / apart, below=(a.shape[0] - bottom[:, 1].mean()) / apart)
+
+
+def text_mask(black: np.ndarray, gap: int, least: float = 1.5) -> np.ndarray:
+    """Ink in runs of letters that are at least that many times as wide as high."""
+    smeared = box_extreme(black, 1, gap, darkest=False)
+    label = k.components(smeared)
+    n = int(label.max(initial=0))
+    y, x = np.nonzero(label)
+    of = label[y, x]
+    size = [np.zeros(n + 1) for _ in range(2)]
+    for i, c in enumerate((y, x)):
+        low, high = np.full(n + 1, np.inf), np.full(n + 1, -np.inf)
+        np.minimum.at(low, of, c)
+        np.maximum.at(high, of, c)
+        size[i] = high - low + 1
+    keep = np.zeros(n + 1, bool)
+    keep[1:] = size[1][1:] >= least * size[0][1:]
+    return ((black > 0) & keep[label]).astype(np.int64)
+
+
 #: Weights of luma, and scales of the colour differences.
 LUMA, BLUE_SCALE, RED_SCALE = (0.299, 0.587, 0.114), 0.564, 0.713
 

@@ -54,17 +54,12 @@ LAYOUT = """layout_params AS (SELECT l_orderkey AS image_id, l_linenumber AS pag
   l_partkey % 19 = 0 AS align_null, ['left', 'hcenter', 'right'][l_partkey % 3 + 1] AS align_h, ['top', 'vcenter', 'bottom'][l_suppkey % 3 + 1] AS align_v, l_quantity / 10 AS angle FROM lineitem)"""
 
 
-def text_pixels(spark: SparkSession, sf_dir: str, width: int = 64, per_page: DataFrame | None = None) -> DataFrame:
-    """Whole documents as pages of a fixed width: one pixel a character, gray by its code point, white where it is blank.
-
-    Columns of per_page (page_id, ...) are joined to pages before they are cut into pixels.
-    """
-    docs, more = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), "text"), []
-    if per_page is not None:
-        docs, more = docs.join(per_page, "page_id"), [c for c in per_page.columns if c != "page_id"]
-    chars = docs.select("page_id", *more, F.posexplode(F.split("text", "")).alias("pos", "ch"))
+def text_pixels(spark: SparkSession, sf_dir: str, width: int = 64) -> DataFrame:
+    """Whole documents as pages of a fixed width: one pixel a character, gray by its code point, white where it is blank."""
+    docs = text_pages(spark, sf_dir)
+    chars = docs.select("page_id", F.posexplode(F.split("text", "")).alias("pos", "ch"))
     blank = F.col("ch").isin(" ", "\t", "\n", "\r", "\v", "\f")
-    return chars.select("page_id", *more, F.floor(F.col("pos") / width).cast("int").alias("y"), (F.col("pos") % width).cast("int").alias("x"), F.when(blank, 255).otherwise(F.ascii("ch") % 200).alias("v"), F.when(blank, 0).otherwise(1).alias("black"))
+    return chars.select("page_id", F.floor(F.col("pos") / width).cast("int").alias("y"), (F.col("pos") % width).cast("int").alias("x"), F.when(blank, 255).otherwise(F.ascii("ch") % 200).alias("v"), F.when(blank, 0).otherwise(1).alias("black"))
 
 
 def text_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

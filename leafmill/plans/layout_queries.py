@@ -73,6 +73,9 @@ page("picture_masks", lambda a: layout.picture_mask(a, 3), out="black")
 page("pages_without_shadows", lambda b: layout.without_shadows(b, ((2, 6), (6, 2))), "black", "black")
 page("dewarped_pages", lambda a: layout.dewarped(a, np.array([(0, 0.5), (4, 0), (8, 0.5)]), np.array([(0, 7.5), (4, 7), (8, 7.5)]), 8, 8))
 page("components_added", lambda b: layout.add_component(k.components(b), (np.indices(b.shape).sum(axis=0) % 7 == 0).astype(int)), "black", "label")
+page("text_masks", lambda b: layout.text_mask(b, 2), "black", "black")
+page("straightened_pages", lambda a: layout.straightened(a, (a < 128).astype(int), 3, 5))
+found("traced_lines", lambda b: [[round(float(v), 3) for v in (line[0, 0], line[0, 1], line[-1, 0], line[-1, 1])] for line in layout.text_lines(b, 3, 4, 1)], "black", "array<array<double>>")
 found("whitespace_rectangles", lambda b: [list(map(int, r)) for r in layout.whitespaces(b, 1, 1, 3)], "black", "array<array<int>>")
 found("picture_rectangles", lambda b: [list(r) for r in layout.rectangles(b)], "black", "array<array<int>>")
 found("oblique_angles", layout.oblique_angle, "black", "double")

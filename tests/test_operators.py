@@ -543,3 +543,26 @@ def test_settings_of_steps_from_xml(spark, tmp_path):
     assert (m.page_id, m.margin_b, m.align_h, m.auto_margins) == (2, 5.5, "center", 1)
     (o,) = project.read_settings(spark, path, "output").collect()
     assert (o.page_id, o.dpi_x, o.method, o.window, o.delta, o.despeckle) == (3, 600, "otsu", 200, -7, 1.5)
+
+
+def test_lines_of_text_bend_a_page_back():
+    from leafmill.operators import layout
+
+    page_ = np.full((120, 200), 255)
+    x = np.arange(200)
+    for base in (25, 50, 75, 100):
+        for i in x[15:185]:
+            if i % 9 < 6:  # letters
+                y = int(base + 7 * np.sin(np.pi * i / 200))
+                page_[y : y + 4, i] = 0
+    black = (page_ < 128).astype(int)
+    lines = layout.text_lines(black, 8, 80)
+    assert len(lines) == 4 and all(abs(line[16, 1] - (base + 8.5)) < 1.5 and abs(line[0, 1] - line[16, 1]) > 3 for line, base in zip(lines, (25, 50, 75, 100), strict=True))
+    flat = layout.straightened(page_, black, 8, 80)
+    before, after = (np.diff((p < 128).sum(axis=1).astype(float)) ** 2 for p in (page_, flat))
+    assert flat.shape == page_.shape and after.sum() > 4 * before.sum()
+    assert (layout.straightened(np.full((20, 20), 200), np.zeros((20, 20), int), 3, 10) == 200).all()
+    bar = black.copy()
+    bar[:, 195:198] = 1
+    mask = layout.text_mask(bar, 8)
+    assert mask[:, 195:198].sum() == 0 and mask[:, :190].sum() == black[:, :190].sum()
