@@ -114,7 +114,19 @@ def pattern_replaced(spark, sf):
     return k.map_pages(fx.vector_pages(spark, sf), lambda b: k.hit_miss_replace(b, PATTERN), "black", "black")
 
 
-@reg.add(None)
+def replaced_sql(source: str, pattern: list[str], name: str) -> str:
+    """Two tables, of which `name` is source (page_id, y, x, black) after a pattern whose replaced cell is one + in it."""
+    cells = [(i, j, c) for i, row in enumerate(pattern) for j, c in enumerate(row) if c != "?"]
+    y, x = next((i, j) for i, j, c in cells if c == "+")
+    wants = ", ".join(f"({i - y}, {j - x}, {1 if c == 'X' else 0})" for i, j, c in cells)
+    return f"""{name}_m AS (SELECT p.page_id, p.y, p.x, any_value(p.black) AS black, bool_and(coalesce(q.black, 0) = d.want) AS hit FROM {source} p CROSS JOIN (VALUES {wants}) d(dy, dx, want) LEFT JOIN {source} q ON q.page_id = p.page_id AND q.y = p.y + d.dy AND q.x = p.x + d.dx GROUP BY 1, 2, 3),
+{name} AS (SELECT page_id, y, x, CASE WHEN hit THEN 1 ELSE black END AS black FROM {name}_m)"""
+
+
+WAYS = [PATTERN, ["?XX", "?+X", " XX"], [" ??", "X+X", "XXX"], ["XX ", "X+?", "XX?"]]
+
+
+@reg.add(f"{V}, " + ", ".join(replaced_sql("pixels" if i == 0 else f"w{i - 1}", way, f"w{i}") for i, way in enumerate(WAYS)) + " SELECT page_id, y, x, black FROM w3")
 def pattern_replaced_all_ways(spark, sf):
     """The same from all four sides, one after the other."""
     return k.map_pages(fx.vector_pages(spark, sf), lambda b: k.hit_miss_all_ways(b, PATTERN), "black", "black")

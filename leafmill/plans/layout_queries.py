@@ -61,19 +61,30 @@ def found(name: str, f, value: str, kind: str):
     reg.add(None)(query)
 
 
-def page(name: str, f, value: str = "v", out: str = "v"):
+def page(name: str, f, value: str = "v", out: str = "v", sql: str | None = None):
     def query(spark, sf):
         return k.map_pages(fx.vector_pages(spark, sf), f, value, out)
 
     query.__name__ = name
-    reg.add(None)(query)
+    reg.add(sql)(query)
+
+
+R = f"WITH RECURSIVE {fx.VECTOR_PIXELS}"
+
+
+def labels_sql(ink: str, name: str) -> str:
+    """Tables that end in `name` (page_id, y, x, label): components of ink (page_id, y, x) by their first pixel."""
+    return f"""{name}_r AS (SELECT page_id, y, x, y * 8 + x AS root FROM {ink} UNION SELECT i.page_id, i.y, i.x, r.root FROM {name}_r r JOIN {ink} i ON i.page_id = r.page_id AND abs(i.y - r.y) <= 1 AND abs(i.x - r.x) <= 1),
+{name} AS (SELECT page_id, y, x, dense_rank() OVER (PARTITION BY page_id ORDER BY root) AS label FROM (SELECT page_id, y, x, min(root) AS root FROM {name}_r GROUP BY 1, 2, 3))"""
 
 
 page("picture_masks", lambda a: layout.picture_mask(a, 3), out="black")
 page("pages_without_shadows", lambda b: layout.without_shadows(b, ((2, 6), (6, 2))), "black", "black")
 page("dewarped_pages", lambda a: layout.dewarped(a, np.array([(0, 0.5), (4, 0), (8, 0.5)]), np.array([(0, 7.5), (4, 7), (8, 7.5)]), 8, 8))
-page("components_added", lambda b: layout.add_component(k.components(b), (np.indices(b.shape).sum(axis=0) % 7 == 0).astype(int)), "black", "label")
-page("text_masks", lambda b: layout.text_mask(b, 2), "black", "black")
+page("components_added", lambda b: layout.add_component(k.components(b), (np.indices(b.shape).sum(axis=0) % 7 == 0).astype(int)), "black", "label", sql=f"""{R}, ink AS (SELECT page_id, y, x FROM pixels WHERE black = 1), {labels_sql("ink", "l")}, n AS (SELECT page_id, max(label) AS n FROM l GROUP BY 1)
+ SELECT p.page_id, p.y, p.x, CASE WHEN (p.y + p.x) % 7 = 0 THEN coalesce(n, 0) + 1 ELSE coalesce(label, 0) END AS label FROM pixels p LEFT JOIN n USING (page_id) LEFT JOIN l ON l.page_id = p.page_id AND l.y = p.y AND l.x = p.x""")
+page("text_masks", lambda b: layout.text_mask(b, 2), "black", "black", sql=f"""{R}, smeared AS (SELECT p.page_id, p.y, p.x FROM pixels p LEFT JOIN pixels q ON q.page_id = p.page_id AND q.y = p.y AND q.x = p.x - 1 WHERE p.black = 1 OR q.black = 1), {labels_sql("smeared", "l")},
+ kept AS (SELECT page_id, label FROM l GROUP BY 1, 2 HAVING max(x) - min(x) + 1 >= 1.5 * (max(y) - min(y) + 1)) SELECT p.page_id, p.y, p.x, CASE WHEN p.black = 1 AND k.label IS NOT NULL THEN 1 ELSE 0 END AS black FROM pixels p LEFT JOIN l ON l.page_id = p.page_id AND l.y = p.y AND l.x = p.x LEFT JOIN kept k ON k.page_id = l.page_id AND k.label = l.label""")
 page("straightened_pages", lambda a: layout.straightened(a, (a < 128).astype(int), 3, 5))
 found("traced_lines", lambda b: [[round(float(v), 3) for v in (line[0, 0], line[0, 1], line[-1, 0], line[-1, 1])] for line in layout.text_lines(b, 3, 4, 1)], "black", "array<array<double>>")
 found("whitespace_rectangles", lambda b: [list(map(int, r)) for r in layout.whitespaces(b, 1, 1, 3)], "black", "array<array<int>>")
@@ -81,7 +92,6 @@ found("picture_rectangles", lambda b: [list(r) for r in layout.rectangles(b)], "
 found("oblique_angles", layout.oblique_angle, "black", "double")
 found("upright_lines", lambda a: [list(x) for x in layout.vertical_lines(a, 2)], "v", "array<array<double>>")
 found("spine_cuts", layout.spine_split, "v", "double")
-found("page_boxes", lambda b: list(x) if (x := layout.page_box(b)) else None, "black", "array<int>")
 found("trimmed_boxes", lambda b: list(map(int, layout.trimmed_box(b, (0, 0, 7, 7), 0.2, 1))), "black", "array<int>")
 found("ink_lines", lambda b: [float(x) for x in layout.ransac_line(np.argwhere(b > 0)[:, ::-1].astype(float), 0.75, 50)[0]] if b.any() else None, "black", "array<double>")
 found("cheapest_paths", lambda a: float(layout.cheapest_path(a, (0, 0), (a.shape[0] - 1, a.shape[1] - 1))[0]), "v", "double")
@@ -101,3 +111,11 @@ def chroma_denoised(spark, sf):
     out = k.map_pages(pages.withColumn("rgb", packed), kernel, "rgb", "rgb")
     part = lambda s: F.shiftright("rgb", s).bitwiseAND(255)
     return out.select("page_id", "y", "x", part(16).alias("r"), part(8).alias("g"), part(0).alias("b"))
+
+
+@reg.add(f"""{R}, ink AS (SELECT page_id, y, x FROM pixels WHERE black = 1), {labels_sql("ink", "l")}, border AS (SELECT DISTINCT page_id, label FROM l WHERE y IN (0, 7) OR x IN (0, 7))
+ SELECT page_id, min(x) AS "left", min(y) AS top, max(x) AS "right", max(y) AS bottom FROM l ANTI JOIN border USING (page_id, label) GROUP BY 1""")
+def page_boxes(spark, sf):
+    """Box of each page's ink that no dark border touches; pages without any are left out."""
+    boxes = k.map_values(fx.vector_pages(spark, sf), lambda b: list(x) if (x := layout.page_box(b)) else None, "black", "box", "array<int>")
+    return boxes.where("box is not null").select("page_id", *(F.col("box")[i].alias(n) for i, n in enumerate(("left", "top", "right", "bottom"))))

@@ -162,7 +162,10 @@ blurred AS (SELECT p.page_id, p.y, p.x, any_value(p.v) AS v, sum(t.w * q.b) AS b
 
 kernel("gaussian_blur", lambda a: np.rint(k.blur(a, 1.0, 1.5)).astype(int), sql=f"{P}, {blur_sql(1.0, 1.5)} SELECT page_id, y, x, CAST(round_even(b, 0) AS INT) AS v FROM blurred")
 kernel("sharpened", lambda a: k.sharpen(a, 1, 0.8), sql=f"{P}, {blur_sql(1.0, 1.0)} SELECT page_id, y, x, CAST(least(greatest(round_even(v + 0.8 * (v - b), 0), 0), 255) AS INT) AS v FROM blurred")
-kernel("polynomial_smoothing", k.polynomial_smooth)
+#: Weights of the parabola's middle over five places, in 35ths; over two axes they multiply.
+SMOOTHING = "(VALUES (-2, -3), (-1, 12), (0, 17), (1, 12), (2, -3)) {t}(d, w)"
+kernel("polynomial_smoothing", k.polynomial_smooth, sql=f"""{P}, s AS (SELECT p.page_id, p.y, p.x, sum(a.w * b.w * q.v) / 1225.0::DOUBLE AS s FROM pixels p, {SMOOTHING.format(t='a')}, {SMOOTHING.format(t='b')}, pixels q
+ WHERE q.page_id = p.page_id AND q.y = least(greatest(p.y + a.d, 0), 7) AND q.x = least(greatest(p.x + b.d, 0), 7) GROUP BY 1, 2, 3) SELECT page_id, y, x, CAST(least(greatest(round_even(s, 0), 0), 255) AS INT) AS v FROM s""")
 RINGS = ", ".join(f"r{i} AS (SELECT p.page_id, p.y, p.x, avg(q.v) AS m FROM pixels p JOIN pixels q ON q.page_id = p.page_id AND abs(q.y - p.y) <= {i} AND abs(q.x - p.x) <= {i} GROUP BY 1, 2, 3)" for i in (1, 2))
 NEAR = "exp(-({r2} / 25.0::DOUBLE + ((v - {m}) / 255.0::DOUBLE * {r} / 0.5) * ((v - {m}) / 255.0::DOUBLE * {r} / 0.5)))"
 kernel("tone_denoised", lambda a: k.denoise(a, 2, 0.5), sql=f"""{P}, {RINGS}, w AS (SELECT p.*, r1.m AS m1, r2.m AS m2, {NEAR.format(r2=1, m='r1.m', r=1)} AS w1, {NEAR.format(r2=4, m='r2.m', r=2)} AS w2 FROM pixels p JOIN r1 USING (page_id, y, x) JOIN r2 USING (page_id, y, x)),
@@ -178,8 +181,20 @@ kernel("affine_resampled", lambda a: k.resample(a, np.array([[1.0, 0.2, -0.5], [
 kernel("despeckled", lambda b: k.despeckle(b, 2, 8, 0.8), "black", "black")
 NEAREST = f"""{V}, {LABELS}, near AS (SELECT p.page_id, p.y, p.x, arg_min(l.label, ((l.y - p.y) * (l.y - p.y) + (l.x - p.x) * (l.x - p.x)) * 1000 + l.label) AS label FROM pixels p JOIN labels l USING (page_id) GROUP BY 1, 2, 3)"""
 kernel("influence_map", lambda b: k.nearest_label(k.components(b)), "black", "label", "long", sql=f"{NEAREST} SELECT p.page_id, p.y, p.x, coalesce(n.label, 0) AS label FROM pixels p LEFT JOIN near n USING (page_id, y, x)")
-kernel("two_tone_pages", lambda a: (a < k.two_tones(a)).astype(int), "v", "black")
-kernel("binarize_robust", lambda a: ((r := k.robust(a, 2, 0.5)) < k.two_tones(r)).astype(int), "v", "black")
+
+
+def two_tones_sql(source: str) -> str:
+    """Tables that end in cuts (page_id, t): the threshold between two means of source (page_id, v), step by step, in 256ths."""
+    return f"""tones AS (SELECT page_id, list(CAST(v AS BIGINT)) AS vs, CAST(min(v) AS BIGINT) * 128 AS lo, (CAST(max(v) AS BIGINT) + 1) * 128 AS hi FROM {source} GROUP BY 1),
+steps AS (SELECT page_id, vs, lo, hi, CAST(NULL AS BIGINT) AS was, (256 * hi + 256 * lo) // 256 AS t, 0 AS n FROM tones UNION ALL
+ SELECT page_id, vs, lo, hi, t, (256 * coalesce(CAST(list_sum(list_filter(vs, lambda v: v * 256 >= t)) AS BIGINT) * 128 // nullif(len(list_filter(vs, lambda v: v * 256 >= t)), 0), hi)
+  + 256 * coalesce(CAST(list_sum(list_filter(vs, lambda v: v * 256 < t)) AS BIGINT) * 128 // nullif(len(list_filter(vs, lambda v: v * 256 < t)), 0), lo) + 127) // 256, n + 1 FROM steps WHERE (was IS NULL OR was <> t) AND n < 256),
+cuts AS (SELECT page_id, (arg_max(t, n) + 127) // 256 AS t FROM steps GROUP BY 1)"""
+
+
+kernel("two_tone_pages", lambda a: (a < k.two_tones(a)).astype(int), "v", "black", sql=f"{V}, {two_tones_sql('pixels')} SELECT page_id, y, x, CASE WHEN v < t THEN 1 ELSE 0 END AS black FROM pixels JOIN cuts USING (page_id)")
+ROBUST = """m AS (SELECT *, floor(b + 0.5) AS m FROM blurred), robust AS (SELECT page_id, y, x, CASE WHEN m + (m - v) <= 0 THEN 255 ELSE CAST(floor(least(greatest(0.5 * (255 - (m + 255) * (m - v) / (m + (m - v))) + 0.5 * v + 0.5, 0), 255)) AS INT) END AS v FROM m)"""
+kernel("binarize_robust", lambda a: ((r := k.robust(a, 2, 0.5)) < k.two_tones(r)).astype(int), "v", "black", sql=f"{V}, {blur_sql(2.0, 2.0)}, {ROBUST}, {two_tones_sql('robust')} SELECT page_id, y, x, CASE WHEN v < t THEN 1 ELSE 0 END AS black FROM robust JOIN cuts USING (page_id)")
 kernel("binarize_gatos", lambda a: k.gatos(a, 2, 0.2), "v", "black")
 kernel("binarize_multi_scale", lambda a: (a < k.multi_scale(a, 2, 0.5)).astype(int), "v", "black")
 kernel("background_surface", lambda a: np.rint(k.fit_surface(a, 2, 2)).astype(int))
