@@ -216,7 +216,7 @@ BOX = (10.0, 5.0, 90.0, 70.0)
  t AS (SELECT event_id, x1, y1, dx, dy, unnest([CASE WHEN dy <> 0 THEN (5.0 - y1) / dy END, CASE WHEN dy <> 0 THEN (70.0 - y1) / dy END, CASE WHEN dx <> 0 THEN (10.0 - x1) / dx END, CASE WHEN dx <> 0 THEN (90.0 - x1) / dx END]) AS s, unnest([0, 1, 2, 3]) AS side FROM seg),
  ok AS (SELECT event_id, s FROM t WHERE s IS NOT NULL AND CASE WHEN side < 2 THEN (x1 + s * dx - 10.0) / 80.0 ELSE (y1 + s * dy - 5.0) / 65.0 END BETWEEN -1e-9 AND 1 + 1e-9),
  b AS (SELECT event_id, min(s) AS lo, max(s) AS hi FROM ok GROUP BY 1 HAVING max(s) > min(s))
- SELECT event_id, round(x1 + lo * dx, 4) AS ax, round(y1 + lo * dy, 4) AS ay, round(x1 + hi * dx, 4) AS bx, round(y1 + hi * dy, 4) AS by FROM seg JOIN b USING (event_id)""")
+ SELECT event_id, round(x1 + lo * dx, 6) AS ax, round(y1 + lo * dy, 6) AS ay, round(x1 + hi * dx, 6) AS bx, round(y1 + hi * dy, 6) AS by FROM seg JOIN b USING (event_id)""")
 def bounded_lines(spark, sf):
     """The part within a rectangle of the line through each segment; lines that miss it are left out."""
     e = fx.table(spark, sf, "events").select("event_id", (F.col("user_id") + 0.0).alias("x1"), F.col("value").alias("y1"), (F.col("event_id") % 50 - 25.0).alias("dx"), (F.col("event_id") % 31 - 15.0).alias("dy"))
@@ -224,7 +224,7 @@ def bounded_lines(spark, sf):
 
     lo, hi = bounded_by(*(F.col(c) for c in ("x1", "y1", "dx", "dy")), BOX)
     b = e.select("*", lo.alias("lo"), hi.alias("hi")).where("hi > lo")
-    at = lambda s, v, by, name: F.round(F.col(v) + F.col(s) * F.col(by), 4).alias(name)
+    at = lambda s, v, by, name: F.round(F.col(v) + F.col(s) * F.col(by), 6).alias(name)
     return b.select("event_id", at("lo", "x1", "dx", "ax"), at("lo", "y1", "dy", "ay"), at("hi", "x1", "dx", "bx"), at("hi", "y1", "dy", "by"))
 
 
