@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -36,20 +38,44 @@ def numbered_name(position: Column, total: Column, rest: Column) -> Column:
     return F.concat(F.lpad(position.cast("string"), width, F.lit("0")), rest)
 
 
+def _word_boxes(line: Column, i: Column, char_w: int, line_h: int, shown: Callable[..., Column]) -> Column:
+    """shown(word, left, top, right, bottom) of each word of line i, joined; a character is char_w wide, a line line_h high."""
+    found = F.regexp_extract_all(line, F.lit(WORD), F.lit(0))
+    zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
+
+    def step(a: Column, w: Column) -> Column:
+        end = a["at"] + F.length(w)
+        return F.struct((end + 1).alias("at"), F.concat(a["out"], F.array(shown(w, a["at"] * char_w, i * line_h, end * char_w, (i + 1) * line_h))).alias("out"))
+
+    return F.array_join(F.aggregate(found, zero, step, lambda a: a["out"]), "")
+
+
+def hocr_head(title: Column, engine: str) -> Column:
+    """What comes before the pages of an hOCR file."""
+    return F.concat(
+        F.lit("<?xml version='1.0' encoding='UTF-8'?>\n<html xmlns='http://www.w3.org/1999/xhtml'>\n<head>\n<title>"), xml_text(title),
+        F.lit(f"</title>\n<meta http-equiv='Content-Type' content='text/html;charset=utf-8'/>\n<meta name='ocr-system' content='{engine}'/>\n<meta name='ocr-capabilities' content='ocr_page ocr_line ocrx_word'/>\n</head>\n<body>\n"),
+    )
+
+
 def hocr_pages(docs: DataFrame, id_col: str, text_col: str, char_w: int = 10, line_h: int = 20) -> DataFrame:
     """One hOCR page a document: a line for each line, a word span with its box for each word."""
-    lines = F.split(text_col, "\n")
 
-    def word_spans(line: Column, i: Column) -> Column:
-        found = F.regexp_extract_all(line, F.lit(WORD), F.lit(0))
-        zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    def shown(w: Column, *box: Column) -> Column:
+        return F.concat(F.lit("<span class='ocrx_word' title='"), F.concat_ws(" ", F.lit("bbox"), *(b.cast("string") for b in box)), F.lit("'>"), xml_text(w), F.lit("</span> "))
 
-        def step(a: Column, w: Column) -> Column:
-            end = a["at"] + F.length(w)
-            box = F.concat_ws(" ", F.lit("bbox"), (a["at"] * char_w).cast("string"), (i * line_h).cast("string"), (end * char_w).cast("string"), ((i + 1) * line_h).cast("string"))
-            return F.struct((end + 1).alias("at"), F.concat(a["out"], F.lit("<span class='ocrx_word' title='"), box, F.lit("'>"), xml_text(w), F.lit("</span> ")).alias("out"))
+    line_span = lambda line, i: F.concat(F.lit("<span class='ocr_line'>"), _word_boxes(line, i, char_w, line_h, shown), F.lit("</span>"))
+    body = F.array_join(F.transform(F.split(text_col, "\n"), line_span), "\n")
+    return docs.select(id_col, F.concat(F.lit("<div class='ocr_page'>\n"), body, F.lit("\n</div>")).alias("page"))
 
-        return F.aggregate(found, zero, step, lambda a: a["out"])
 
-    body = F.array_join(F.transform(lines, lambda line, i: F.concat(F.lit("<span class='ocr_line'>"), word_spans(line, i), F.lit("</span>"))), "\n")
-    return docs.select(id_col, F.concat(F.lit("<div class='ocr_page'>\n"), body, F.lit("\n</div>")).alias("page"))
+def alto_pages(docs: DataFrame, id_col: str, text_col: str, char_w: int = 10, line_h: int = 20) -> DataFrame:
+    """One ALTO page a document: a TextLine for each line, a String with its place and size for each word."""
+
+    def shown(w: Column, left: Column, top: Column, right: Column, bottom: Column) -> Column:
+        parts = (("HPOS", left), ("VPOS", top), ("WIDTH", right - left), ("HEIGHT", bottom - top))
+        return F.concat(F.lit('<String CONTENT="'), xml_text(w), F.lit('"'), *(F.concat(F.lit(f' {n}="'), v.cast("string"), F.lit('"')) for n, v in parts), F.lit("/>"))
+
+    line_element = lambda line, i: F.concat(F.lit("<TextLine>"), _word_boxes(line, i, char_w, line_h, shown), F.lit("</TextLine>"))
+    body = F.array_join(F.transform(F.split(text_col, "\n"), line_element), "\n")
+    return docs.select(id_col, F.concat(F.lit("<Page><PrintSpace>\n"), body, F.lit("\n</PrintSpace></Page>")).alias("page"))

@@ -123,12 +123,33 @@ def page_file_names(spark, sf):
     return p.select("doc_id", tx.numbered_name(F.col("n"), F.col("total"), F.concat(F.lit("_page"), "doc_id", F.lit(".xml"))).alias("name"))
 
 
-@reg.add(None)
+ESCAPED = "replace(replace(replace(replace(regexp_replace({w}, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', chr(65533), 'g'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+
+
+def markup_sql(word: str, line: tuple[str, str], page: tuple[str, str]) -> str:
+    """Markup of each document's words, from what a word, a line and a page look like; word uses w, a (where it begins), e (where it ends) and i (its line)."""
+    return rf"""WITH l AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS i, unnest(string_split(text, chr(10))) AS t FROM documents), ws AS (SELECT doc_id, i, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM l),
+ u AS (SELECT doc_id, i, unnest(ws) AS w, unnest(range(len(ws))) AS n FROM ws), p AS (SELECT *, sum(length(w) + 1) OVER (PARTITION BY doc_id, i ORDER BY n ROWS UNBOUNDED PRECEDING) - 1 AS e FROM u), q AS (SELECT *, e - length(w) AS a FROM p),
+ g AS (SELECT doc_id, i, string_agg({word}, '' ORDER BY n) AS body FROM q GROUP BY 1, 2)
+ SELECT doc_id, '{page[0]}' || chr(10) || string_agg('{line[0]}' || coalesce(body, '') || '{line[1]}', chr(10) ORDER BY i) || chr(10) || '{page[1]}' AS page FROM l LEFT JOIN g USING (doc_id, i) GROUP BY 1"""
+
+
+HOCR_WORD = "'<span class=''ocrx_word'' title=''bbox ' || CAST(a * 10 AS BIGINT) || ' ' || i * 20 || ' ' || CAST(e * 10 AS BIGINT) || ' ' || (i + 1) * 20 || '''>' || " + ESCAPED.format(w="w") + " || '</span> '"
+ALTO_WORD = "'<String CONTENT=\"' || " + ESCAPED.format(w="w") + " || '\" HPOS=\"' || CAST(a * 10 AS BIGINT) || '\" VPOS=\"' || i * 20 || '\" WIDTH=\"' || CAST((e - a) * 10 AS BIGINT) || '\" HEIGHT=\"20\"/>'"
+
+
+@reg.add(markup_sql(HOCR_WORD, ("<span class=''ocr_line''>", "</span>"), ("<div class=''ocr_page''>", "</div>")))
 def line_pages(spark, sf):
     """hOCR markup of each document's words."""
     return tx.hocr_pages(fx.table(spark, sf, "documents"), "doc_id", "text")
 
 
+@reg.add(markup_sql(ALTO_WORD, ("<TextLine>", "</TextLine>"), ("<Page><PrintSpace>", "</PrintSpace></Page>")))
+def alto_pages(spark, sf):
+    """ALTO markup of each document's words."""
+    return tx.alto_pages(fx.table(spark, sf, "documents"), "doc_id", "text")
+
+
 @reg.add("""WITH e AS (SELECT user_id AS path, event_id, ts, event_id % 3 AS size, lag(event_id % 3) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS was FROM events), s AS (SELECT *, CASE WHEN was = size AND size > 0 THEN 1 ELSE 0 END AS same FROM e),
  t AS (SELECT *, same + CASE WHEN same = 1 THEN coalesce(lag(same) OVER (PARTITION BY path ORDER BY ts, event_id), 0) ELSE 0 END AS stable FROM s) SELECT path, min(ts) AS ready_at FROM t WHERE stable >= 2 GROUP BY 1""")
 def stable_files(spark, sf):

@@ -16,9 +16,11 @@ def write_text(pages: DataFrame, path: str, book: str, order: str, text: str) ->
     tx.books(pages, book, order, text).select(F.col(book).alias("__book"), F.col("book").alias("value")).write.partitionBy("__book").mode("overwrite").text(path)
 
 
-def write_hocr(docs: DataFrame, path: str, id_col: str, text_col: str) -> None:
-    head = "<?xml version='1.0' encoding='UTF-8'?>\n<html xmlns='http://www.w3.org/1999/xhtml'><head><title/></head><body>\n"
-    tx.hocr_pages(docs, id_col, text_col).select(F.col(id_col).alias("__id"), F.concat(F.lit(head), "page", F.lit("\n</body></html>")).alias("value")).write.partitionBy("__id").mode("overwrite").text(path)
+def write_hocr(docs: DataFrame, path: str, id_col: str, text_col: str, engine: str = "leafmill") -> None:
+    """One hOCR file a document."""
+    pages = tx.hocr_pages(docs, id_col, text_col).select(F.col(id_col).alias("__id"), "page")
+    file = F.concat(tx.hocr_head(F.col("__id").cast("string"), engine), "page", F.lit("\n</body></html>"))
+    pages.select("__id", file.alias("value")).write.partitionBy("__id").mode("overwrite").text(path)
 
 
 def pdf(pages: Iterable[tuple[int, int, bytes, str]]) -> bytes:
