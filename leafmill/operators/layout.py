@@ -190,6 +190,52 @@ def ransac_line(points: np.ndarray, tolerance: float, rounds: int = 200, seed: i
     return np.append(axes[1], axes[1] @ middle), best
 
 
+def best_lines(points: np.ndarray, tolerance: float, count: int, least: int = 3, fine: float = 1e-3) -> list[tuple[float, float, int]]:
+    """(angle, distance, points near it) of the lines x cos(angle) + y sin(angle) = distance that most points are within tolerance of, each with points of its own.
+
+    Ranges of angle and distance are halved, best first: how many points could be near some line
+    of a range bounds what its halves reach, so the first range that is fine enough is the best.
+    """
+    left = np.asarray(points, float).reshape(-1, 2)
+    found: list[tuple[float, float, int]] = []
+    while len(found) < count and len(left) >= least:
+        r, phase = np.hypot(left[:, 0], left[:, 1]), np.arctan2(left[:, 1], left[:, 0])
+        far = float(r.max()) + tolerance
+        order = itertools.count()
+
+        def reached(a0: float, a1: float, d0: float, d1: float) -> np.ndarray:
+            ends = np.stack((r * np.cos(a0 - phase), r * np.cos(a1 - phase)))
+            low, high = ends.min(axis=0), ends.max(axis=0)
+            # Where the angle passes a point's own direction, or its opposite, the projection is longest.
+            turns = lambda at: np.floor((a1 - at) / (2 * np.pi)) > np.floor((a0 - at) / (2 * np.pi))
+            high, low = np.where(turns(phase), r, high), np.where(turns(phase + np.pi), -r, low)
+            return (low <= d1 + tolerance) & (high >= d0 - tolerance)
+
+        queue = [(-len(left), next(order), (0.0, np.pi, -far, far))]
+        best = None
+        while queue:
+            bound, _, (a0, a1, d0, d1) = heapq.heappop(queue)
+            if -bound < least:
+                break
+            if a1 - a0 <= fine and d1 - d0 <= max(fine, tolerance / 8):
+                best = ((a0 + a1) / 2, (d0 + d1) / 2, -bound, reached(a0, a1, d0, d1))
+                break
+            # The side that moves points more is halved.
+            if (a1 - a0) * far >= d1 - d0 and a1 - a0 > fine:
+                parts = ((a0, (a0 + a1) / 2, d0, d1), ((a0 + a1) / 2, a1, d0, d1))
+            else:
+                parts = ((a0, a1, d0, (d0 + d1) / 2), (a0, a1, (d0 + d1) / 2, d1))
+            for part in parts:
+                n = int(reached(*part).sum())
+                if n >= least:
+                    heapq.heappush(queue, (-n, next(order), part))
+        if best is None:
+            break
+        found.append((float(best[0]), float(best[1]), int(best[2])))
+        left = left[~best[3]]
+    return found
+
+
 def cheapest_path(cost: np.ndarray, start: tuple[int, int], end: tuple[int, int]) -> tuple[float, list[tuple[int, int]]]:
     """Cost and pixels of the cheapest way between two pixels over the eight neighbours; a step costs what it enters, times its length."""
     best, came, queue = {start: 0.0}, {}, [(0.0, start)]

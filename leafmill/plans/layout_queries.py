@@ -94,6 +94,7 @@ found("upright_lines", lambda a: [list(x) for x in layout.vertical_lines(a, 2)],
 found("spine_cuts", layout.spine_split, "v", "double")
 found("trimmed_boxes", lambda b: list(map(int, layout.trimmed_box(b, (0, 0, 7, 7), 0.2, 1))), "black", "array<int>")
 found("ink_lines", lambda b: [float(x) for x in layout.ransac_line(np.argwhere(b > 0)[:, ::-1].astype(float), 0.75, 50)[0]] if b.any() else None, "black", "array<double>")
+found("edge_lines", lambda b: [[round(x, 2) for x in line] for line in layout.best_lines(np.argwhere(b > 0)[:, ::-1], 0.5, 1, fine=0.2)], "black", "array<array<double>>")
 found("cheapest_paths", lambda a: float(layout.cheapest_path(a, (0, 0), (a.shape[0] - 1, a.shape[1] - 1))[0]), "v", "double")
 
 

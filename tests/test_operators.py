@@ -566,3 +566,17 @@ def test_lines_of_text_bend_a_page_back():
     bar[:, 195:198] = 1
     mask = layout.text_mask(bar, 8)
     assert mask[:, 195:198].sum() == 0 and mask[:, :190].sum() == black[:, :190].sum()
+
+
+def test_best_lines_against_a_fine_grid():
+    from leafmill.operators import layout
+
+    rng = np.random.default_rng(6)
+    on = np.array([(x, 0.5 * x + 3) for x in range(0, 40, 2)]) + rng.normal(0, 0.1, (20, 2))
+    points = np.concatenate((on, np.array([(30.0, y) for y in range(12)]), rng.random((15, 2)) * 40))
+    (angle, distance, n), (angle2, distance2, n2) = layout.best_lines(points, 0.5, 2)
+    near = lambda a, d: int((np.abs(points @ np.array([np.cos(a), np.sin(a)]) - d) <= 0.5).sum())
+    grid_best = max(near(a, d) for a in np.linspace(0, np.pi, 181) for d in np.linspace(-45, 60, 211))
+    assert n >= grid_best and near(angle, distance) >= n - 2
+    assert abs(np.tan(angle + np.pi / 2) - 0.5) < 0.05 and (abs(angle2) < 0.1 or abs(angle2 - np.pi) < 0.1) and abs(abs(distance2) - 30) < 1 and n2 >= 10
+    assert layout.best_lines(np.zeros((0, 2)), 1, 1) == []
