@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
-from leafmill.llm.words import PLAIN, mix, text_chunks, word_hashes
+from leafmill.llm.words import PLAIN, mix, text_chunks, thrifty, word_hashes
 
 #: Characters of the items of one index, which is sent to every executor (some 4 million words of 8 bytes).
 ITEM_CHARS = 32_000_000
@@ -264,7 +264,7 @@ def _cleaned(index, at: int):
                 stay[[lo + t for t, *_ in index.value.matches(*plain_words(texts))]] = False
             yield batch.filter(pa.array(stay))
 
-    return run
+    return thrifty(run)
 
 
 def _searched(index):
@@ -278,4 +278,4 @@ def _searched(index):
                     t, i, place, taken, d = map(list, zip(*found, strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array([ids[lo + x] for x in t], pa.int64()), pa.array(own.ids[i]), *(pa.array(x, pa.int64()) for x in (place, taken, d))], ["doc_id", "item_id", "first_word", "n_words", "edits"])
 
-    return run
+    return thrifty(run)

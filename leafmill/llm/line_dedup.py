@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from leafmill.llm.shared import drop, materialize
-from leafmill.llm.words import mix, powers, running
+from leafmill.llm.words import mix, powers, running, thrifty
 
 #: Keys or places of lines (24 bytes at most) that may be broadcast.
 BROADCAST_LINES = 500_000
@@ -88,6 +88,7 @@ def variant_keys(line: str) -> tuple[np.ndarray, np.ndarray]:
     return mix(keys).view(np.int64), np.arange(-1, n, dtype=np.int32)
 
 
+@thrifty
 def _variants(batches):
     for batch in batches:
         for doc, no, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
@@ -120,6 +121,7 @@ def near_lines(docs: DataFrame, firsts: DataFrame, edits: int) -> DataFrame:
     return _within_one(lines) if edits == 1 else _within(lines, edits)
 
 
+@thrifty
 def _picked(batches):
     for batch in batches:
         for doc, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
@@ -156,6 +158,7 @@ def line_sketches(line: str) -> tuple[int, int]:
     return tuple(int(np.bitwise_xor.reduce(_U(1) << (mix(x + _U(1)) >> _U(58)), initial=_U(0)).view(np.int64)) for x in both)
 
 
+@thrifty
 def _sketched(batches):
     for batch in batches:
         both = [line_sketches(x) for x in batch.column(2).to_pylist()]
@@ -230,7 +233,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 gone.append(len(lines) - len(left))
             yield pa.RecordBatch.from_arrays([part.column(2), pa.array(texts, pa.string()), pa.array(lines_n, pa.int64()), pa.array(gone, pa.int64())], ["row", "text", "n_lines", "n_removed"])
 
-    out = joined.select("__doc", "__text", "__row", "kept").mapInArrow(run, f"row {schema['__row'].dataType.simpleString()}, text string, n_lines long, n_removed long")
+    out = joined.select("__doc", "__text", "__row", "kept").mapInArrow(thrifty(run), f"row {schema['__row'].dataType.simpleString()}, text string, n_lines long, n_removed long")
     return out.select(*((F.col("text") if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in own), "n_lines", "n_removed")
 
 

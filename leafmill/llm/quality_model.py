@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 from leafmill.llm.html_extract import STOP_WORDS
 from leafmill.llm.shared import hash_sample, materialize
 from leafmill.llm.quality_rules import repeated_window_words
-from leafmill.llm.words import PLAIN, text_chunks, word_hashes
+from leafmill.llm.words import PLAIN, text_chunks, thrifty, word_hashes
 
 RATES = ["upper", "digits", "symbols", "bars", "shouts", "stops_marks", "other", "accents", "lines", "repeats", "again", "windows", "functional", "short_words", "long_words"]
 SHAPE = ["size", "variety", "word_length", "no_words"]
@@ -74,6 +74,7 @@ def features(texts: list[str | None]) -> np.ndarray:
     return np.concatenate((bent, shape), axis=1)
 
 
+@thrifty
 def _featured(batches):
     for batch in batches:
         for lo, hi, texts in text_chunks(batch.column(1)):

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from leafmill.llm.shared import materialize
-from leafmill.llm.words import mix, ngram_hashes, running, text_chunks, word_hashes
+from leafmill.llm.words import mix, ngram_hashes, running, text_chunks, thrifty, word_hashes
 
 #: (host, line) rows of 24 bytes that may be broadcast.
 BROADCAST_LINES = 400_000
@@ -89,6 +89,7 @@ def base_counts(texts: list[str | None]) -> dict[str, np.ndarray]:
     return {"n_words": np.diff(at), "word_chars": chars, "n_symbols": symbols, "n_dup_lines": dup, "n_repeat_words": repeated_window_words(words, at), "lines": (owner, number, norm, count)}
 
 
+@thrifty
 def _measured(batches):
     task = TaskContext.get()
     rid = (task.partitionId() if task else 0) << 40
