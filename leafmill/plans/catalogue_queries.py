@@ -109,7 +109,9 @@ def images_inserted(spark, sf):
 @reg.add(f"""WITH {fx.IMAGES} SELECT i.image_id, coalesce(s.own, 'auto') AS layout, coalesce(s.own = 'single' AND i.sub_pages = 2, false) AS conflict FROM images i
  LEFT JOIN (SELECT l_orderkey AS image_id, any_value(CASE WHEN l_suppkey % 2 = 0 THEN 'single' ELSE 'two' END) AS own FROM lineitem WHERE l_linenumber = 2 GROUP BY 1) s USING (image_id)""")
 def layout_types(spark, sf):
-    own = fx.table(spark, sf, "lineitem").where("l_linenumber = 2").groupBy(F.col("l_orderkey").alias("image_id")).agg(F.any_value(F.when(F.col("l_suppkey") % 2 == 0, "single").otherwise("two")).alias("own"))
+    """An image's own layout is that of its first row in the file, as any_value has it when rows are read in order."""
+    rows = fx.table(spark, sf, "lineitem").where("l_linenumber = 2").select(F.col("l_orderkey").alias("image_id"), F.when(F.col("l_suppkey") % 2 == 0, "single").otherwise("two").alias("own"), "_metadata.file_path", "_metadata.row_index")
+    own = rows.groupBy("image_id").agg(F.min_by("own", F.struct("file_path", "row_index")).alias("own"))
     j = fx.images(spark, sf).join(own, "image_id", "left")
     return j.select("image_id", F.coalesce("own", F.lit("auto")).alias("layout"), F.coalesce((F.col("own") == "single") & (F.col("sub_pages") == 2), F.lit(False)).alias("conflict"))
 

@@ -39,6 +39,20 @@ def test_query_runs(spark, small, name):
     assert c.queries()[name](spark, small).count() > 0
 
 
+def test_layout_types_take_the_first_row_of_many(spark, tmp_path):
+    # Spark reads the larger file first, and the smaller one holds the first rows.
+    (tmp_path / "lineitem.parquet").mkdir()
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT range AS o_orderkey, range AS o_custkey, '1-URGENT' AS o_orderpriority, 'O' AS o_orderstatus FROM range(300)) TO '{tmp_path}/orders.parquet'")
+    con.execute(f"COPY (SELECT range AS l_orderkey, range AS l_suppkey, 2 AS l_linenumber FROM range(300)) TO '{tmp_path}/lineitem.parquet/a.parquet'")
+    con.execute(f"COPY (SELECT range % 300 AS l_orderkey, range + range // 300 % 2 + 1 AS l_suppkey, 2 AS l_linenumber FROM range(3000)) TO '{tmp_path}/lineitem.parquet/b.parquet'")
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet'")
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    con.execute("SET threads = 1")
+    got, want = c.queries()["layout_types"](spark, str(tmp_path)).toPandas(), con.execute(c.oracle_sql()["layout_types"]).df()
+    assert rows(got) == rows(want)
+
+
 def test_entry(spark):
     import __spark_entry__
 
