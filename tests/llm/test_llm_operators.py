@@ -99,6 +99,41 @@ def test_sketches_never_exceed_the_difference(corpus):
             assert apart <= len(sets[i] ^ sets[j])
 
 
+def test_different_texts_of_a_few_words_share_no_signature():
+    values, at = words.shingle_sets([f"w{i}" for i in range(200)] + [f"a b c d e{i} f" for i in range(200)], 5)
+    owner, sig = jaccard_join.signatures(values, at, 80, 100, *jaccard_join.SHAPES[0])
+    assert set(owner.tolist()) == set(range(400)) and len(set(zip(owner.tolist(), sig.tolist(), strict=True))) == len(set(sig.tolist()))
+
+
+@pytest.mark.parametrize("counted", [0, 1, 3])
+def test_every_similar_pair_shares_an_element_of_its_prefixes(corpus, counted):
+    values, at = words.shingle_sets(corpus, 5)
+    often, counts = np.unique(values, return_counts=True)
+    owner, x = jaccard_join.prefixes(values, at, 80, 100, often[:: counted or 1][: counted and None], counts[:: counted or 1][: counted and None])
+    by, sets, linked = collections.defaultdict(set), sets_of(corpus), 0
+    for o, e in zip(owner.tolist(), x.tolist(), strict=True):
+        by[o].add(e)
+    for i, a in enumerate(sets):
+        assert len(by[i]) == (len(a) - -(-len(a) * 4 // 5) + 1 if a else 0)
+        for j in range(i):
+            if a and sets[j] and 100 * len(a & sets[j]) >= 80 * len(a | sets[j]):
+                linked += 1
+                assert by[i] & by[j], (i, j)
+    assert linked > 20
+
+
+def test_a_passage_of_many_documents_leaves_no_group_for_all_pairs(spark, monkeypatch):
+    rng, met = random.Random(8), []
+    passage = prose(rng, 150)
+    texts = [passage + " " + prose(rng, 100) for _ in range(120)]
+    texts += [edited(rng, t, 2) for t in texts[:30]]
+    pairs = jaccard_join._pairs
+    monkeypatch.setattr(jaccard_join, "_pairs", lambda groups, blobs, keys, *t: (met.append(("block" in keys, groups.groupBy("sig").count().count())), pairs(groups, blobs, keys, *t))[1])
+    got = {r.doc_id: r.component_id for r in jaccard_join.component_ids(docs_of(spark, texts)).collect()}
+    assert got == {i: i if i < 120 else i - 120 for i in range(150)}
+    assert met and not any(groups for block, groups in met if block)
+
+
 @pytest.mark.parametrize("tight", [False, True])
 def test_components_of_similar_documents(spark, corpus, monkeypatch, tight):
     if tight:  # every mixed group goes through all shapes and blocks, nothing is broadcast, copies are salted
