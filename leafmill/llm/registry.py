@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import decontamination, html_extract, jaccard_join, line_dedup, personal_data, quality_model, quality_rules, secret_scan, source_mix, url_filter
+from leafmill.llm import cover_tree, decontamination, divergence_audit, fill_in_middle, html_extract, jaccard_join, line_dedup, personal_data, quality_model, quality_rules, secret_scan, source_mix, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -62,7 +62,19 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id")
 
 
-OPERATORS = (op1_source_mix, op2_url_filter, op3_quality_model, op4_decontamination, op5_quality_rules, op6_secret_scan, op7_line_dedup, op8_personal_data, op9_html_extract, op10_jaccard_join)
+def op11_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digest(fill_in_middle.transform(_table(spark, sf_dir, "documents")))
+
+
+def op13_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence_audit.audit(_table(spark, sf_dir, "documents"))
+
+
+OPERATORS = (op1_source_mix, op2_url_filter, op3_quality_model, op4_decontamination, op5_quality_rules, op6_secret_scan, op7_line_dedup, op8_personal_data, op9_html_extract, op10_jaccard_join, op11_cover_tree, op12_fill_in_middle, op13_divergence_audit)
 
 
 def queries() -> dict[str, Query]:
@@ -126,5 +138,46 @@ FROM documents d LEFT JOIN texts t USING (doc_id)
 """
 
 
+OP11 = """
+WITH RECURSIVE rows AS (SELECT row_number() OVER () AS rid, vec_id, embedding FROM embeddings),
+sound AS MATERIALIZED (SELECT rid, vec_id, CAST(embedding AS DOUBLE[]) AS v, len(embedding) AS d FROM rows
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN embedding IF x <> 0]) > 0),
+links AS (SELECT a.rid AS a, b.rid AS b FROM sound a JOIN sound b ON a.d = b.d AND a.rid <> b.rid AND list_cosine_similarity(a.v, b.v) >= 0.9),
+reach AS (SELECT rid AS node, vec_id AS low FROM rows UNION SELECT l.b, r.low FROM reach r JOIN links l ON l.a = r.node),
+lows AS (SELECT node, min(low) AS component_id FROM reach GROUP BY node),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM rows JOIN lows ON rid = node LEFT JOIN counts ON rid = a
+"""
+
+OP12 = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+h AS (SELECT *, CAST('0x' || h[1:8] AS BIGINT) % (len(u) + 1) AS k1, CAST('0x' || h[9:16] AS BIGINT) % (len(u) + 1) AS k2, CAST('0x' || h[17:24] AS BIGINT) % 100 AS k3, CAST('0x' || h[25:32] AS BIGINT) % 100 AS k4 FROM t),
+c AS (SELECT doc_id, t, len(u) AS n, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR k3 >= 90 THEN 'plain' WHEN k4 < 20 THEN 'spm' ELSE 'psm' END AS form,
+  array_to_string(u[1:least(k1, k2)], '') AS p, array_to_string(u[least(k1, k2) + 1:greatest(k1, k2)], '') AS m, array_to_string(u[greatest(k1, k2) + 1:], '') AS s FROM h)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256 FROM c
+"""
+
+OP13 = r"""
+WITH docs AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+tokens AS (SELECT rid, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+counts AS (SELECT lang, source, term, count(*) AS n FROM tokens GROUP BY ALL),
+kept AS (SELECT lang, term, count(*) AS n FROM tokens GROUP BY lang, term HAVING count(DISTINCT rid) >= 3),
+sources AS (SELECT DISTINCT lang, source FROM docs),
+sizes AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+grid AS (SELECT s.lang, s.source, k.term, coalesce(c.n, 0) AS n, k.n AS all_n, v FROM sources s JOIN kept k USING (lang) JOIN sizes USING (lang) LEFT JOIN counts c USING (lang, source, term)),
+shares AS (SELECT lang, source, term, n, CAST(1 + 1000000000 * CAST(n + 1 AS HUGEINT) // (sum(n) OVER (PARTITION BY lang, source) + v) AS HUGEINT) AS p,
+  CAST(1 + 1000000000 * CAST(all_n + 1 AS HUGEINT) // (sum(all_n) OVER (PARTITION BY lang, source) + v) AS HUGEINT) AS q FROM grid),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // q AS value FROM shares WHERE n > 0 AND p > q),
+summed AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM sources a JOIN sources b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN summed s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS r FROM (SELECT * FROM terms UNION ALL SELECT * FROM pairs))
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(r AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR r <= 200
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": OP5, "op7_line_dedup": OP7, "op10_jaccard_join": OP10}
+    return {"op5_quality_rules": OP5, "op7_line_dedup": OP7, "op10_jaccard_join": OP10, "op11_cover_tree": OP11, "op12_fill_in_middle": OP12, "op13_divergence_audit": OP13}
