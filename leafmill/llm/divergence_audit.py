@@ -5,54 +5,59 @@ sources is an integer function f of two shares, summed over all kept terms of th
 share depends on a term's count alone, so f is the same for all terms with the same two
 counts: for each pair of sources the distinct combinations of counts are tallied, and f is worked out
 once a combination and taken times its number. Only terms that both sources have
-are joined; combinations with a zero are implied by each source's own histogram of counts
-less what the join has of it, and that of two zeros by the number of kept terms.
+are tallied; combinations with a zero are implied by each source's own histogram of counts
+less what the tally has of it, and that of two zeros by the number of kept terms.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from leafmill.llm.shared import materialize
 from leafmill.llm.words import text_chunks, thrifty
 
 UNIT = 1_000_000_000
-#: Distinct terms that a task holds before it hands on what it has counted; characters that are cut into terms at once.
-HELD, PIECE = 200_000, 1 << 20
+#: Terms that a task holds before it hands on what it has counted, characters that are cut into terms at once, and combinations that are held before they are tallied.
+HELD, PIECE, COMBINATIONS = 300_000, 1 << 20, 1 << 22
 #: Groups and languages are broadcast up to this number of rows, counted first.
 BROADCAST_GROUPS = 100_000
 # A byte of a term: a letter, folded to lower case, or part of a code point beyond ASCII. All others part terms.
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 
 
-def term_counts(text: str | None) -> Counter:
-    """How often each term occurs in a text, as UTF-8; a long text is cut into terms piece by piece."""
-    data, found, at = (text or "").encode("utf-8", "surrogatepass").translate(_FOLD), Counter(), 0
+def terms_of(text: str | None) -> Iterator[list[bytes]]:
+    """A text's terms, as UTF-8; a long text is cut into terms piece by piece."""
+    data, at = (text or "").encode("utf-8", "surrogatepass").translate(_FOLD), 0
     while at < len(data):
         end = data.find(b" ", at + PIECE)
         end = len(data) if end < 0 else end
-        found.update(data[at:end].split())
+        yield data[at:end].split()
         at = end
-    return found
 
 
 def _counted(batches):
-    held: dict[tuple[str, str], dict[bytes, list[int]]] = {}
+    """How often each term occurs in each source, and in how many documents; a term of no bytes stands for the source itself."""
+    held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
     size = 0
     for batch in batches:
         langs, sources = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for lo, _, texts in text_chunks(batch.column(2)):
             for i, text in enumerate(texts, lo):
-                own = held.setdefault((langs[i], sources[i]), {b"": [0, 0]})  # a group without terms counts, too
-                size -= len(own)
-                for term, n in term_counts(text).items():
-                    x = own.setdefault(term, [0, 0])
-                    x[0] += n
-                    x[1] += 1
-                size += len(own)
+                n, docs = held.setdefault((langs[i], sources[i]), (Counter(), Counter()))
+                size -= len(n)
+                seen = set()
+                for terms in terms_of(text):
+                    n.update(terms)
+                    seen.update(terms)
+                docs.update(seen)
+                size += len(n)
                 if size >= HELD:
                     yield from _handed_on(held)
                     held, size = {}, 0
@@ -60,22 +65,78 @@ def _counted(batches):
 
 
 def _handed_on(held):
-    for (lang, source), own in held.items():
-        counts = list(own.values())
+    for (lang, source), (n, docs) in held.items():
+        terms = [b"", *n]
         yield pa.RecordBatch.from_arrays(
-            [pa.repeat(pa.scalar(lang, pa.string()), len(own)), pa.repeat(pa.scalar(source, pa.string()), len(own)), pa.array(own, pa.binary()).view(pa.string()), pa.array([c[0] for c in counts], pa.int64()), pa.array([c[1] for c in counts], pa.int64())],
+            [pa.repeat(pa.scalar(lang, pa.string()), len(terms)), pa.repeat(pa.scalar(source, pa.string()), len(terms)), pa.array(terms, pa.binary()).view(pa.string()), pa.array([0, *n.values()], pa.int64()), pa.array([0, *(docs[t] for t in n)], pa.int64())],
             ["lang", "source", "term", "n", "docs"],
         )
 
 
-def _whole(a: str, b: str) -> Column:
-    """a // b of columns that are not negative, beyond 64 bits."""
-    return F.expr(f"cast({a} as decimal(38, 0)) div cast({b} as decimal(38, 0))")
+def _codes(column: pa.Array, known: dict[str, int]) -> np.ndarray:
+    coded = column.dictionary_encode()
+    return np.array([known.setdefault(v, len(known)) for v in coded.dictionary.to_pylist()], np.int64)[coded.indices.to_numpy()]
+
+
+def _tallied(batches):
+    """For terms with the counts of their sources: how many terms have which counts in which two sources, and in each one (b is a, nb 0)."""
+    langs: dict[str, int] = {}
+    sources: dict[str, int] = {}
+    held, size = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cells = batch.column(1)
+        number = pc.list_value_length(cells).to_numpy()
+        term = np.repeat(np.arange(len(number)), number)
+        flat = cells.flatten()
+        source, n = _codes(flat.field("source"), sources), flat.field("n").to_numpy(zero_copy_only=False)
+        order = np.lexsort((source, term))
+        lang, source, n = _codes(batch.column(0), langs)[term], source[order], n[order]
+        held.append(np.stack((lang, source, source, n, np.zeros_like(n))))
+        for k in range(1, int(number.max())):
+            both = np.flatnonzero(term[k:] == term[:-k])
+            held.append(np.stack((lang[both], source[both], source[both + k], n[both], n[both + k])))
+            size += len(both)
+            if size >= COMBINATIONS:
+                yield from _told(held, list(langs), list(sources))
+                held, size = [], 0
+        size += len(n)
+    yield from _told(held, list(langs), list(sources))
+
+
+def _told(held: list[np.ndarray], langs: list[str], sources: list[str]):
+    if not any(h.size for h in held):
+        return
+    rows = np.concatenate(held, axis=1)
+    tops = [int(r.max()) + 1 for r in rows]
+    if math.prod(tops) < 1 << 62:  # one number tells a combination
+        packed = np.zeros(rows.shape[1], np.int64)
+        for r, top in zip(rows, tops, strict=True):
+            packed = packed * top + r
+        packed, k = np.unique(packed, return_counts=True)
+        parts = []
+        for top in reversed(tops):
+            packed, r = np.divmod(packed, top)
+            parts.append(r)
+        lang, a, b, na, nb = reversed(parts)
+    else:
+        (lang, a, b, na, nb), k = np.unique(rows, axis=1, return_counts=True)
+    names = [s.encode("utf-8", "surrogatepass") for s in sources]
+    rank = np.empty(len(names), np.int64)
+    rank[sorted(range(len(names)), key=names.__getitem__)] = np.arange(len(names))
+    turn = rank[a] > rank[b]
+    a, b, na, nb = np.where(turn, b, a), np.where(turn, a, b), np.where(turn, nb, na), np.where(turn, na, nb)
+    of_lang, of_source = pa.array(langs, pa.string()), pa.array(sources, pa.string())
+    for at in range(0, len(k), 1 << 16):
+        cut = slice(at, at + (1 << 16))
+        yield pa.RecordBatch.from_arrays([of_lang.take(pa.array(lang[cut])), of_source.take(pa.array(a[cut])), of_source.take(pa.array(b[cut])), *(pa.array(x[cut].astype(np.int64)) for x in (na, nb, k))], ["lang", "a", "b", "na", "nb", "k"])
 
 
 def share(count: str, total: str, terms: str) -> Column:
-    """A term's smoothed share of a group, in billionths, plus one."""
-    return 1 + _whole(f"cast({UNIT} as decimal(10, 0)) * cast({count} + 1 as decimal(20, 0))", f"{total} + {terms}")
+    """A term's smoothed share of a group, in billionths, plus one. Where 64 bits don't hold the product, decimals do."""
+    whole = f"cast(({total}) + ({terms}) as decimal(38, 0))"
+    return F.expr(f"1 + case when {count} < 9000000000 then {UNIT} * ({count} + 1) div ({total} + {terms}) else (cast({UNIT} as decimal(10, 0)) * cast({count} + 1 as decimal(20, 0))) div {whole} end")
 
 
 def apart(p: str, q: str) -> Column:
@@ -100,17 +161,19 @@ def audit(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", t
     none = F.lit("")
     read = docs.select(F.coalesce(F.col(lang_col).cast("string"), none).alias("lang"), F.coalesce(F.col(source_col).cast("string"), none).alias("source"), F.coalesce(F.col(text_col).cast("string"), none).alias("text"))
     parts = read.mapInArrow(thrifty(_counted), "lang string, source string, term string, n long, docs long")
-    counts = materialize(parts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "counts")
-    kept = counts.where("term <> ''").groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("all_n")).where(F.col("docs") >= min_docs).drop("docs")
-    cells = materialize(counts.where("term <> ''").drop("docs").join(kept, ["lang", "term"]), "cells")
-    sums = cells.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count("*").alias("own"))
-    groups = counts.where("term = ''").select("lang", "source").join(sums, ["lang", "source"], "left").na.fill(0, ["total", "own"])
-    groups = materialize(groups, "groups")
-    langs = groups.groupBy("lang").agg(F.sum("total").alias("lang_total")).join(cells.groupBy("lang").agg(F.count_distinct("term").alias("terms")), "lang", "left").na.fill(0, ["terms"])
-    small = groups.count() <= BROADCAST_GROUPS
-    groups = materialize(groups.join(langs, "lang"), "groups")
-    groups = F.broadcast(groups) if small else groups
-    return _pairs(cells, groups).unionByName(_terms(cells, groups, top))
+    # One exchange: sums by source and then by term alone both follow from it. A term's row holds a number for each
+    # source that has it; the result has a row for each two of them.
+    counts = parts.repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    by_term = counts.groupBy("lang", "term").agg(F.collect_list(F.struct("source", "n")).alias("cells"), F.sum("n").alias("all_n"), F.sum("docs").alias("docs"))
+    by_term = materialize(by_term.where((F.col("docs") >= min_docs) | (F.col("term") == "")).drop("docs"), "terms")
+    kept, every = by_term.where("term <> ''"), by_term.where("term = ''").select("lang", F.explode("cells.source").alias("source"))
+    tallies = kept.select("lang", "cells").mapInArrow(thrifty(_tallied), "lang string, a string, b string, na long, nb long, k long").groupBy("lang", "a", "b", "na", "nb").agg(F.sum("k").alias("k"))
+    tallies = materialize(tallies, "tallies")
+    sums = tallies.where("a = b").groupBy("lang", F.col("a").alias("source")).agg(F.sum(F.col("na") * F.col("k")).alias("total"), F.sum("k").alias("own"))
+    sizes = kept.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("all_n").alias("lang_total"))
+    groups = materialize(every.join(sums, ["lang", "source"], "left").join(sizes, "lang", "left").na.fill(0, ["total", "own", "terms", "lang_total"]), "groups")
+    groups = F.broadcast(groups) if groups.count() <= BROADCAST_GROUPS else groups
+    return _pairs(tallies, groups).unionByName(_terms(kept, groups, top))
 
 
 def _ranked(rows: DataFrame, part: str) -> DataFrame:
@@ -118,24 +181,25 @@ def _ranked(rows: DataFrame, part: str) -> DataFrame:
     return rows.select("lang", "source", F.lit(part).alias("part"), "item", F.col("value").cast("long").alias("value"), F.row_number().over(order).alias("rank"))
 
 
-def _terms(cells: DataFrame, groups: DataFrame, top: int) -> DataFrame:
+def _terms(kept: DataFrame, groups: DataFrame, top: int) -> DataFrame:
+    cells = kept.select("lang", "term", "all_n", F.explode("cells").alias("cell")).select("lang", "term", "all_n", "cell.*")
     shares = cells.join(groups, ["lang", "source"]).withColumn("p", share("n", "total", "terms")).withColumn("q", share("all_n", "lang_total", "terms"))
     return _ranked(shares.where("p > q").select("lang", "source", F.col("term").alias("item"), apart("p", "q").alias("value")), "term").where(F.col("rank") <= top)
 
 
-def joint_counts(cells: DataFrame, groups: DataFrame) -> DataFrame:
-    """For each two sources a < b of a language, how many of its kept terms have which two counts: (lang, a, b, na, nb, terms_so), zeros included."""
-    sides = [cells.select("lang", "term", F.col("source").alias(x), F.col("n").alias(f"n{x}")) for x in "ab"]
-    both = sides[0].join(sides[1], ["lang", "term"]).where("a < b").groupBy("lang", "a", "b", "na", "nb").agg(F.count("*").alias("k"))
-    both = materialize(both, "joint")
+def joint_counts(tallies: DataFrame, groups: DataFrame) -> DataFrame:
+    """For each two sources a < b of a language, how many of its kept terms have which two counts: (lang, a, b, na, nb, terms_so), zeros included.
+
+    tallies (lang, a, b, na, nb, k) have the terms of both sources, and where b is a, of the source itself.
+    """
+    both, own = tallies.where("a <> b"), tallies.where("a = b").select("lang", F.col("a").alias("source"), F.col("na").alias("n"), "k")
     pair = [groups.select("lang", F.col("source").alias(x), F.col("own").alias(f"own_{x}"), *(["terms"] if x == "a" else [])) for x in "ab"]
     pairs = pair[0].join(pair[1], "lang").where("a < b")
-    own = cells.groupBy("lang", "source", "n").agg(F.count("*").alias("k"))
     zero, columns = F.lit(0).cast("long"), ["lang", "a", "b", "na", "nb", "k"]
     less = both.withColumn("k", -F.col("k"))
     implied = [
-        own.join(pairs, (own["lang"] == pairs["lang"]) & (own["source"] == pairs["a"])).select(pairs["lang"], "a", "b", own["n"].alias("na"), zero.alias("nb"), "k"),
-        own.join(pairs, (own["lang"] == pairs["lang"]) & (own["source"] == pairs["b"])).select(pairs["lang"], "a", "b", zero.alias("na"), own["n"].alias("nb"), "k"),
+        own.withColumnRenamed("source", "a").join(pairs, ["lang", "a"]).select("lang", "a", "b", F.col("n").alias("na"), zero.alias("nb"), "k"),
+        own.withColumnRenamed("source", "b").join(pairs, ["lang", "b"]).select("lang", "a", "b", zero.alias("na"), F.col("n").alias("nb"), "k"),
         less.withColumn("nb", zero), less.withColumn("na", zero), both.withColumn("na", zero).withColumn("nb", zero),
         pairs.select("lang", "a", "b", zero.alias("na"), zero.alias("nb"), (F.col("terms") - F.col("own_a") - F.col("own_b")).alias("k")),
     ]
@@ -145,9 +209,9 @@ def joint_counts(cells: DataFrame, groups: DataFrame) -> DataFrame:
     return rows.groupBy("lang", "a", "b", "na", "nb").agg(F.sum("k").alias("terms_so")).where("terms_so > 0")
 
 
-def _pairs(cells: DataFrame, groups: DataFrame) -> DataFrame:
+def _pairs(tallies: DataFrame, groups: DataFrame) -> DataFrame:
     totals = [groups.select("lang", F.col("source").alias(x), F.col("total").alias(f"total_{x}"), *(["terms"] if x == "a" else [])) for x in "ab"]
-    shares = joint_counts(cells, groups).join(totals[0], ["lang", "a"]).join(totals[1], ["lang", "b"])
+    shares = joint_counts(tallies, groups).join(totals[0], ["lang", "a"]).join(totals[1], ["lang", "b"])
     shares = shares.withColumn("pa", share("na", "total_a", "terms")).withColumn("pb", share("nb", "total_b", "terms"))
     wide = lambda f: F.sum(f.cast("decimal(20,0)") * F.col("terms_so").cast("decimal(18,0)"))
     found = shares.groupBy("lang", "a", "b").agg(wide(apart("pa", "pb")).alias("ab"), wide(apart("pb", "pa")).alias("ba"))
