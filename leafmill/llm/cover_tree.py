@@ -32,8 +32,8 @@ from leafmill.llm.components import components
 from leafmill.llm.shared import drop, hash_sample, materialize
 from leafmill.llm.words import thrifty
 
-#: Radii of the levels that are built in a shard, halving; above them all is one ball of radius 2.
-RADII = (1.0, 0.5, 0.25, 0.125, 0.0625)
+#: Levels that are built in a shard, their radii halving from one that is no smaller than the threshold's chord: wider balls would be within reach of nearly all others.
+LEVELS = 5
 #: The sample that routing is fitted on, and the cells it makes, at most. They move work about and touch no result.
 SAMPLE, CELLS = 4096, 256
 #: Vectors of a shard, about.
@@ -61,6 +61,13 @@ def _packed(batches):
         yield pa.RecordBatch.from_arrays([ids, pa.array([bytes(raw[a * wide : b * wide]) if o else None for a, b, o in zip(begin.tolist(), end.tolist(), ok.tolist(), strict=True)], pa.binary())], ["id", "v"])
 
 
+def radii(threshold: float) -> tuple[float, ...]:
+    """Radii of a shard's levels: halves of 2, the ball that holds all."""
+    far = math.sqrt(2 - 2 * threshold)
+    first = max(2.0 ** math.ceil(math.log2(far)), 2.0**-12) if far else 2.0**-12
+    return tuple(min(first, 1.0) / 2**i for i in range(LEVELS))
+
+
 def running(flags: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.cumsum(flags, dtype=np.int64)))
 
@@ -104,14 +111,14 @@ def chord(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2 - 2 * np.einsum("ij,ij->i", x, y), 0))
 
 
-def cells(x: np.ndarray, most: int) -> np.ndarray:
+def cells(x: np.ndarray, most: int, least: float = 0.0625) -> np.ndarray:
     """Heads of the upper tree's lowest nodes: the fullest node is opened into balls of half its radius, as long as there are `most` nodes at most."""
     nodes, done = [(np.arange(len(x)), 2.0)], []
     small = x.astype(np.float32)
     while nodes:
         nodes.sort(key=lambda n: len(n[0]))
         rows, radius = nodes.pop()
-        if len(rows) <= max(1, len(x) // 64) or radius <= RADII[-1]:
+        if len(rows) <= max(1, len(x) // 64) or radius <= least:
             done.append((rows, radius))
             continue
         head = cover(small[rows], radius / 2)
@@ -123,11 +130,11 @@ def cells(x: np.ndarray, most: int) -> np.ndarray:
     return x[sorted(int(rows[0]) for rows, _ in done)] if len(x) else x
 
 
-def _levels(x: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _levels(x: np.ndarray, cell: np.ndarray, radii: tuple[float, ...]) -> tuple[np.ndarray, np.ndarray]:
     """Head and covering radius of each row's node on each level."""
     small = x.astype(np.float32)
-    heads, reach = np.empty((len(RADII), len(x)), np.int64), np.empty((len(RADII), len(x)))
-    for level, radius in enumerate(RADII):
+    heads, reach = np.empty((len(radii), len(x)), np.int64), np.empty((len(radii), len(x)))
+    for level, radius in enumerate(radii):
         if level:
             head, open_ = heads[level - 1].copy(), np.flatnonzero(reach[level - 1] > radius)
             key = head[open_]
@@ -144,12 +151,12 @@ def _levels(x: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return heads, reach
 
 
-def _built(kind: str):
+def _built(kind: str, radii: tuple[float, ...]):
     def run(key, table):
         table = table.combine_chunks()
         ids = table["gid"].to_numpy()
-        heads, reach = _levels(unit(table["v"].combine_chunks(), kind), table["cell"].to_numpy())
-        at = pa.array(np.arange(0, len(RADII) * (len(ids) + 1), len(RADII)), pa.int32())
+        heads, reach = _levels(unit(table["v"].combine_chunks(), kind), table["cell"].to_numpy(), radii)
+        at = pa.array(np.arange(0, len(radii) * (len(ids) + 1), len(radii)), pa.int32())
         more = [pa.ListArray.from_arrays(at, pa.array(ids[heads.T.ravel()])), pa.ListArray.from_arrays(at, pa.array(reach.T.ravel()))]
         return pa.table([table[c] for c in ("gid", "dim", "cell", "shard", "copies", "v")] + more, names=["gid", "dim", "cell", "shard", "copies", "v", "heads", "reach"])
 
@@ -165,7 +172,7 @@ class _Side:
         self.gid, self.copies = table["gid"].to_numpy(), table["copies"].to_numpy()
         self.x = unit(table["v"].combine_chunks(), kind)
         self.small = self.x.astype(np.float32)
-        n, depth = len(self.gid), len(RADII)
+        n, depth = len(self.gid), LEVELS
         heads = np.searchsorted(self.gid, table["heads"].combine_chunks().flatten().to_numpy().reshape(n, depth)).T
         reach = table["reach"].combine_chunks().flatten().to_numpy().reshape(n, depth).T
         self.row, self.node, self.reach, self.weight, self.many, self.kids, self.at = [], [], [], [], [], [], []
@@ -178,7 +185,7 @@ class _Side:
             self.many.append(np.bincount(node, minlength=len(row)) > 1)
         for level in range(depth + 1):  # children on this level of the nodes one level up
             parent = self.node[level - 1][self.row[level]] if level else np.zeros(len(self.row[0]), np.int64)
-            self.kids.append(np.argsort(parent, kind="stable"))
+            self.kids.append(np.lexsort((self.reach[level], parent)))  # by their radii: a block of heads has nodes of one size
             self.at.append(np.concatenate(([0], np.cumsum(np.bincount(parent, minlength=len(self.row[level - 1]) if level else 1)))))
         self.add = [np.zeros(len(r), np.int64) for r in self.row]
         self.own = [np.zeros(len(r), np.int64) for r in self.row]
@@ -261,7 +268,7 @@ class Dual:
             yield ia, ib
 
     def run(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        a, b, last = self.a, self.b, len(RADII)
+        a, b, last = self.a, self.b, LEVELS
         root = np.zeros(1, np.int64)
         stack = [(0, self._children(0, root, root))]
         while stack:
@@ -414,7 +421,7 @@ def _found(vectors: DataFrame, id_col: str, vector_col: str, threshold: float, e
     dealt = sent.select("gid", "dim", "cell", shard.alias("shard"), "copies", "v")
     wide = max(1, min(tasks, 32 * cores))
     fields = "gid long, dim int, cell int, shard int, copies long, v binary, heads array<long>, reach array<double>"
-    trees = materialize(dealt.repartition(wide, "dim", "shard").groupBy("dim", "shard").applyInArrow(_built(kind), fields), "trees")
+    trees = materialize(dealt.repartition(wide, "dim", "shard").groupBy("dim", "shard").applyInArrow(_built(kind, radii(threshold)), fields), "trees")
     drop(placed)
     others = F.array_distinct(F.flatten(F.transform("meets", lambda m: F.sequence(m["at"], m["at"] + m["number"] - 1))))
     pairs = trees.join(F.broadcast(routes), ["dim", "cell"]).withColumn("other", F.explode(others))
