@@ -9,6 +9,7 @@ from leafmill.functions import geometry as g, text as tx
 from leafmill.operators import kernels as k, raster as r
 from leafmill.plans import fixtures as fx, stages
 from leafmill.plans.registry import Registry
+from leafmill.sources import fax
 
 reg = Registry()
 V = f"WITH RECURSIVE {fx.VECTOR_PIXELS}"
@@ -262,3 +263,16 @@ def processed_pages(spark, sf):
  best AS (SELECT page_id, arg_max((e + nb) / 2, (nb - e) * 1000 - e) AS cut FROM gaps WHERE nb IS NOT NULL GROUP BY 1) SELECT p.page_id, round(coalesce(cut, 4), 3) AS cut FROM (SELECT DISTINCT page_id FROM pixels) p LEFT JOIN best USING (page_id)""")
 def page_cuts(spark, sf):
     return stages.whitespace_cuts(fx.vector_pixels(spark, sf), 3, 8).withColumn("cut", F.round("cut", 3))
+
+
+@reg.add(None)
+def fax_lengths(spark, sf):
+    """Bytes of each text's page of 64 columns as fax, and as it is."""
+
+    def lengths(tones):
+        ink = np.zeros(-(-len(tones) // 64) * 64, np.uint8)
+        ink[: len(tones)] = tones != 255
+        page = ink.reshape(-1, 64)
+        return {"height": np.array([len(page)]), "fax_bytes": np.array([len(fax.encode(page))]), "plain_bytes": np.array([len(page) * 8])}
+
+    return k.map_texts(fx.text_pages(spark, sf), lengths, "height long, fax_bytes long, plain_bytes long")

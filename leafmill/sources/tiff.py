@@ -1,6 +1,7 @@
 """TIFF files as pages of pixels, and back: all images of a file, in strips or tiles, of 1 to 64 bits a sample.
 
-Compression is none, PackBits, LZW or Deflate; others (fax, JPEG) are reported as errors. What
+Compression is none, fax (T.4 and T.6), PackBits, LZW or Deflate; others (JPEG) are reported as errors.
+Files can be read by ranges, so that one image of many costs what it takes itself. What
 is not a whole number of up to 8 bits is spread over 0 to 255: from the least to the largest
 sample value that the file names or holds, or from 0 to 1 where all floats lie there.
 """
@@ -9,15 +10,17 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from leafmill.sources import fax
+
 #: Numbers of the format.
-NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
+NONE, FAX_RUNS, FAX3, FAX4, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 2, 3, 4, 5, 8, 32946, 32773
 WHITE_IS_ZERO, BLACK_IS_ZERO, RGB, PALETTE = 0, 1, 2, 3
 UNSIGNED, SIGNED, FLOAT = 1, 2, 3
 KINDS = {1: "B", 2: "c", 3: "H", 4: "I", 5: "II", 6: "b", 8: "h", 9: "i", 10: "ii", 11: "f", 12: "d"}
@@ -34,27 +37,41 @@ class Page:
     bitonal: bool = False
 
 
-def directories(data: bytes) -> Iterator[tuple[str, dict[int, tuple]]]:
-    """Byte order and tags of each image."""
-    order = {b"II*\0": "<", b"MM\0*": ">"}.get(data[:4])
+#: read(at, size) gives those bytes of a file, or fewer at its end.
+Read = Callable[[int, int], bytes]
+
+
+def reader(data: bytes | Read) -> Read:
+    return data if callable(data) else lambda at, size: data[at : at + size]
+
+
+def directories(data: bytes | Read) -> Iterator[tuple[str, dict[int, tuple]]]:
+    """Byte order and tags of each image; what a tag says is read, the image is not."""
+    read = reader(data)
+    order = {b"II*\0": "<", b"MM\0*": ">"}.get(read(0, 4))
     if order is None:
         raise ValueError("not a TIFF file")
-    at, seen = struct.unpack_from(order + "I", data, 4)[0], set()
+    at, seen = struct.unpack(order + "I", read(4, 4))[0], set()
     while at and at not in seen:
         seen.add(at)
-        (n,) = struct.unpack_from(order + "H", data, at)
-        tags = {}
+        (n,) = struct.unpack(order + "H", read(at, 2))
+        entries, tags = read(at + 2, 12 * n + 4), {}
         for i in range(n):
-            tag, kind, count = struct.unpack_from(order + "HHI", data, at + 2 + 12 * i)
+            tag, kind, count = struct.unpack_from(order + "HHI", entries, 12 * i)
             if kind not in KINDS:
                 continue
             form = f"{order}{KINDS[kind] * count}" if kind in (5, 10) else f"{order}{count}{KINDS[kind]}"
             size = struct.calcsize(form)
-            where = at + 10 + 12 * i if size <= 4 else struct.unpack_from(order + "I", data, at + 10 + 12 * i)[0]
-            if where + size <= len(data):
-                tags[tag] = struct.unpack_from(form, data, where)
+            value = entries[12 * i + 8 : 12 * i + 8 + size] if size <= 4 else read(struct.unpack_from(order + "I", entries, 12 * i + 8)[0], size)
+            if len(value) == size:
+                tags[tag] = struct.unpack(form, value)
         yield order, tags
-        (at,) = struct.unpack_from(order + "I", data, at + 2 + 12 * n)
+        (at,) = struct.unpack_from(order + "I", entries, 12 * n)
+
+
+def count(data: bytes | Read) -> int:
+    """Images of a file."""
+    return sum(1 for _ in directories(data))
 
 
 def unpack_bits(data: bytes) -> bytes:
@@ -121,9 +138,12 @@ def unpack_lzw(data: bytes) -> bytes:
     return bytes(out)
 
 
-def expand(data: bytes, compression: int) -> bytes:
+def expand(data: bytes, compression: int, rows: int = 0, width: int = 0, options: int = 0) -> bytes:
+    """The bytes of a block; rows, width and T4Options are for fax."""
     if compression == NONE:
         return data
+    if compression in (FAX_RUNS, FAX3, FAX4):
+        return np.packbits(fax.decode(data, rows, width, compression, options), axis=1).tobytes()
     if compression == PACKBITS:
         return unpack_bits(data)
     if compression == LZW:
@@ -168,10 +188,17 @@ def to_bytes(values: np.ndarray, bits: int, form: int, invert: bool, named: tupl
     return (255 - out if invert else out).astype(np.uint8)
 
 
-def decode(data: bytes) -> list[Page]:
-    """All images of a file."""
-    found = []
-    for order, tags in directories(data):
+def decode(data: bytes | Read, first: int = 0, stop: int | None = None) -> list[Page]:
+    """All images of a file, or those from first to before stop."""
+    return list(each(data, first, stop))
+
+
+def each(data: bytes | Read, first: int = 0, stop: int | None = None) -> Iterator[Page]:
+    """decode's images one by one."""
+    read = reader(data)
+    for number, (order, tags) in enumerate(directories(read)):
+        if number < first or (stop is not None and number >= stop):
+            continue
         one = lambda tag, usual: tags.get(tag, (usual,))[0]  # noqa: B023, E731
         width, height, bits, form = one(256, 0), one(257, 0), one(258, 1), one(339, UNSIGNED)
         if not (0 < width <= MAX_SIDE and 0 < height <= MAX_SIDE and width * height <= MAX_PIXELS):
@@ -182,6 +209,8 @@ def decode(data: bytes) -> list[Page]:
         places, sizes = (tags.get(324), tags.get(325)) if tiled else (tags.get(273), tags.get(279))
         if not places or not sizes or block_w <= 0 or block_h <= 0:
             raise ValueError("no image data")
+        if one(259, NONE) in (FAX_RUNS, FAX3, FAX4) and (bits, channels) != (1, 1):
+            raise ValueError("fax coding is for one bit a pixel")
         planes, per_pixel = (channels, 1) if planar == 2 else (1, channels)
         across, down = -(-width // block_w), -(-height // block_h)
         page = None
@@ -191,10 +220,10 @@ def decode(data: bytes) -> list[Page]:
                 break
             top, left = j // across * block_h, j % across * block_w
             rows = block_h if tiled else min(block_h, height - top)
-            raw = data[at : at + size]
+            raw = read(at, size)
             if one(266, 1) == 2:  # low bits first
                 raw = np.packbits(np.unpackbits(np.frombuffer(raw, np.uint8), bitorder="little")).tobytes()
-            block = samples(expand(raw, one(259, NONE)), rows, block_w * per_pixel, bits, form, order).reshape(rows, block_w, per_pixel)
+            block = samples(expand(raw, one(259, NONE), rows, block_w, one(292, 0)), rows, block_w * per_pixel, bits, form, order).reshape(rows, block_w, per_pixel)
             if predictor == 2 and form != FLOAT:
                 block = np.cumsum(block, axis=1, dtype=block.dtype) & block.dtype.type((1 << bits) - 1 if form == UNSIGNED else -1)
             if page is None:
@@ -210,33 +239,61 @@ def decode(data: bytes) -> list[Page]:
             pixels = to_bytes(used, bits, form, photometric == WHITE_IS_ZERO, named if named and named[1] > named[0] else None)
         scale = {2: 1.0, 3: 2.54}.get(one(296, 2), 0.0)
         dpi = tuple(tags[t][0] / tags[t][1] * scale if t in tags and tags[t][1] else 0.0 for t in (282, 283))
-        found.append(Page(pixels, dpi, bits == 1 and channels == 1))
-    return found
-
-
-def encode(pages: list[Page]) -> bytes:
-    """A file of those images: bitonal ones as PackBits of 1 bit, gray and colour as Deflate with differences along rows."""
-    out = bytearray(b"II*\0\0\0\0\0")
-    link = 4
+        yield Page(pixels, dpi, bits == 1 and channels == 1)
+
+
+def body(page: Page, fax4: bool = False) -> tuple[bytes, int, int, int, int]:
+    """An image's bytes, their compression, bits a sample, photometric and predictor: bitonal as PackBits or fax, gray and colour as Deflate with differences along rows."""
+    height, width = page.pixels.shape[:2]
+    if page.bitonal:
+        ink = page.pixels < 128
+        if fax4:
+            return fax.encode(ink), FAX4, 1, WHITE_IS_ZERO, 1
+        return b"".join(pack_bits(r.tobytes()) for r in np.packbits(ink, axis=1)), PACKBITS, 1, WHITE_IS_ZERO, 1
+    flat = page.pixels.reshape(height, width, -1).astype(np.uint8)
+    steps = np.concatenate((flat[:, :1], flat[:, 1:] - flat[:, :-1]), axis=1)
+    return zlib.compress(steps.tobytes()), DEFLATE, 8, RGB if flat.shape[2] == 3 else BLACK_IS_ZERO, 2
+
+
+class File:
+    """A file written image by image, without going back: the tags of an image come before it, and the last image is held until it is known whether another follows."""
+
+    def __init__(self, write: Callable[[bytes], object]):
+        self.write, self.at, self.held = write, 8, b""
+        write(b"II*\0\x08\0\0\0")
+
+    def add(self, width: int, height: int, channels: int, dpi: tuple[float, float], data: bytes, compression: int, bits: int, photometric: int, predictor: int) -> None:
+        self._put(more=True)
+        tags_size = 2 + 12 * 13 + 4
+        extra = self.at + tags_size
+        place = extra + 24
+        tags = [(256, 4, 1, width), (257, 4, 1, height), (258, 3, channels, bits if channels == 1 else extra + 16), (259, 3, 1, compression), (262, 3, 1, photometric), (273, 4, 1, place), (277, 3, 1, channels), (278, 4, 1, height), (279, 4, 1, len(data)), (282, 5, 1, extra), (283, 5, 1, extra + 8), (296, 3, 1, 2), (317, 3, 1, predictor)]
+        head = struct.pack("<H", len(tags)) + b"".join(struct.pack("<HHII", *t) for t in tags)
+        tail = struct.pack("<IIII", round(dpi[0] * 1000), 1000, round(dpi[1] * 1000), 1000) + struct.pack("<HHH", bits, bits, bits) + b"\0\0" + data + b"\0" * (len(data) % 2)
+        self.held = (head, tail)
+        self.at += tags_size + len(tail)
+
+    def _put(self, more: bool) -> None:
+        if self.held:
+            head, tail = self.held
+            if self.at >= 1 << 32:
+                raise ValueError("a TIFF file can't be longer than 4 GB")
+            self.write(head + struct.pack("<I", self.at if more else 0))
+            self.write(tail)
+            self.held = b""
+
+    def finish(self) -> None:
+        self._put(more=False)
+
+
+def encode(pages: list[Page], fax4: bool = False) -> bytes:
+    """A file of those images."""
+    out = bytearray()
+    file = File(out.extend)
     for page in pages:
         height, width = page.pixels.shape[:2]
-        channels = page.pixels.shape[2] if page.pixels.ndim == 3 else 1
-        if page.bitonal:
-            rows = np.packbits(page.pixels < 128, axis=1)
-            body, compression, bits, photometric, predictor = b"".join(pack_bits(r.tobytes()) for r in rows), PACKBITS, 1, WHITE_IS_ZERO, 1
-        else:
-            flat = page.pixels.reshape(height, width, channels).astype(np.uint8)
-            steps = np.concatenate((flat[:, :1], flat[:, 1:] - flat[:, :-1]), axis=1)
-            body, compression, bits, photometric, predictor = zlib.compress(steps.tobytes()), DEFLATE, 8, RGB if channels == 3 else BLACK_IS_ZERO, 2
-        place = len(out)
-        out += body + b"\0" * (len(body) % 2)
-        extra = len(out)
-        out += struct.pack("<IIII", round(page.dpi[0] * 1000), 1000, round(page.dpi[1] * 1000), 1000) + struct.pack("<HHH", bits, bits, bits) + b"\0\0"
-        tags = [(256, 4, 1, width), (257, 4, 1, height), (258, 3, channels, bits if channels == 1 else extra + 16), (259, 3, 1, compression), (262, 3, 1, photometric), (273, 4, 1, place), (277, 3, 1, channels), (278, 4, 1, height), (279, 4, 1, len(body)), (282, 5, 1, extra), (283, 5, 1, extra + 8), (296, 3, 1, 2), (317, 3, 1, predictor)]
-        struct.pack_into("<I", out, link, len(out))
-        out += struct.pack("<H", len(tags)) + b"".join(struct.pack("<HHII", *t) for t in tags)
-        link = len(out)
-        out += b"\0\0\0\0"
+        file.add(width, height, page.pixels.shape[2] if page.pixels.ndim == 3 else 1, page.dpi, *body(page, fax4))
+    file.finish()
     return bytes(out)
 
 
@@ -289,7 +346,10 @@ def decode_png(data: bytes) -> list[Page]:
 
 def decoded(data: bytes, least: int = 0) -> list[Page]:
     """Images of a file by what its first bytes are; reduced by whole factors as long as the shorter side stays at least `least` (0: not reduced)."""
-    pages = decode_png(data) if data.startswith(b"\x89PNG") else decode(data)
+    return list(reduced(decode_png(data) if data.startswith(b"\x89PNG") else each(data), least))
+
+
+def reduced(pages: Iterable[Page], least: int) -> Iterator[Page]:
     for page in pages:
         k = min(page.pixels.shape[:2]) // least if least else 1
         if k > 1:
@@ -297,27 +357,41 @@ def decoded(data: bytes, least: int = 0) -> list[Page]:
             cut = page.pixels[:h, :w].astype(float).reshape(h // k, k, w // k, k, -1).mean(axis=(1, 3))
             page.pixels, page.bitonal = np.floor(cut + 0.5).astype(np.uint8).reshape(h // k, w // k, *page.pixels.shape[2:]), False
             page.dpi = tuple(d / k for d in page.dpi)
-    return pages
+        yield page
 
 
+#: What a damaged file can raise.
+DAMAGED = (ValueError, struct.error, IndexError, KeyError, UnboundLocalError, zlib.error)
 SCHEMA = "path string, page int, height int, width int, channels int, dpi_x double, dpi_y double, pixels array<int>, error string"
 
 
+NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
+_KINDS = [pa.string(), *[pa.int32()] * 4, pa.float64(), pa.float64(), pa.list_(pa.int32()), pa.string()]
+
+
+def row_of(path: str, number: int, page: Page) -> pa.RecordBatch:
+    """A page as a batch of its own: it may be large."""
+    row = (path, number, *page.pixels.shape[:2], page.pixels.shape[2] if page.pixels.ndim == 3 else 1, *page.dpi, page.pixels.ravel().astype(np.int32), None)
+    return pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in zip(row, _KINDS, strict=True)], NAMES)
+
+
+def error_of(path: str, number: int | None, error: Exception) -> pa.RecordBatch:
+    row = (path, number, None, None, None, None, None, None, str(error) or type(error).__name__)
+    return pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in zip(row, _KINDS, strict=True)], NAMES)
+
+
 def read_pages(spark: SparkSession, path: str, glob: str = "*", least: int = 0) -> DataFrame:
     """A row for each image of the files under a path, its pixels row by row; a damaged file is one row with an error."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path).select("path", "content")
 
     def run(batches):
-        names = [c.split()[0] for c in SCHEMA.split(", ")]
-        kinds = [pa.string(), *[pa.int32()] * 4, pa.float64(), pa.float64(), pa.list_(pa.int32()), pa.string()]
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 try:
-                    rows = [(name, i, *p.pixels.shape[:2], p.pixels.shape[2] if p.pixels.ndim == 3 else 1, *p.dpi, p.pixels.ravel().astype(np.int32), None) for i, p in enumerate(decoded(data.as_py(), least))]
-                except (ValueError, struct.error, IndexError, KeyError, UnboundLocalError, zlib.error) as e:  # a damaged file
-                    rows = [(name, None, None, None, None, None, None, None, str(e) or type(e).__name__)]
-                for row in rows:  # one page a batch: it may be large
-                    yield pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in zip(row, kinds, strict=True)], names)
+                    rows = [row_of(name, i, p) for i, p in enumerate(decoded(data.as_py(), least))]
+                except DAMAGED as e:
+                    rows = [error_of(name, None, e)]
+                yield from rows
 
     return files.mapInArrow(run, SCHEMA)
 
