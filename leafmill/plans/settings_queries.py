@@ -258,3 +258,23 @@ def thumbnails_to_make(spark, sf):
     j = fx.images(spark, sf).select("image_id", "width", "height").join(changed, "image_id").join(made, "image_id", "left").where("made is null or made < changed")
     fit = lambda c: F.greatest(F.lit(1), F.floor(250 * F.col(c) / F.greatest("width", "height"))).cast("int")
     return j.select("image_id", fit("width").alias("width"), fit("height").alias("height"))
+
+
+def listings_of_users(spark, sf):
+    """Each user's events as listings of a folder, two thousand times as fast: a page that is new every day or so, and a log that grows; an error is a failed load of the page."""
+    files = F.array(
+        F.struct(F.concat(F.lit("page"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 100_000_000_000)).alias("path"), F.lit(5).cast("long").alias("size_bytes"), F.lit(0).cast("long").alias("mtime_ms")),
+        F.struct(F.lit("log").alias("path"), F.col("event_id").alias("size_bytes"), F.lit(0).cast("long").alias("mtime_ms")),
+    )
+    failed = F.col("event_type") == "error"
+    return fx.table(spark, sf, "events").select(
+        F.col("user_id").cast("string").alias("folder"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 2_000_000).alias("now_ms"), F.when(failed, "failed").otherwise("listing").alias("what"), F.when(failed, F.slice(files, 1, 1)).otherwise(files).alias("files")
+    )
+
+
+@reg.add(None)
+def scan_events(spark, sf):
+    """What becomes of the files of each user's folder."""
+    from leafmill.streaming.scans import track
+
+    return track(listings_of_users(spark, sf))

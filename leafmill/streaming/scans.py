@@ -1,8 +1,14 @@
-"""Watched folders: tells of a file once it has stopped growing.
+"""Watched folders: tells of a new file once it has stopped growing.
 
-Listings (path, size, mtime_ms, now_ms) arrive as a stream. A file that is unchanged and
-not empty for two listings running is ready; one that is not ready within a minute of its
-first listing is given up; a failed load starts the count anew. Time comes with the rows.
+Each listing of a folder is one row. A file that is not empty and the same for two more
+listings running is ready, and is loading until it is reported as done or failed; a failed one is
+watched anew. A minute after its first listing a file that is not loading is given up, whether or not it has
+just become stable. A file that is missing from a listing is forgotten, unless it is
+loading. Files that were there at the start, are done or given up are ignored from then on.
+
+State is kept by folder: a map of pending files, which holds new files only, and one of ignored files, which
+are forgotten after a time of their own. A folder that is not listed any more loses all its
+state when its timer ends. Time comes with the rows; only these two run by the clock.
 """
 
 from __future__ import annotations
@@ -11,49 +17,124 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 GIVE_UP_MS, STABLE = 60_000, 2
-OUTPUT = "path string, event string, at_ms long"
-STATE = "size long, mtime_ms long, first_ms long, stable int, done boolean"
+#: An ignored file is remembered, and a folder without listings kept, for this long.
+REMEMBER_MS, QUIET_MS = 30 * 86_400_000, 86_400_000
+FILES = "array<struct<path:string,size_bytes:long,mtime_ms:long>>"
+INPUT = f"folder string, now_ms long, what string, files {FILES}"
+OUTPUT = "folder string, path string, event string, at_ms long"
+PENDING = "size long, mtime_ms long, first_ms long, stable int, loading boolean"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+Pending = tuple[int, int, int, int, bool]
 
 
-def step(state: tuple | None, size: int, mtime_ms: int, now_ms: int, failed: bool = False) -> tuple[tuple, str | None]:
-    """State of a file after one listing, and what became of it, if anything."""
+def checked(state: Pending | None, size: int, mtime_ms: int, now_ms: int) -> tuple[Pending | None, str | None]:
+    """A file's state after a listing that has it, and what became of it: ready, ignored (it is given up, without a state) or nothing yet."""
     if state is None:
         return (size, mtime_ms, now_ms, 0, False), None
-    was_size, was_mtime, first, stable, done = state
-    if failed:
-        return ((size, mtime_ms, first, 0, now_ms - first >= GIVE_UP_MS), "ignored" if now_ms - first >= GIVE_UP_MS else None)
-    if done:
+    was_size, was_mtime, first, stable, loading = state
+    if loading:
         return state, None
-    stable = stable + 1 if (size, mtime_ms) == (was_size, was_mtime) and size > 0 else 0
-    if stable >= STABLE:
-        return (size, mtime_ms, first, stable, True), "ready"
     if now_ms - first >= GIVE_UP_MS:
-        return (size, mtime_ms, first, stable, True), "ignored"
-    return (size, mtime_ms, first, stable, False), None
-
+        return None, "ignored"
+    stable = stable + 1 if size > 0 and (size, mtime_ms) == (was_size, was_mtime) else 0
+    return (size, mtime_ms, first, stable, stable >= STABLE), "ready" if stable >= STABLE else None
 
-def _track(key: tuple, parts: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
-    state = group.get if group.exists else None
-    rows = []
-    for row in pd.concat(list(parts)).sort_values("now_ms").itertuples():
-        state, event = step(state, int(row.size_bytes), int(row.mtime_ms), int(row.now_ms), bool(row.failed))
-        if event:
-            rows.append((key[0], event, int(row.now_ms)))
-    group.update(state)
-    yield pd.DataFrame(rows, columns=["path", "event", "at_ms"]).astype({"at_ms": "int64"})
 
+def failed(state: Pending | None, now_ms: int) -> tuple[Pending | None, str | None]:
+    """A file's state after a load that failed: it is watched anew, or ignored after a minute."""
+    if state is None:
+        return None, None
+    if now_ms - state[2] >= GIVE_UP_MS:
+        return None, "ignored"
+    return (*state[:3], 0, False), None
 
-def track(listings: DataFrame) -> DataFrame:
-    """Events of a stream (path, size_bytes, mtime_ms, now_ms, failed)."""
-    return listings.groupBy("path").applyInPandasWithState(_track, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
+def listed(pending: dict[str, Pending], ignored: set[str], what: str, files: list[tuple[str, int, int]], now_ms: int) -> tuple[dict[str, Pending | None], set[str], list[tuple[str, str]]]:
+    """One row of a folder: changed states (None: the file is forgotten), files that are ignored from now on, and events (path, event).
 
-def ignoring(listings: DataFrame, existing: DataFrame) -> DataFrame:
-    """Listings of files that weren't there at the start."""
-    return listings.join(existing.select("path").distinct(), "path", "left_anti")
+    what is listing (all files of the folder), existing (files that were there when watching starts: it starts over), done or failed (files that were loading).
+    """
+    if what == "existing":
+        return dict.fromkeys(pending), {f[0] for f in files}, []
+    changed: dict[str, Pending | None] = {}
+    out, events = set(), []
+    for path, size, mtime_ms in files:
+        state = changed.get(path, pending.get(path))
+        if what == "done":
+            state, event = None, "done"
+        elif what == "failed":
+            state, event = failed(state, now_ms)
+        elif path in ignored:
+            continue
+        else:
+            state, event = checked(state, size, mtime_ms, now_ms)
+        changed[path] = state
+        if event in ("done", "ignored"):
+            out.add(path)
+        if event in ("ready", "ignored"):
+            events.append((path, event))
+    if what == "listing":
+        there = {f[0] for f in files}
+        changed |= {path: None for path, state in pending.items() if path not in there and not state[4]}
+    return changed, out, events
+
+
+class Tracker(StatefulProcessor):
+    """Keeps each folder's files between rows; what a row does is told by listed()."""
+
+    def __init__(self, remember_ms: int = REMEMBER_MS, quiet_ms: int = QUIET_MS):
+        self.remember_ms, self.quiet_ms = remember_ms, quiet_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.pending = handle.getMapState("pending", "path string", PENDING)
+        self.ignored = handle.getMapState("ignored", "path string", "since_ms long", self.remember_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        events = []
+        for row in pd.concat(list(rows)).sort_values("now_ms", kind="stable").itertuples():
+            files = [(f["path"], f["size_bytes"] or 0, f["mtime_ms"] or 0) for f in (row.files if row.files is not None else []) if f["path"] is not None]
+            pending = {k[0]: tuple(v) for k, v in self.pending.iterator()}
+            if row.what == "existing":
+                self.ignored.clear()
+            ignored = {f[0] for f in files if self.ignored.containsKey((f[0],))}
+            changed, out, told = listed(pending, ignored, row.what, files, int(row.now_ms))
+            for path, state in changed.items():
+                if state is not None:
+                    self.pending.updateValue((path,), state)
+                elif path in pending:
+                    self.pending.removeKey((path,))
+            for path in out:
+                self.ignored.updateValue((path,), (int(row.now_ms),))
+            events += [(key[0], path, event, int(row.now_ms)) for path, event in told]
+        for timer in list(self.handle.listTimers()):  # all are read before another call is made
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.quiet_ms)
+        yield pd.DataFrame(events, columns=["folder", "path", "event", "at_ms"]).astype({"at_ms": "int64"})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.pending.clear()
+        self.ignored.clear()
+        yield pd.DataFrame({"folder": [], "path": [], "event": [], "at_ms": []}).astype({"folder": str, "path": str, "event": str, "at_ms": "int64"})
+
+    def close(self) -> None:
+        pass
+
+
+def track(listings: DataFrame, remember_ms: int = REMEMBER_MS, quiet_ms: int = QUIET_MS) -> DataFrame:
+    """Events (folder, path, event, at_ms) of listings, a stream or a table of INPUT's columns; see listed() for what a row can be.
+
+    State of this kind is kept in RocksDB, to which the session's state store is set. A row without files
+    is a listing of an empty folder; files without a path are passed over. Rows of a folder
+    within a batch are taken in order of their time. A stream goes on by the clock, so it does not rest when all rows are taken.
+    """
+    listings.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    rows = listings.select("folder", "now_ms", "what", "files")
+    return rows.groupBy("folder").transformWithStateInPandas(Tracker(remember_ms, quiet_ms), OUTPUT, "Append", "ProcessingTime")
 
 
 def moved_anchor(state: tuple[str, str], what: str, file: str) -> tuple[str, str]:
