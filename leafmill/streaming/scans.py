@@ -132,7 +132,9 @@ def track(listings: DataFrame, remember_ms: int = REMEMBER_MS, quiet_ms: int = Q
     is a listing of an empty folder; files without a path are passed over. Rows of a folder
     within a batch are taken in order of their time. A stream goes on by the clock, so it does not rest when all rows are taken.
     """
-    listings.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    spark = listings.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    _ = spark.streams.active  # starts what tasks ask for their state, which a table alone would not
     rows = listings.select("folder", "now_ms", "what", "files")
     return rows.groupBy("folder").transformWithStateInPandas(Tracker(remember_ms, quiet_ms), OUTPUT, "Append", "ProcessingTime")
 
