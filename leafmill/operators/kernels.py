@@ -169,32 +169,40 @@ def neighbours(connectivity: int) -> list[tuple[int, int]]:
     return near + [(-1, -1), (-1, 1), (1, -1), (1, 1)] if connectivity == 8 else near
 
 
-def components(black: np.ndarray, connectivity: int = 8) -> np.ndarray:
-    """Labels 1, 2, ... of black components, by their first pixel in reading order; 0 elsewhere."""
-    h, w = black.shape
-    big = h * w + 1
-    label = np.where(black > 0, np.arange(1, h * w + 1).reshape(h, w), big)
+def joined(count: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of `count` things the first one that links (a, b) lead to."""
+    parent = np.arange(count)
     while True:
-        low = label
-        for dy, dx in neighbours(connectivity):
-            low = np.minimum(low, shifted(label, dy, dx, big))
-        low = np.where(black > 0, low, big)
-        # A label points at a pixel, so labels are followed to their ends.
-        flat = np.append(0, low.ravel())
-        flat[flat == big] = 0
+        a, b = parent[a], parent[b]
+        apart = a != b
+        if not apart.any():
+            return parent
+        a, b = a[apart], b[apart]
+        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
         while True:
-            nxt = flat[flat]
-            if (nxt == flat).all():
+            up = parent[parent]
+            if (up == parent).all():
                 break
-            flat = nxt
-        low = np.where(black > 0, flat[1:].reshape(h, w), big)
-        if (low == label).all():
-            break
-        label = low
-    kept, out = np.unique(label[black > 0], return_inverse=True)
-    result = np.zeros((h, w), np.int64)
-    result[black > 0] = out + 1
-    return result
+            parent = up
+
+
+def components(black: np.ndarray, connectivity: int = 8) -> np.ndarray:
+    """Labels 1, 2, ... of black components, by their first pixel in reading order; 0 elsewhere. Runs of rows are joined, not pixels."""
+    h, w = black.shape
+    wide, touch = w + 1, int(connectivity == 8)
+    flat = np.zeros((h, wide), np.int8)
+    flat[:, :w] = black > 0
+    change = np.diff(np.concatenate(([0], flat.ravel())))
+    start, end = np.flatnonzero(change == 1), np.flatnonzero(change == -1)
+    first = np.searchsorted(end, start + wide - touch, "right")
+    number = np.maximum(np.searchsorted(start, end + wide + touch, "left") - first, 0)
+    above = np.repeat(np.arange(len(start)), number)
+    below = np.repeat(first, number) + np.arange(len(above)) - np.repeat(np.cumsum(number) - number, number)
+    _, label = np.unique(joined(len(start), above, below), return_inverse=True)
+    steps = np.zeros(h * wide, np.int64)
+    steps[start] = label + 1
+    steps[end] -= label + 1
+    return np.cumsum(steps).reshape(h, wide)[:, :w]
 
 
 def hit_miss_replace(black: np.ndarray, pattern: list[str], surroundings: int = 0) -> np.ndarray:
@@ -226,16 +234,41 @@ def hit_miss_all_ways(black: np.ndarray, pattern: list[str]) -> np.ndarray:
 
 
 def gray_reconstruct(seed: np.ndarray, mask: np.ndarray, connectivity: int = 8) -> np.ndarray:
-    """Seed spread as darkness under a mask: the neighbours' minimum, never darker than the mask, until it rests."""
-    now = np.maximum(seed, mask)
-    while True:
-        nxt = now
-        for dy, dx in neighbours(connectivity):
-            nxt = np.minimum(nxt, shifted(now, dy, dx, 255))
-        nxt = np.maximum(nxt, mask)
-        if (nxt == now).all():
-            return now
-        now = nxt
+    """Seed spread as darkness under a mask: the neighbours' minimum, never darker than the mask, until it rests.
+
+    Sweeps go down, up, right and left, each as far as it leads; what then can still spread does so pixel by pixel, from those that moved last.
+    """
+    h, w = mask.shape
+    wide = np.full((h + 2, w + 2), 256, np.int16)
+    wide[1:-1, 1:-1] = np.maximum(seed, mask)
+    floor = np.full((h + 2, w + 2), 256, np.int16)
+    floor[1:-1, 1:-1] = mask
+    for _ in range(2):
+        for turned in (False, True):
+            a, m = (np.ascontiguousarray(x.T) if turned else x for x in (wide, floor))
+            n = len(a)
+            for step in (1, -1):
+                for i in range(2, n) if step == 1 else range(n - 3, -1, -1):
+                    near = a[i - step]
+                    low = np.minimum(a[i], near)
+                    if connectivity == 8:
+                        np.minimum(low[1:], near[:-1], out=low[1:])
+                        np.minimum(low[:-1], near[1:], out=low[:-1])
+                    np.maximum(low, m[i], out=a[i])
+            wide = np.ascontiguousarray(a.T) if turned else a
+    now, floor, steps = wide.ravel(), floor.ravel(), [dy * (w + 2) + dx for dy, dx in neighbours(connectivity)]
+    inner = np.arange((h + 2) * (w + 2)).reshape(h + 2, w + 2)[1:-1, 1:-1].ravel()
+    edge = inner[np.any([np.maximum(now[inner], floor[inner + s]) < now[inner + s] for s in steps], axis=0)]
+    while len(edge):
+        moved = []
+        for s in steps:
+            to = edge + s
+            low = np.maximum(now[edge], floor[to])
+            better = low < now[to]
+            now[to[better]] = low[better]
+            moved.append(to[better])
+        edge = np.unique(np.concatenate(moved))
+    return now.reshape(h + 2, w + 2)[1:-1, 1:-1].astype(np.int64)
 
 
 def blur(a: np.ndarray, sigma_x: float, sigma_y: float) -> np.ndarray:

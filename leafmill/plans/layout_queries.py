@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Window, functions as F
 
-from leafmill.operators import kernels as k, layout
+from leafmill.operators import kernels as k, layout, segments, splines
 from leafmill.plans import fixtures as fx
 from leafmill.plans.registry import Registry
 
@@ -120,3 +121,95 @@ def page_boxes(spark, sf):
     """Box of each page's ink that no dark border touches; pages without any are left out."""
     boxes = k.map_values(fx.vector_pages(spark, sf), lambda b: list(x) if (x := layout.page_box(b)) else None, "black", "box", "array<int>")
     return boxes.where("box is not null").select("page_id", *(F.col("box")[i].alias(n) for i, n in enumerate(("left", "top", "right", "bottom"))))
+
+
+def packed_colours(spark, sf):
+    """Vector pages with a colour a pixel in one number, r * 65536 + g * 256 + b, and ink where the gray is below 200."""
+    at = F.sequence(F.lit(0), F.size("v") - 1)
+    packed = F.zip_with("v", at, lambda v, i: v * 65536 + (v * 3 + i % 8 * 17) % 256 * 256 + (v * 5 + F.floor(i / 8).cast("int") * 29) % 256)
+    return fx.vector_pages(spark, sf).withColumn("rgb", packed)
+
+
+def unpacked(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.stack((p >> 16, p >> 8 & 255, p & 255), axis=2), (p >> 16 < 200).astype(np.int64)
+
+
+# Otsu of a channel: the middle of the first and last level of the greatest variance between classes, told from cumulative histograms of the levels that occur.
+CHANNELS = f"""{C}, inked AS (SELECT page_id, y, x, r, g, b, r < 200 AS ink FROM colours), seen AS (SELECT page_id, y, x, ink, unnest([0, 1, 2]) AS c, unnest([CASE WHEN ink THEN r ELSE 255 END, CASE WHEN ink THEN g ELSE 255 END, CASE WHEN ink THEN b ELSE 255 END]) AS v FROM inked),
+ h AS (SELECT page_id, c, v, count(*) AS n FROM seen GROUP BY 1, 2, 3),
+ s AS (SELECT page_id, c, v, sum(n) OVER w AS d, sum(n * v) OVER w AS ds, sum(n) OVER p AS t, sum(n * v) OVER p AS ts, lead(v) OVER (PARTITION BY page_id, c ORDER BY v) AS nxt FROM h WINDOW w AS (PARTITION BY page_id, c ORDER BY v ROWS UNBOUNDED PRECEDING), p AS (PARTITION BY page_id, c)),
+ z AS (SELECT page_id, c, v, nxt, (ds / d - (ts - ds) / (t - d)) * (ds / d - (ts - ds) / (t - d)) * CAST(d AS DOUBLE) * CAST(t - d AS DOUBLE) AS var FROM (SELECT page_id, c, v, nxt, CAST(d AS DOUBLE) AS d, CAST(ds AS DOUBLE) AS ds, CAST(t AS DOUBLE) AS t, CAST(ts AS DOUBLE) AS ts FROM s WHERE nxt IS NOT NULL)),
+ best AS (SELECT page_id, c, (min(v) + max(nxt) - 1 + 2) // 2 AS cut FROM (SELECT *, max(var) OVER (PARTITION BY page_id, c) AS top FROM z) WHERE var = top GROUP BY 1, 2),
+ cuts AS (SELECT page_id, c, greatest(1, least(255, coalesce(cut, 0))) AS cut FROM (SELECT DISTINCT page_id, c FROM h) LEFT JOIN best USING (page_id, c)),
+ masks AS (SELECT page_id, y, x, CAST(sum(CASE WHEN v < cut THEN 1 << c ELSE 0 END) AS INT) AS dark FROM seen JOIN cuts USING (page_id, c) GROUP BY 1, 2, 3)"""
+
+
+@reg.add(f"{CHANNELS} SELECT page_id, y, x, dark FROM masks")
+def colour_masks(spark, sf):
+    """Which of a pixel's channels are dark, each by its own threshold: the seven masks of the colour segments."""
+    return k.map_pages(packed_colours(spark, sf), lambda p: segments.dark_channels(*unpacked(p)), "rgb", "dark")
+
+
+@reg.add(None)
+def colour_segments(spark, sf):
+    """Segments of each page's ink by colour, with a pixel's number and the mean colour of its segment."""
+
+    def kernel(p):
+        label = segments.segments(*unpacked(p), noise=1)
+        mean = segments.mean_coloured(label, unpacked(p)[0])
+        return label << 24 | mean[:, :, 0] << 16 | mean[:, :, 1] << 8 | mean[:, :, 2]
+
+    made = k.map_pages(packed_colours(spark, sf), kernel, "rgb", "made", "long", where=lambda m: m >> 24 > 0)
+    return made.select("page_id", "y", "x", F.shiftright("made", 24).alias("segment"), F.col("made").bitwiseAND(0xFFFFFF).alias("mean"))
+
+
+TILE_KINDS = ["long"] * 6 + ["double"] * 6 + ["long"] * 3
+
+
+@reg.add(None)
+def tone_tiles(spark, sf):
+    """What the 81 tiles of each text's page of 128 columns tell of continuous tones; pages with fewer than 100 lines are left out."""
+
+    def tiles(tones):
+        page = np.full(-(-len(tones) // 128) * 128, 255)
+        page[: len(tones)] = tones
+        found = segments.tone_tiles(page.reshape(-1, 128))
+        return {n: np.array([f"{v:.6f}" if kind == "double" else v for v in column]) for n, kind, column in zip(segments.TILE_COLUMNS, TILE_KINDS, zip(*found, strict=True), strict=True)} if found else None
+
+    kinds = ["string" if kind == "double" else kind for kind in TILE_KINDS]
+    made = k.map_texts(fx.text_pages(spark, sf), tiles, ", ".join(f"{n} {kind}" for n, kind in zip(segments.TILE_COLUMNS, kinds, strict=True)))
+    return made.select("page_id", *(F.col(n).cast(kind) for n, kind in zip(segments.TILE_COLUMNS, TILE_KINDS, strict=True)))
+
+
+@reg.add(f"""{R}, flags AS (SELECT page_id, y, x FROM pixels WHERE black = 1), reach AS (SELECT page_id, y, x, y * 8 + x AS root FROM flags UNION SELECT f.page_id, f.y, f.x, r.root FROM reach r JOIN flags f ON f.page_id = r.page_id AND abs(f.y - r.y) + abs(f.x - r.x) = 1),
+ roots AS (SELECT page_id, y, x, min(root) AS root FROM reach GROUP BY 1, 2, 3), cells AS (SELECT DISTINCT page_id, root, y + dy AS y, x + dx AS x FROM roots, (VALUES (0), (1)) a(dy), (VALUES (0), (1)) b(dx)),
+ n AS (SELECT page_id, root, count(*) AS tiles FROM roots GROUP BY 1, 2), m AS (SELECT page_id, root, count(*) AS cells FROM cells GROUP BY 1, 2)
+ SELECT page_id, dense_rank() OVER (PARTITION BY page_id ORDER BY root) AS region, tiles, cells FROM n JOIN m USING (page_id, root)""")
+def tone_regions(spark, sf):
+    """Regions of touching flagged tiles, how many tiles each has and how many cells they cover."""
+    found = k.map_values(fx.vector_pages(spark, sf), lambda b: [list(r) for r in segments.tone_regions(b)], "black", "regions", "array<array<long>>")
+    rows = found.select("page_id", F.explode("regions").alias("r"))
+    return rows.select("page_id", *(F.col("r")[i].alias(n) for i, n in enumerate(("region", "tiles", "cells"))))
+
+
+@reg.add(None)
+def spline_samples(spark, sf):
+    """Each user's first eight values as control points of a curve: its samples, its length and where it comes nearest to the middle of the box."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    first = fx.table(spark, sf, "events").select("user_id", "value", "event_type", F.row_number().over(w).alias("n")).where("n <= 8")
+    tension = F.when(F.col("event_type") == "click", -0.5).when(F.col("event_type") == "view", 0.0).otherwise(1.0)
+    curves = first.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("n", "value", tension.alias("tension")))).alias("p"))
+
+    def run(batches):
+        for batch in batches:
+            out = [(user, *spline_measures([(10.0 * (x["n"] - 1), x["value"]) for x in p], [x["tension"] for x in p])) for user, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), *[pa.float64()] * 4), strict=True)], ["user_id", "samples", "length", "t", "x", "y"])
+
+    return curves.mapInArrow(run, "user_id long, samples long, length double, t double, x double, y double")
+
+
+def spline_measures(points, tension):
+    points = np.array(points)
+    _, line = splines.sampled(points, tension)
+    t, near = splines.closest((points.min(axis=0) + points.max(axis=0)) / 2, points, tension, 0.01)
+    return len(line), round(float(np.hypot(*np.diff(line, axis=0).T).sum()), 6), round(t, 6), round(float(near[0]), 6), round(float(near[1]), 6)
