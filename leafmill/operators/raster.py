@@ -97,13 +97,15 @@ def frame(agg, value: str, name: str, x: tuple[int, int], y: tuple[int, int], df
 
 def local_stats(pixels: DataFrame, width: int, height: int) -> DataFrame:
     """mean and sd of the box around each pixel, population sd, over the clipped area."""
-    x, y = reach(width), reach(height)
-    df = pixels.withColumns({"__v": F.col("v").cast("long"), "__q": (F.col("v") * F.col("v")).cast("long"), "__one": F.lit(1).cast("long")})
-    for v, name in (("__v", "__s"), ("__q", "__sq"), ("__one", "__n")):
-        df = frame(F.sum, v, name, x, y, df)
+    across, down = along("x").rangeBetween(*reach(width)), along("y").rangeBetween(*reach(height))
+    one = {"__s": F.col("v").cast("long"), "__sq": (F.col("v") * F.col("v")).cast("long"), "__n": F.lit(1).cast("long")}
+    # All three sums of an axis share a window, and so an exchange.
+    df = pixels.withColumns(one)
+    for window in (across, down):
+        df = df.withColumns({name: F.sum(name).over(window) for name in one})
     r = 1.0 / F.col("__n")
     df = df.withColumn("mean", F.col("__s") * r)
-    return df.withColumn("sd", F.sqrt(F.abs(F.col("__sq") * r - F.col("mean") * F.col("mean")))).drop("__v", "__q", "__one", "__s", "__sq", "__n")
+    return df.withColumn("sd", F.sqrt(F.abs(F.col("__sq") * r - F.col("mean") * F.col("mean")))).drop("__s", "__sq", "__n")
 
 
 def integral(pixels: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window, functions as F
 
 from leafmill.operators import kernels as k, raster as r
@@ -91,5 +92,5 @@ def output(layout: DataFrame) -> DataFrame:
 
 
 def process(pages: DataFrame, margin: int = 1) -> DataFrame:
-    """Black pixels of all output pages, with the common size."""
-    return output(with_margins(prepared(pages), margin))
+    """Black pixels of all output pages, with the common size. What the kernels find is kept for both the common size and the output, on disk where memory is short."""
+    return output(with_margins(prepared(pages).persist(StorageLevel.MEMORY_AND_DISK), margin))
