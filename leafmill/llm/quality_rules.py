@@ -137,17 +137,22 @@ def clean(docs: DataFrame, host_col: str = "source", text_col: str = "text", **l
     """The rows of docs that judge keeps, with their removed_lines cut out of the text; limits are judge's.
 
     A verdict depends on a row's host and text alone, so rows meet theirs by a hash of
-    both: each row by itself, whatever its id. All other columns are passed on.
+    both: each row by itself, whatever its id. All other columns are passed on, whatever their names.
+    Verdicts are broadcast where they and the numbers of their lines are counted few, so that no text is sent about.
     """
-    host, text = F.col(host_col).cast("string"), F.col(text_col)
+    host, text = F.col(f"`{host_col}`").cast("string"), F.col(f"`{text_col}`")
     # A host's length goes before it, so that no other host and text make the same bytes.
     key = F.md5(F.concat(F.coalesce(F.concat(F.length(host), F.lit(":"), host), F.lit("-")), F.lit("\n"), F.coalesce(text, F.lit(""))))
     judged = _judged(docs.select(key.alias("doc"), host.alias("host"), text.alias("text")), **limits)
-    acted = judged.where(~F.col("kept") | (F.size("removed_lines") > 0)).groupBy(F.col("doc").alias("__key")).agg(F.first("kept").alias("__kept"), F.first("removed_lines").alias("__gone"))
-    left = docs.withColumn("__own", key).join(acted, F.col("__own") == F.col("__key"), "left").where(F.coalesce("__kept", F.lit(True)))
-    lines = F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains("__gone", i))
-    cut = F.when(F.size("__gone") > 0, F.array_join(lines, "\n")).otherwise(text)
-    return left.select(*(cut.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))
+    acted = judged.where(~F.col("kept") | (F.size("removed_lines") > 0)).groupBy(F.col("doc").alias("key")).agg(F.first("kept").alias("kept"), F.first("removed_lines").alias("gone"))
+    acted = materialize(acted, "acted")
+    size = acted.agg(F.coalesce(F.sum(1 + F.size("gone")), F.lit(0))).first()[0]
+    acted = F.broadcast(acted) if size <= BROADCAST_LINES else acted
+    rows = docs.select(key.alias("own"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    left = rows.join(acted, F.col("own") == F.col("key"), "left").where(F.coalesce("kept", F.lit(True)))
+    whole = F.col("row")[text_col]
+    cut = F.when(F.size("gone") > 0, F.array_join(F.filter(F.split(whole, "\n"), lambda _, i: ~F.array_contains("gone", i)), "\n")).otherwise(whole)
+    return left.select(*((cut if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def _judged(read: DataFrame, min_docs: int = 5, host_share: float = 0.002, max_docs: int | None = 1000, max_lost: float = 0.5, copies_once: bool = True) -> DataFrame:

@@ -704,3 +704,16 @@ def test_clean_keeps_rows_without_items(spark):
     b = spark.createDataFrame([(1, item)], "item_id long, text string")
     got = decontamination.clean(frame, b)
     assert got.columns == frame.columns and sorted(r.doc_id for r in got.collect()) == [0, 2, 3]
+
+
+def test_clean_passes_on_columns_of_any_name(spark, monkeypatch):
+    line = "the same line of words in every document " * 4
+    texts = [None, "", *(f"{line}\n{prose(random.Random(i), 120)}" for i in range(20)), *[prose(random.Random(5), 90)] * 3]
+    names = ["__own", "__kept", "__gone", "__key", "own", "key", "kept", "gone", "row", "doc"]
+    docs = docs_of(spark, texts).select("*", *(F.concat(F.lit(n), F.col("doc_id")).alias(n) for n in names))
+    for most in (400_000, 0):
+        monkeypatch.setattr(quality_rules, "BROADCAST_LINES", most)
+        got = quality_rules.clean(docs).collect()
+        assert got and {r.doc_id for r in got} == set(range(2, 25)) and all(r[n] == f"{n}{r.doc_id}" for r in got for n in names)
+        assert all(line.strip() not in r.text and r.text in texts[r.doc_id] for r in got)
+    assert quality_rules.clean(docs.where("false")).count() == 0
