@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Window, functions as F
 
-from leafmill.operators import kernels as k, layout, segments, sheets, splines
+from leafmill.operators import blurs, kernels as k, layout, segments, sheets, snakes, splines
 from leafmill.plans import fixtures as fx
 from leafmill.plans.registry import Registry
 
@@ -83,12 +83,14 @@ page("picture_masks", lambda a: layout.picture_mask(a, 3), out="black")
 page("pages_without_shadows", lambda b: layout.without_shadows(b, ((2, 6), (6, 2))), "black", "black")
 page("dewarped_pages", lambda a: layout.dewarped(a, np.array([(0, 0.5), (4, 0), (8, 0.5)]), np.array([(0, 7.5), (4, 7), (8, 7.5)]), 8, 8))
 page("flattened_pages", lambda a: sheets.flattened(a, np.array([(0, 0.5), (4, 0), (8, 0.5)]), np.array([(0, 7.5), (4, 7), (8, 7.5)]), 8, 8))
+page("recursive_blur", lambda a: np.floor(blurs.gauss(a, 1.5, 2.0) + 0.5).astype(int))
 page("components_added", lambda b: layout.add_component(k.components(b), (np.indices(b.shape).sum(axis=0) % 7 == 0).astype(int)), "black", "label", sql=f"""{R}, ink AS (SELECT page_id, y, x FROM pixels WHERE black = 1), {labels_sql("ink", "l")}, n AS (SELECT page_id, max(label) AS n FROM l GROUP BY 1)
  SELECT p.page_id, p.y, p.x, CASE WHEN (p.y + p.x) % 7 = 0 THEN coalesce(n, 0) + 1 ELSE coalesce(label, 0) END AS label FROM pixels p LEFT JOIN n USING (page_id) LEFT JOIN l ON l.page_id = p.page_id AND l.y = p.y AND l.x = p.x""")
 page("text_masks", lambda b: layout.text_mask(b, 2), "black", "black", sql=f"""{R}, smeared AS (SELECT p.page_id, p.y, p.x FROM pixels p LEFT JOIN pixels q ON q.page_id = p.page_id AND q.y = p.y AND q.x = p.x - 1 WHERE p.black = 1 OR q.black = 1), {labels_sql("smeared", "l")},
  kept AS (SELECT page_id, label FROM l GROUP BY 1, 2 HAVING max(x) - min(x) + 1 >= 1.5 * (max(y) - min(y) + 1)) SELECT p.page_id, p.y, p.x, CASE WHEN p.black = 1 AND k.label IS NOT NULL THEN 1 ELSE 0 END AS black FROM pixels p LEFT JOIN l ON l.page_id = p.page_id AND l.y = p.y AND l.x = p.x LEFT JOIN kept k ON k.page_id = l.page_id AND k.label = l.label""")
 page("straightened_pages", lambda a: layout.straightened(a, (a < 128).astype(int), 3, 5))
 found("traced_lines", lambda b: [[round(float(v), 3) for v in (line[0, 0], line[0, 1], line[-1, 0], line[-1, 1])] for line in layout.text_lines(b, 3, 4, 1)], "black", "array<array<double>>")
+found("refined_lines", lambda a: [[round(float(v), 3) for v in (line[0, 1], line[-1, 1])] for line in snakes.refined_lines(a, layout.text_lines((a < 128).astype(int), 3, 4, 1), 2.0)], "v", "array<array<double>>")
 found("whitespace_rectangles", lambda b: [list(map(int, r)) for r in layout.whitespaces(b, 1, 1, 3)], "black", "array<array<int>>")
 found("picture_rectangles", lambda b: [list(r) for r in layout.rectangles(b)], "black", "array<array<int>>")
 found("oblique_angles", layout.oblique_angle, "black", "double")
