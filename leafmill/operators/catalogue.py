@@ -164,10 +164,9 @@ def merge_order(previous: DataFrame, project: DataFrame) -> DataFrame:
     previous has pos, key, ticked; project has book, pos, key. A new page follows the nearest
     earlier project page that is old; new ones without such a page come first.
     """
-    kept = previous.join(project.select("key"), "key", "left_semi").withColumn("rn", F.row_number().over(Window.partitionBy("key").orderBy("pos"))).where("rn = 1").drop("rn")
-    kept = kept.withColumnRenamed("pos", "old_pos")
+    kept = previous.groupBy("key").agg(F.min("pos").alias("old_pos"), F.min_by("ticked", "pos").alias("ticked"))
     seq = Window.partitionBy("book").orderBy("pos")
-    j = project.join(kept.drop("book"), "key", "left")
+    j = project.join(kept, "key", "left")
     j = j.withColumn("anchor", F.coalesce(F.last("old_pos", ignorenulls=True).over(seq), F.lit(-1))).withColumn("fresh", F.col("old_pos").isNull())
     new_order = Window.partitionBy("book").orderBy("anchor", "fresh", "pos")
     return j.select("book", "key", (F.row_number().over(new_order) - 1).alias("new_pos"), F.coalesce("ticked", F.lit(True)).alias("ticked"))

@@ -205,6 +205,20 @@ def components(black: np.ndarray, connectivity: int = 8) -> np.ndarray:
     return np.cumsum(steps).reshape(h, wide)[:, :w]
 
 
+def component_boxes(label: np.ndarray) -> np.ndarray:
+    """(n, 4): left, top, right and bottom (the last two exclusive) of components 1 to n, in one pass."""
+    n = int(label.max(initial=0))
+    y, x = np.nonzero(label)
+    of = label[y, x] - 1
+    out = np.empty((n, 4), np.int64)
+    for i, c in enumerate((x, y)):
+        low, high = np.full(n, 1 << 40), np.full(n, -1)
+        np.minimum.at(low, of, c)
+        np.maximum.at(high, of, c)
+        out[:, i], out[:, i + 2] = low, high + 1
+    return out
+
+
 def hit_miss_replace(black: np.ndarray, pattern: list[str], surroundings: int = 0) -> np.ndarray:
     """Black after all matches of a pattern have been replaced: X and - must be black, blank and + white, ? may be either; - turns white and + black.
 

@@ -112,22 +112,23 @@ def whitespaces(black: np.ndarray, min_height: int, min_width: int, count: int,
 
 def rectangles(mask: np.ndarray) -> list[tuple[int, int, int, int]]:
     """Boxes (x, y, width, height) around the components of a mask, those that overlap or touch made one, until none do."""
-    label = k.components(mask)
-    boxes = []
-    for i in range(1, int(label.max(initial=0)) + 1):
-        y, x = np.nonzero(label == i)
-        boxes.append((x.min(), y.min(), x.max() + 1, y.max() + 1))
-    merged = True
-    while merged:
-        merged, out = False, []
-        for a in boxes:
-            for i, b in enumerate(out):
-                if a[0] <= b[2] and b[0] <= a[2] and a[1] <= b[3] and b[1] <= a[3]:
-                    out[i], merged = (min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3])), True
-                    break
-            else:
-                out.append(a)
-        boxes = out
+    boxes = k.component_boxes(k.components(mask))
+    while len(boxes) > 1:
+        left, top, right, bottom = boxes.T
+        pairs = []
+        for at in range(0, len(boxes), 512):
+            own = slice(at, at + 512)
+            meet = (left[own, None] <= right) & (left <= right[own, None]) & (top[own, None] <= bottom) & (top <= bottom[own, None])
+            a, b = np.nonzero(meet)
+            pairs.append(np.stack((a + at, b))[:, a + at < b])
+        a, b = np.concatenate(pairs, axis=1)
+        if not len(a):
+            break
+        root = k.joined(len(boxes), a, b)
+        low, high = boxes.copy(), boxes.copy()
+        np.minimum.at(low, root, boxes)
+        np.maximum.at(high, root, boxes)
+        boxes = np.concatenate((low[:, :2], high[:, 2:]), axis=1)[np.unique(root)]
     return sorted((int(a), int(b), int(c - a), int(d - b)) for a, b, c, d in boxes)
 
 
@@ -143,12 +144,12 @@ def vertical_lines(a: np.ndarray, count: int = 3, lean: float = 10.0) -> list[tu
     h, w = a.shape
     shifts = np.arange(-int(np.tan(np.radians(lean)) * h), int(np.tan(np.radians(lean)) * h) + 1)
     votes = np.zeros((len(shifts), w))
-    rows = np.arange(h)
+    y, x = np.nonzero(dark)
+    tone = dark[y, x]
     for i, shift in enumerate(shifts):  # a line from (x, top) to (x + shift, bottom)
-        moved = np.floor(rows * shift / max(1, h - 1) + 0.5).astype(int)
-        for y in np.flatnonzero(dark.any(axis=1)):
-            lo, hi = max(0, -moved[y]), min(w, w - moved[y])
-            votes[i, lo:hi] += dark[y, lo + moved[y] : hi + moved[y]]
+        at = x - np.floor(y * shift / max(1, h - 1) + 0.5).astype(int)
+        inside = (at >= 0) & (at < w)
+        votes[i] = np.bincount(at[inside], tone[inside], w)
     found: list[tuple[float, float]] = []
     while len(found) < count and votes.max() > 0:
         i, x = np.unravel_index(int(np.argmax(votes)), votes.shape)
@@ -304,9 +305,11 @@ def text_lines(black: np.ndarray, gap: int, least_width: int, degree: int = 4) -
     smeared = box_extreme(box_extreme(black, 1, gap, darkest=False), 1, gap + 1 - gap % 2, darkest=True) | (black > 0)
     label, found = k.components(smeared), []
     y, x = np.nonzero(label)
-    of = label[y, x]
-    for i in range(1, int(label.max(initial=0)) + 1):
-        own = of == i
+    order = np.argsort(label[y, x], kind="stable")
+    y, x = y[order], x[order]
+    cut = np.searchsorted(label[y, x], np.arange(1, int(label.max(initial=0)) + 2))
+    for i, j in zip(cut[:-1], cut[1:], strict=True):
+        own = slice(i, j)
         left, right = int(x[own].min()), int(x[own].max())
         if right - left + 1 < least_width:
             continue
@@ -350,16 +353,9 @@ def text_mask(black: np.ndarray, gap: int, least: float = 1.5) -> np.ndarray:
     smeared = box_extreme(black, 1, gap, darkest=False)
     label = k.components(smeared)
     n = int(label.max(initial=0))
-    y, x = np.nonzero(label)
-    of = label[y, x]
-    size = [np.zeros(n + 1) for _ in range(2)]
-    for i, c in enumerate((y, x)):
-        low, high = np.full(n + 1, np.inf), np.full(n + 1, -np.inf)
-        np.minimum.at(low, of, c)
-        np.maximum.at(high, of, c)
-        size[i] = high - low + 1
+    left, top, right, bottom = k.component_boxes(label).T
     keep = np.zeros(n + 1, bool)
-    keep[1:] = size[1][1:] >= least * size[0][1:]
+    keep[1:] = right - left >= least * (bottom - top)
     return ((black > 0) & keep[label]).astype(np.int64)
 
 
