@@ -143,3 +143,105 @@ def resampled(a: np.ndarray, matrix: np.ndarray, height: int, width: int, outsid
     y, x = np.mgrid[0 : height + 1, 0 : width + 1].astype(float)
     m = np.asarray(matrix, float)
     return footprints(a, m[0, 0] * x + m[0, 1] * y + m[0, 2], m[1, 0] * x + m[1, 1] * y + m[1, 2], outside)
+
+
+#: Ends of lines that may lie outside the content's side, as a share, and pairs of lines that are tried.
+OUTSIDE, TRIED = 0.1, 300
+
+
+def side(ends: np.ndarray, left: bool, tolerance: float, lean: float = 0.25, seed: int = 1) -> tuple[float, float]:
+    """(slope, start) of x = slope * y + start along the left or right ends of lines: of the lines through two ends with few ends outside, the one with most ends near it.
+
+    Without two ends that are apart in height the side is upright at the outermost end.
+    """
+    ends = np.asarray(ends, float)
+    outer = float(ends[:, 0].min() if left else ends[:, 0].max())
+    best, choice = -1.0, (0.0, outer)
+    rng = np.random.default_rng(seed)
+    pairs = [(i, j) for i in range(len(ends)) for j in range(i)]
+    if len(pairs) > TRIED:
+        pairs = [pairs[i] for i in rng.choice(len(pairs), TRIED, replace=False)]
+    for i, j in pairs:
+        dy = ends[i, 1] - ends[j, 1]
+        slope = (ends[i, 0] - ends[j, 0]) / dy if dy else np.inf
+        if abs(slope) > lean:
+            continue
+        start = ends[i, 0] - slope * ends[i, 1]
+        off = (ends[:, 0] - slope * ends[:, 1] - start) * (1 if left else -1)
+        near = float((np.abs(off) <= tolerance).sum())
+        if (off < -tolerance).mean() <= OUTSIDE and near > best:
+            best, choice = near, (float(slope), float(start))
+    return choice
+
+
+def drawn_to(line: np.ndarray, left: tuple[float, float], right: tuple[float, float]) -> np.ndarray:
+    """A line of text cut or drawn out straight to both sides of the content."""
+    line = np.asarray(line, float)
+    for bound, end in ((left, 0), (right, -1)):
+        inner = line[min(4, len(line) - 1)] if end == 0 else line[max(-5, -len(line))]
+        tip = line[end]
+        d = tip - inner
+        # x + t dx = slope * (y + t dy) + start
+        across = d[0] - bound[0] * d[1]
+        t = (bound[0] * tip[1] + bound[1] - tip[0]) / across if across else 0.0
+        if t > 0:
+            line = np.concatenate(([tip + t * d], line) if end == 0 else (line, [tip + t * d]))
+        elif t < 0:
+            beyond = line[:, 0] - bound[0] * line[:, 1] - bound[1]
+            line = line[beyond >= 0 if end == 0 else beyond <= 0]
+    return line
+
+
+def unevenness(sheet: Sheet, lines: list[np.ndarray], most: float) -> float:
+    """How far lines are from level on the flat sheet: a line's spread in shares of the sheet, up to `most`, summed over the lines."""
+    total = 0.0
+    for line in lines:
+        _, v = sheet.to_flat(*line.T)
+        spread = float(np.sqrt(np.var(v))) if np.isfinite(v).all() else most
+        total += min(spread, most)
+    return total
+
+
+def model(lines: list[np.ndarray], depth: float = 2.0, tolerance: float = 10.0, seed: int = 1) -> tuple[np.ndarray, np.ndarray] | None:
+    """The two of a page's lines whose sheet makes all lines most level, drawn to the content's sides; None without two that span a sheet.
+
+    Lines that are shorter than half the longest don't make the sheet, but count. Each pair is tried, or of many, pairs
+    drawn at random; the one with the widest gap of those as good wins, as it holds most of the page.
+    """
+    lines = [np.asarray(line, float) for line in lines if valid(line)]
+    if len(lines) < 2:
+        return None
+    left, right = (side(np.array([line[end] for line in lines]), end == 0, tolerance, seed=seed) for end in (0, -1))
+    length = np.array([np.hypot(*np.diff(line, axis=0).T).sum() for line in lines])
+    long = [drawn_to(line, left, right) for line, n in zip(lines, length, strict=True) if n >= length.max() / 2]
+    long = [line for line in long if valid(line)]
+    order = sorted(range(len(long)), key=lambda i: long[i][:, 1].mean())
+    pairs = [(a, b) for i, a in enumerate(order) for b in order[i + 1 :]]
+    if len(pairs) > TRIED:
+        pairs = [pairs[i] for i in np.random.default_rng(seed).choice(len(pairs), TRIED, replace=False)]
+    found = []
+    middles = [line[:, 1].mean() for line in lines]
+    most = 0.05 * (max(middles) - min(middles))  # of a line that fits no sheet
+    for a, b in pairs:
+        gap = float(long[b][:, 1].mean() - long[a][:, 1].mean())
+        try:
+            with np.errstate(all="ignore"):
+                found.append((unevenness(Sheet(long[a], long[b], depth), lines, most / max(gap, 1e-9)) * gap, -gap, a, b))
+        except (ValueError, np.linalg.LinAlgError):
+            continue
+    if not found:
+        return None
+    best = min(f[0] for f in found)
+    *_, a, b = min((f for f in found if f[0] <= 1.25 * best + 1e-9), key=lambda f: f[1])
+    return long[a], long[b]
+
+
+def modelled(page: np.ndarray, lines: list[np.ndarray], depth: float = 2.0) -> np.ndarray:
+    """A page laid flat by all its lines, what is above and below the sheet with it; as it is where they span none."""
+    curves = model(lines, depth)
+    if curves is None:
+        return page
+    top, bottom = (float(c[:, 1].mean()) for c in curves)
+    if bottom - top < 1:
+        return page
+    return flattened(page, *curves, *page.shape, depth, above=top / (bottom - top), below=(page.shape[0] - bottom) / (bottom - top))

@@ -84,6 +84,7 @@ page("pages_without_shadows", lambda b: layout.without_shadows(b, ((2, 6), (6, 2
 page("dewarped_pages", lambda a: layout.dewarped(a, np.array([(0, 0.5), (4, 0), (8, 0.5)]), np.array([(0, 7.5), (4, 7), (8, 7.5)]), 8, 8))
 page("flattened_pages", lambda a: sheets.flattened(a, np.array([(0, 0.5), (4, 0), (8, 0.5)]), np.array([(0, 7.5), (4, 7), (8, 7.5)]), 8, 8))
 page("recursive_blur", lambda a: np.floor(blurs.gauss(a, 1.5, 2.0) + 0.5).astype(int))
+page("modelled_pages", lambda a: sheets.modelled(a, layout.text_lines((a < 128).astype(int), 3, 4, 1)))
 page("components_added", lambda b: layout.add_component(k.components(b), (np.indices(b.shape).sum(axis=0) % 7 == 0).astype(int)), "black", "label", sql=f"""{R}, ink AS (SELECT page_id, y, x FROM pixels WHERE black = 1), {labels_sql("ink", "l")}, n AS (SELECT page_id, max(label) AS n FROM l GROUP BY 1)
  SELECT p.page_id, p.y, p.x, CASE WHEN (p.y + p.x) % 7 = 0 THEN coalesce(n, 0) + 1 ELSE coalesce(label, 0) END AS label FROM pixels p LEFT JOIN n USING (page_id) LEFT JOIN l ON l.page_id = p.page_id AND l.y = p.y AND l.x = p.x""")
 page("text_masks", lambda b: layout.text_mask(b, 2), "black", "black", sql=f"""{R}, smeared AS (SELECT p.page_id, p.y, p.x FROM pixels p LEFT JOIN pixels q ON q.page_id = p.page_id AND q.y = p.y AND q.x = p.x - 1 WHERE p.black = 1 OR q.black = 1), {labels_sql("smeared", "l")},

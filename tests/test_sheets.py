@@ -94,6 +94,73 @@ def test_affine_resampling_by_area():
     assert (sheets.resampled(a, [[1, 0, 20], [0, 1, 20]], 2, 2) == 255).all()
 
 
+def lines_of(seed, wrong=()):
+    """Lines of a page that sinks to one side, with ragged right ends; some are wrong."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for n, y in enumerate(range(100, 1000, 60)):
+        x = np.linspace(60 + 0.02 * y, 800 if n % 4 else 500, 40)
+        wave = 25 * np.sin(x / 260) * (1 - y / 2000)
+        out.append(np.stack((x, y + wave + rng.normal(0, 0.3, len(x)) + (30 * np.sin(x / 60) if n in wrong else 0)), axis=1))
+    return out
+
+
+def test_the_best_two_lines_make_all_level():
+    lines = lines_of(1, wrong=(0, 7))
+    top, bottom = sheets.model(lines)
+    sheet = sheets.Sheet(top, bottom)
+    spread = [np.std(sheet.to_flat(*line.T)[1]) * (bottom[:, 1].mean() - top[:, 1].mean()) for line in lines]
+    assert all(s < 2.5 for i, s in enumerate(spread) if i not in (0, 7)) and min(spread[0], spread[7]) > 10
+    assert bottom[:, 1].mean() - top[:, 1].mean() > 500
+    # Both curves reach from side to side.
+    assert abs(top[0, 0] - (60 + 0.02 * top[0, 1])) < 8 and abs(top[-1, 0] - 800) < 8 and abs(bottom[-1, 0] - 800) < 8
+
+
+def test_sides_leave_few_ends_outside():
+    y = np.arange(0, 1000, 50.0)
+    ends = np.stack((100 + 0.05 * y, y), axis=1)
+    ends[::5, 0] += 80  # indented
+    slope, start = sheets.side(ends, True, 5)
+    assert slope == pytest.approx(0.05, abs=1e-6) and start == pytest.approx(100, abs=1e-6)
+    ends[3, 0] = 20  # one that sticks out
+    assert sheets.side(ends, True, 5)[0] == pytest.approx(0.05, abs=1e-6)
+    assert sheets.side(np.array([(7.0, 3.0)]), True, 5) == (0.0, 7.0) and sheets.side(np.array([(7.0, 3.0), (9.0, 3.0)]), False, 5) == (0.0, 9.0)
+
+
+def test_lines_are_cut_or_drawn_to_the_sides():
+    line = np.stack((np.linspace(10, 90, 17), np.linspace(5, 13, 17)), axis=1)
+    made = sheets.drawn_to(line, (0, 0), (0, 100))
+    assert np.allclose(made[[0, -1]], [(0, 4), (100, 14)])
+    cut = sheets.drawn_to(line, (0, 20), (0, 80))
+    assert cut[:, 0].min() >= 20 and cut[:, 0].max() <= 80
+
+
+def test_pages_without_lines_stay():
+    page = np.full((30, 40), 200)
+    assert sheets.model([]) is None and (sheets.modelled(page, []) == page).all()
+    one = np.array([(0.0, 5.0), (39.0, 5.0)])
+    assert sheets.model([one]) is None and (sheets.modelled(page, [one, one + (0, 0.2)]) == page).all()
+
+
+def test_a_page_is_laid_flat_by_its_lines():
+    from leafmill.operators import layout, snakes
+
+    rng = np.random.default_rng(2)
+    x = np.arange(500)
+    bend = lambda y: 14 * np.sin(x / 150) * (1 - y / 900)
+    page = np.full((420, 500), 245)
+    for y in range(40, 390, 30):
+        for i in range(20, 470):
+            if i % 9 < 6:
+                top = int(round(y + bend(y)[i]))
+                page[top : top + 9, i] = np.where(rng.random(9) < 0.8, 15, 245)
+    black = (page < 128).astype(int)
+    lines = snakes.refined_lines(page, layout.text_lines(black, 10, 200), 9)
+    flat = sheets.modelled(page, lines)
+    contrast = lambda p: (np.diff((p < 128).sum(axis=1).astype(float)) ** 2).sum()
+    assert contrast(flat) > 3 * contrast(page)
+
+
 def exchanges(df):
     plan = df._jdf.queryExecution().executedPlan().toString()
     return plan.count("Exchange hashpartitioning"), plan.count("MapInArrow")
