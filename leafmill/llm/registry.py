@@ -22,8 +22,8 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
-    judged = url_filter.judge(pages, url_filter.train(url_filter.rule_labels(pages), mask=url_filter.rule_mask()))
-    return judged.select("page_id", "host", "path", "rule", "verdict")
+    judged = url_filter.judge(pages, url_filter.train(url_filter.rule_labels(pages), rule_col="rule"))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "score")
 
 
 def op3_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:

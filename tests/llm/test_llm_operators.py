@@ -513,12 +513,28 @@ def test_trees_are_used_as_far_as_held_out_hosts_bear_them_out(spark):
     assert blind.cut is None and {r.verdict for r in url_filter.judge(urls, blind, rules=[]  , keep=()).select("verdict").collect()} == {"allow"}
 
 
-def test_ordinary_hosts_beyond_the_rules_are_allowed(spark):
-    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
-    model = url_filter.train(url_filter.rule_labels(pages), mask=url_filter.rule_mask())
-    assert url_filter.rule_mask() == (2, 1) and model.held_out > 20
-    left = url_filter.judge(pages, model).where("rule is null").toPandas()
-    assert len(left) > 50 and (left["verdict"] == "allow").all()
+def test_trees_tell_of_urls_beyond_the_rules_what_they_tell_of_a_rule_left_out(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    labels = url_filter.rule_labels(pages)
+    assert set(labels.columns) == {"url", "blocked", "rule"} and url_filter.rule_mask() == (2, 1)
+    model = url_filter.train(labels, rule_col="rule")
+    judged = url_filter.judge(pages, model).toPandas()
+    assert model.cut is not None and model.precision >= 0.9 and model.held_out > 20
+    left = judged[judged["rule"].isna()]
+    blocked = left[left["verdict"] == "block"]
+    # What two rules block under one top label is blocked beyond them; under the others nothing is.
+    assert len(blocked) > 20 and blocked["host"].str.endswith(".net").all() and (left["verdict"] == "allow").sum() > 20
+    ruled = judged[judged["rule"].notna()]
+    assert ((ruled["verdict"] == "block") == ruled["rule"].isin([r for r, v in url_filter.RULES if v == "block"])).all()
+
+
+def test_a_rule_without_which_one_label_is_left_stays(spark):
+    labels = spark.createDataFrame([(f"http://h{i % 7}.a.com/{i}", False, "com/") for i in range(60)] + [(f"http://h{i % 7}.a.net/{i}", True, "net/") for i in range(60)], "url string, blocked boolean, rule string")
+    model = url_filter.train(labels, rule_col="rule")
+    assert model.cut is None and model.held_out == 0  # neither can be left out: nothing bears the trees out
+    assert url_filter.train(labels.where("blocked"), rule_col="rule") is None and url_filter.train(labels.where("false"), rule_col="rule") is None
+    nulls = labels.withColumn("rule", F.when(F.col("rule") == "com/", None).otherwise(F.when(F.col("url") > "http://h3", "net/x/").otherwise("net/y/")))
+    assert url_filter.train(nulls, rule_col="rule").held_out > 0
 
 
 def test_lexical_features_against_python(spark):
