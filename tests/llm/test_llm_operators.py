@@ -12,7 +12,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from leafmill.llm import components, decontamination, html_extract, jaccard_join, line_dedup, personal_data, quality_model, quality_rules, secret_scan, source_mix, spans, url_filter, words
+from leafmill.llm import components, decontamination, html_extract, jaccard_join, line_dedup, personal_data, quality_model, quality_rules, secret_scan, shared, source_mix, spans, url_filter, words
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -152,6 +152,37 @@ def test_components_of_similar_documents(spark, corpus, monkeypatch, tight):
     assert {i: r.n_shingles for i, r in got.items()} == {i: len(s) for i, s in enumerate(sets)}
 
 
+def test_no_table_stays_that_the_result_does_not_read(spark, corpus):
+    before = shared.mark()
+    found = jaccard_join.component_ids(docs_of(spark, corpus))
+    left = {p.rsplit("/", 1)[1] for p in shared.mark() - before}
+    assert left <= {"prints", "plain", "parents", "labels"}
+    assert found.count() == len(corpus)
+
+
+def test_slices_of_signatures_are_all_of_them(spark, corpus):
+    docs = docs_of(spark, corpus).select(F.col("doc_id").alias("id"), "text").coalesce(1)
+    signed = lambda *t: sorted((r.sig, r.id) for r in docs.mapInArrow(jaccard_join._sign(5, 80, 100, 1, 3, *t), "sig long, id long").collect())
+    parts = [signed(i, 3) for i in range(3)]
+    assert sorted(x for part in parts for x in part) == signed()
+    assert all(len(part) > len(signed()) / 4 for part in parts)
+
+
+def test_pairs_of_many_rows_are_made_in_rounds(spark, monkeypatch):
+    rng, calls = random.Random(3), []
+    passage = prose(rng, 60)
+    texts = [passage + " " + prose(rng, 100) for _ in range(12)]
+    pairs = jaccard_join._pairs
+    monkeypatch.setattr(jaccard_join, "_pairs", lambda *t: (calls.append(t[2]), pairs(*t))[1])
+    groups = spark.createDataFrame([(s, i, i, False) for s in range(8) for i in range(s, s + 5)], "sig long, id long, component long, main boolean")
+    blobs = docs_of(spark, texts).select(F.col("doc_id").alias("id"), "text").mapInArrow(jaccard_join._sets(5), "id long, " + "".join(f"{c} long, " for c in jaccard_join._MARKS) + "text string")
+    whole = {tuple(r) for r in jaccard_join._in_rounds(groups, blobs, ["sig"], 0, 100).collect()}
+    assert len(calls) == 1
+    monkeypatch.setattr(jaccard_join, "ROWS_AT_ONCE", 30)
+    assert {tuple(r) for r in jaccard_join._in_rounds(groups, blobs, ["sig"], 0, 100).collect()} == whole == {(i, j) for i in range(12) for j in range(i + 1, min(i + 5, 12))}
+    assert len(calls) == 4
+
+
 def test_every_link_between_distinct_sets(spark, corpus):
     sets, first = sets_of(corpus), {}
     for i, s in enumerate(sets):
