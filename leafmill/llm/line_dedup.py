@@ -35,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from leafmill.llm.shared import drop, materialize
+from leafmill.llm.shared import drop, drop_since, mark, materialize
 from leafmill.llm.words import mix, powers, running, thrifty
 
 #: Keys or places of lines (24 bytes at most) that may be broadcast.
@@ -246,10 +246,12 @@ _BLANKS = {c: " " for c in range(0x09, 0x0E)}
 
 def kept_lines(read: DataFrame, min_chars: int, exact_chars: int, edits: int) -> DataFrame:
     """(doc, kept): numbers of the lines of at least exact_chars characters that stay."""
-    line = F.col("line")
+    before, line = mark(), F.col("line")
     lines = _lines(read, exact_chars).select("doc", "no", F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2"), F.length(line).alias("n"), F.when(F.length(line) >= min_chars, F.array(*_pieces(line, edits))).alias("pieces"))
     first = lines.groupBy("h1", "h2", "n").agg(F.min(F.struct("doc", "no", "pieces")).alias("first"))
     firsts = materialize(first.select("first.doc", "first.no", "first.pieces"), "firsts")
     near = near_lines(read, firsts, edits)
     kept = firsts.select("doc", "no").join(near, ["doc", "no"], "left_anti")
-    return materialize(kept.groupBy("doc").agg(F.collect_set("no").alias("kept")), "kept")
+    out = materialize(kept.groupBy("doc").agg(F.collect_set("no").alias("kept")), "kept")
+    drop_since(before, out, read)
+    return out

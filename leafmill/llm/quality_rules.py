@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from leafmill.llm.shared import materialize
+from leafmill.llm.shared import drop_since, mark, materialize
 from leafmill.llm.words import mix, ngram_hashes, running, text_chunks, thrifty, word_hashes
 
 #: (host, line) rows of 24 bytes that may be broadcast.
@@ -143,9 +143,11 @@ def clean(docs: DataFrame, host_col: str = "source", text_col: str = "text", **l
     host, text = F.col(f"`{host_col}`").cast("string"), F.col(f"`{text_col}`")
     # A host's length goes before it, so that no other host and text make the same bytes.
     key = F.md5(F.concat(F.coalesce(F.concat(F.length(host), F.lit(":"), host), F.lit("-")), F.lit("\n"), F.coalesce(text, F.lit(""))))
+    before = mark()
     judged = _judged(docs.select(key.alias("doc"), host.alias("host"), text.alias("text")), **limits)
     acted = judged.where(~F.col("kept") | (F.size("removed_lines") > 0)).groupBy(F.col("doc").alias("key")).agg(F.first("kept").alias("kept"), F.first("removed_lines").alias("gone"))
     acted = materialize(acted, "acted")
+    drop_since(before, acted, docs)
     size = acted.agg(F.coalesce(F.sum(1 + F.size("gone")), F.lit(0))).first()[0]
     acted = F.broadcast(acted) if size <= BROADCAST_LINES else acted
     rows = docs.select(key.alias("own"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
