@@ -269,10 +269,13 @@ def page_cuts(spark, sf):
 def fax_lengths(spark, sf):
     """Bytes of each text's page of 64 columns as fax, and as it is."""
 
-    def lengths(tones):
-        ink = np.zeros(-(-len(tones) // 64) * 64, np.uint8)
-        ink[: len(tones)] = tones != 255
-        page = ink.reshape(-1, 64)
-        return {"height": np.array([len(page)]), "fax_bytes": np.array([len(fax.encode(page))]), "plain_bytes": np.array([len(page) * 8])}
-
-    return k.map_texts(fx.text_pages(spark, sf), lengths, "height long, fax_bytes long, plain_bytes long")
+    def lengths(tones, sizes):
+        height = -(-sizes // 64)
+        top = np.cumsum(height) - height
+        ink = np.zeros(int(height.sum()) * 64, np.uint8)
+        ink[np.arange(len(tones)) + np.repeat(top * 64 - (np.cumsum(sizes) - sizes), sizes)] = tones != 255
+        begins = np.zeros(len(ink) // 64, bool)
+        begins[top] = True
+        return {"height": height, "fax_bytes": fax.encoded_sizes(ink.reshape(-1, 64), begins), "plain_bytes": height * 8}
+
+    return k.map_many_texts(fx.text_pages(spark, sf), lengths, "height long, fax_bytes long, plain_bytes long")

@@ -151,6 +151,15 @@ def test_a_large_page_is_coded_in_seconds():
     assert (fax.decode(data, *page.shape) == page).all() and time.process_time() - began < 5
 
 
+def test_sizes_of_stacked_pages_are_those_of_each():
+    rng = np.random.default_rng(4)
+    for width in (1, 64, 3000):
+        pages = [(rng.random((h, width)) < share).astype(np.uint8) for h, share in ((1, 0.5), (4, 0.0), (3, 1.0), (9, 0.1), (2, 0.9), (1, 1.0))]
+        begins = np.zeros(sum(map(len, pages)), bool)
+        begins[np.cumsum([0, *map(len, pages[:-1])])] = True
+        assert fax.encoded_sizes(np.concatenate(pages), begins).tolist() == [len(fax.encode(p)) for p in pages]
+
+
 def test_fax_lengths_are_those_of_each_text(spark, small):
     got = {r.page_id: (r.height, r.fax_bytes, r.plain_bytes) for r in page_queries.reg.queries["fax_lengths"](spark, small).collect()}
     docs = spark.read.parquet(f"{small}/documents.parquet").where("length(text) > 0").collect()
