@@ -95,22 +95,40 @@ class Tracker(StatefulProcessor):
         self.ignored = handle.getMapState("ignored", "path string", "since_ms long", self.remember_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        events = []
+        # State is read once and written once: each call costs as much as many rows.
+        events, pending = [], {k[0]: tuple(v) for k, v in self.pending.iterator()}
+        was, changed_paths, since = set(pending), set(), {}
+        known = {} if self.ignored.exists() else None  # None: nothing was ignored before
+
+        def is_ignored(path: str) -> bool:
+            if path in since or known is None:
+                return path in since
+            if path not in known:
+                known[path] = self.ignored.containsKey((path,))
+            return known[path]
+
         for row in pd.concat(list(rows)).sort_values("now_ms", kind="stable").itertuples():
             files = [(f["path"], f["size_bytes"] or 0, f["mtime_ms"] or 0) for f in (row.files if row.files is not None else []) if f["path"] is not None]
-            pending = {k[0]: tuple(v) for k, v in self.pending.iterator()}
             if row.what == "existing":
                 self.ignored.clear()
-            ignored = {f[0] for f in files if self.ignored.containsKey((f[0],))}
+                since, known = {}, None
+            ignored = {f[0] for f in files if is_ignored(f[0])}
             changed, out, told = listed(pending, ignored, row.what, files, int(row.now_ms))
             for path, state in changed.items():
+                changed_paths.add(path)
                 if state is not None:
-                    self.pending.updateValue((path,), state)
-                elif path in pending:
-                    self.pending.removeKey((path,))
-            for path in out:
-                self.ignored.updateValue((path,), (int(row.now_ms),))
+                    pending[path] = state
+                else:
+                    pending.pop(path, None)
+            since |= dict.fromkeys(out, int(row.now_ms))
             events += [(key[0], path, event, int(row.now_ms)) for path, event in told]
+        for path in changed_paths:
+            if path in pending:
+                self.pending.updateValue((path,), pending[path])
+            elif path in was:
+                self.pending.removeKey((path,))
+        for path, at in since.items():
+            self.ignored.updateValue((path,), (at,))
         for timer in list(self.handle.listTimers()):  # all are read before another call is made
             self.handle.deleteTimer(timer)
         self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.quiet_ms)

@@ -1,8 +1,10 @@
 """Watched folders: new files, seen listing by listing, and as a stream."""
 
+import collections
 import random
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -184,3 +186,34 @@ def test_scan_events_of_users(spark, small):
     rows = settings_queries.listings_of_users(spark, small).orderBy("folder", "now_ms").collect()
     want, _ = by_hand([(r.folder, r.now_ms, r.what, [tuple(f) for f in r.files]) for r in rows])
     assert got == want and {e for *_, e, _ in want} == {"ready", "ignored"}
+
+
+def test_state_is_read_and_written_once_a_batch():
+    calls = collections.Counter()
+
+    class Map(dict):
+        def __getattr__(self, name):
+            calls[name] += 1
+            own = {"iterator": lambda: iter([*self.items()]), "exists": lambda: bool(self), "containsKey": self.__contains__, "updateValue": self.__setitem__, "removeKey": lambda k: self.pop(k), "clear": lambda: dict.clear(self)}
+            return own[name]
+
+    class Handle:
+        def __init__(self):
+            self.maps = {}
+
+        def getMapState(self, name, *_):
+            return self.maps.setdefault(name, Map())
+
+        listTimers = lambda self: []
+        registerTimer = lambda self, at: None
+
+    class Clock:
+        getCurrentProcessingTimeInMs = lambda self: 0
+
+    tracker, handle = scans.Tracker(), Handle()
+    tracker.init(handle)
+    listing = lambda at, size: {"now_ms": at, "what": "listing", "files": [{"path": "a", "size_bytes": size, "mtime_ms": 0}, {"path": "b", "size_bytes": 5, "mtime_ms": 0}]}
+    (events,) = tracker.handleInputRows(("f",), iter([pd.DataFrame([listing(i * 1000, i) for i in range(100)])]), Clock())
+    assert [tuple(e) for e in events.values.tolist()] == [("f", "b", "ready", 2000), ("f", "a", "ignored", 60000)]
+    assert set(handle.maps["pending"]) == {("b",)} and set(handle.maps["ignored"]) == {("a",)}
+    assert sum(calls.values()) < 10
