@@ -1,14 +1,16 @@
 """Operators on small cases drawn by hand."""
 
+import random
 import struct
+import time
 import zlib
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
-from leafmill.functions import geometry as g
-from leafmill.operators import catalogue as c, kernels as k, raster as r
+from leafmill.functions import geometry as g, text as tx
+from leafmill.operators import catalogue as c, dependencies, kernels as k, raster as r
 from leafmill.sources import documents, image_headers
 
 
@@ -560,3 +562,17 @@ def test_best_lines_against_a_fine_grid():
     assert n >= grid_best and near(angle, distance) >= n - 2
     assert abs(np.tan(angle + np.pi / 2) - 0.5) < 0.05 and (abs(angle2) < 0.1 or abs(angle2 - np.pi) < 0.1) and abs(abs(distance2) - 30) < 1 and n2 >= 10
     assert layout.best_lines(np.zeros((0, 2)), 1, 1) == []
+
+
+def test_a_line_of_any_length_costs_as_its_length(spark):
+    words = [f"w{i % 900}<" for i in range(150_000)]
+    docs = spark.createDataFrame([(1, " ".join(words) + "\n\ntwo\x01 \x0bwords"), (2, None)], "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: r.page for r in tx.alto_pages(docs, "doc_id", "text").collect()}
+    assert time.time() - began < 15
+    at, line = 0, []
+    for w in words:
+        line.append(f'<String CONTENT="{w[:-1]}&lt;" HPOS="{at * 10}" VPOS="0" WIDTH="{len(w) * 10}" HEIGHT="20"/>')
+        at += len(w) + 1
+    last = '<String CONTENT="two\ufffd" HPOS="0" VPOS="40" WIDTH="40" HEIGHT="20"/><String CONTENT="words" HPOS="50" VPOS="40" WIDTH="50" HEIGHT="20"/>'
+    assert got == {1: f"<Page><PrintSpace>\n<TextLine>{''.join(line)}</TextLine>\n<TextLine></TextLine>\n<TextLine>{last}</TextLine>\n</PrintSpace></Page>", 2: None}
