@@ -22,18 +22,21 @@ def same_outline(a: Column, b: Column, fuzz: float = FUZZ) -> Column:
     """
 
     def edges(poly: Column) -> Column:
-        closed = F.when(F.element_at(poly, 1) == F.element_at(poly, -1), poly).otherwise(F.concat(poly, F.slice(poly, 1, 1)))
-        pairs = F.transform(F.sequence(F.lit(1), F.size(closed) - 1), lambda i: F.struct(F.element_at(closed, i).alias("p"), F.element_at(closed, i + 1).alias("q")))
-        turned = F.transform(pairs, lambda e: F.struct(F.least(e["p"], e["q"]).alias("p"), F.greatest(e["p"], e["q"]).alias("q")))
-        return F.array_sort(turned)
+        # A closed polygon repeats its first point.
+        ring = F.when(F.element_at(poly, 1) == F.element_at(poly, -1), F.slice(poly, 1, F.size(poly) - 1)).otherwise(poly)
+        following = F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1))
+        return F.sort_array(F.zip_with(ring, following, lambda p, q: F.struct(F.least(p, q).alias("p"), F.greatest(p, q).alias("q"))))
 
-    def near(e: Column) -> Column:
-        apart = [F.abs(e["a"][w][c] - e["b"][w][c]) <= fuzz for w in ("p", "q") for c in ("x", "y")]
+    def near(e: Column, f: Column) -> Column:
+        apart = [F.abs(e[w][c] - f[w][c]) <= fuzz for w in ("p", "q") for c in ("x", "y")]
         return apart[0] & apart[1] & apart[2] & apart[3]
 
-    left, right = edges(a), edges(b)
-    both = F.arrays_zip(left.alias("a"), right.alias("b"))
-    return F.when((F.size(a) < 2) | (F.size(b) < 2), (F.size(a) < 2) & (F.size(b) < 2)).when(F.size(left) != F.size(right), False).otherwise(F.forall(both, near))
+    def alike(both: Column) -> Column:
+        return F.when(F.size(both["a"]) != F.size(both["b"]), False).otherwise(F.forall(F.zip_with(both["a"], both["b"], near), lambda x: x))
+
+    # The edges stand in an array of one, so that they are made once.
+    made = F.transform(F.array(F.struct(edges(a).alias("a"), edges(b).alias("b"))), alike)
+    return F.when((F.size(a) < 2) | (F.size(b) < 2), (F.size(a) < 2) & (F.size(b) < 2)).otherwise(made[0])
 
 
 def rounded_outline(poly: Column) -> Column:

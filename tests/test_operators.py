@@ -576,3 +576,13 @@ def test_a_line_of_any_length_costs_as_its_length(spark):
         at += len(w) + 1
     last = '<String CONTENT="two\ufffd" HPOS="0" VPOS="40" WIDTH="40" HEIGHT="20"/><String CONTENT="words" HPOS="50" VPOS="40" WIDTH="50" HEIGHT="20"/>'
     assert got == {1: f"<Page><PrintSpace>\n<TextLine>{''.join(line)}</TextLine>\n<TextLine></TextLine>\n<TextLine>{last}</TextLine>\n</PrintSpace></Page>", 2: None}
+
+
+def test_outlines_of_many_points(spark):
+    ring = [(float(i % 173), float(i * i % 1009)) for i in range(30_000)]
+    other = [*reversed(ring[77:] + ring[:77])]
+    rows = [(ring, other), ([*ring, ring[0]], other), (ring, other[:-1]), (ring, [(x + 0.0005, y) for x, y in other]), ([], [(1.0, 1.0)]), ([], ring)]
+    frame = spark.createDataFrame(rows, "a array<struct<x: double, y: double>>, b array<struct<x: double, y: double>>").coalesce(1)
+    began = time.time()
+    assert [r.same for r in frame.select(dependencies.same_outline(F.col("a"), F.col("b")).alias("same")).collect()] == [True, True, False, True, True, False]
+    assert time.time() - began < 15
