@@ -54,6 +54,22 @@ def with_positions(pages: DataFrame, keys: list[str], book: str = "book") -> Dat
     return pages.withColumn("pos", F.row_number().over(Window.partitionBy(book).orderBy(*keys)) - 1)
 
 
+def with_rank(pages: DataFrame, out: str, book: str, keys: list[Column], last: str, tasks: int) -> DataFrame:
+    """pages with out: rank() in the book by keys, which hold no nulls, and last; rows are dealt to so many tasks.
+
+    Rows are ranked among those with the same keys, and what has smaller keys is counted: a large book is no one task's,
+    and a key can be any column that never falls as last rises.
+    """
+    named = {"__none": F.col(book).isNull(), "__book": F.coalesce(book, F.lit(""))} | {f"__key{i}": key for i, key in enumerate(keys)}
+    names = list(named)
+    keyed = pages.withColumns(named).repartition(tasks, *names)
+    counts = keyed.groupBy(*names).agg(F.count("*").alias("__rows"))
+    above = Window.partitionBy("__none", "__book").orderBy(*names[2:]).rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(*names, F.coalesce(F.sum("__rows").over(above), F.lit(0)).alias("__before"))
+    own = F.rank().over(Window.partitionBy(*names).orderBy(F.col(last).asc_nulls_last()))
+    return keyed.withColumn(out, own.cast("long")).join(before, names).withColumn(out, F.col(out) + F.col("__before")).drop(*names, "__before")
+
+
 def remove_pages(images: DataFrame, removed: DataFrame) -> DataFrame:
     """Images after removing pages (image_id, sub_page): single removes the image, a half only if it is shown."""
     gone = removed.groupBy("image_id").agg(F.bool_or(F.col("sub_page") == "single").alias("s"), F.bool_or(F.col("sub_page") == "left").alias("l"), F.bool_or(F.col("sub_page") == "right").alias("r"))

@@ -9,6 +9,8 @@ from leafmill.plans import fixtures as fx
 from leafmill.plans.registry import Registry
 
 reg = Registry()
+#: Pages that one task sorts, of about 300 bytes each.
+PAGES_A_TASK = 1_000_000
 STATUS = """CASE WHEN {d} <= 1 THEN 'UNDEFINED' WHEN {d} < 300 AND ceil({p} * 300.0 / {d}) > 32767 THEN 'TOO_SMALL_TO_PROCESS' WHEN {d} < 150 THEN 'TOO_SMALL'
  WHEN {d} > 9999 THEN 'TOO_LARGE' WHEN 25.4 * {p} / {d} > 500 THEN 'TOO_SMALL_FOR_THIS_PIXEL_SIZE' ELSE 'OK' END"""
 PAGES = """pages_view AS (SELECT *, unnest(CASE WHEN sub_pages = 2 THEN ['left', 'right'] WHEN removed = 'L' THEN ['right'] WHEN removed = 'R' THEN ['left'] ELSE ['single'] END) AS sub_page,
@@ -219,9 +221,14 @@ def natural_file_order(spark, sf):
 @reg.add(f"""WITH {fx.IMAGES}, {fx.LAYOUT}, j AS (SELECT book, page_id, content_w, content_h, abs(angle - avg(angle) OVER (PARTITION BY book)) AS dev, content_w IS NULL AS incomplete FROM images JOIN layout_params USING (image_id))
  SELECT book, page_id, rank() OVER (PARTITION BY book ORDER BY incomplete, page_id) AS by_complete, rank() OVER (PARTITION BY book ORDER BY content_w ASC NULLS LAST, page_id) AS by_width, rank() OVER (PARTITION BY book ORDER BY content_h DESC NULLS LAST, page_id) AS by_height_desc FROM j""")
 def page_orders(spark, sf):
-    j = fx.images(spark, sf).join(fx.layout_params(spark, sf), "image_id").select("book", "page_id", "content_w", "content_h", F.col("content_w").isNull().alias("incomplete"))
-    rank = lambda *keys: F.rank().over(Window.partitionBy("book").orderBy(*keys, "page_id")).cast("long")
-    return j.select("book", "page_id", rank("incomplete").alias("by_complete"), rank(F.col("content_w").asc_nulls_last()).alias("by_width"), rank(F.col("content_h").desc_nulls_last()).alias("by_height_desc"))
+    pages = fx.layout_params(spark, sf).select("image_id", "page_id", "content_w", "content_h")
+    tasks = -(-pages.count() // PAGES_A_TASK) + 1
+    out = fx.images(spark, sf).select("image_id", "book").repartition(tasks, "image_id").join(pages.repartition(tasks, "image_id"), "image_id").drop("image_id")
+    piece = F.coalesce(F.floor(F.col("page_id") / 1_000_000), F.lit(1 << 62))
+    out = c.with_rank(out, "by_complete", "book", [F.col("content_w").isNull(), piece], "page_id", tasks)
+    out = c.with_rank(out, "by_width", "book", [F.col("content_w").isNull(), F.coalesce("content_w", F.lit(0.0))], "page_id", tasks)
+    out = c.with_rank(out, "by_height_desc", "book", [F.col("content_h").isNull(), -F.coalesce("content_h", F.lit(0.0))], "page_id", tasks)
+    return out.select("book", "page_id", "by_complete", "by_width", "by_height_desc")
 
 
 @reg.add("""WITH opened AS (SELECT user_id, event_type AS project, max(ts) AS last_ts FROM events GROUP BY 1, 2) SELECT user_id, project, row_number() OVER (PARTITION BY user_id ORDER BY last_ts DESC, project) AS place FROM opened QUALIFY place <= 3""")

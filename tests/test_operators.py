@@ -586,3 +586,12 @@ def test_outlines_of_many_points(spark):
     began = time.time()
     assert [r.same for r in frame.select(dependencies.same_outline(F.col("a"), F.col("b")).alias("same")).collect()] == [True, True, False, True, True, False]
     assert time.time() - began < 15
+
+
+def test_ranks_of_a_book_by_parts_of_it(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, 1.0, 2.0, 3.5]), rng.randrange(300)) for _ in range(900)]
+    frame = spark.createDataFrame(rows, "book string, w double, page_id long")
+    found = c.with_rank(frame, "place", "book", [F.col("w").isNull(), F.coalesce("w", F.lit(0.0))], "page_id", 3)
+    whole = frame.withColumn("place", F.rank().over(Window.partitionBy("book").orderBy(F.col("w").asc_nulls_last(), "page_id")).cast("long"))
+    assert sorted(map(str, found.collect())) == sorted(map(str, whole.collect())) and found.dtypes == whole.dtypes
