@@ -533,6 +533,12 @@ def made_urls(spark, noise=False):
     return spark.createDataFrame(rows, "url string, blocked boolean")
 
 
+def test_all_labelled_urls_are_learnt_from_or_measured(spark):
+    url = F.concat(F.lit("http://"), F.hex("id"), F.lit(".x"), F.col("id") % 7, F.lit(".com/"), F.col("id"))
+    model = url_filter.train(spark.range(24_000).select(url.alias("url"), (F.col("id") % 3 == 0).alias("blocked")), trees=1, depth=1)
+    assert model.suffixes.agg(F.sum("suffix_urls")).first()[0] + model.held_out == 24_000
+
+
 def test_trees_are_used_as_far_as_held_out_hosts_bear_them_out(spark):
     urls = made_urls(spark)
     model = url_filter.train(urls, mask=(1, 0))
