@@ -183,6 +183,28 @@ def test_pairs_of_many_rows_are_made_in_rounds(spark, monkeypatch):
     assert len(calls) == 4
 
 
+@pytest.mark.parametrize("at_once", [7, 20_000_000])
+def test_texts_that_only_share_signatures_are_not_kept(spark, monkeypatch, at_once):
+    rng = random.Random(8)
+    texts = []
+    for i in range(40):  # half of the text is that of a partner, which links none, but gives groups of two
+        shared = prose(rng, 60)
+        texts += [f"{shared} {prose(rng, 60)}", f"{shared} {prose(rng, 60)}"]
+    linked = prose(rng, 120)
+    texts += [linked, linked + " end"]
+    tables = []
+    own = jaccard_join.materialize
+    monkeypatch.setattr(jaccard_join, "materialize", lambda df, name: (out := own(df, name), tables.append((name, "text" in out.columns, out.count(), out.where("size = 2").count() if "size" in out.columns else 0)))[0])
+    monkeypatch.setattr(jaccard_join, "ROWS_AT_ONCE", at_once)
+    got = {r.doc_id: r.component_id for r in jaccard_join.component_ids(docs_of(spark, texts)).collect()}
+    assert got == {i: min(i, 80) for i in range(82)}
+    assert next(rows for name, _, rows, _ in tables if name == "candidates") > 10
+    assert max(rows for _, text, rows, _ in tables if text) == 2
+    assert not any(twos for name, _, _, twos in tables if name == "groups")
+    rounds = [name for name, *_ in tables[: [name for name, *_ in tables].index("texts")]].count("pairs")
+    assert (rounds > 2) == (at_once == 7)
+
+
 def test_every_link_between_distinct_sets(spark, corpus):
     sets, first = sets_of(corpus), {}
     for i, s in enumerate(sets):
