@@ -34,12 +34,13 @@ import itertools
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from leafmill.llm.shared import drop, drop_since, mark, materialize
 from leafmill.llm.words import mix, powers, running, thrifty
 
-#: Keys or places of lines (24 bytes at most) that may be broadcast.
-BROADCAST_LINES = 500_000
+#: Values, of 8 bytes at most, in all rows of keys or places of lines that may be broadcast: the driver holds several times their size.
+BROADCAST_VALUES = 500_000
 #: Lines of a piece that are compared with one another; blocks that larger groups end up in.
 SMALL_GROUP, BLOCKS = 50, 16
 _U = np.uint64
@@ -99,8 +100,9 @@ def _variants(batches):
 
 
 def _sized(df: DataFrame) -> DataFrame:
-    """df, to be broadcast in a join if it is counted to be small."""
-    return F.broadcast(df) if df.count() <= BROADCAST_LINES else df
+    """df, to be broadcast in a join if its rows, of as many values as they have, are counted to be small."""
+    width = sum(len(f.dataType.fields) if isinstance(f.dataType, StructType) else 1 for f in df.schema)
+    return F.broadcast(df) if df.count() * width <= BROADCAST_VALUES else df
 
 
 def _shared(keys: DataFrame, key: str) -> DataFrame:
@@ -114,7 +116,7 @@ def near_lines(docs: DataFrame, firsts: DataFrame, edits: int) -> DataFrame:
     keys = firsts.select("doc", "no", F.explode("pieces").alias("piece"))
     partnered = materialize(keys.join(_sized(_shared(keys, "piece")), "piece", "left_semi").select("doc", "no").distinct(), "partnered")
     wanted = partnered.groupBy("doc").agg(F.collect_set("no").alias("wanted"))
-    wanted = F.broadcast(wanted) if partnered.count() <= BROADCAST_LINES else wanted
+    wanted = F.broadcast(wanted) if 2 * partnered.count() <= BROADCAST_VALUES else wanted
     raw = docs.join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(_picked, "doc long, no int, line string")
     lines = materialize(raw.select("doc", "no", normalised(F.col("line")).alias("line")).dropDuplicates(["doc", "no"]), "candidates")
     drop(partnered)

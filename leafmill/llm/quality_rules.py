@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame, functions as F
 from leafmill.llm.shared import drop_since, mark, materialize
 from leafmill.llm.words import mix, ngram_hashes, running, text_chunks, thrifty, word_hashes
 
-#: (host, line) rows of 24 bytes that may be broadcast.
-BROADCAST_LINES = 400_000
+#: (host, line) rows, or verdicts and the numbers of their lines, that may be broadcast: a verdict takes about 200 bytes there.
+BROADCAST_LINES = 200_000
 _U = np.uint64
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True

@@ -792,3 +792,11 @@ def test_clean_passes_on_columns_of_any_name(spark, monkeypatch):
         assert got and {r.doc_id for r in got} == set(range(2, 25)) and all(r[n] == f"{n}{r.doc_id}" for r in got for n in names)
         assert all(line.strip() not in r.text and r.text in texts[r.doc_id] for r in got)
     assert quality_rules.clean(docs.where("false")).count() == 0
+
+
+def test_wide_rows_are_broadcast_by_all_their_values(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BROADCAST_VALUES", 100)
+    keys = spark.range(60).select(F.col("id").alias("key"))
+    groups = keys.select("key", F.struct(*(F.col("key").alias(c) for c in ("doc", "no", "n", "chars", "twos"))).alias("low"), F.lit(2).alias("size"))
+    hinted = ["broadcast" in df._jdf.queryExecution().analyzed().toString() for df in map(line_dedup._sized, (keys, groups, groups.limit(14)))]
+    assert hinted == [True, False, True]
